@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicework.llm import bpe, quality, sharding
+from slicework.llm import bpe, html, langid, license, lines, pst, quality, sharding, simhash
 from slicework.llm.shared import table
 
 
@@ -17,6 +17,14 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op1_tag_path_ratios(table(spark, sf_dir, "pages"))
+
+
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.op2_suffix_tree(table(spark, sf_dir, "documents"))
+
+
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op3_hash_tree(table(spark, sf_dir, "documents"))
 
@@ -25,13 +33,29 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_robust_outliers(table(spark, sf_dir, "documents"))
 
 
+def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op5_golay_simhash(table(spark, sf_dir, "documents"))
+
+
+def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.op6_canonical_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op7_language_mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op8_fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op9_byte_bpe(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hash_tree, op4_robust_outliers, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_canonical_digest": license.oracle()}
