@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicework.llm import bpe, html, langid, license, lines, pst, quality, sharding, simhash
+from slicework.llm import bpe, decontaminate, html, langid, license, lines, pst, quality, sharding, simhash
 from slicework.llm.shared import table
 
 
@@ -53,8 +53,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op9_byte_bpe(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_latent_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe, op10_latent_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -144,6 +144,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (``doc_id``, ``text`` and any others) with one row of each component: the least by id, then by digest of the text."""
+    keyed = docs.select(F.struct("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("digest")).alias("key"), "text")
+    kept = near_duplicates(keyed, key="key").select(F.col("component_id.doc_id").alias("__id"), F.col("component_id.digest").alias("__digest")).distinct()
+    on = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__digest"])
+    own = docs.join(kept, on, "left_semi").withColumn("__digest", F.xxhash64("text"))
+    return own.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+
+
 def op5_golay_simhash(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint and its component."""
     return near_duplicates(docs.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
