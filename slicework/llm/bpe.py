@@ -77,26 +77,32 @@ class RankMap:
         slots, shift = perfect_hash(keys, values)
         self.p, self.q = len(slots), len(shift)
         literal = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  Spark folds it to one literal
-        self.slots, self.shift = literal(slots.tolist(), "bigint"), literal(shift.tolist(), "int")
-        self.first = literal([ranks[bytes([b])] for b in range(256)], "int")
+        self.slots, self.shift = literal(slots.tolist(), "bigint"), literal(shift.tolist(), "bigint")
+        self.first = literal([ranks[bytes([b])] for b in range(256)], "bigint")
+        self.pairs = literal([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "bigint")
+        self.no_rank = F.lit(NO_RANK).cast("bigint")
 
     def rank(self, a: Column, b: Column) -> Column:
         """The rank of the piece that two pieces make, or NO_RANK."""
-        key = a.cast("bigint") * NO_RANK + b
-        slot = F.get(self.slots, ((key % self.p + F.get(self.shift, (key % self.q).cast("int"))) % self.p).cast("int"))
-        return _let(slot - key * NO_RANK, lambda r: F.when(r.between(0, NO_RANK - 1), r.cast("int")).otherwise(F.lit(NO_RANK)))
+
+        def looked_up(key: Column) -> Column:
+            slot = F.get(self.slots, (key % self.p + F.get(self.shift, key % self.q)) % self.p)
+            return _let(slot - key * NO_RANK, lambda r: F.when((r >= 0) & (r < NO_RANK), r).otherwise(self.no_rank))
+
+        return _let(a * NO_RANK + b, looked_up)
 
     def fold(self, word: Column) -> Column:
-        """Ids of a word: array<int>.
+        """Ids of a non-empty word: array<bigint>.
 
         The state holds the ids, the ranks of the adjacent pairs, and the lowest of them; a merge looks up
         only the two pairs that it makes.
         """
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(chars, lambda c: F.get(self.first, F.ascii(c)))
+        size = F.octet_length(word)
+        chars = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
         state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(r).alias("low"))
-        start = _let(ids, lambda x: _let(F.transform(F.slice(x, 1, F.size(x) - 1), lambda a, i: self.rank(a, F.get(x, i + 1))), lambda r: state(x, r)))
-        none = F.slice(F.array(F.lit(NO_RANK)), 1, 0)
+        pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.get(self.pairs, a * 256 + F.get(c, i + 1)))
+        start = _let(chars, lambda c: state(F.transform(c, lambda x: F.get(self.first, x)), pairs(c)))
+        none = F.slice(F.array(self.no_rank), 1, 0)
 
         def merge(x: Column, r: Column, low: Column, at: Column) -> Column:
             left = F.when(at > 1, F.array(self.rank(F.get(x, at - 2), low))).otherwise(none)
@@ -108,7 +114,7 @@ class RankMap:
             at = F.array_position(acc["r"], acc["low"]).cast("int")
             return F.when(acc["low"] < NO_RANK, _let(at, lambda k: merge(acc["x"], acc["r"], acc["low"], k))).otherwise(acc)
 
-        return F.when(F.octet_length(word) > 1, F.aggregate(F.slice(chars, 2, F.size(chars)), start, step, lambda acc: acc["x"])).otherwise(ids)
+        return F.when(size > 0, F.aggregate(F.sequence(F.lit(1), size), start, step, lambda acc: acc["x"]))
 
 
 def _let(value: Column, body) -> Column:
@@ -158,12 +164,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     pieces = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         pieces[r] = t
-    shared = spark.sparkContext.broadcast((known_words, flat, cuts - cuts[0], pieces))
+    names = spark.sparkContext.broadcast(known_words)
+    shared = spark.sparkContext.broadcast((flat, cuts - cuts[0], pieces))
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Positions of words in the table; words that it lacks are numbered below 0 and listed."""
-        find, place = regex.compile(pattern).findall, {w: i for i, w in enumerate(shared.value[0])}
+        find, place = regex.compile(pattern).findall, {w: i for i, w in enumerate(names.value)}
         for batch in batches:
             seqs, rare = [], []
             for t in batch.column(text).to_pylist():
@@ -174,7 +181,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of each text from those of its words, and the bytes from the pieces of its ids."""
-        _, flat, cuts, pieces = shared.value
+        flat, cuts, pieces = shared.value
         for batch in batches:
             ids, decoded = [], []
             for s, r in zip(batch.column("__seq").to_pylist(), batch.column("__folded"), strict=True):

@@ -24,13 +24,15 @@ from pyspark.sql import Window as W
 
 from slicework.llm.shared import materialize, unsigned_crc32
 
-DEPTH = 5
+DEPTH = 6
+#: Contexts up to this length are counted at all positions; longer ones where their parts of this length and one more are frequent.
+SHALLOW = 4
 #: A context is at least this share of all positions: so at most 1 / LEAST_SHARE contexts of each length.
-LEAST_SHARE = 1e-5
+LEAST_SHARE = 4e-6
 #: Least divergence from the suffix's distribution, in nats over all of the context's occurrences.
-LEAST_DIVERGENCE = 20.0
+LEAST_DIVERGENCE = 10.0
 #: Weight of the suffix's distribution, as so many observations.
-PRIOR = 4.0
+PRIOR = 2.0
 #: Bound of the table of words whose counts are sent to all tasks; other words are looked up by a join.
 MAX_WORDS = 1 << 18
 END, NOTHING = 0x0A, 0x09
@@ -75,14 +77,40 @@ def _codes(stream: np.ndarray, depth: int) -> np.ndarray:
     return code | stream[1:]
 
 
-def context_counts(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
-    """``gram`` (bytes of context and next symbol as an integer) and ``n``, over all texts."""
+def _filter_slots(grams: np.ndarray) -> np.ndarray:
+    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+
+def context_counts(docs: DataFrame, depth: int, frequent: np.ndarray | None = None, text: str = "text") -> DataFrame:
+    """``gram`` (bytes of context and next symbol as an integer) and ``n``, over all texts.
+
+    With ``frequent`` (all frequent strings of SHALLOW + 1 bytes) only contexts whose parts of that length are all
+    frequent are counted, for no other can be; a few more slip through the filter and do no harm.
+    """
+    wide = SHALLOW + 1
+    shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def kept(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Codes whose nearest part is frequent, cut to the longest context of frequent parts."""
+        mask = np.int64((1 << 8 * wide) - 1)
+        own = codes[known[_filter_slots(codes >> 8 & mask)]]
+        for k in range(1, depth - SHALLOW):
+            far = known[_filter_slots(own >> (8 * (k + 1)) & mask)]
+            short = own & np.int64((1 << 8 * (wide + k)) - 1)
+            fill = sum(NOTHING << 8 * j for j in range(wide + k, depth + 1))
+            own = np.where(far, own, short | np.int64(fill))
+        return own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        if shared is not None:
+            known = np.zeros(1 << 24, bool)
+            known[_filter_slots(shared.value)] = True
         parts, size = [b"\n"], 0
 
         def counted() -> pa.RecordBatch:
-            grams, n = np.unique(_codes(np.frombuffer(b"".join(parts), np.uint8), depth), return_counts=True)
+            codes = _codes(np.frombuffer(b"".join(parts), np.uint8), depth)
+            grams, n = np.unique(codes if known is None else kept(codes, known), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], ["gram", "n"])
 
         for b in batches:
@@ -98,31 +126,37 @@ def context_counts(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> D
     return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def retained(grams: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE, divergence: float = LEAST_DIVERGENCE) -> DataFrame:
+def _level(grams: DataFrame, k: int, least: float) -> DataFrame:
+    """``context``, ``symbol``, ``n`` and the context's ``all`` for the contexts of ``k`` bytes that occur often enough."""
+    own = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+    whole = F.lit(True) if k == 0 else F.shiftright(own, 8 * k) != NOTHING
+    rows = grams.where(whole).groupBy(own.alias("own")).agg(F.sum("n").alias("n"))
+    rows = rows.select(F.shiftright("own", 8).alias("context"), F.col("own").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+    often = rows.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+    return materialize(rows.join(often, "context"), f"pst-{k}")
+
+
+def retained(train: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE, divergence: float = LEAST_DIVERGENCE) -> DataFrame:
     """Rows ``k`` (length), ``context``, ``symbol``, ``n`` of the contexts that pass both tests, and of the root.
 
     At most ``1 / share`` contexts of each length pass, whatever the corpus.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    level = {}
-    for k in range(depth + 1):
-        mask = (1 << (8 * (k + 1))) - 1
-        own = F.col("gram").bitwiseAND(F.lit(mask))
-        whole = F.lit(True) if k == 0 else F.shiftright(own, 8 * k) != NOTHING
-        rows = grams.where(whole).groupBy(own.alias("own")).agg(F.sum("n").alias("n"))
-        rows = rows.select(F.shiftright("own", 8).alias("context"), F.col("own").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        rows = rows.withColumn("all", F.sum("n").over(W.partitionBy("context")))
-        level[k] = materialize(rows.where(F.col("all") >= max(1.0, share * total)), f"pst-{k}")
-    kept = [level[0].select(F.lit(0).alias("k"), "context", "symbol", "n")]
+    shallow = min(depth, SHALLOW)
+    grams = materialize(context_counts(train, shallow), "pst-grams")
+    least = max(2.0, share * (grams.agg(F.sum("n")).first()[0] or 0))
+    level = [_level(grams, k, least if k else 0.0) for k in range(shallow + 1)]
+    if depth > shallow:
+        whole = F.shiftright("gram", 8 * shallow) != NOTHING
+        frequent = grams.where(whole & (F.col("n") >= least)).select("gram").toArrow()["gram"].to_numpy()  # at most 1 / share
+        deep = materialize(context_counts(train, depth, frequent), "pst-grams")
+        level += [_level(deep, k, least) for k in range(shallow + 1, depth + 1)]
+    out = level[0].select(F.lit(0).alias("k"), "context", "symbol", "n")
     for k in range(1, depth + 1):
         short = level[k - 1].select(F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("all")).alias("q"))
         rows = level[k].withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)))
         gain = F.col("n") * F.ln(F.col("n") / F.col("all") / F.col("q"))
         good = rows.join(short, ["suffix", "symbol"]).groupBy("context").agg(F.sum(gain).alias("gain")).where(F.col("gain") >= divergence)
-        kept.append(level[k].join(good, "context", "left_semi").select(F.lit(k).alias("k"), "context", "symbol", "n"))
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(level[k].join(good, "context", "left_semi").select(F.lit(k).alias("k"), "context", "symbol", "n"))
     return out
 
 
@@ -163,7 +197,7 @@ class Automaton:
             for s, j in children.get(i, ()):
                 self.next[i, s] = j
         self.next[:, self.classes[END]] = place[b"\n"]
-        self.log = np.log10(prob)
+        self.log = np.log10(prob).astype(np.float32)
         self.depth = max(map(len, order))
         self.start = place[b"\n"]
 
@@ -206,7 +240,7 @@ def op2_suffix_tree(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     n_docs = train.select("held_out").count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + n_docs, v + (n_docs > 0)
-    tree = Automaton(retained(materialize(context_counts(train, depth), "pst-grams"), depth).toArrow())
+    tree = Automaton(retained(train, depth).toArrow())
     ties = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
     above = ties.withColumn("words", F.sum("words").over(W.orderBy(F.desc("n"))))
     least = above.where(F.col("words") <= MAX_WORDS).agg(F.min("n")).first()[0]
