@@ -14,22 +14,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from slicework.llm.graph import connected_components
 from slicework.llm.shared import materialize
 
 LEAST_WORDS = 5
+#: Characters of a shingle, a power of two.
 SHINGLE = 8
 SIMILARITY = 0.8
 #: Bands of rows: a pair at the similarity shares a band with probability 0.99.
-BANDS, ROWS = 12, 5
+BANDS, ROWS = 9, 4
 HASHES = BANDS * ROWS
 BINS = 64
 #: Sets up to SHORT get a minimum for each hash function; sets from LONG on get one hash function whose range is
 #: cut into bins. Two sets of the similarity or more always have one of the two kinds in common, as LONG / SHORT
 #: is the similarity.
 SHORT, LONG = 160, 128
-CHUNK = 1_500_000
+CHUNK = 400_000
+#: Bits of the filter that spares lines without a candidate the way to the join; of fixed size, and exact work follows.
+FILTER_BITS = 1 << 26
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,9 +64,10 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Hash at each shingle of the lines, where each line's begin, and how many it has (1 at least)."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     stream = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(len(stream) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + stream[k : k + len(h)]
+    h, step, base = stream, 1, 0x100000001B3
+    while step < SHINGLE:  # of each 2, 4, 8 characters
+        h = h[:-step] * np.uint64(base) + h[step:]
+        step, base = 2 * step, base * base % (1 << 64)
     h = _mixed(h, 1)
     size = np.array([len(x) for x in padded])
     begin = np.cumsum(size) - size
@@ -144,13 +149,27 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, line long")
 
 
-def _occurrences(docs: DataFrame, texts: bool) -> DataFrame:
-    """``line`` with either its normalised text, or its place: ``doc_id``, ``digest`` of the text, ``number``."""
+def _line_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS with the bits of all ids set, gathered by Spark's bitmap aggregate."""
+    at = F.col("line").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # bitmaps count from 1
+    parts = ids.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("i")).groupBy("b").agg(F.bitmap_construct_agg("i").alias("m")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in zip(parts["b"].to_pylist(), parts["m"].to_pylist(), strict=True):
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``line`` with its normalised text, if it may be in ``wanted``; without that, its place: ``doc_id``, ``digest`` of the text, ``number``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = wanted is not None
+    bits = docs.sparkSession.sparkContext.broadcast(_line_filter(wanted)) if texts else None
 
     def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = bits.value
         for b in batches:
             found = {line_id(norm): norm for t in b.column(0) for _, norm in eligible_lines(t.as_py())}
+            found = {i: norm for i, norm in found.items() if bitmap[(i & (FILTER_BITS - 1)) >> 3] >> (i & 7) & 1}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "norm"])
 
     def with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +209,11 @@ def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
     lines are not yet one component, lines of different components are held against each other, so every
     candidate pair that could join two components is verified, without the pairs inside dense bands.
     """
-    keys = _candidates(docs).distinct()
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = materialize(keys.join(sizes.where("n > 1"), "key").join(first.select("line", "times"), "line"), "bands")
-    texts = _occurrences(docs, True).join(shared.select("line").distinct(), "line").dropDuplicates(["line"])
-    texts = materialize(texts, "band-lines")
+    same = W.partitionBy("key")
+    keys = _candidates(docs).withColumn("lo", F.min("line").over(same)).withColumn("hi", F.max("line").over(same)).where("lo < hi").select("key", "line")
+    shared = materialize(materialize(keys.distinct(), "bands").join(first.select("line", "times"), "line"), "bands")
+    ids = materialize(shared.select("line").distinct(), "band-ids")
+    texts = materialize(_occurrences(docs, ids).join(ids, "line").dropDuplicates(["line"]), "band-lines")
     pivots = shared.groupBy("key").agg(F.max(F.struct("times", "line"))["line"].alias("pivot"))
     stars = shared.join(pivots, "key").where("line <> pivot").select(F.least("line", "pivot").alias("src"), F.greatest("line", "pivot").alias("dst")).distinct()
     tried = materialize(stars, "stars")
@@ -217,7 +236,7 @@ def drop_fuzzy_lines(docs: DataFrame) -> DataFrame:
     Null text stays null with no lines. A text whose lines all go becomes empty. Rows alike in id and text count
     as one document and are treated alike. Document ids that are null come first.
     """
-    places = materialize(_occurrences(docs, False), "line-places")
+    places = materialize(_occurrences(docs), "line-places")
     place = F.struct("doc_id", "digest", "number")
     first = materialize(places.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "line-firsts")
     nodes = materialize(line_components(docs, first), "line-components")
