@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from slicework.plans import arrays, evaluation, names, pairing, reports, runs, storage  # noqa: F401  registers their queries
+from slicework.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
