@@ -22,13 +22,15 @@ def mean(x: Column) -> Column:
 # numbers
 
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return let(e, lambda y: F.transform(y, lambda v: v / total(y)))
+    e = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(e, lambda y: let(total(y), lambda s: F.transform(y, lambda v: v / s)))
 
 
 def log_softmax(x: Column) -> Column:
-    s = F.ln(total(F.transform(x, lambda v: F.exp(v - F.array_max(x)))))
-    return F.transform(x, lambda v: v - F.array_max(x) - s)
+    def shifted(top: Column) -> Column:
+        return let(F.ln(total(F.transform(x, lambda v: F.exp(v - top)))), lambda s: F.transform(x, lambda v: v - top - s))
+
+    return let(F.array_max(x), shifted)
 
 
 def sigmoid(x: Column) -> Column:
@@ -69,8 +71,9 @@ def zscore(px: Column, ddof: int = 0, eps: float = 1e-6) -> Column:
 
 
 def minmax(px: Column, eps: float = 1e-7) -> Column:
-    lo, hi = F.array_min(px), F.array_max(px)
-    return F.transform(px, lambda v: (v - lo) / (F.nullif(hi - lo, F.lit(0.0)) if eps == 0 else hi - lo + eps))
+    span = F.array_max(px) - F.array_min(px)
+    bounds = F.struct(F.array_min(px).alias("lo"), (F.nullif(span, F.lit(0.0)) if eps == 0 else span + eps).alias("span"))
+    return let(bounds, lambda b: F.transform(px, lambda v: (v - b["lo"]) / b["span"]))
 
 
 def standardize(px: Column, means: tuple[float, ...], stds: tuple[float, ...]) -> Column:
@@ -107,7 +110,7 @@ def at(px: Column, h: Column, w: Column, y: Column, x: Column) -> Column:
 def window(px: Column, h: Column, w: Column, y0: Column, x0: Column, wh: Column, ww: Column) -> Column:
     """A rectangle of an image; what lies outside is 0."""
     idx = F.sequence(F.lit(0), (wh * ww - 1).cast("int"))
-    return F.transform(idx, lambda i: at(px, h, w, y0 + F.floor(i / ww), x0 + i % ww))
+    return let(px, lambda p: F.transform(idx, lambda i: at(p, h, w, y0 + F.floor(i / ww), x0 + i % ww)))
 
 
 def pad_centred(px: Column, h: Column, w: Column, min_h: int, min_w: int) -> Column:
@@ -133,14 +136,15 @@ def tile_explode(df: DataFrame, tile: int = 224, overlap_pct: float = 25, thresh
     th, tw = (F.when(F.col("__large"), F.lit(tile)).otherwise(F.col(c)) for c in ("h", "w"))
     cut = F.when(F.col("__large"), window(F.col("px"), F.col("h"), F.col("w"), F.col("__at.y0"), F.col("__at.x0"), th, tw)).otherwise(F.col("px"))
     rest = [c for c in df.columns if c not in ("px", "h", "w")]
-    return out.select(*rest, "tile_id", F.col("__at.y0").alias("y0"), F.col("__at.x0").alias("x0"), th.cast("int").alias("h"), tw.cast("int").alias("w"), cut.alias("px"))
+    out = out.select(*rest, "tile_id", F.col("__at.y0").alias("y0"), F.col("__at.x0").alias("x0"), th.cast("int").alias("__th"), tw.cast("int").alias("__tw"), cut.alias("__cut"))
+    return out.select(*rest, "tile_id", "y0", "x0", F.col("__th").alias("h"), F.col("__tw").alias("w"), F.col("__cut").alias("px"))
 
 
 def resize_mask(mask: Column, h: Column, w: Column, size: int) -> Column:
     """Positive pixels moved to a square grid by truncation: row-major 0/1 array."""
     moved = F.transform(mask, lambda v, i: F.when(v > 0, F.least(F.floor(F.floor(i / w) * size / h), F.lit(size - 1)) * size + F.least(F.floor((i % w) * size / w), F.lit(size - 1))))
     targets = F.array_distinct(F.array_compact(moved))
-    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.array_contains(targets, i.cast("bigint")).cast("int"))
+    return let(targets, lambda on: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.array_contains(on, i.cast("bigint")).cast("int")))
 
 
 def crop_mm(px: Column, mask: Column, h: Column, w: Column, spacing: Column, cm: float) -> Column:
@@ -156,8 +160,8 @@ def mask_to_grid(mask: Column, size: int, patch: int) -> Column:
     """Greatest mask value of each patch, row-major."""
     n = size // patch
     inside = F.sequence(F.lit(0), F.lit(patch * patch - 1))
-    cell = lambda c: F.array_max(F.transform(inside, lambda i: F.get(mask, ((F.floor(c / n) * patch + F.floor(i / patch)) * size + (c % n) * patch + i % patch).cast("int"))))
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
+    cell = lambda m, c: F.array_max(F.transform(inside, lambda i: F.get(m, ((F.floor(c / n) * patch + F.floor(i / patch)) * size + (c % n) * patch + i % patch).cast("int"))))
+    return let(mask, lambda m: F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda c: cell(m, c)))
 
 
 def mean_pool(tokens: Column) -> Column:
@@ -206,12 +210,13 @@ def binarise(px: Column, threshold: float = 0.0) -> Column:
 
 def boundary(mask: Column, h: Column, w: Column) -> Column:
     """Positive pixels with a neighbour above, below, left or right that isn't, the outside included."""
-    def edge(v: Column, i: Column) -> Column:
+
+    def edge(m: Column, v: Column, i: Column) -> Column:
         y, x = F.floor(i / w), i % w
-        near = [at(mask, h, w, y + a, x + b) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+        near = [at(m, h, w, y + a, x + b) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
         return ((v > 0) & (F.least(*near) <= 0)).cast("int")
 
-    return F.transform(mask, edge)
+    return let(mask, lambda m: F.transform(m, lambda v, i: edge(m, v, i)))
 
 
 def overlay_code(gt: Column, pred: Column) -> Column:
