@@ -1 +1,139 @@
+"""Queries that write and read tables, stream them, or fit models on them."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slicework.operators import learn
+from slicework.plans.registry import query
+from slicework.sources import sinks
+from slicework.streaming.ingest import incremental_ingest, live_metrics
+
+c = F.col
+
+
+def slices(t):
+    return t.images.select("image_id", "volume_id", F.expr("if(volume_id % 5 = 0,'val','train')").alias("split"), F.concat(F.lit("ds"), c("volume_id") % 3).alias("dataset"), "px")
+
+
+COUNTS = "select split, dataset, count(*) as n from (select case when volume_id % 5 = 0 then 'val' else 'train' end as split, 'ds'||(volume_id % 3) as dataset from fx_images) group by 1,2"
+
+
+@query("k01_write_slices", COUNTS)
+def _(t):
+    path = sinks.scratch(t.spark, "slices")
+    sinks.write_slices(slices(t), path)
+    return t.spark.read.parquet(path).groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k04_overwrite_mode", COUNTS)
+def _(t):
+    path = sinks.scratch(t.spark, "slices")
+    sinks.write_slices(slices(t), path)
+    sinks.overwrite_partitions(slices(t).where("split = 'val'"), path, ["split", "dataset"])
+    return t.spark.read.parquet(path).groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k07_write_metrics_csv", "select o_orderkey, o_totalprice from orders where o_orderkey % 10 = 0")
+def _(t):
+    path = sinks.scratch(t.spark, "metrics")
+    sinks.write_csv(t.orders.where("o_orderkey % 10 = 0"), path, ["o_orderkey", "o_totalprice"])
+    kinds = dict(t.orders.dtypes)
+    return t.spark.read.schema(f"o_orderkey {kinds['o_orderkey']}, o_totalprice {kinds['o_totalprice']}").csv(path, header=True)
+
+
+@query("k13_write_feature_store", "select image_id, round(list_sum(px),6) as s from fx_images")
+def _(t):
+    path = sinks.scratch(t.spark, "features")
+    sinks.write_features(t.images.select("image_id", "px"), path, "image_id")
+    return t.spark.read.parquet(path).select("image_id", F.round(F.aggregate("px", F.lit(0.0), lambda a, v: a + v), 6).alias("s"))
+
+
+@query("k14_write_predictions", "select task, run, count(*) as n from fx_predictions group by 1,2")
+def _(t):
+    path = sinks.scratch(t.spark, "predictions")
+    sinks.write_predictions(t.predictions, path)
+    return t.spark.read.parquet(path).groupBy("task", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k16_append_history", "select n_nationkey from nation union all select n_nationkey + 100 from nation")
+def _(t):
+    path = sinks.scratch(t.spark, "history")
+    sinks.append_history(t.nation.select("n_nationkey"), path)
+    sinks.append_history(t.nation.select((c("n_nationkey") + 100).alias("n_nationkey")), path)
+    return t.spark.read.schema(f"n_nationkey {dict(t.nation.dtypes)['n_nationkey']}").csv(path, header=True)
+
+
+@query("m01_incremental_ingest", "select image_id, label from fx_images")
+def _(t):
+    root, target, mark = (sinks.scratch(t.spark, x) for x in ("incoming", "ingested", "progress"))
+    rows = t.images.select("image_id", "label")
+    for part in (0, 1):  # the second run sees only the second part
+        rows.where(c("image_id") % 2 == part).write.mode("append").parquet(root)
+        incremental_ingest(t.spark, root, rows.schema, lambda df: df, target, mark)
+    return t.spark.read.parquet(target)
+
+
+@query("m02_live_metrics")
+def _(t):
+    target, mark = sinks.scratch(t.spark, "live"), sinks.scratch(t.spark, "live-progress")
+    stream = _as_stream(t, t.events.schema)
+    q = live_metrics(stream, keys=("event_type",)).writeStream.format("parquet").option("path", target).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(target)
+
+
+def _as_stream(t, schema):
+    """The events table as a stream of files in order of time, so that the watermark moves."""
+    root = sinks.scratch(t.spark, "events")
+    t.events.repartitionByRange(8, "ts").write.parquet(root)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(root)
+
+
+def features(t):
+    return t.images.select("image_id", "px", c("px").alias("features"), (c("label") % 3).cast("double").alias("target"))
+
+
+@query("x01_batch_infer", "select image_id, round(list_avg(px),4) as m, round(list_max(px),4) as top from fx_images")
+def _(t):
+    out = learn.batch_infer(t.images.select("image_id", F.transform("px", lambda v: v.cast("float")).alias("x")), learn.mean_and_max, "x", [64])
+    return out.select("image_id", F.round(c("tokens")[0].cast("double"), 4).alias("m"), F.round(c("tokens")[1].cast("double"), 4).alias("top"))
+
+
+def metrics(t, model):
+    return learn.ev.evaluate(learn.predict(model, features(t)).withColumn("task", F.lit("head")), ["task"])
+
+
+@query("l01_fit_linear_head")
+def _(t):
+    return metrics(t, learn.fit_linear_head(features(t)))
+
+
+@query("l02_class_weighted_fit")
+def _(t):
+    return metrics(t, learn.fit_linear_head(learn.class_weighted(features(t)), weight="weight"))
+
+
+@query("l03_random_search")
+def _(t):
+    val = c("image_id") % 5 == 0
+    return metrics(t, learn.random_search(features(t).where(~val), features(t).where(val), trials=3)[0])
+
+
+@query("l04_project_pca")
+def _(t):
+    out = learn.project_pca(features(t))
+    return out.select("image_id", *[F.round(c("pca")[i], 6).alias(f"p{i}") for i in range(3)])
+
+
+@query("l05_score_linear_head", "select image_id, round(list_sum([px[i]*(i%3-1) for i in range(1,65)])+0.5,6) as z0, round(list_sum([px[i]*(i%2) for i in range(1,65)])-0.25,6) as z1 from fx_images")
+def _(t):
+    w = [[float(i % 3 - 1) for i in range(1, 65)], [float(i % 2) for i in range(1, 65)]]
+    out = learn.score_linear_head(features(t), w, [0.5, -0.25])
+    return out.select("image_id", F.round(c("logits")[0], 6).alias("z0"), F.round(c("logits")[1], 6).alias("z1"))
+
+
+@query("l06_regime_study")
+def _(t):
+    test = c("image_id") % 5 == 0
+    return learn.regime_study(features(t).where(~test), {"all": 1.0, "half": 0.5}, features(t).where(test), "image_id")
