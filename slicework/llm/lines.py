@@ -32,9 +32,14 @@ BINS = 64
 #: is the similarity.
 SHORT, LONG = 160, 128
 CHUNK = 400_000
+#: Of the sketches' HASHES values so many may differ; at the similarity 7 are expected.
+MOST_DIFFERENT = 14
 #: Bits of the filter that spares lines without a candidate the way to the join; of fixed size, and exact work follows.
 FILTER_BITS = 1 << 26
 
+#: Columns of a sketch.
+SKETCH = ["kind", *(str(k) for k in range(HASHES // 12))]
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +123,31 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys)
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Kind of signature (0 short, 1 long) and four bits of each of its values, twelve values to an integer."""
+    h, begin, n = _shingle_hashes(lines)
+    out = np.zeros((len(lines), HASHES // 12), np.int64)
+    for kind, chosen in ((0, np.flatnonzero(n <= SHORT)), (1, np.flatnonzero(n > SHORT))):
+        if len(chosen):
+            part = np.concatenate([h[begin[i] : begin[i] + n[i]] for i in chosen])
+            size = n[chosen]
+            sig = _signatures_long(part, size) if kind else _signatures_short(part, np.cumsum(size) - size)
+            bits = ((sig >> np.uint64(20)) & np.uint64(15)).astype(np.int64)
+            for k in range(HASHES):
+                out[chosen, k // 12] |= bits[:, k] << (4 * (k % 12))
+    return (n > SHORT).astype(np.int32), out
+
+
+def _plausible(a: str, b: str):
+    """Whether two lines' sketches may belong to sets of the similarity; of such pairs one in 500 fails."""
+    differ = F.lit(0)
+    for k in range(HASHES // 12):
+        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
+        x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x111111111111)))
+    return (F.col(f"{a}kind") != F.col(f"{b}kind")) | (differ <= MOST_DIFFERENT)
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
     """``key`` and ``line`` (id) of every distinct line and band."""
 
@@ -170,7 +200,10 @@ def _occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         for b in batches:
             found = {line_id(norm): norm for t in b.column(0) for _, norm in eligible_lines(t.as_py())}
             found = {i: norm for i, norm in found.items() if bitmap[(i & (FILTER_BITS - 1)) >> 3] >> (i & 7) & 1}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "norm"])
+            ids, norms = list(found), list(found.values())
+            for lo in range(0, len(ids), 1000):
+                kind, sketch = sketches(norms[lo : lo + 1000])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1000], pa.int64()), pa.array(norms[lo : lo + 1000], pa.string()), pa.array(kind), *(pa.array(sketch[:, k].copy()) for k in range(HASHES // 12))], ["line", "norm", *SKETCH])
 
     def with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +212,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, b.column(0).take(rows), b.column(1).take(rows), numbers.cast(pa.int32())], ["line", "doc_id", "digest", "number"])
 
     if texts:
-        return docs.select("text").mapInArrow(with_texts, "line long, norm string")
+        return docs.select("text").mapInArrow(with_texts, "line long, norm string, kind int, " + ", ".join(f"`{c}` long" for c in SKETCH[1:]))
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(with_places, f"line long, doc_id {kind}, digest long, number int")
 
 
@@ -214,16 +247,18 @@ def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
     shared = materialize(materialize(keys.distinct(), "bands").join(first.select("line", "times"), "line"), "bands")
     ids = materialize(shared.select("line").distinct(), "band-ids")
     texts = materialize(_occurrences(docs, ids).join(ids, "line").dropDuplicates(["line"]), "band-lines")
-    pivots = shared.groupBy("key").agg(F.max(F.struct("times", "line"))["line"].alias("pivot"))
-    stars = shared.join(pivots, "key").where("line <> pivot").select(F.least("line", "pivot").alias("src"), F.greatest("line", "pivot").alias("dst")).distinct()
+    shared = materialize(shared.join(texts.select("line", *SKETCH), "line"), "bands")
+    as_ = lambda df, p, *more: df.select("key", F.col("line").alias(f"{p}line"), *[F.col(c).alias(f"{p}{c}") for c in (*SKETCH, *more)])
+    ends = [F.least("aline", "bline").alias("src"), F.greatest("aline", "bline").alias("dst")]
+    pivots = shared.groupBy("key").agg(F.max(F.struct("times", "line", *SKETCH)).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"b{c}") for c in ("line", *SKETCH)])
+    stars = as_(shared, "a").join(pivots, "key").where((F.col("aline") != F.col("bline")) & _plausible("a", "b")).select(*ends).distinct()
     tried = materialize(stars, "stars")
     links = materialize(_verified(tried, texts), "links")
     nodes = connected_components(links)
-    placed = materialize(shared.join(nodes, shared["line"] == nodes["node"], "left").select("key", "line", F.coalesce("component", "line").alias("c")), "placed")
+    placed = materialize(shared.join(nodes, shared["line"] == nodes["node"], "left").select("key", "line", *SKETCH, F.coalesce("component", "line").alias("c")), "placed")
     torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rest = placed.join(torn, "key")
-    a, b = (rest.select("key", F.col("line").alias(x), F.col("c").alias(f"c_{x}")) for x in ("x", "y"))
-    pairs = a.join(b, "key").where("c_x < c_y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+    pairs = as_(rest, "a", "c").join(as_(rest, "b", "c"), "key").where((F.col("ac") < F.col("bc")) & _plausible("a", "b")).select(*ends).distinct()
     more = materialize(_verified(pairs.join(tried, ["src", "dst"], "left_anti"), texts), "links")
     if not more.take(1):
         return nodes
