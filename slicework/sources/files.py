@@ -70,7 +70,9 @@ def decode_volumes(files: DataFrame, header_only: bool = False, label: bool = Fa
                     rows.append({"path": path, "error": None} | decode_volume(content, header_only, label))
                 except Exception as e:  # noqa: BLE001  the error is the row's result
                     rows.append({"path": path, "error": str(e)[:200]})
-            yield pd.DataFrame(rows, columns=["path", "nx", "ny", "nz", "dx", "dy", "dz", "voxels", "error"]).astype({c: "Int32" for c in ("nx", "ny", "nz")})
+            columns = ["path", "nx", "ny", "nz", "dx", "dy", "dz", "voxels", "error"]
+            out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+            yield out.astype({c: "Int32" for c in ("nx", "ny", "nz")})
 
     return files.select("path", "content").mapInPandas(run, VOLUME)
 
@@ -96,7 +98,7 @@ def decode_array_bundles(files: DataFrame, keys: list[str]) -> DataFrame:
                 except Exception as e:  # noqa: BLE001
                     row["error"] = str(e)[:200]
                 rows.append(row)
-            yield pd.DataFrame(rows)
+            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in (rows[0] if rows else [])})
 
     schema = ", ".join(["path string", "error string", *(f"`{k}` array<float>" for k in keys), *(f"`{k}_shape` array<int>" for k in keys)])
     return files.select("path", "content").mapInPandas(run, schema)
