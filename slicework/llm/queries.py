@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_canonical_digest": license.oracle()}
+    return {"op3_hash_tree": sharding.oracle(), "op6_canonical_digest": license.oracle()}

@@ -114,3 +114,36 @@ def op3_hash_tree(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     placed = materialize(placed, "shards")
     out = number_slots(placed, placed.count(), order=("doc_id", "text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def oracle(n_shards: int = 16) -> str:
+    """The same in DuckDB's SQL, for the planned number of shards."""
+    u = lambda salt: f"((('0x'||substr(md5('{salt}/'||k),1,13))::bigint + 0.5::double) / 4503599627370496.0::double)"
+
+    def winner(children: list[tuple[str, float, str]]) -> str:
+        if len(children) == 1:
+            return f"'{children[0][2]}'"
+        draws = ", ".join(f"{{'d': -ln({u(node)}) / {float(w)}::double, 'c': '{c}'}}" for node, w, c in children)
+        return f"list_min([{draws}]).c"
+
+    def levels(n: int, name: str) -> tuple[str, str, str]:
+        tree: dict[str, dict[str, list[Leaf]]] = {}
+        for leaf in default_tree(n):
+            tree.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
+        regions = winner([(f"region:{r}", sum(x.weight for ls in ks.values() for x in ls), r) for r, ks in tree.items()])
+        racks = " ".join(f"when '{r}' then {winner([(f'rack:{k}', sum(x.weight for x in ls), k) for k, ls in ks.items()])}" for r, ks in tree.items())
+        shards = " ".join(f"when '{k}' then {winner([(f'shard:{x.shard}', x.weight, str(x.shard)) for x in ls])}" for ks in tree.values() for k, ls in ks.items())
+        return f"{regions} as {name}_r", f"case {name}_r {racks} end as {name}_k", f"(case {name}_k {shards} end)::int as {name}"
+
+    now, grown = levels(n_shards, "shard"), levels(n_shards + 1, "grown_shard")
+    rows_per = ROWS_PER_BUCKET * 16
+    slot_key = "coalesce(doc_id::varchar,'null')||'/'||text_crc32||'/'||size"
+    return f"""
+with tbl as (select [list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end) for i in range(256)] as t),
+hexed as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+slim as (select doc_id, coalesce(doc_id::varchar, 'null') as k, (len(x) // 2 + 1)::bigint as size, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], [('0x' || substr(x, (2 * i + 1)::bigint, 2))::bigint for i in range(len(x) // 2)]), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) as text_crc32 from hexed, tbl),
+a as (select *, {now[0]}, {grown[0]} from slim), b as (select *, {now[1]}, {grown[1]} from a), c as (select *, {now[2]}, {grown[2]} from b),
+n as (select greatest(1, least({MAX_BUCKETS}, ceil(count(*) / {float(rows_per)}::double)))::bigint as buckets from documents),
+d as (select *, floor({u("slot").replace("||k)", f"||{slot_key})")} * buckets)::int as bucket from c, n)
+select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by bucket, doc_id, text_crc32, size) - 1)::bigint as slot, grown_shard from d
+"""
