@@ -28,7 +28,7 @@ DEPTH = 6
 #: Contexts up to this length are counted at all positions; longer ones where their parts of this length and one more are frequent.
 SHALLOW = 4
 #: A context is at least this share of all positions: so at most 1 / LEAST_SHARE contexts of each length.
-LEAST_SHARE = 4e-6
+LEAST_SHARE = 1e-5
 #: Least divergence from the suffix's distribution, in nats over all of the context's occurrences.
 LEAST_DIVERGENCE = 10.0
 #: Weight of the suffix's distribution, as so many observations.
@@ -36,8 +36,10 @@ PRIOR = 2.0
 #: Bound of the table of words whose counts are sent to all tasks; other words are looked up by a join.
 MAX_WORDS = 1 << 18
 END, NOTHING = 0x0A, 0x09
-CHUNK = 8_000_000
+CHUNK = 1_500_000
 LANES = 8192
+#: Sums that a task holds before it sends them on.
+MOST_SUMS = 1_500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -107,21 +109,28 @@ def context_counts(docs: DataFrame, depth: int, frequent: np.ndarray | None = No
             known = np.zeros(1 << 24, bool)
             known[_filter_slots(shared.value)] = True
         parts, size = [b"\n"], 0
+        sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def counted() -> pa.RecordBatch:
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            """The sums so far and what the pending texts have."""
             codes = _codes(np.frombuffer(b"".join(parts), np.uint8), depth)
             grams, n = np.unique(codes if known is None else kept(codes, known), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], ["gram", "n"])
+            both, at = np.unique(np.concatenate([sums[0], grams]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([sums[1], n]), len(both)).astype(np.int64)
 
         for b in batches:
             for t in b.column(0):
                 parts += [b" ".join(tokens(t.as_py())), b"\n"]
                 size += len(parts[-2]) + 1
-                if size > 2 * CHUNK:
-                    yield counted()
+                if size > CHUNK:
+                    sums = added()
                     parts, size = [b"\n"], 0
+                    if len(sums[0]) > MOST_SUMS:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, sums)], ["gram", "n"])
+                        sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if size:
-            yield counted()
+            sums = added()
+        yield pa.RecordBatch.from_arrays([*map(pa.array, sums)], ["gram", "n"])
 
     return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
