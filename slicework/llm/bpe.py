@@ -82,14 +82,10 @@ class RankMap:
         self.pairs = literal([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "bigint")
         self.no_rank = F.lit(NO_RANK).cast("bigint")
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of the piece that two pieces make, or NO_RANK."""
-
-        def looked_up(key: Column) -> Column:
-            slot = F.get(self.slots, (key % self.p + F.get(self.shift, key % self.q)) % self.p)
-            return _let(slot - key * NO_RANK, lambda r: F.when((r >= 0) & (r < NO_RANK), r).otherwise(self.no_rank))
-
-        return _let(a * NO_RANK + b, looked_up)
+    def rank(self, key: Column) -> Column:
+        """The rank of the piece that two pieces make, or NO_RANK; the key is the first times NO_RANK plus the second."""
+        slot = F.get(self.slots, (key % self.p + F.get(self.shift, key % self.q)) % self.p)
+        return _let(slot - key * NO_RANK, lambda r: F.when((r >= 0) & (r < NO_RANK), r).otherwise(self.no_rank))
 
     def fold(self, word: Column) -> Column:
         """Ids of a non-empty word: array<bigint>.
@@ -102,12 +98,12 @@ class RankMap:
         state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(r).alias("low"))
         pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.get(self.pairs, a * 256 + F.get(c, i + 1)))
         start = _let(chars, lambda c: state(F.transform(c, lambda x: F.get(self.first, x)), pairs(c)))
-        none = F.slice(F.array(self.no_rank), 1, 0)
 
         def merge(x: Column, r: Column, low: Column, at: Column) -> Column:
-            left = F.when(at > 1, F.array(self.rank(F.get(x, at - 2), low))).otherwise(none)
-            right = F.when(at < F.size(r), F.array(self.rank(low, F.get(x, at + 1)))).otherwise(none)
-            ranks = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
+            left = F.when(at > 1, F.get(x, at - 2) * NO_RANK + low)
+            right = F.when(at < F.size(r), low * NO_RANK + F.get(x, at + 1))
+            fresh = F.transform(F.array_compact(F.array(left, right)), self.rank)  # one place for the literals in the plan
+            ranks = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), fresh, F.slice(r, at + 2, F.size(r)))
             return _let(ranks, lambda new: state(F.concat(F.slice(x, 1, at - 1), F.array(low), F.slice(x, at + 2, F.size(x))), new))
 
         def step(acc: Column, _: Column) -> Column:
