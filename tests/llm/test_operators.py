@@ -385,7 +385,7 @@ def test_leaks(spark, corpus, odd):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = {r.item_id: decontaminate.word_list(r.text) for r in benchmark.collect()}
     found = {(r.doc_id, r.item_id) for r in decontaminate.op10_latent_leaks(corpus, benchmark).collect()}
-    truth = {(r.doc_id, i) for r in corpus.collect() for i, w in items.items() if f" {' '.join(w)} " in f" {' '.join(decontaminate.word_list(r.text))} "}
+    truth = {(r.doc_id, i) for r in corpus.collect() for i, w in items.items() if b" %s " % b" ".join(w) in b" %s " % b" ".join(decontaminate.word_list(r.text))}
     assert found == truth and truth
     item = benchmark.orderBy("item_id").first().text.split()
     loose = " ".join(w for k, w in enumerate(item) if k % 6 != 3)
