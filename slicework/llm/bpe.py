@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,23 +179,27 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of each text from those of its words, and the bytes from the pieces of its ids."""
         flat, cuts, pieces = shared.value
-        for batch in batches:
-            ids, decoded = [], []
-            for s, r in zip(batch.column("__seq").to_pylist(), batch.column("__folded"), strict=True):
-                seq = np.frombuffer(s, np.int32)
-                own = r.values
-                more = np.array([len(x) for x in own.to_pylist()] if own is not None and len(own) else [], np.int64)
-                all_ids = np.concatenate([flat, np.asarray(own.flatten(), np.uint32)]) if len(more) else flat
-                at = np.where(seq < 0, -1 - seq, seq)
-                begins = np.concatenate([[0], np.cumsum(more)])[:-1] + len(flat) if len(more) else np.zeros(1, np.int64)
-                sizes = np.diff(cuts) if len(cuts) > 1 else np.zeros(1, np.int64)
-                old = seq >= 0
-                n = np.where(old, sizes[np.where(old, at, 0)], more[np.where(old, 0, at)] if len(more) else 0)
-                b = np.where(old, cuts[np.where(old, at, 0)], begins[np.where(old, 0, at)])
-                out = all_ids[np.repeat(b - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(seq) else np.zeros(0, np.uint32)
-                ids.append(out.astype("<u4").tobytes())
-                decoded.append(b"".join([pieces[i] for i in out.tolist()]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
+        sizes = np.diff(cuts)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                packed = batch.column("__seq").to_pylist()
+                seq = np.frombuffer(b"".join(packed), np.int32).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int64)
+                folded = batch.column("__folded")
+                lists = folded.flatten()  # one list of ids for each listed word
+                listed = np.asarray(pc.list_value_length(folded), np.int64)
+                more = np.asarray(pc.list_value_length(lists), np.int64)
+                ids = np.concatenate([flat, np.asarray(lists.flatten()).astype(np.uint32)])
+                at = np.where(seq < 0, np.repeat(np.cumsum(listed) - listed, np.diff(edge)) - 1 - seq + len(sizes), seq)
+                n = np.concatenate([sizes, more])[at]
+                begin = np.concatenate([cuts[:-1], len(flat) + np.cumsum(more) - more])[at]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                ids = ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+                cut = upto[edge]
+                own = [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                decoded = [b"".join([pieces[i] for i in x.tolist()]) for x in own]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
 
     kept = T.StructType([docs.schema[c] for c in keep])
     split = docs.select(*keep).mapInArrow(look_up, T.StructType([*kept, T.StructField("__seq", T.BinaryType()), T.StructField("__rare", T.ArrayType(T.StringType()))]))
