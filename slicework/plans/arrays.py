@@ -9,7 +9,19 @@ from slicework.operators import segmentation as seg
 from slicework.plans.registry import query
 
 c = F.col
-P, H, W = c("px"), c("h"), c("w")
+
+
+def P():
+    return c("px")
+
+
+def H():
+    return c("h")
+
+
+def W():
+    return c("w")
+
 
 
 def digest(a):
@@ -30,10 +42,10 @@ def simple(name: str, column, sql: str, view: str = "images", source: str = "fx_
 
 
 Q = lambda p: f"list_aggregate(px,'quantile_cont',{p})"
-simple("f25_to_uint8", lambda: px.to_uint8(P), f"list_transform(px, lambda x: case when {Q(0.995)} > {Q(0.005)} then floor(255*greatest(0.0,least(1.0,(x-{Q(0.005)})/({Q(0.995)}-{Q(0.005)})))+0.5)::int else 0 end)")
-simple("f26_labels_to_uint8", lambda: px.labels_to_uint8(F.transform(P, lambda v: v * 900)), "list_transform(px, lambda x: greatest(0,least(255,round_even(x*900,0)))::int)")
-simple("f27_zscore_pop", lambda: px.zscore(P), "list_transform(px, lambda x: (x-list_avg(px))/(sqrt(list_sum(list_transform(px, lambda y: (y-list_avg(px))*(y-list_avg(px))))/len(px))+1e-6))")
-simple("f27_zscore_sample", lambda: px.zscore(P, ddof=1), "list_transform(px, lambda x: (x-list_avg(px))/(sqrt(list_sum(list_transform(px, lambda y: (y-list_avg(px))*(y-list_avg(px))))/(len(px)-1))+1e-6))")
+simple("f25_to_uint8", lambda: px.to_uint8(P()), f"list_transform(px, lambda x: case when {Q(0.995)} > {Q(0.005)} then floor(255*greatest(0.0,least(1.0,(x-{Q(0.005)})/({Q(0.995)}-{Q(0.005)})))+0.5)::int else 0 end)")
+simple("f26_labels_to_uint8", lambda: px.labels_to_uint8(F.transform(P(), lambda v: v * 900)), "list_transform(px, lambda x: greatest(0,least(255,round_even(x*900,0)))::int)")
+simple("f27_zscore_pop", lambda: px.zscore(P()), "list_transform(px, lambda x: (x-list_avg(px))/(sqrt(list_sum(list_transform(px, lambda y: (y-list_avg(px))*(y-list_avg(px))))/len(px))+1e-6))")
+simple("f27_zscore_sample", lambda: px.zscore(P(), ddof=1), "list_transform(px, lambda x: (x-list_avg(px))/(sqrt(list_sum(list_transform(px, lambda y: (y-list_avg(px))*(y-list_avg(px))))/(len(px)-1))+1e-6))")
 SOFT = "list_transform(logits, lambda x: exp(x-list_max(logits)))"
 
 
@@ -43,8 +55,8 @@ def _(t):
     return t.predictions.select("sample_id", digest(px.softmax(x)).alias("sm"), digest(px.log_softmax(x)).alias("lsm"), F.round(px.sigmoid(x[0]), 6).alias("sg"), px.argmax(x).alias("am"))
 
 
-simple("f29_minmax", lambda: px.minmax(P), "list_transform(px, lambda x: (x-list_min(px))/(list_max(px)-list_min(px)+1e-7))")
-simple("f30_standardize", lambda: px.standardize(P, (0.0, 0.1), (0.5, 0.25)), "list_transform(px, lambda x, i: case when i % 2 = 1 then x/0.5 else (x-0.1)/0.25 end)")
+simple("f29_minmax", lambda: px.minmax(P()), "list_transform(px, lambda x: (x-list_min(px))/(list_max(px)-list_min(px)+1e-7))")
+simple("f30_standardize", lambda: px.standardize(P(), (0.0, 0.1), (0.5, 0.25)), "list_transform(px, lambda x, i: case when i % 2 = 1 then x/0.5 else (x-0.1)/0.25 end)")
 
 
 @query("f31_resampled_size", "select volume_id, greatest(1, round_even(nx*dx/0.5,0)::int) as h, greatest(1, round_even(ny*dy/0.5,0)::int) as w from fx_volumes")
@@ -66,14 +78,14 @@ def win(a: str, h: str, w: str, y0: str, x0: str, wh: str, ww: str) -> str:
     return f"[case when {y0}+i//({ww}) between 0 and {h}-1 and {x0}+i%({ww}) between 0 and {w}-1 then {a}[(({y0}+i//({ww}))*{w}+{x0}+i%({ww})+1)::int] else 0 end for i in range(({wh})*({ww}))]"
 
 
-simple("f34_pad_centred", lambda: px.pad_centred(P, H, W, 11, 12), win("px", "8", "8", "-1", "-2", "11", "12"))
+simple("f34_pad_centred", lambda: px.pad_centred(P(), H(), W(), 11, 12), win("px", "8", "8", "-1", "-2", "11", "12"))
 TILES = "tl as (select image_id, (row_number() over (partition by image_id order by y0, x0)-1)::int as tile_id, y0, x0, px from fx_images, (values (0),(3),(4)) a(y0), (values (0),(3),(4)) b(x0))"
 
 
 @query("f35_tile_explode", f"with {TILES} select image_id, tile_id, y0, x0, 4 as h, 4 as w, {D(win('px', '8', '8', 'y0', 'x0', '4', '4'))} as d from tl")
 def _(t):
     out = px.tile_explode(t.images.select("image_id", "h", "w", "px"), tile=4, overlap_pct=25, threshold=6)
-    return out.select("image_id", "tile_id", "y0", "x0", "h", "w", digest(P).alias("d"))
+    return out.select("image_id", "tile_id", "y0", "x0", "h", "w", digest(P()).alias("d"))
 
 
 simple("f36a_resize_mask_nearest", lambda: px.resize_mask(c("gt_px"), F.lit(8), F.lit(8), 6), "list_transform(range(36), lambda j: list_contains([ (i//8)*6//8*6+(i%8)*6//8 for i in range(64) if gt_px[i+1] > 0 ], j)::int)", "masks", "fx_masks")
@@ -92,27 +104,28 @@ CROP = "(select image_id, px, m, list_position(m,1)-1 f from (select i.image_id,
 @query("f37_crop_mm", f"select image_id, {D(win('px', '8', '8', '(case when f is not null then f//8 else 4 end-2)', '(case when f is not null then f%8 else 4 end-2)', '5', '5'))} as d from {CROP}")
 def _(t):
     j = t.images.join(t.masks, "image_id")
-    return j.select("image_id", digest(px.crop_mm(P, c("gt_px"), H, W, F.lit(2.0), 1.0)).alias("d"))
+    return j.select("image_id", digest(px.crop_mm(P(), c("gt_px"), H(), W(), F.lit(2.0), 1.0)).alias("d"))
 
 
 GRID = "list_transform(range(16), lambda q: list_max([gt_px[((q//4*2+i//2)*8+(q%4)*2+i%2+1)::int] for i in range(4)]))"
 simple("f38_mask_to_grid", lambda: px.mask_to_grid(c("gt_px"), 8, 2), GRID, "masks", "fx_masks")
-TOK = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("px", i * 4 + 1, F.lit(4)))
+def TOK():
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("px", i * 4 + 1, F.lit(4)))
 MEAN = "[list_sum([px[d+1+4*i] for i in range(16)])/16 for d in range(4)]"
 
 
 @query("f39_masked_mean_pool", f"with j as (select i.image_id, px, {GRID} g from fx_images i join fx_masks using (image_id)) select image_id, {D(f'case when list_sum(g) > 0 then [list_sum([px[d+1+4*i]*g[i+1] for i in range(16)])/greatest(list_sum(g),1e-6) for d in range(4)] else {MEAN} end')} as d from j")
 def _(t):
     g = F.transform(px.mask_to_grid(c("gt_px"), 8, 2), lambda v: v.cast("double"))
-    return t.images.join(t.masks, "image_id").select("image_id", digest(px.masked_mean_pool(TOK, g)).alias("d"))
+    return t.images.join(t.masks, "image_id").select("image_id", digest(px.masked_mean_pool(TOK(), g)).alias("d"))
 
 
-simple("f40_mean_pool", lambda: px.mean_pool(TOK), MEAN)
+simple("f40_mean_pool", lambda: px.mean_pool(TOK()), MEAN)
 
 
 @query("f41_token_grid", "select image_id, 9 as n, round(list_sum(px[29:64]),6) as s from fx_images")
 def _(t):
-    g = px.token_grid(TOK, 7)
+    g = px.token_grid(TOK(), 7)
     return t.images.select("image_id", F.size(g).alias("n"), F.round(px.total(F.flatten(g)), 6).alias("s"))
 
 
@@ -141,14 +154,14 @@ def bil(a: str) -> str:
 
 @query("f43_resize_image", f"select image_id, {D(bil('px'))} as d from fx_images")
 def _(t):
-    return px.resize_image(t.images, 5, 6).select("image_id", digest(P).alias("d"))
+    return px.resize_image(t.images, 5, 6).select("image_id", digest(P()).alias("d"))
 
 
-simple("f44_binarise", lambda: px.binarise(P, 0.05), "list_transform(px, lambda x: (x > 0.05)::int)")
+simple("f44_binarise", lambda: px.binarise(P(), 0.05), "list_transform(px, lambda x: (x > 0.05)::int)")
 EDGE = lambda m: f"[case when {m}[i+1] > 0 and least(case when i//8=0 then 0 else {m}[greatest(i-7,1)] end, case when i//8=7 then 0 else {m}[least(i+9,64)] end, case when i%8=0 then 0 else {m}[greatest(i,1)] end, case when i%8=7 then 0 else {m}[least(i+2,64)] end) <= 0 then 1 else 0 end for i in range(64)]"
 simple("f45_boundary", lambda: px.boundary(c("gt_px"), F.lit(8), F.lit(8)), EDGE("gt_px"), "masks", "fx_masks")
 simple("f46_overlay_code", lambda: px.overlay_code(c("gt_px"), c("pred_px")), "[gt_px[i]+2*pred_px[i] for i in range(1,65)]", "masks", "fx_masks")
-simple("f47_top_left_crop", lambda: px.top_left_crop(P, H, W, 10), win("px", "8", "8", "-1", "-1", "10", "10"))
+simple("f47_top_left_crop", lambda: px.top_left_crop(P(), H(), W(), 10), win("px", "8", "8", "-1", "-1", "10", "10"))
 
 
 @query("f48_inplane_spacing", "select volume_id, case when volume_id % 2 = 0 then (dy+dz)/2 else (dx+dy)/2 end as sp from fx_volumes")
@@ -240,7 +253,7 @@ def _(t):
 def _(t):
     tiles = px.tile_explode(t.images.select("image_id", "h", "w", "px"), tile=4, overlap_pct=25, threshold=6)
     size = t.images.select("image_id", c("h").alias("height"), c("w").alias("width"))
-    return seg.stitch(tiles, "image_id", size).select("image_id", digest(P).alias("d"))
+    return seg.stitch(tiles, "image_id", size).select("image_id", digest(P()).alias("d"))
 
 
 @query("a31_batch_pad_size", "select (volume_id//16)::bigint as batch, (ceil(max(nx*3)/8.0)*8)::int as pad_h, (ceil(max(ny*3)/8.0)*8)::int as pad_w from fx_volumes group by 1")

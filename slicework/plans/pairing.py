@@ -225,14 +225,14 @@ def _(t):
     return splits.shuffled_split(t.samples.select(F.substring_index("name", "_", 1).alias("s")), "s")
 
 
-@query("w10_epoch_manifest", "with x as (select s_suppkey, k.copy from supplier, (values (0),(1),(2)) k(copy)), o as (select *, row_number() over (order by copy, md5('7/3/'||s_suppkey||'/'||copy), s_suppkey)-1 p from x) select 3 as epoch, p::int as position, (p % 4)::int as rank, s_suppkey from o where p < 250")
+@query("w10_epoch_manifest", "with x as (select c_custkey, k.copy from customer, lateral (select unnest(range((select ceil(250.0/count(*)) from customer)::bigint)) as copy) k), o as (select *, row_number() over (order by copy, md5('7/3/'||c_custkey||'/'||copy), c_custkey)-1 p from x) select 3 as epoch, p::int as position, (p % 4)::int as rank, c_custkey from o where p < 250")
 def _(t):
-    return splits.epoch_manifest(t.supplier, "s_suppkey", 250, 3, 7, 4)
+    return splits.epoch_manifest(t.customer, "c_custkey", 250, 3, 7, 4)
 
 
-@query("w11_endless_manifest", "with x as (select s_suppkey, e.epoch from supplier, (values (0),(1),(2)) e(epoch)), o as (select *, epoch*(select count(*) from supplier) + row_number() over (partition by epoch order by md5('7/'||epoch||'/'||s_suppkey), s_suppkey)-1 p from x) select epoch, p::bigint as position, s_suppkey, (p % 4)::bigint as rank, (p // 4)::bigint as turn from o where p // 4 >= 10")
+@query("w11_endless_manifest", "with x as (select c_custkey, e.epoch from customer, (values (0),(1),(2)) e(epoch)), o as (select *, epoch*(select count(*) from customer) + row_number() over (partition by epoch order by md5('7/'||epoch||'/'||c_custkey), c_custkey)-1 p from x) select epoch, p::bigint as position, c_custkey, (p % 4)::bigint as rank, (p // 4)::bigint as turn from o where p // 4 >= 10")
 def _(t):
-    return splits.endless_manifest(t.supplier, "s_suppkey", 3, 10, 7, 4)
+    return splits.endless_manifest(t.customer, "c_custkey", 3, 10, 7, 4)
 
 
 @query("w12_sharded_manifest", "with o as (select s_suppkey, row_number() over (order by md5('7/'||s_suppkey), s_suppkey)-1 i, count(*) over () n from supplier), k as (select s_suppkey, (i % 3) as rank, e.pass from o, (values (0),(1)) e(pass) where i < n//3*3) select pass, rank::bigint as rank, (row_number() over (partition by pass, rank order by md5('7/'||pass||'/'||rank||'/'||s_suppkey), s_suppkey)-1)::int as turn, s_suppkey from k")

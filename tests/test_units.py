@@ -39,7 +39,7 @@ def test_volumes(spark, tmp_path):
     (tmp_path / "b.nii.gz").write_bytes(nifti(np.stack([a, a + 2], -1), (1, 2, 3)))
     (tmp_path / "c.nii.gz").write_bytes(b"broken")
     (tmp_path / "rgb.nii.gz").write_bytes(nifti(a, (1, 1, 1), code=128))
-    rows = {r.path[-8:]: r for r in files.read_volumes(spark, str(tmp_path)).collect()}
+    rows = {r.path.split("/")[-1]: r for r in files.read_volumes(spark, str(tmp_path)).collect()}
     assert rows["a.nii.gz"].voxels == a.ravel().tolist() and rows["a.nii.gz"].dz == 3
     assert rows["b.nii.gz"].voxels == (a + 1).ravel().tolist()
     assert rows["c.nii.gz"].error and rows["c.nii.gz"].nx is None
