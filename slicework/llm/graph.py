@@ -21,19 +21,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("src <> dst").distinct()
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that show that the links aren't yet stars around roots: with two targets, or both source and target."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+    sums = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into"))
+    return sums.where("out > 1 or (out > 0 and into > 0)")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Of ``edges`` (``src``, ``dst``: any ordered type), each node and its ``component``, the smallest node reached.
 
     Rounds are written to the shared folder, so lineage stays short. Self-links give no rows: nodes without a
     link to another node are absent.
     """
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
     edges = materialize(edges.where("src <> dst").select("src", "dst"), "edges")
-    before = None
     for _ in range(most_rounds):
         edges = materialize(_star(_star(edges, True), False), "edges")
-        now = state(edges)
-        if now == before:
+        if not _unsettled(edges).take(1):
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
-        before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
