@@ -5,6 +5,9 @@ content words of the benchmark; a randomised SVD, whose products with the passag
 gives a latent space. Passages whose latent vector has a high cosine with an item's are candidates. A candidate
 is a leak if the longest common subsequence of words covers most of the item, or a good part of it with the
 item's answer, its last words.
+
+An item whose words are mostly common, as they become if many documents hold it, has no place of its own in the
+latent space. Every passage whose words could cover enough of such an item goes to the same check.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ COMMON = 0.002
 NEVER_COMMON = 20
 #: Content words that a passage needs; where items have fewer than twice as many, half of what they have.
 LEAST_CONTENT = 4
+#: Items with fewer rare words, or a smaller share of their distinct words, are also sought by their words alone.
+FEW_RARE, RARE_SHARE = 8, 0.25
 #: Size of the latent space, and further directions that the random search takes along.
 RANK, EXTRA = 256, 16
 COSINE = 0.5
@@ -81,15 +86,20 @@ def _batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(packed), "<i4"), np.concatenate([[0], np.cumsum(size)])
 
 
-def _terms(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of documents: rows and first words of its passages, and as two arrays passage and number of each
-    word of positive weight. A passage begins at each STRIDE; the last reaches the end."""
-    words, edge = _batch(column)
-    size = np.diff(edge)
+def _passages(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these sizes: how many passages each has and how many come before, and rows and first words of
+    all passages. A passage begins at each STRIDE; the last reaches the end."""
     n = -(-np.maximum(1, size - PASSAGE + STRIDE) // STRIDE)
     base = np.cumsum(n) - n
     rows = np.repeat(np.arange(len(size)), n)
-    firsts = (np.arange(len(rows)) - base[rows]) * STRIDE
+    return n, base, rows, (np.arange(len(rows)) - base[rows]) * STRIDE
+
+
+def _terms(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of documents: rows and first words of its passages, and as two arrays passage and number of each
+    word of positive weight."""
+    words, edge = _batch(column)
+    n, base, rows, firsts = _passages(np.diff(edge))
     at = np.flatnonzero(weight[words] > 0)
     doc = np.searchsorted(edge, at, "right") - 1
     local = at - edge[doc]
@@ -237,8 +247,46 @@ def is_leak(item: list[int], region: list[int]) -> tuple[bool, float]:
     return share >= WITH_ANSWER and lcs(answer, region) >= ANSWER_SHARE * len(answer), share
 
 
+def _reach(item: list[int]) -> int:
+    """Words before and after a passage that are searched for an item."""
+    return max(STRIDE, len(item) // 2)
+
+
+def weak_items(words: list[list[int]], weight: np.ndarray) -> list[int]:
+    """Positions of the items that have too few rare words for the latent space."""
+    distinct = [set(x) for x in words]
+    return [i for i, x in enumerate(distinct) if sum(weight[w] > 0 for w in x) < max(FEW_RARE, RARE_SHARE * len(x))]
+
+
+def covering(column: pa.Array, items: list[tuple[int, np.ndarray]], reach: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of a batch of documents: rows and first words of its passages, and pairs of a passage and an item (by its
+    number and how often it has each word) where the passage with its reach has enough of the item's words for a
+    leak. Order aside, that is what the common subsequence needs, so no leak is passed over."""
+    words, edge = _batch(column)
+    n, base, rows, firsts = _passages(np.diff(edge))
+    size = len(items[0][1])
+    at = np.flatnonzero(np.any([own > 0 for _, own in items], axis=0)[words])
+    doc = np.searchsorted(edge, at, "right") - 1
+    local = at - edge[doc]
+    of, numbers = [], []
+    for back in range(-(-(PASSAGE + 2 * reach) // STRIDE)):
+        p = (local + reach) // STRIDE - back
+        ok = (p >= 0) & (p < n[doc]) & (local < p * STRIDE + PASSAGE + reach)
+        of.append(base[doc[ok]] + p[ok])
+        numbers.append(words[at[ok]])
+    pair, tf = np.unique(np.concatenate(of) * size + np.concatenate(numbers), return_counts=True)
+    of, numbers = pair // size, pair % size
+    found = []
+    for item, own in items:
+        has = np.flatnonzero(own[numbers])
+        both = np.bincount(of[has], np.minimum(tf[has], own[numbers[has]]), minlength=len(rows))
+        found += [(int(p), item) for p in np.flatnonzero(both / own.sum() >= min(WITH_ANSWER, WITHOUT))]
+    return rows, firsts, found
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id``, ``digest``, ``item_id``, ``share`` (of the item's words) and ``cosine``, one row a leak.
+    """``doc_id``, ``digest``, ``item_id``, ``share`` (of the item's words) and ``cosine`` (null if only the words
+    led there), one row a leak.
 
     Null and empty texts have no leaks, null and empty items are in none; an empty benchmark has none. Rows of
     ``docs`` alike in id and text give one row an item.
@@ -257,12 +305,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     owner, _, of, numbers, value = _matrix(packed, weight, 1)
     latent = _times(of, numbers, value, basis.astype(np.float32))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = spark.sparkContext.broadcast((weight, basis.astype(np.float32), latent, owner, items.ids, items.words))
+    shared = spark.sparkContext.broadcast((weight, basis.astype(np.float32), latent, owner, items.ids, items.words, weak_items(items.words, weight)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, latent, owner, ids, item_words = shared.value
+        weight, basis, latent, owner, ids, item_words, weak = shared.value
+        counted = [(i, np.bincount(item_words[i], minlength=len(weight))) for i in weak]
         for b in batches:
-            best: dict[tuple[int, int], tuple[float, float]] = {}
+            best: dict[tuple[int, int], tuple[float, float | None]] = {}
+
+            def check(part: pa.Array, lo: int, row: int, first: int, item: int, cosine: float | None, best=best) -> None:
+                reach = _reach(item_words[item])
+                text = np.frombuffer(part[row].as_py(), "<i4")
+                leak, share = is_leak(item_words[item], text[max(0, first - reach) : first + PASSAGE + reach].tolist())
+                if leak:
+                    old = best.get((lo + row, item), (0.0, None))
+                    best[lo + row, item] = (max(old[0], share), max((c for c in (old[1], cosine) if c is not None), default=None))
+
             for lo in range(0, b.num_rows, 1000):
                 part = b.column(2).slice(lo, 1000)
                 rows, firsts, of, numbers, value = _matrix(part, weight, least)
@@ -271,14 +329,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for block in range(0, len(latent), ITEM_BLOCK):
                     cosine = y @ latent[block : block + ITEM_BLOCK].T
                     for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        item = int(owner[block + q])
-                        text = np.frombuffer(part[int(rows[p])].as_py(), "<i4")
-                        reach = max(STRIDE, len(item_words[item]) // 2)
-                        region = text[max(0, firsts[p] - reach) : firsts[p] + PASSAGE + reach].tolist()
-                        leak, share = is_leak(item_words[item], region)
-                        if leak:
-                            key = (lo + int(rows[p]), item)
-                            best[key] = max(best.get(key, (0.0, 0.0)), (share, float(cosine[p, q])))
+                        check(part, lo, int(rows[p]), int(firsts[p]), int(owner[block + q]), float(cosine[p, q]))
+                if counted:
+                    rows, firsts, pairs = covering(part, counted, max(_reach(item_words[i]) for i in weak))
+                    for p, item in pairs:
+                        check(part, lo, int(rows[p]), int(firsts[p]), item, None)
             at = pa.array([r for r, _ in best], pa.int64())
             found = [pa.array([ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([c for _, c in best.values()], pa.float64())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *found], ["doc_id", "digest", "item_id", "share", "cosine"])

@@ -399,6 +399,20 @@ def test_leaks(spark, corpus, odd):
     assert decontaminate.op10_latent_leaks(corpus, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_an_item_in_many_documents(spark):
+    """Words that are common only because the item is leaked, and items of common words, are found all the same."""
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    item = " ".join(f"item{k}" for k in range(30))
+    loose = " ".join(w for k, w in enumerate(item.split()) if k % 5 != 2)
+    dull = " ".join(f"of{k % 12}" for k in range(24))
+    texts = [f"{filler(100)} {(item, loose)[k % 2] if k % 3 == 0 else ''} {filler(50)} {dull if k % 4 == 0 else 'of3 of2 of1 of0'}" for k in range(120)]
+    benchmark = spark.createDataFrame([(1, item), (2, dull), (3, filler(30))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op10_latent_leaks(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(k, 1) for k in range(0, 120, 3)} | {(k, 2) for k in range(0, 120, 4)}
+    assert decontaminate.without_leaks(docs_of(spark, texts), benchmark).count() == sum(k % 3 > 0 and k % 4 > 0 for k in range(120))
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(50):
