@@ -29,16 +29,16 @@ HASHES = BANDS * ROWS
 BINS = 64
 #: Sets up to SHORT get a minimum for each hash function; sets from LONG on get one hash function whose range is
 #: cut into bins. Two sets of the similarity or more always have one of the two kinds in common, as LONG / SHORT
-#: is the similarity.
+#: is the similarity. Sizes are those of the sets: a shingle that a line repeats counts once.
 SHORT, LONG = 160, 128
 CHUNK = 400_000
-#: Of the sketches' HASHES values so many may differ; at the similarity 7 are expected.
-MOST_DIFFERENT = 14
+#: 64-bit parts of a sketch.
+PARTS = 4
 #: Bits of the filter that spares lines without a candidate the way to the join; of fixed size, and exact work follows.
 FILTER_BITS = 1 << 26
 
 #: Columns of a sketch.
-SKETCH = ["kind", *(str(k) for k in range(HASHES // 12))]
+SKETCH = ["size", *(str(k) for k in range(PARTS))]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,11 +104,20 @@ def _signatures_long(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out[:, :HASHES]
 
 
+def _set_sizes(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many different shingles lines have; exact from LONG shingles on, as the others are short in any case."""
+    size = n.copy()
+    for i in np.flatnonzero(n >= LONG):
+        size[i] = len(np.unique(h[begin[i] : begin[i] + n[i]]))
+    return size
+
+
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``lines`` and band keys."""
     h, begin, n = _shingle_hashes(lines)
     at, keys = [], []
-    for kind, chosen in ((0, np.flatnonzero(n <= SHORT)), (1, np.flatnonzero(n >= LONG))):
+    different = _set_sizes(h, begin, n)
+    for kind, chosen in ((0, np.flatnonzero(different <= SHORT)), (1, np.flatnonzero(different >= LONG))):
         if not len(chosen):
             continue
         part = np.concatenate([h[begin[i] : begin[i] + n[i]] for i in chosen])
@@ -124,28 +133,32 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Kind of signature (0 short, 1 long) and four bits of each of its values, twelve values to an integer."""
+    """Sizes of the shingle sets, and 64 * PARTS bits: of the shingles that fall on a bit, whether the number is odd."""
     h, begin, n = _shingle_hashes(lines)
-    out = np.zeros((len(lines), HASHES // 12), np.int64)
-    for kind, chosen in ((0, np.flatnonzero(n <= SHORT)), (1, np.flatnonzero(n > SHORT))):
-        if len(chosen):
-            part = np.concatenate([h[begin[i] : begin[i] + n[i]] for i in chosen])
-            size = n[chosen]
-            sig = _signatures_long(part, size) if kind else _signatures_short(part, np.cumsum(size) - size)
-            bits = ((sig >> np.uint64(20)) & np.uint64(15)).astype(np.int64)
-            for k in range(HASHES):
-                out[chosen, k // 12] |= bits[:, k] << (4 * (k % 12))
-    return (n > SHORT).astype(np.int32), out
+    order = np.lexsort((h, np.repeat(np.arange(len(n)), n)))
+    row, h = np.repeat(np.arange(len(n)), n), h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (np.diff(h) != 0) | (np.diff(row) != 0)
+    row, h = row[new], h[new]
+    width = 64 * PARTS
+    bit = (_mixed(h, 5) >> np.uint64(32)).astype(np.int64) % width
+    odd = (np.bincount(row * width + bit, minlength=len(n) * width) & 1).astype(np.uint8)
+    bits = np.packbits(odd.reshape(len(n), width), axis=1, bitorder="little").view("<i8")
+    return np.bincount(row, minlength=len(n)).astype(np.int32), bits
 
 
 def _plausible(a: str, b: str):
-    """Whether two lines' sketches may belong to sets of the similarity; of such pairs one in 500 fails."""
+    """Whether two lines' sets can have the similarity; it refuses no pair that has.
+
+    The smaller set has at least that share of the larger. Each shingle that only one set has changes one bit, so
+    no more bits differ than shingles, and of those there are at most (1 - s) / (1 + s) of both sizes' sum.
+    """
     differ = F.lit(0)
-    for k in range(HASHES // 12):
-        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
-        x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x111111111111)))
-    return (F.col(f"{a}kind") != F.col(f"{b}kind")) | (differ <= MOST_DIFFERENT)
+    for k in range(PARTS):
+        differ = differ + F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
+    x, y = F.col(f"{a}size"), F.col(f"{b}size")
+    slack = 1e-6
+    return (F.least(x, y) >= SIMILARITY * F.greatest(x, y) - slack) & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (x + y) + slack)
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -202,8 +215,8 @@ def _occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
             found = {i: norm for i, norm in found.items() if bitmap[(i & (FILTER_BITS - 1)) >> 3] >> (i & 7) & 1}
             ids, norms = list(found), list(found.values())
             for lo in range(0, len(ids), 1000):
-                kind, sketch = sketches(norms[lo : lo + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1000], pa.int64()), pa.array(norms[lo : lo + 1000], pa.string()), pa.array(kind), *(pa.array(sketch[:, k].copy()) for k in range(HASHES // 12))], ["line", "norm", *SKETCH])
+                sizes, sketch = sketches(norms[lo : lo + 1000])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1000], pa.int64()), pa.array(norms[lo : lo + 1000], pa.string()), pa.array(sizes), *(pa.array(sketch[:, k].copy()) for k in range(PARTS))], ["line", "norm", *SKETCH])
 
     def with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,7 +225,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, b.column(0).take(rows), b.column(1).take(rows), numbers.cast(pa.int32())], ["line", "doc_id", "digest", "number"])
 
     if texts:
-        return docs.select("text").mapInArrow(with_texts, "line long, norm string, kind int, " + ", ".join(f"`{c}` long" for c in SKETCH[1:]))
+        return docs.select("text").mapInArrow(with_texts, "line long, norm string, size int, " + ", ".join(f"`{c}` long" for c in SKETCH[1:]))
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(with_places, f"line long, doc_id {kind}, digest long, number int")
 
 
@@ -227,7 +240,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [min(len(x), len(y)) >= 0.5 * max(len(x), len(y)) and jaccard(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [jaccard(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
     a = texts.select(F.col("line").alias("src"), F.col("norm").alias("a"))

@@ -342,6 +342,33 @@ def test_lines(spark, corpus, odd):
     assert set(odd.columns) <= set(strange.columns) and lines.op8_fuzzy_lines(empty(odd)).count() == 0
 
 
+def test_repeats_inside_lines(spark):
+    """A line and what repeats it within one line have nearly the same set of shingles."""
+    base = "subscribe to our weekly newsletter for more offers and news today"
+    long = base + " as the editors of this site have gathered them for you"
+    df = docs_of(spark, [base, f"{base} {base}", " ".join([base] * 3), "another line that has nothing to do with it", " ".join([long] * 2), " ".join([long] * 3)])
+    assert lines.jaccard(base, f"{base} {base}") > lines.SIMILARITY
+    assert [r.n_dropped for r in lines.op8_fuzzy_lines(df).orderBy("doc_id").collect()] == [0, 1, 1, 0, 0, 1]
+    keys = [set(lines.band_keys([x])[1].tolist()) for x in (long, " ".join([long] * 9))]
+    assert keys[0] & keys[1]
+
+
+def test_no_similar_pair_is_refused(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in rng.integers(5, 120, 150):
+        a = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(n)]
+        cut = int(rng.integers(0, max(2, n // 5)))
+        texts += [" ".join(a), " ".join(a[: n - cut] + ["x" * int(rng.integers(1, 9)) for _ in range(cut)])]
+    sizes, bits = lines.sketches(texts)
+    assert all(s == len({t[i : i + 8] for i in range(len(t) - 7)}) for s, t in zip(sizes, texts, strict=True))
+    rows = [(k, *(int(v) for i in (k, k + 1) for v in (sizes[i], *bits[i]))) for k in range(0, len(texts), 2)]
+    names = [f"`{p}{c}` long" for p in "ab" for c in lines.SKETCH]
+    passed = {r.k for r in spark.createDataFrame(rows, ", ".join(["k long", *names])).where(lines._plausible("a", "b")).collect()}
+    similar = {k for k in range(0, len(texts), 2) if lines.jaccard(texts[k], texts[k + 1]) >= lines.SIMILARITY}
+    assert similar <= passed and len(similar) > 30 and len(passed) < len(rows)
+
+
 def test_line_signatures():
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
