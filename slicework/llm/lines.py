@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines of five words or more are compared by the sets of their character shingles. Signatures are cut into bands;
+Lines of five words or of 20 characters or more are compared by the sets of their character shingles. Signatures are cut into bands;
 lines that share a band are candidates, exact Jaccard similarity decides, and union-find joins the links. Of each
 component one line stays, its first by document id and line number; all others go. Shorter lines always stay.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from slicework.llm.graph import connected_components
 from slicework.llm.shared import materialize
 
-LEAST_WORDS = 5
+#: A line with either takes part; scripts without blanks between words have only the second.
+LEAST_WORDS, LEAST_CHARACTERS = 5, 20
 #: Characters of a shingle, a power of two.
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -61,7 +62,7 @@ def eligible_lines(text: str | None) -> Iterator[tuple[int, str]]:
     """Line numbers and normalised lines that take part."""
     for i, line in enumerate((text or "").split("\n")):
         norm = normalized(line)
-        if norm.count(" ") >= LEAST_WORDS - 1:
+        if len(norm) >= LEAST_CHARACTERS or norm.count(" ") >= LEAST_WORDS - 1:
             yield i, norm
 
 

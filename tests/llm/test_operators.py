@@ -353,6 +353,14 @@ def test_repeats_inside_lines(spark):
     assert keys[0] & keys[1]
 
 
+def test_lines_without_blanks(spark):
+    line = "本網站使用餅乾以改善您的瀏覽體驗並分析流量如您繼續使用本網站即表示您同意我們的隱私政策與服務條款謝謝您的支持與愛護"
+    near = line.replace("本網站", "此網站", 1)
+    df = docs_of(spark, [f"標題{k}\n{(line, near)[k % 3 == 2]}\n短行" for k in range(6)])
+    rows = lines.op8_fuzzy_lines(df).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in rows] == [0, 1, 1, 1, 1, 1] and rows[2].text == "標題2\n短行"
+
+
 def test_no_similar_pair_is_refused(spark):
     rng = np.random.default_rng(9)
     texts = []
