@@ -3,7 +3,9 @@
 The text nodes of a page are filed under their root-to-leaf path of block elements. Each path has a mean text
 length and a mean punctuation count outside links; both are smoothed over nearby paths by path distance, fused
 into one score and held against a threshold. A block is content if its own path or the region that it stands in
-passes, so headings and short lines go with the prose around them.
+passes, so headings and short lines go with the prose around them. Standing in an article or main element raises a
+path's score, a class or id that hints at something else lowers it; neither decides alone. Elements and roles that
+are never main text, and hidden ones, are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Text-level blocks: what stands around them is their region (fixed values).
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption details summary address hgroup".split())
-#: Elements that are never main text, and roles and words of class or id that say so (fixed values).
+#: Elements that are never main text and roles that say so; words of class or id that hint at it (fixed values).
 DROPPED = frozenset("head title nav aside footer form button select option textarea fieldset input dialog menu iframe object canvas audio video map noscript svg math template script style".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HINTS = frozenset(
@@ -39,23 +41,30 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: A path passes with this share of the page's best score.
 THRESHOLD = 0.1
+#: What is added to the score of a path inside an article or main element, and the factor of one inside a hint.
+BONUS, MALUS = 60.0, 0.05
 #: Spread of the smoothing, in path edits.
 SPREAD = 1.0
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+class Hinted(str):
+    """The tag of an element with a hint; in paths it is written with a mark, so that its texts have one of their own."""
+
+
+def _verdict(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether its class or id hints that it is not main text."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return True, False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
     own = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     if tag in ("html", "body"):
-        return False
+        return False, False
     if own.get("role", "").lower() in ROLES or re.search(r"\shidden(?=[\s>/]|$)", attributes) or re.search(r"display\s*:\s*none", own.get("style", "")):
-        return True
+        return True, False
     words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", own.get("class", "") + " " + own.get("id", "")).lower())
     hits = [w for w in words if w in HINTS]
-    return bool(hits) and not (in_article and set(hits) <= {"header"}) and not (tag in ("article", "main") and "comment" not in " ".join(hits))
+    return False, bool(hits) and not (in_article and set(hits) <= {"header"}) and not (tag in ("article", "main") and "comment" not in " ".join(hits))
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
@@ -67,7 +76,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         nonlocal link_chars
         words = " ".join("".join(text).split())
         if words and not skip:
-            out.append((tuple(t for t in stack if t not in INLINE), words, link_chars, "article" in stack or "main" in stack))
+            out.append((tuple("?" + t if isinstance(t, Hinted) else t for t in stack if t not in INLINE or isinstance(t, Hinted)), words, link_chars, "article" in stack or "main" in stack))
         text.clear()
         link_chars = 0
 
@@ -97,6 +106,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 if tag in stack and not skip:  # an inline element ends only inside its own block
                     k = len(stack) - 1 - stack[::-1].index(tag)
                     if all(t in INLINE for t in stack[k:]):
+                        if isinstance(stack[k], Hinted):
+                            flush()
                         del stack[k]
                 elif skip and stack and stack[-1] == tag:
                     stack.pop()
@@ -123,10 +134,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             in_link += 1
         if not closing:
             stack.append(tag)
-            if not skip and _unwanted(tag, m[0], "article" in stack[:-1] or "main" in stack[:-1]):
+            dropped, hinted = (False, False) if skip else _verdict(tag, m[0], "article" in stack[:-1] or "main" in stack[:-1])
+            if dropped:
                 if tag in INLINE:
                     flush()
                 skip = len(stack)
+            elif hinted:
+                if tag in INLINE:
+                    flush()
+                stack[-1] = Hinted(tag)
     say(page[at:])
     flush()
     return out
@@ -156,6 +172,10 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int, bool]]) -> dict[tup
         total = sum(w for w, _ in near)
         length, marks = (sum(w * s[i] / s[2] for w, s in near) / total for i in (0, 1))
         out[p] = math.sqrt(length * (marks + 0.1))
+        if any(t[0] == "?" for t in p):
+            out[p] *= MALUS
+        elif "article" in p or "main" in p:
+            out[p] += BONUS
     return out
 
 
@@ -169,8 +189,6 @@ def _region(path: tuple[str, ...]) -> tuple[str, ...]:
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks in order joined by a line feed; empty for null, empty and textless pages."""
     found = blocks(page or "")
-    if any(b[3] for b in found):
-        found = [b for b in found if b[3]]
     if not found:
         return ""
     scores = path_scores(found)

@@ -53,6 +53,16 @@ def test_html():
     assert [html.main_text(x) for x in (None, "", "<p>", "<!-- x", "<script>a", "a &lt; b", "<p>cut &am", "<a href='x>y")] == ["", "", "", "", "", "a < b", "cut &am", "y"]
 
 
+def test_html_body_outside_article():
+    prose = "It rained for a week, and the river rose; nobody had seen it so high. People came to look, day after day, and went home again. "
+    body = f"<p>{prose * 3}</p><p>{prose * 2}</p>"
+    card = "<article><h3>Card</h3><p>Another story.</p></article>"
+    want = [" ".join((prose * k).split()) for k in (3, 2)]
+    got = html.main_text(f"<body><div id=content>{body}</div><div class=cards>{card}{card}</div></body>").split("\n")
+    assert [x for x in got if x in want] == want
+    assert html.main_text(f"<body><div class='content social'>{body}</div><div>Made by us, with care.</div></body>").split("\n")[:2] == want
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = {r.page_id: r for r in html.op1_tag_path_ratios(pages).collect()}
