@@ -1,23 +1,23 @@
-"""Byte-level BPE with Spark higher-order functions: ranked merges folded over the bytes of words.
+"""Byte-level BPE with Spark higher-order functions: ranked merges folded over the bytes of distinct words.
 
 A word starts as the ids of its bytes. Each step of the fold finds the adjacent pair of lowest rank, by
 look-ups in a literal rank map, and merges it; a word of n bytes needs n - 1 steps at most. The map is an
-array addressed by a perfect hash, since Spark's own map type is searched from end to end.
+array addressed by a perfect hash, since Spark's own map type is searched from end to end. In long words a step
+merges all pairs like the lowest one at once.
 
-Words that are frequent in the corpus are folded once and broadcast, MAX_WORDS of them at most; of the other
-words each text's distinct ones are folded where the text stands, so texts never leave their task.
+Words that occur more than once are folded once and their ids broadcast as Arrow buffers, the most frequent
+MAX_WORDS of them at most; of the other words each text's distinct ones are folded where the text stands, so texts
+never leave their task. Decoding concatenates the pieces of the ids, in Spark as well.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +25,18 @@ from pyspark.sql import Window as W
 
 from slicework.llm.shared import materialize
 
-#: Bound of the table of frequent words; what it doesn't hold is folded in place, with equal results.
+#: Bound of the table of frequent words, about 25 bytes each; what it doesn't hold is folded in place, with equal results.
 MAX_WORDS = 1 << 19
-#: Stands for "not in the map"; ranks fit in 16 bits.
+#: Stands for "not in the map".
 NO_RANK = 1 << 16
+#: Stands for two bytes that no piece has side by side.
+NEVER = NO_RANK + 1
+#: Ranks are below this, so that 256 more is a character of one UTF-16 unit.
+MOST_RANKS = 0xD800 - 256
+#: Words of more bytes than this are folded by merging all like pairs in a step.
+LONG_WORD = 96
+#: Words that are looked up together.
+CHUNK = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,42 +76,58 @@ def perfect_hash(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class RankMap:
-    """The literal tables of one vocabulary, and the fold over them."""
+    """The literal tables of one vocabulary, the fold over them, and the way back."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= NO_RANK:
-            raise ValueError("ranks must fit in 16 bits")
+        if max(ranks.values()) >= MOST_RANKS:
+            raise ValueError(f"ranks must be below {MOST_RANKS}")
         pairs = [((ranks[t[:k]] << 16) | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         keys, values = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         slots, shift = perfect_hash(keys, values)
         self.p, self.q = len(slots), len(shift)
         literal = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  Spark folds it to one literal
-        self.slots, self.shift = literal(slots.tolist(), "bigint"), literal(shift.tolist(), "bigint")
-        self.first = literal([ranks[bytes([b])] for b in range(256)], "bigint")
-        self.pairs = literal([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "bigint")
-        self.no_rank = F.lit(NO_RANK).cast("bigint")
-
-    def rank(self, key: Column) -> Column:
+        inside = {t[k : k + 2] for t in ranks for k in range(len(t) - 1)}
+        two = literal([ranks.get(x, NO_RANK if x in inside else NEVER) for a in range(256) for b in range(256) for x in [bytes([a, b])]], "bigint")
+        one = literal([ranks[bytes([b])] for b in range(256)], "bigint")
+        self.tables = F.struct(literal(slots.tolist(), "bigint").alias("slots"), literal(shift.tolist(), "bigint").alias("shift"), one.alias("one"), two.alias("two"))
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            pieces[r] = t
+        self.pieces = literal([t.hex() for t in pieces], "string")
+        self.numbers = literal([r.to_bytes(4, "little").hex() for r in range(len(pieces))], "string")
+
+    def rank(self, t: Column, key: Column) -> Column:
         """The rank of the piece that two pieces make, or NO_RANK; the key is the first times NO_RANK plus the second."""
-        slot = F.get(self.slots, (key % self.p + F.get(self.shift, key % self.q)) % self.p)
-        return _let(slot - key * NO_RANK, lambda r: F.when((r >= 0) & (r < NO_RANK), r).otherwise(self.no_rank))
+        slot = F.get(t["slots"], (key % self.p + F.get(t["shift"], key % self.q)) % self.p)
+        return _let(slot - key * NO_RANK, lambda r: F.when((r >= 0) & (r < NO_RANK), r).otherwise(F.lit(NO_RANK).cast("bigint")))
 
     def fold(self, word: Column) -> Column:
-        """Ids of a non-empty word: array<bigint>.
+        """Ids of a word: array<int>; none for the empty word. The tables are bound once, so they stand once in the plan.
 
-        The state holds the ids, the ranks of the adjacent pairs, and the lowest of them; a merge looks up
-        only the two pairs that it makes.
+        Long words are cut between bytes that no piece has side by side, since no merge can join them.
         """
-        size = F.octet_length(word)
         chars = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+
+        def parts(t: Column, c: Column) -> Column:
+            never = F.filter(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(t["two"], F.get(c, i - 1) * 256 + F.get(c, i)) == NEVER)
+            cut = lambda at: F.transform(at, lambda i, k: F.slice(c, i + 1, F.coalesce(F.get(at, k + 1), F.size(c)) - i))
+            return F.when(F.size(c) > LONG_WORD, _let(F.concat(F.array(F.lit(0)), never), cut)).otherwise(F.array(c))
+
+        each = lambda t: lambda c: F.when(F.size(c) > LONG_WORD, self._fold_long(t, c)).otherwise(self._fold_short(t, c))
+        ids = lambda t: _let(chars, lambda c: F.flatten(F.transform(parts(t, c), each(t))))
+        return F.when(F.octet_length(word) > 0, _let(self.tables, ids).cast("array<int>")).otherwise(F.array().cast("array<int>"))
+
+    def _fold_short(self, t: Column, chars: Column) -> Column:
+        """The state holds the ids, the ranks of the adjacent pairs, and the lowest of them; a merge looks up only the
+        two pairs that it makes."""
         state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(r).alias("low"))
-        pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.get(self.pairs, a * 256 + F.get(c, i + 1)))
-        start = _let(chars, lambda c: state(F.transform(c, lambda x: F.get(self.first, x)), pairs(c)))
+        pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.get(t["two"], a * 256 + F.get(c, i + 1)))
+        start = state(F.transform(chars, lambda x: F.get(t["one"], x)), pairs(chars))
 
         def merge(x: Column, r: Column, low: Column, at: Column) -> Column:
             left = F.when(at > 1, F.get(x, at - 2) * NO_RANK + low)
             right = F.when(at < F.size(r), low * NO_RANK + F.get(x, at + 1))
-            fresh = F.transform(F.array_compact(F.array(left, right)), self.rank)  # one place for the literals in the plan
+            fresh = F.transform(F.array_compact(F.array(left, right)), lambda key: self.rank(t, key))
             ranks = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), fresh, F.slice(r, at + 2, F.size(r)))
             return _let(ranks, lambda new: state(F.concat(F.slice(x, 1, at - 1), F.array(low), F.slice(x, at + 2, F.size(x))), new))
 
@@ -111,7 +135,46 @@ class RankMap:
             at = F.array_position(acc["r"], acc["low"]).cast("int")
             return F.when(acc["low"] < NO_RANK, _let(at, lambda k: merge(acc["x"], acc["r"], acc["low"], k))).otherwise(acc)
 
-        return F.when(size > 0, F.aggregate(F.sequence(F.lit(1), size), start, step, lambda acc: acc["x"]))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda acc: acc["x"])
+
+    def _fold_long(self, t: Column, chars: Column) -> Column:
+        """The state is a string with a character for each id, so one replacement merges all pairs that are like the
+        first of lowest rank, from left to right as single merges would. Where unlike pairs have that rank, as two
+        cuts of one piece can, only the first is merged, so the order of merges stays."""
+        sign = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 256), 4, "0")), "UTF-16BE")
+        codes = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 256).cast("bigint"))
+
+        def state(s: Column, c: Column) -> Column:
+            """With ``c``, the ids of ``s``: the lowest rank, the first pair that has it and where, and whether no other pair has it."""
+            keys = F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: a * NO_RANK + F.get(c, i + 1))
+
+            def about(key: Column, r: Column) -> Column:
+                low = F.array_min(r)
+                first = lambda v: F.struct(v.alias("low"), F.array_position(r, v).cast("int").alias("at"))
+                own = lambda f: F.struct(s.alias("s"), f["low"].alias("low"), f["at"].alias("at"), F.get(key, f["at"] - 1).alias("pair"))
+                alike = lambda o: F.struct(o["s"].alias("s"), o["low"].alias("low"), o["at"].alias("at"), o["pair"].alias("pair"), (~F.exists(F.zip_with(r, key, lambda v, k: (v == o["low"]) & (k != o["pair"])), lambda x: x)).alias("alike"))
+                return _let(_let(_let(low, first), own), alike)
+
+            return _let(keys, lambda key: _let(F.transform(key, lambda k: self.rank(t, k)), lambda r: about(key, r)))
+
+        fresh = lambda s: _let(s, lambda own: _let(codes(own), lambda c: state(own, c)))
+
+        def step(acc: Column, _: Column) -> Column:
+            pair = F.concat(sign(F.floor(acc["pair"] / NO_RANK)), sign(acc["pair"] % NO_RANK))
+            every = F.replace(acc["s"], pair, sign(acc["low"]))
+            single = F.concat(F.substring(acc["s"], F.lit(1), acc["at"] - 1), sign(acc["low"]), F.substring(acc["s"], acc["at"] + 2, F.length(acc["s"])))
+            return F.when(acc["low"] < NO_RANK, fresh(F.when(acc["alike"], every).otherwise(single))).otherwise(acc)
+
+        start = F.array_join(F.transform(chars, lambda b: sign(F.get(t["one"], b))), "")
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), fresh(start), step, lambda acc: codes(acc["s"]))
+
+    def packed(self, ids: Column) -> Column:
+        """Ids as little-endian 32-bit integers."""
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.numbers, i)), ""))
+
+    def decoded(self, ids: Column) -> Column:
+        """The bytes of the ids' pieces, one after the other."""
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
 
 def _let(value: Column, body) -> Column:
@@ -119,92 +182,89 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """The distinct words of all texts and how often they occur: ``word``, ``n``."""
+def split_words(text: Column, pattern: str) -> Column:
+    """The matches of the pattern in a text. The pattern's white space is Unicode's, which Java has under another name."""
+    own = pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(own), F.lit(0))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
-        table = lambda: pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(find(t or ""))
-                if len(seen) > 300_000:
-                    yield table()
-                    seen.clear()
-        yield table()
 
-    return docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """The distinct words of all texts and how often they occur: ``word``, ``n``."""
+    return docs.select(F.explode(split_words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_words(counts: DataFrame, max_words: int) -> DataFrame:
-    """Words down to the count at which at most ``max_words`` remain: bounded whatever the corpus."""
+    """Words that occur twice or more, down to the count at which at most ``max_words`` remain: bounded whatever the corpus."""
     ties = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
     above = ties.withColumn("words", F.sum("words").over(W.orderBy(F.desc("n"))))
     least = above.where(F.col("words") <= max_words).agg(F.min("n")).first()[0]
     return counts.where(F.col("n") >= F.lit(1 << 62 if least is None else max(2, least))).select("word")
 
 
+def _looked_up(words: pa.ListArray, names: pa.Array, flat: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """Of texts as lists of words: the ids of known words, in runs that other words part; the distinct other words of
+    each text; and which of them follows each run but the last."""
+    edge = np.asarray(words.offsets, np.int64)
+    edge, values = edge - edge[0], words.flatten()
+    pos = pc.fill_null(pc.index_in(values, value_set=names), -1).to_numpy()
+    rare = np.flatnonzero(pos < 0)
+    n = np.where(pos < 0, 0, np.diff(cuts)[pos] if len(names) else 0)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    begin = cuts[pos] if len(names) else np.zeros(len(pos), np.int64)
+    ids = flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
+    doc = np.searchsorted(edge, rare, "right") - 1
+    per_doc = np.bincount(doc, minlength=len(words))
+    outer = np.concatenate([[0], np.cumsum(per_doc + 1)])
+    starts = np.full(outer[-1], -1, np.int64)
+    starts[outer[:-1]] = upto[edge[:-1]]
+    starts[starts < 0] = upto[rare]
+    runs = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, upto[-1:]]), pa.int32()), pa.array(ids, pa.int32()))
+    coded = values.take(pa.array(rare)).dictionary_encode()
+    each, at = np.unique(doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)
+    own = np.concatenate([[0], np.cumsum(np.bincount(each // max(1, len(coded.dictionary)), minlength=len(words)))])
+    others = coded.dictionary.take(pa.array(each % max(1, len(coded.dictionary))))
+    offsets = lambda x: pa.array(x, pa.int32())
+    return [
+        pa.ListArray.from_arrays(offsets(outer), runs),
+        pa.ListArray.from_arrays(offsets(own), others),
+        pa.ListArray.from_arrays(offsets(np.concatenate([[0], np.cumsum(per_doc)])), pa.array(at - own[doc], pa.int32())),
+    ]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (binary: the token ids as little-endian 32-bit integers) and ``decoded`` (binary).
 
     Null and empty texts have no ids; there are no special tokens. Rows stay in their tasks: only word counts
-    are shuffled. Columns of the input named ``ids`` or ``decoded`` are replaced.
+    are shuffled. Columns of the input named ``ids`` or ``decoded`` are replaced. A word of n letters takes some n
+    steps at most, and long words fall into parts that no merge joins: a hundred thousand random letters take seconds.
     """
-    spark = docs.sparkSession
-    ranks = load_ranks(vocabulary)
-    rank_map = RankMap(ranks)
+    rank_map = RankMap(load_ranks(vocabulary))
     counts = materialize(word_counts(docs, pattern, text), "bpe-words")
-    known = frequent_words(counts, max_words).repartition("word").select("word", rank_map.fold(F.col("word")).alias("ids")).toArrow()
-    known_words, lists = known["word"].to_pylist(), known["ids"].combine_chunks()
-    flat = np.asarray(lists.flatten(), np.uint32)
-    cuts = np.asarray(lists.offsets, np.int64) if len(lists) else np.zeros(1, np.int64)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for t, r in ranks.items():
-        pieces[r] = t
-    names = spark.sparkContext.broadcast(known_words)
-    shared = spark.sparkContext.broadcast((flat, cuts - cuts[0], pieces))
+    known = materialize(frequent_words(counts, max_words).repartition("word").select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids").toArrow().combine_chunks()
+    lists = known["ids"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    names = known["word"].combine_chunks()
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((names, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), cuts))
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Positions of words in the table; words that it lacks are numbered below 0 and listed."""
-        find, place = regex.compile(pattern).findall, {w: i for i, w in enumerate(names.value)}
+        names, flat, cuts = shared.value
         for batch in batches:
-            seqs, rare = [], []
-            for t in batch.column(text).to_pylist():
-                new: dict[str, int] = {}
-                seqs.append(np.array([p if (p := place.get(w)) is not None else -1 - new.setdefault(w, len(new)) for w in find(t or "")], np.int32).tobytes())
-                rare.append(list(new))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seqs, pa.binary()), pa.array(rare, pa.list_(pa.string()))], [*keep, "__seq", "__rare"])
-
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of each text from those of its words, and the bytes from the pieces of its ids."""
-        flat, cuts, pieces = shared.value
-        sizes = np.diff(cuts)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                packed = batch.column("__seq").to_pylist()
-                seq = np.frombuffer(b"".join(packed), np.int32).astype(np.int64)
-                edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int64)
-                folded = batch.column("__folded")
-                lists = folded.flatten()  # one list of ids for each listed word
-                listed = np.asarray(pc.list_value_length(folded), np.int64)
-                more = np.asarray(pc.list_value_length(lists), np.int64)
-                ids = np.concatenate([flat, np.asarray(lists.flatten()).astype(np.uint32)])
-                at = np.where(seq < 0, np.repeat(np.cumsum(listed) - listed, np.diff(edge)) - 1 - seq + len(sizes), seq)
-                n = np.concatenate([sizes, more])[at]
-                begin = np.concatenate([cuts[:-1], len(flat) + np.cumsum(more) - more])[at]
-                upto = np.concatenate([[0], np.cumsum(n)])
-                ids = ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
-                cut = upto[edge]
-                own = [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                decoded = [b"".join([pieces[i] for i in x.tolist()]) for x in own]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
-
-    kept = T.StructType([docs.schema[c] for c in keep])
-    split = docs.select(*keep).mapInArrow(look_up, T.StructType([*kept, T.StructField("__seq", T.BinaryType()), T.StructField("__rare", T.ArrayType(T.StringType()))]))
-    folded = split.select(*keep, "__seq", F.transform("__rare", rank_map.fold).alias("__folded"))
-    return folded.mapInArrow(join_up, T.StructType([*kept, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
+            edge, lo = np.asarray(batch.column("__words").offsets), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(part.column("__words"), names, flat, cuts)], [*keep, "__runs", "__rare", "__at"])
+                lo = hi
+
+    kinds = {"__runs": T.ArrayType(T.ArrayType(T.IntegerType())), "__rare": T.ArrayType(T.StringType()), "__at": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(k, v) for k, v in kinds.items())])
+    split = docs.select(*keep, split_words(F.col(text), pattern).alias("__words")).mapInArrow(look_up, schema)
+    joined = lambda more: F.flatten(F.transform("__runs", lambda run, i: F.when(i < F.size("__at"), F.concat(run, F.get(more, F.get("__at", i)))).otherwise(run)))
+    ids = F.when(F.size("__rare") > 0, _let(F.transform("__rare", rank_map.fold), joined)).otherwise(F.flatten("__runs"))
+    out = _let(ids, lambda x: F.struct(rank_map.packed(x).alias("ids"), rank_map.decoded(x).alias("decoded")))
+    return split.select(*keep, out.alias("__out")).select(*keep, "__out.ids", "__out.decoded")
 
 
 def op9_byte_bpe(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
