@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines of five words or of 20 characters or more are compared by the sets of their character shingles. Signatures are cut into bands;
-lines that share a band are candidates, exact Jaccard similarity decides, and union-find joins the links. Of each
-component one line stays, its first by document id and line number; all others go. Shorter lines always stay.
+Lines of five words or of 20 characters or more are compared by the sets of their character shingles. Signatures
+are cut into bands; lines that share a band are candidates, exact Jaccard similarity decides, and union-find joins
+the links. Of each component one line stays, its first by document id and line number; all others go. Shorter lines
+stay, or go if they repeat exactly (``short_lines``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from slicework.llm.graph import connected_components
 from slicework.llm.shared import materialize
@@ -27,14 +27,10 @@ SIMILARITY = 0.8
 #: Bands of rows: a pair at the similarity shares a band with probability 0.99.
 BANDS, ROWS = 9, 4
 HASHES = BANDS * ROWS
-BINS = 64
-#: Sets up to SHORT get a minimum for each hash function; sets from LONG on get one hash function whose range is
-#: cut into bins. Two sets of the similarity or more always have one of the two kinds in common, as LONG / SHORT
-#: is the similarity. Sizes are those of the sets: a shingle that a line repeats counts once.
-SHORT, LONG = 160, 128
-CHUNK = 400_000
+#: Characters that are hashed together: few enough for the processor's cache. And those of the lines of one batch of results.
+CHUNK, BATCH = 30_000, 600_000
 #: 64-bit parts of a sketch.
-PARTS = 4
+PARTS = 16
 #: Bits of the filter that spares lines without a candidate the way to the join; of fixed size, and exact work follows.
 FILTER_BITS = 1 << 26
 
@@ -42,11 +38,16 @@ FILTER_BITS = 1 << 26
 SKETCH = ["size", *(str(k) for k in range(PARTS))]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors, one for each hash function.
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(salt * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) * _MIX
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ np.uint64(salt * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x
 
 
 def normalized(line: str) -> str:
@@ -58,94 +59,100 @@ def line_id(norm: str) -> int:
     return xxhash.xxh64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def takes_part(norm: str) -> bool:
+    return len(norm) >= LEAST_CHARACTERS or norm.count(" ") >= LEAST_WORDS - 1
+
+
 def eligible_lines(text: str | None) -> Iterator[tuple[int, str]]:
     """Line numbers and normalised lines that take part."""
     for i, line in enumerate((text or "").split("\n")):
         norm = normalized(line)
-        if len(norm) >= LEAST_CHARACTERS or norm.count(" ") >= LEAST_WORDS - 1:
+        if takes_part(norm):
             yield i, norm
 
 
-def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash at each shingle of the lines, where each line's begin, and how many it has (1 at least)."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     stream = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     h, step, base = stream, 1, 0x100000001B3
     while step < SHINGLE:  # of each 2, 4, 8 characters
-        h = h[:-step] * np.uint64(base) + h[step:]
+        far, h = h[step:], h[:-step] * np.uint64(base)
+        h += far
         step, base = 2 * step, base * base % (1 << 64)
-    h = _mixed(h, 1)
     size = np.array([len(x) for x in padded])
-    begin = np.cumsum(size) - size
     n = size - SHINGLE + 1
-    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return h[at], np.cumsum(n) - n, n
-
-
-def _signatures_short(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    return np.stack([np.minimum.reduceat(_mixed(h, 7 + k), begin) for k in range(HASHES)], axis=1)
-
-
-def _signatures_long(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    sig = np.full(len(n) * BINS, none)
-    np.minimum.at(sig, np.repeat(np.arange(len(n)) * BINS, n) + (h >> np.uint64(58)).astype(np.int64), h)
-    sig = sig.reshape(-1, BINS)
-    full = sig != none
-    draws = np.random.default_rng(5).integers(0, BINS, (40, BINS))
-    out = sig.copy()
-    for j in range(BINS):  # an empty bin borrows from the first non-empty one in an order of its own
-        empty = np.flatnonzero(~full[:, j])
-        for d in draws[:, j]:
-            if not len(empty):
-                break
-            has = full[empty, d]
-            out[empty[has], j] = sig[empty[has], d]
-            empty = empty[~has]
-    return out[:, :HASHES]
-
-
-def _set_sizes(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How many different shingles lines have; exact from LONG shingles on, as the others are short in any case."""
-    size = n.copy()
-    for i in np.flatnonzero(n >= LONG):
-        size[i] = len(np.unique(h[begin[i] : begin[i] + n[i]]))
-    return size
-
-
-def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``lines`` and band keys."""
-    h, begin, n = _shingle_hashes(lines)
-    at, keys = [], []
-    different = _set_sizes(h, begin, n)
-    for kind, chosen in ((0, np.flatnonzero(different <= SHORT)), (1, np.flatnonzero(different >= LONG))):
-        if not len(chosen):
-            continue
-        part = np.concatenate([h[begin[i] : begin[i] + n[i]] for i in chosen])
-        size = n[chosen]
-        sig = _signatures_long(part, size) if kind else _signatures_short(part, np.cumsum(size) - size)
-        for b in range(BANDS):
-            key = np.full(len(chosen), kind * BANDS + b + 1, np.uint64)
-            for k in range(ROWS):
-                key = _mixed(key ^ sig[:, b * ROWS + k], 3 + k)
-            at.append(chosen)
-            keys.append(key.view(np.int64))
-    return np.concatenate(at), np.concatenate(keys)
+    at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (SHINGLE - 1), n)
+    return _mixed(h[at], 1), np.cumsum(n) - n, n
+
+
+def _chunks(lines: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for x in lines:
+        part.append(x)
+        size += len(x)
+        if size > CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """The band keys of each line, one row a line."""
+    return np.concatenate([np.zeros((0, BANDS), np.int64), *map(_band_keys, _chunks(lines))])
+
+
+def _band_keys(lines: list[str]) -> np.ndarray:
+    """A hash function multiplies the upper halves of the shingles' hashes by an odd factor of its own."""
+    h, begin, _ = shingle_hashes(lines)
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    product = np.empty_like(short)
+    least = np.empty((HASHES, len(lines)), np.uint32)
+    for k, factor in enumerate(_FACTORS):
+        np.multiply(short, factor, out=product)
+        np.minimum.reduceat(product, begin, out=least[k])
+    least = least.reshape(BANDS, ROWS, -1)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for k in range(ROWS):
+        keys = _mixed(keys ^ least[:, k], 3 + k)
+    return np.ascontiguousarray(keys.T).view(np.int64)
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The different shingles of each line as sorted 64-bit hashes, which tell all shingles apart for practical purposes."""
+    sets = []
+    for part in _chunks(lines):
+        h, begin, n = shingle_hashes(part)
+        for b, k in zip(begin.tolist(), n.tolist(), strict=True):
+            own = np.sort(h[b : b + k])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return sets
+
+
+def similar(a: list[str], b: list[str]) -> np.ndarray:
+    """Which pairs of lines have the similarity."""
+    distinct = list(dict.fromkeys([*a, *b]))
+    place, sets = {x: i for i, x in enumerate(distinct)}, shingle_sets(distinct)
+    out = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        p, q = sets[place[x]], sets[place[y]]
+        if len(p) > len(q):
+            p, q = q, p
+        if len(p) >= SIMILARITY * len(q):
+            both = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
+            out[i] = both >= SIMILARITY * (len(p) + len(q) - both)
+    return out
 
 
 def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the shingle sets, and 64 * PARTS bits: of the shingles that fall on a bit, whether the number is odd."""
-    h, begin, n = _shingle_hashes(lines)
-    order = np.lexsort((h, np.repeat(np.arange(len(n)), n)))
-    row, h = np.repeat(np.arange(len(n)), n), h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (np.diff(h) != 0) | (np.diff(row) != 0)
-    row, h = row[new], h[new]
     width = 64 * PARTS
-    bit = (_mixed(h, 5) >> np.uint64(32)).astype(np.int64) % width
-    odd = (np.bincount(row * width + bit, minlength=len(n) * width) & 1).astype(np.uint8)
-    bits = np.packbits(odd.reshape(len(n), width), axis=1, bitorder="little").view("<i8")
-    return np.bincount(row, minlength=len(n)).astype(np.int32), bits
+    sets = shingle_sets(lines)
+    size = np.array([len(s) for s in sets], np.int64)
+    bit = (_mixed(np.concatenate(sets), 5) >> np.uint64(32)).astype(np.int64) % width
+    odd = (np.bincount(np.repeat(np.arange(len(sets)), size) * width + bit, minlength=len(sets) * width) & 1).astype(np.uint8)
+    return size.astype(np.int32), np.packbits(odd.reshape(len(sets), width), axis=1, bitorder="little").view("<i8")
 
 
 def _plausible(a: str, b: str):
@@ -162,148 +169,163 @@ def _plausible(a: str, b: str):
     return (F.least(x, y) >= SIMILARITY * F.greatest(x, y) - slack) & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (x + y) + slack)
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    """``key`` and ``line`` (id) of every distinct line and band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # ids of one task's lines: spares their copies there, and starts anew when large
-        ids, lines, size = [], [], 0
+def _occurrences(docs: DataFrame, short_lines: bool) -> DataFrame:
+    """``line`` (id) at each place (``doc_id``, ``digest`` of the text, ``number``), with the line's band ``keys``.
 
-        def settle() -> pa.RecordBatch:
-            at, keys = band_keys(lines)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(ids)[at])], ["key", "line"])
+    Of the places of a line in one task only the first has the keys, and those of short lines have none.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # starts anew when large
         for b in batches:
-            for t in b.column(0):
-                for _, norm in eligible_lines(t.as_py()):
-                    i = line_id(norm)
-                    if i not in seen:
-                        seen.add(i)
-                        ids.append(i)
-                        lines.append(norm)
-                        size += len(norm)
-                if size > CHUNK:
+            rows, numbers, ids, fresh, lines, size = [], [], [], [], [], 0
+
+            def settle(b=b) -> pa.RecordBatch:
+                keys = band_keys(lines).ravel()
+                cuts = np.concatenate([[0], np.cumsum(np.array(fresh, np.int32) * BANDS)]).astype(np.int32)
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))], ["line", "doc_id", "digest", "number", "keys"])
+
+            for r, t in enumerate(b.column(2).to_pylist()):
+                for n, line in enumerate((t or "").split("\n")):
+                    norm = normalized(line)
+                    large = takes_part(norm)
+                    if large or short_lines and norm:
+                        i = line_id(norm)
+                        new = large and i not in seen
+                        rows.append(r), numbers.append(n), ids.append(i), fresh.append(new)
+                        if new:
+                            seen.add(i)
+                            lines.append(norm)
+                            size += len(norm)
+                if size > BATCH:
                     yield settle()
-                    ids, lines, size = [], [], 0
+                    rows, numbers, ids, fresh, lines, size = [], [], [], [], [], 0
                 if len(seen) > 500_000:
                     seen.clear()
-        if lines:
-            yield settle()
+            if rows:
+                yield settle()
 
-    return docs.select("text").mapInArrow(run, "key long, line long")
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"line long, doc_id {kind}, digest long, number int, keys array<long>")
 
 
-def _line_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS with the bits of all ids set, gathered by Spark's bitmap aggregate."""
-    at = F.col("line").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # bitmaps count from 1
-    parts = ids.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("i")).groupBy("b").agg(F.bitmap_construct_agg("i").alias("m")).toArrow()
+def _filter(*columns: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS with the bits of all values set, gathered by Spark's bitmap aggregate."""
+    values = columns[0].toDF("v")
+    for more in columns[1:]:
+        values = values.unionByName(more.toDF("v"))
+    at = F.col("v").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # bitmaps count from 1
+    parts = values.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("i")).groupBy("b").agg(F.bitmap_construct_agg("i").alias("m")).toArrow()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for bucket, bits in zip(parts["b"].to_pylist(), parts["m"].to_pylist(), strict=True):
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``line`` with its normalised text, if it may be in ``wanted``; without that, its place: ``doc_id``, ``digest`` of the text, ``number``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = wanted is not None
-    bits = docs.sparkSession.sparkContext.broadcast(_line_filter(wanted)) if texts else None
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``line`` and its normalised text ``norm`` for ``wanted``: ``line`` and ``digest`` of a text that holds it."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select("line"), wanted.select("digest")))
 
-    def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = bits.value
+        has = lambda v: bitmap[(v & (FILTER_BITS - 1)) >> 3] >> (v & 7) & 1
         for b in batches:
-            found = {line_id(norm): norm for t in b.column(0) for _, norm in eligible_lines(t.as_py())}
-            found = {i: norm for i, norm in found.items() if bitmap[(i & (FILTER_BITS - 1)) >> 3] >> (i & 7) & 1}
-            ids, norms = list(found), list(found.values())
-            for lo in range(0, len(ids), 1000):
-                sizes, sketch = sketches(norms[lo : lo + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1000], pa.int64()), pa.array(norms[lo : lo + 1000], pa.string()), pa.array(sizes), *(pa.array(sketch[:, k].copy()) for k in range(PARTS))], ["line", "norm", *SKETCH])
-
-    def with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(r, n, line_id(norm)) for r, t in enumerate(b.column(2)) for n, norm in eligible_lines(t.as_py())]
-            rows, numbers, ids = (pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], [])))
-            yield pa.RecordBatch.from_arrays([ids, b.column(0).take(rows), b.column(1).take(rows), numbers.cast(pa.int32())], ["line", "doc_id", "digest", "number"])
+            for digest, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if has(digest):
+                    found = {i: norm for _, norm in eligible_lines(t.as_py()) if has(i := line_id(norm))}
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "norm"])
 
-    if texts:
-        return docs.select("text").mapInArrow(with_texts, "line long, norm string, size int, " + ", ".join(f"`{c}` long" for c in SKETCH[1:]))
-    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(with_places, f"line long, doc_id {kind}, digest long, number int")
+    return docs.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "line long, norm string")
 
 
-def jaccard(a: str, b: str) -> float:
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def _with_sketches(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                sizes, bits = sketches(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(bits[:, k].copy()) for k in range(PARTS))], ["line", *SKETCH])
+
+    return texts.select("line", "norm").mapInArrow(run, "line long, size int, " + ", ".join(f"`{c}` long" for c in SKETCH[1:]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``src``, ``dst`` those whose lines have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [jaccard(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                yield b.select(["src", "dst"]).filter(pa.array(similar(b.column(2).to_pylist(), b.column(3).to_pylist())))
 
     a = texts.select(F.col("line").alias("src"), F.col("norm").alias("a"))
     b = texts.select(F.col("line").alias("dst"), F.col("norm").alias("b"))
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``node`` (line id) and ``component`` of the lines that are linked to another; ``first`` has ``line`` and ``times``.
+def line_components(docs: DataFrame, places: DataFrame, first: DataFrame) -> DataFrame:
+    """``node`` (line id) and ``component`` of the lines that are linked to another; ``first`` has ``line``, ``times``
+    and the first place.
 
     In each band the most frequent line is the pivot, and all others are held against it. Then, in bands whose
     lines are not yet one component, lines of different components are held against each other, so every
     candidate pair that could join two components is verified, without the pairs inside dense bands.
     """
-    same = W.partitionBy("key")
-    keys = _candidates(docs).withColumn("lo", F.min("line").over(same)).withColumn("hi", F.max("line").over(same)).where("lo < hi").select("key", "line")
-    shared = materialize(materialize(keys.distinct(), "bands").join(first.select("line", "times"), "line"), "bands")
-    ids = materialize(shared.select("line").distinct(), "band-ids")
-    texts = materialize(_occurrences(docs, ids).join(ids, "line").dropDuplicates(["line"]), "band-lines")
-    shared = materialize(shared.join(texts.select("line", *SKETCH), "line"), "bands")
-    as_ = lambda df, p, *more: df.select("key", F.col("line").alias(f"{p}line"), *[F.col(c).alias(f"{p}{c}") for c in (*SKETCH, *more)])
-    ends = [F.least("aline", "bline").alias("src"), F.greatest("aline", "bline").alias("dst")]
-    pivots = shared.groupBy("key").agg(F.max(F.struct("times", "line", *SKETCH)).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"b{c}") for c in ("line", *SKETCH)])
-    stars = as_(shared, "a").join(pivots, "key").where((F.col("aline") != F.col("bline")) & _plausible("a", "b")).select(*ends).distinct()
+    bands = places.select(F.explode("keys").alias("key"), "line").repartition("key")  # dealt once, read for the sums and for the members
+    crowded = bands.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("key")
+    members = materialize(bands.join(crowded.hint("shuffle_hash"), "key").distinct(), "bands")
+    shared = materialize(members.join(first.select("line", "times"), "line"), "bands")
+    wanted = materialize(shared.select("line").distinct().join(first, "line").select("line", "first.digest"), "band-ids")
+    texts = materialize(_texts(docs, wanted).join(wanted.select("line"), "line").dropDuplicates(["line"]), "band-lines")
+    pivots = shared.groupBy("key").agg(F.max(F.struct("times", "line")).alias("p")).select("key", F.col("p.line").alias("pivot"))
+    ends = lambda a, b: [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+    stars = shared.select("key", "line").join(pivots, "key").where("line <> pivot").select(*ends("line", "pivot")).distinct()
     tried = materialize(stars, "stars")
     links = materialize(_verified(tried, texts), "links")
     nodes = connected_components(links)
-    placed = materialize(shared.join(nodes, shared["line"] == nodes["node"], "left").select("key", "line", *SKETCH, F.coalesce("component", "line").alias("c")), "placed")
+    placed = materialize(shared.join(nodes, shared["line"] == nodes["node"], "left").select("key", "line", F.coalesce("component", "line").alias("c")), "placed")
     torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(torn, "key")
-    pairs = as_(rest, "a", "c").join(as_(rest, "b", "c"), "key").where((F.col("ac") < F.col("bc")) & _plausible("a", "b")).select(*ends).distinct()
+    rest = materialize(placed.join(torn, "key"), "torn")
+    sketch = materialize(_with_sketches(texts.join(rest.select("line").distinct(), "line", "left_semi")), "sketches")
+    rest = materialize(rest.join(sketch, "line"), "torn")
+    as_ = lambda p: rest.select("key", *[F.col(c).alias(f"{p}{c}") for c in ("line", "c", *SKETCH)])
+    pairs = as_("a").join(as_("b"), "key").where((F.col("ac") < F.col("bc")) & _plausible("a", "b")).select(*ends("aline", "bline")).distinct()
     more = materialize(_verified(pairs.join(tried, ["src", "dst"], "left_anti"), texts), "links")
     if not more.take(1):
         return nodes
     return connected_components(links.unionByName(more))
 
 
-def drop_fuzzy_lines(docs: DataFrame) -> DataFrame:
+def drop_fuzzy_lines(docs: DataFrame, short_lines: str = "keep") -> DataFrame:
     """``docs`` (``doc_id``, ``text`` and any others) with repeated lines taken out, ``n_lines`` and ``n_dropped``.
 
     Null text stays null with no lines. A text whose lines all go becomes empty. Rows alike in id and text count
-    as one document and are treated alike. Document ids that are null come first.
+    as one document and are treated alike. Document ids that are null come first. Lines too short to take part
+    stay; with ``short_lines="exact"`` those that repeat exactly go as well, but blank ones stay.
     """
-    places = materialize(_occurrences(docs), "line-places")
+    if short_lines not in ("keep", "exact"):
+        raise ValueError(f"short_lines is 'keep' or 'exact', not {short_lines!r}")
+    places = materialize(_occurrences(docs, short_lines == "exact"), "line-places")
     place = F.struct("doc_id", "digest", "number")
     first = materialize(places.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "line-firsts")
-    nodes = materialize(line_components(docs, first), "line-components")
+    nodes = materialize(line_components(docs, places, first), "line-components")
     tied = first.join(nodes, first["line"] == nodes["node"], "left").withColumn("component", F.coalesce("component", "line"))
     keep = tied.groupBy("component").agg(F.min("first").alias("keep"), F.sum("times").alias("all")).where(F.col("all") > 1)
     gone = tied.join(keep, "component").select("line", "keep")
-    lost = places.join(gone, "line").where(~place.eqNullSafe(F.col("keep")))
+    lost = places.drop("keys").join(gone, "line").where(~place.eqNullSafe(F.col("keep")))
     per_doc = lost.groupBy("doc_id", "digest").agg(F.collect_set("number").alias("__gone"))
     per_doc = per_doc.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__gone")
     whole = docs.withColumn("__own", F.xxhash64("text"))
     joined = whole.join(per_doc, whole["doc_id"].eqNullSafe(per_doc["__id"]) & (whole["__own"] == per_doc["__digest"]), "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")  # numbers of the lines that stay, in order
     out = joined.withColumns(
         {
             "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
             "n_dropped": F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"),
-            "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
+            "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")), F.lit(0))),
         }
     )
     return out.drop("__own", "__id", "__digest", "__gone")
