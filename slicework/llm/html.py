@@ -1,11 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-The text nodes of a page are filed under their root-to-leaf path of block elements. Each path has a mean text
-length and a mean punctuation count outside links; both are smoothed over nearby paths by path distance, fused
-into one score and held against a threshold. A block is content if its own path or the region that it stands in
-passes, so headings and short lines go with the prose around them. Standing in an article or main element raises a
-path's score, a class or id that hints at something else lowers it; neither decides alone. Elements and roles that
-are never main text, and hidden ones, are dropped.
+The text nodes of a page are filed under their root-to-leaf path of block elements, in a trie of paths. Each path has
+a mean text length and a mean punctuation count outside links; both are smoothed over the trie, by a weight that falls
+with every edge between two paths, and fused into one score. What a path's elements say of themselves weighs in: a
+factor for standing in an article or main element, a small one for navigation, asides, forms and the like, and for
+classes and ids that hint at such. A block is content if its own path or the region that it stands in reaches a share
+of the page's best score, so headings and short lines go with the prose around them. Only elements that hold no text
+to read (scripts, styles, form controls) and hidden ones are dropped outright.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Text-level blocks: what stands around them is their region (fixed values).
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption details summary address hgroup".split())
-#: Elements that are never main text and roles that say so; words of class or id that hint at it (fixed values).
-DROPPED = frozenset("head title nav aside footer form button select option textarea fieldset input dialog menu iframe object canvas audio video map noscript svg math template script style".split())
+#: Elements without text to read; elements and roles that are seldom main text; words of class or id that hint at the
+#: same (fixed values).
+DROPPED = frozenset("head title button select option textarea input iframe object canvas audio video map noscript svg math template script style".split())
+ASIDE = frozenset("nav aside footer form fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HINTS = frozenset(
     "nav navbar navigation menu menus header masthead topbar footer foot sidebar sidebars aside ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond discussion widget widgets toolbar pagination pager search tags skip paywall".split()
@@ -40,171 +43,205 @@ NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: A path passes with this share of the page's best score.
-THRESHOLD = 0.1
-#: What is added to the score of a path inside an article or main element, and the factor of one inside a hint.
-BONUS, MALUS = 60.0, 0.05
-#: Spread of the smoothing, in path edits.
-SPREAD = 1.0
-
-
-class Hinted(str):
-    """The tag of an element with a hint; in paths it is written with a mark, so that its texts have one of their own."""
-
-
-def _verdict(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether its class or id hints that it is not main text."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True, False
-    if "=" not in attributes and "hidden" not in attributes:
-        return False, False
-    own = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    if tag in ("html", "body"):
-        return False, False
-    if own.get("role", "").lower() in ROLES or re.search(r"\shidden(?=[\s>/]|$)", attributes) or re.search(r"display\s*:\s*none", own.get("style", "")):
-        return True, False
-    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", own.get("class", "") + " " + own.get("id", "")).lower())
-    hits = [w for w in words if w in HINTS]
-    return False, bool(hits) and not (in_article and set(hits) <= {"header"}) and not (tag in ("article", "main") and "comment" not in " ".join(hits))
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """Text blocks in page order: path of block elements, text, characters inside links, and whether an article holds it."""
-    out, stack, text, in_link = [], [], [], 0
-    link_chars, skip = 0, 0  # skip: depth of the stack at which dropped content began
-
-    def flush() -> None:
-        nonlocal link_chars
-        words = " ".join("".join(text).split())
-        if words and not skip:
-            out.append((tuple("?" + t if isinstance(t, Hinted) else t for t in stack if t not in INLINE or isinstance(t, Hinted)), words, link_chars, "article" in stack or "main" in stack))
-        text.clear()
-        link_chars = 0
-
-    def say(raw: str) -> None:
-        nonlocal link_chars
-        if raw and not skip:
+THRESHOLD = 0.2
+#: Factors of the score of a path inside an article or main element, inside an element or role that is seldom main text,
+#: and inside an element whose class or id hints at that.
+IN_ARTICLE, IN_ASIDE, IN_HINT = 2.0, 0.05, 0.1
+#: Weight of a path's neighbours in the smoothing, by each edge between them.
+NEAR = 0.35
+
+
+class Paths:
+    """The trie of a page's paths: parents come before children. Each node has the region that it stands in, whether an
+    article holds it, and the factor of its elements."""
+
+    def __init__(self) -> None:
+        self.parent, self.region, self.article, self.factor = [-1], [0], [False], [1.0]
+        self._child: dict[tuple[int, str, float], int] = {}
+
+    def child(self, of: int, tag: str, factor: float) -> int:
+        key = (of, tag, factor)
+        if key not in self._child:
+            self._child[key] = node = len(self.parent)
+            self.parent.append(of)
+            self.region.append(self.region[of] if tag in TEXTUAL and factor == 1.0 else node)
+            self.article.append(self.article[of] or tag in ("article", "main"))
+            self.factor.append(min(self.factor[of], factor))
+        return self._child[key]
+
+
+def _factor(tag: str, attributes: str, in_article: bool) -> float:
+    """The factor that an element's own tag, role, class and id give to the paths in it; 0 if it is dropped."""
+    if tag in DROPPED:
+        return 0.0
+    own = IN_ASIDE if tag in ASIDE or (tag == "header" and not in_article) else 1.0
+    if tag in ("html", "body") or ("=" not in attributes and "hidden" not in attributes):
+        return own
+    given = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
+    if re.search(r"\shidden(?=[\s>/]|$)", attributes) or re.search(r"display\s*:\s*none", given.get("style", "")):
+        return 0.0
+    if given.get("role", "").lower() in ROLES:
+        own = IN_ASIDE
+    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get("class", "") + " " + given.get("id", "")).lower())
+    hits = {w for w in words if w in HINTS} - ({"header"} if in_article else set())
+    if hits and not (tag in ("article", "main") and not any("comment" in w for w in hits)):
+        own = min(own, IN_HINT)
+    return own
+
+
+class Reader:
+    """Reads a page's tags in order. The stack holds the open elements, with ``None`` for inline ones that were closed
+    among others; where each tag and where the blocks stand in it is kept, so no step searches the stack."""
+
+    def __init__(self) -> None:
+        self.paths, self.out = Paths(), []
+        self.stack: list[tuple[str, int, bool] | None] = []  # tag, path, whether the element has a path of its own
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.text: list[str] = []
+        self.links = self.in_link = self.skip = self.articles = 0  # skip: length of the stack at which dropped content began
+
+    def flush(self) -> None:
+        words = " ".join("".join(self.text).split())
+        if words and not self.skip:
+            self.out.append((self.stack[-1][1] if self.stack else 0, words, self.links))
+        self.text.clear()
+        self.links = 0
+
+    def say(self, raw: str) -> None:
+        if raw and not self.skip:
             t = html.unescape(raw) if "&" in raw else raw
-            text.append(t)
-            link_chars += len(t.strip()) if in_link else 0
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        name = NAME.match(m[0])
-        if m[1] or not name:
-            continue
-        tag = name[2].lower()
-        if tag in VOID:
-            if tag in ("br", "hr", "img", "wbr") and tag != "wbr":
-                text.append(" ") if tag != "hr" else flush()
-            continue
-        if name[1]:
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            if tag in INLINE:
-                if tag in stack and not skip:  # an inline element ends only inside its own block
-                    k = len(stack) - 1 - stack[::-1].index(tag)
-                    if all(t in INLINE for t in stack[k:]):
-                        if isinstance(stack[k], Hinted):
-                            flush()
-                        del stack[k]
-                elif skip and stack and stack[-1] == tag:
-                    stack.pop()
-                    skip = skip if len(stack) >= skip else 0
-                continue
-            flush()
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[k:]
-                skip = skip if len(stack) >= skip else 0
-            in_link = 0 if tag not in INLINE else in_link
-            continue
-        closing = m[0].endswith("/>")
+            self.text.append(t)
+            self.links += len(t.strip()) if self.in_link else 0
+
+    def push(self, tag: str, markup: str) -> None:
+        path = self.stack[-1][1] if self.stack else 0
+        factor = 1.0 if self.skip else _factor(tag, markup, self.articles > 0)
+        if tag in INLINE and factor != 1.0:
+            self.flush()
+        named = tag not in INLINE or factor not in (0.0, 1.0)
+        self.at.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
-            flush()
-            in_link = 0
-            ends = CLOSED_BY.get(tag)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == "p" or ends and stack[i] in ends or stack[i] not in INLINE), None)
-            while k is not None and (stack[k] == "p" or ends and stack[k] in ends):
-                del stack[k:]
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] not in INLINE), None)
-            skip = skip if len(stack) >= skip else 0
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, self.paths.child(path, tag, factor) if named and factor else path, named))
+        self.articles += tag in ("article", "main")
+        if factor == 0.0:
+            self.skip = len(self.stack)
+
+    def cut(self, k: int) -> None:
+        """Close all elements from the k-th on."""
+        while len(self.stack) > k or self.stack and self.stack[-1] is None:
+            frame = self.stack.pop()
+            if frame is not None:
+                self.at[frame[0]].pop()
+                self.articles -= frame[0] in ("article", "main")
+                if self.blocks and self.blocks[-1] == len(self.stack):
+                    self.blocks.pop()
+        self.skip = self.skip if len(self.stack) >= self.skip else 0
+
+    def close(self, tag: str) -> None:
+        where = self.at.get(tag)
+        if tag == "a":
+            self.in_link = max(0, self.in_link - 1)
+        if tag not in INLINE:
+            self.flush()
+            self.in_link = 0
+        if not where:
+            return
+        k = where[-1]
+        if tag not in INLINE:
+            self.cut(k)
+        elif not self.blocks or self.blocks[-1] < k:  # an inline element ends only inside its own block
+            if self.stack[k][2]:
+                self.flush()
+            if self.stack[k][2] or k == len(self.stack) - 1:
+                self.cut(k)
+            elif not self.skip:
+                where.pop()
+                self.stack[k] = None
+
+    def open(self, tag: str, markup: str) -> None:
+        if tag not in INLINE:
+            self.flush()
+            self.in_link = 0
+            ends = CLOSED_BY.get(tag, ())
+            while self.blocks and (self.stack[self.blocks[-1]][0] == "p" or self.stack[self.blocks[-1]][0] in ends):
+                self.cut(self.blocks[-1])
         elif tag == "a":
-            in_link += 1
-        if not closing:
-            stack.append(tag)
-            dropped, hinted = (False, False) if skip else _verdict(tag, m[0], "article" in stack[:-1] or "main" in stack[:-1])
-            if dropped:
-                if tag in INLINE:
-                    flush()
-                skip = len(stack)
-            elif hinted:
-                if tag in INLINE:
-                    flush()
-                stack[-1] = Hinted(tag)
-    say(page[at:])
-    flush()
-    return out
-
-
-def _distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Edits between two paths: the steps up to their common part and down again."""
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return len(a) + len(b) - 2 * k
-
-
-def path_scores(found: list[tuple[tuple[str, ...], str, int, bool]]) -> dict[tuple[str, ...], float]:
-    """Per path the fused score of its smoothed ratios."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, link_chars, _ in found:
-        s = sums.setdefault(path, [0, 0, 0])
-        own = max(0, len(text) - link_chars)
-        s[0] += own
-        s[1] += len(PUNCTUATION.findall(text)) if own > link_chars else 0
-        s[2] += 1
-    weight = {d: math.exp(-(d**2) / (2 * SPREAD**2)) for d in range(4)}
-    out = {}
-    for p in sums:
-        near = [(w, s) for q, s in sums.items() if (w := weight.get(_distance(p, q), 0.0))]
-        total = sum(w for w, _ in near)
-        length, marks = (sum(w * s[i] / s[2] for w, s in near) / total for i in (0, 1))
-        out[p] = math.sqrt(length * (marks + 0.1))
-        if any(t[0] == "?" for t in p):
-            out[p] *= MALUS
-        elif "article" in p or "main" in p:
-            out[p] += BONUS
-    return out
-
-
-def _region(path: tuple[str, ...]) -> tuple[str, ...]:
-    k = len(path)
-    while k and path[k - 1] in TEXTUAL:
-        k -= 1
-    return path[:k]
+            self.in_link += 1
+        if not markup.endswith("/>"):
+            self.push(tag, markup)
+
+    def read(self, page: str) -> None:
+        at = 0
+        for m in TOKEN.finditer(page):
+            self.say(page[at : m.start()])
+            at = m.end()
+            name = NAME.match(m[0])
+            if m[1] or not name:
+                continue
+            tag = name[2].lower()
+            if tag in ("br", "img"):
+                self.text.append(" ")
+            elif tag == "hr":
+                self.flush()
+            elif tag not in VOID:
+                self.close(tag) if name[1] else self.open(tag, m[0])
+        self.say(page[at:])
+        self.flush()
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The page's paths, and its text blocks in order: path, text, characters inside links."""
+    reader = Reader()
+    reader.read(page)
+    return reader.paths, reader.out
+
+
+def smoothed(parent: list[int], value: list[float]) -> list[float]:
+    """Of each node of a trie the sum of all values, each times NEAR for every edge on the way: one pass up, one down."""
+    up = list(value)
+    for v in range(len(up) - 1, 0, -1):
+        up[parent[v]] += NEAR * up[v]
+    total = list(up)
+    for v in range(1, len(up)):
+        total[v] = up[v] + NEAR * (total[parent[v]] - NEAR * up[v])
+    return total
+
+
+def path_scores(paths: Paths, found: list[tuple[int, str, int]]) -> list[float]:
+    """Per path the fused score of its smoothed ratios, times the factors of its elements."""
+    length, marks, n = ([0.0] * len(paths.parent) for _ in range(3))
+    for path, text, links in found:
+        own = max(0, len(text) - links)
+        length[path] += own
+        marks[path] += len(PUNCTUATION.findall(text)) if own > links else 0
+        n[path] += 1
+    mean = lambda x: smoothed(paths.parent, [a / k if k else 0.0 for a, k in zip(x, n, strict=True)])
+    weight = smoothed(paths.parent, [float(k > 0) for k in n])
+    fused = (math.sqrt(a / w * (b / w + 0.1)) if w else 0.0 for a, b, w in zip(mean(length), mean(marks), weight, strict=True))
+    return [x * f * (IN_ARTICLE if inside else 1.0) for x, f, inside in zip(fused, paths.factor, paths.article, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks in order joined by a line feed; empty for null, empty and textless pages."""
-    found = blocks(page or "")
+    paths, found = blocks(page or "")
     if not found:
         return ""
-    scores = path_scores(found)
-    least = THRESHOLD * max(scores.values())
-    regions: dict[tuple[str, ...], float] = {}
-    linked: dict[tuple[str, ...], list[int]] = {}
-    for path, text, link_chars, _ in found:
-        r = _region(path)
-        regions[r] = max(regions.get(r, 0.0), scores[path])
+    scores = path_scores(paths, found)
+    least = THRESHOLD * max(scores[path] for path, _, _ in found)
+    best: dict[int, float] = {}
+    linked: dict[int, list[int]] = {}
+    for path, text, links in found:
+        r = paths.region[path]
+        best[r] = max(best.get(r, 0.0), scores[path])
         n = linked.setdefault(r, [0, 0])
-        n[0] += link_chars
+        n[0] += links
         n[1] += len(text)
-    good = {r for r, s in regions.items() if s >= least and 2 * linked[r][0] <= linked[r][1]}
+    good = {r for r, s in best.items() if s >= least and 2 * linked[r][0] <= linked[r][1]}
     if not good:
-        good = {max(regions, key=regions.get)}
-    return "\n".join(text for path, text, _, _ in found if _region(path) in good)
+        good = {max(best, key=best.get)}
+    return "\n".join(text for path, text, _ in found if paths.region[path] in good)
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html", out: str = "text") -> DataFrame:
