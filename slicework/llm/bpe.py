@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from slicework.llm.shared import materialize
 
 #: Bound of the table of frequent words, about 25 bytes each; what it doesn't hold is folded in place, with equal results.
-MAX_WORDS = 1 << 19
+MAX_WORDS = 1 << 20
 #: Stands for "not in the map".
 NO_RANK = 1 << 16
 #: Stands for two bytes that no piece has side by side.
@@ -35,6 +35,8 @@ NEVER = NO_RANK + 1
 MOST_RANKS = 0xD800 - 256
 #: Words of more bytes than this are folded by merging all like pairs in a step.
 LONG_WORD = 96
+#: More than the bytes of any word.
+PLACES = 1 << 31
 #: Words that are looked up together.
 CHUNK = 1_000_000
 
@@ -88,85 +90,75 @@ class RankMap:
         literal = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  Spark folds it to one literal
         inside = {t[k : k + 2] for t in ranks for k in range(len(t) - 1)}
         two = literal([ranks.get(x, NO_RANK if x in inside else NEVER) for a in range(256) for b in range(256) for x in [bytes([a, b])]], "bigint")
-        one = literal([ranks[bytes([b])] for b in range(256)], "bigint")
-        self.tables = F.struct(literal(slots.tolist(), "bigint").alias("slots"), literal(shift.tolist(), "bigint").alias("shift"), one.alias("one"), two.alias("two"))
+        self.two = two
+        self.one = literal([ranks[bytes([b])] for b in range(256)], "bigint")
+        self.slots, self.shift = literal(slots.tolist(), "bigint"), literal(shift.tolist(), "bigint")
         pieces = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             pieces[r] = t
         self.pieces = literal([t.hex() for t in pieces], "string")
         self.numbers = literal([r.to_bytes(4, "little").hex() for r in range(len(pieces))], "string")
 
-    def rank(self, t: Column, key: Column) -> Column:
+    def rank(self, key: Column) -> Column:
         """The rank of the piece that two pieces make, or NO_RANK; the key is the first times NO_RANK plus the second."""
-        slot = F.get(t["slots"], (key % self.p + F.get(t["shift"], key % self.q)) % self.p)
+        slot = F.get(self.slots, (key % self.p + F.get(self.shift, key % self.q)) % self.p)
         return _let(slot - key * NO_RANK, lambda r: F.when((r >= 0) & (r < NO_RANK), r).otherwise(F.lit(NO_RANK).cast("bigint")))
 
     def fold(self, word: Column) -> Column:
-        """Ids of a word: array<int>; none for the empty word. The tables are bound once, so they stand once in the plan.
+        """Ids of a word: array<int>; none for the empty word.
 
         Long words are cut between bytes that no piece has side by side, since no merge can join them.
         """
         chars = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+        pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.get(self.two, a * 256 + F.get(c, i + 1)))
+        part = lambda c, r: F.struct(c.alias("c"), r.alias("r"))
 
-        def parts(t: Column, c: Column) -> Column:
-            never = F.filter(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(t["two"], F.get(c, i - 1) * 256 + F.get(c, i)) == NEVER)
-            cut = lambda at: F.transform(at, lambda i, k: F.slice(c, i + 1, F.coalesce(F.get(at, k + 1), F.size(c)) - i))
-            return F.when(F.size(c) > LONG_WORD, _let(F.concat(F.array(F.lit(0)), never), cut)).otherwise(F.array(c))
-
-        each = lambda t: lambda c: F.when(F.size(c) > LONG_WORD, self._fold_long(t, c)).otherwise(self._fold_short(t, c))
-        ids = lambda t: _let(chars, lambda c: F.flatten(F.transform(parts(t, c), each(t))))
-        return F.when(F.octet_length(word) > 0, _let(self.tables, ids).cast("array<int>")).otherwise(F.array().cast("array<int>"))
-
-    def _fold_short(self, t: Column, chars: Column) -> Column:
-        """The state holds the ids, the ranks of the adjacent pairs, and the lowest of them; a merge looks up only the
-        two pairs that it makes."""
-        state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(r).alias("low"))
-        pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.get(t["two"], a * 256 + F.get(c, i + 1)))
-        start = state(F.transform(chars, lambda x: F.get(t["one"], x)), pairs(chars))
-
-        def merge(x: Column, r: Column, low: Column, at: Column) -> Column:
-            left = F.when(at > 1, F.get(x, at - 2) * NO_RANK + low)
-            right = F.when(at < F.size(r), low * NO_RANK + F.get(x, at + 1))
-            fresh = F.transform(F.array_compact(F.array(left, right)), lambda key: self.rank(t, key))
-            ranks = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), fresh, F.slice(r, at + 2, F.size(r)))
-            return _let(ranks, lambda new: state(F.concat(F.slice(x, 1, at - 1), F.array(low), F.slice(x, at + 2, F.size(x))), new))
+        def parts(c: Column, r: Column) -> Column:
+            never = F.filter(F.transform(r, lambda v, i: F.when(v == NEVER, i + 1).otherwise(-1)), lambda i: i > 0)
+            cut = lambda at: F.transform(at, lambda i, k: _let(F.coalesce(F.get(at, k + 1), F.size(c)) - i, lambda n: part(F.slice(c, i + 1, n), F.slice(r, i + 1, n - 1))))
+            return F.when(F.size(c) > LONG_WORD, _let(F.concat(F.array(F.lit(0)), never), cut)).otherwise(F.array(part(c, r)))
 
-        def step(acc: Column, _: Column) -> Column:
-            at = F.array_position(acc["r"], acc["low"]).cast("int")
-            return F.when(acc["low"] < NO_RANK, _let(at, lambda k: merge(acc["x"], acc["r"], acc["low"], k))).otherwise(acc)
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda acc: acc["x"])
-
-    def _fold_long(self, t: Column, chars: Column) -> Column:
-        """The state is a string with a character for each id, so one replacement merges all pairs that are like the
-        first of lowest rank, from left to right as single merges would. Where unlike pairs have that rank, as two
-        cuts of one piece can, only the first is merged, so the order of merges stays."""
-        sign = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 256), 4, "0")), "UTF-16BE")
-        codes = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 256).cast("bigint"))
+        ids = lambda c: _let(pairs(c), lambda r: F.flatten(F.transform(parts(c, r), self._fold)))
+        return F.when(F.octet_length(word) > 0, _let(chars, ids).cast("array<int>")).otherwise(F.array().cast("array<int>"))
 
-        def state(s: Column, c: Column) -> Column:
-            """With ``c``, the ids of ``s``: the lowest rank, the first pair that has it and where, and whether no other pair has it."""
-            keys = F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: a * NO_RANK + F.get(c, i + 1))
+    def _fold(self, part: Column) -> Column:
+        """The state holds the ids ``x``, the ranks ``r`` of the adjacent pairs, and ``m``: the lowest rank and its first place.
 
-            def about(key: Column, r: Column) -> Column:
-                low = F.array_min(r)
-                first = lambda v: F.struct(v.alias("low"), F.array_position(r, v).cast("int").alias("at"))
-                own = lambda f: F.struct(s.alias("s"), f["low"].alias("low"), f["at"].alias("at"), F.get(key, f["at"] - 1).alias("pair"))
-                alike = lambda o: F.struct(o["s"].alias("s"), o["low"].alias("low"), o["at"].alias("at"), o["pair"].alias("pair"), (~F.exists(F.zip_with(r, key, lambda v, k: (v == o["low"]) & (k != o["pair"])), lambda x: x)).alias("alike"))
-                return _let(_let(_let(low, first), own), alike)
-
-            return _let(keys, lambda key: _let(F.transform(key, lambda k: self.rank(t, k)), lambda r: about(key, r)))
-
-        fresh = lambda s: _let(s, lambda own: _let(codes(own), lambda c: state(own, c)))
+        A merge looks up only the two pairs that it makes. In a long part all pairs like the one at the first place
+        are merged at once, from left to right as single merges would; where unlike pairs have that rank, as two cuts
+        of one piece can, only the first is merged, so the order of merges stays.
+        """
+        long = F.size(part["c"]) > LONG_WORD
+        gone = F.lit(-1).cast("bigint")
+        state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(F.transform(r, lambda v, i: v * PLACES + i)).alias("m"))
+        kept = lambda x: F.filter(x, lambda v: v != -1)
+
+        def single(x: Column, low: Column, k: Column) -> Column:
+            return kept(F.transform(x, lambda v, i: F.when(i == k, low).when(i == k + 1, gone).otherwise(v)))
+
+        def every(x: Column, r: Column, low: Column, k: Column) -> Column:
+            sign = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 256), 4, "0")), "UTF-16BE")  # noqa: E731  runs of one id are merged in twos by a replacement in a string
+            text = F.replace(F.array_join(F.transform(x, sign), ""), F.repeat(sign(F.get(x, k)), 2), sign(low))
+            run = F.transform(F.split(text, ""), lambda c: (F.ascii(c) - 256).cast("bigint"))
+            apart = kept(F.transform(x, lambda v, i: F.when(F.get(r, i) == low, low).when(F.get(r, i - 1) == low, gone).otherwise(v)))
+            unlike = F.filter(r, lambda v, i: (v == low) & ((F.get(x, i) != F.get(x, k)) | (F.get(x, i + 1) != F.get(x, k + 1))))
+            return F.when(F.size(unlike) > 0, single(x, low, k)).when(F.get(x, k) == F.get(x, k + 1), run).otherwise(apart)
+
+        def merge(x: Column, r: Column, low: Column, k: Column) -> Column:
+            """Ranks that stay are passed on below -1, so that the look-up, and its literals, stand in one place."""
+            left, right = F.get(x, k - 1) * NO_RANK + low, low * NO_RANK + F.get(x, k + 2)
+            near = F.transform(r, lambda v, i: F.when((i < k - 1) | (i > k + 1), -2 - v).when(i == k - 1, left).when((i == k) & (k < F.size(r) - 1), right).otherwise(gone))
+            pairs = lambda y: F.transform(F.slice(y, 1, F.size(y) - 1), lambda a, i: a * NO_RANK + F.get(y, i + 1))
+            looked_up = lambda keys: F.transform(kept(keys), lambda z: F.when(z < -1, -2 - z).otherwise(self.rank(z)))
+            fresh = lambda y: _let(looked_up(F.when(long, pairs(y)).otherwise(near)), lambda new: state(y, new))
+            return _let(F.when(long, every(x, r, low, k)).otherwise(single(x, low, k)), fresh)
 
         def step(acc: Column, _: Column) -> Column:
-            pair = F.concat(sign(F.floor(acc["pair"] / NO_RANK)), sign(acc["pair"] % NO_RANK))
-            every = F.replace(acc["s"], pair, sign(acc["low"]))
-            single = F.concat(F.substring(acc["s"], F.lit(1), acc["at"] - 1), sign(acc["low"]), F.substring(acc["s"], acc["at"] + 2, F.length(acc["s"])))
-            return F.when(acc["low"] < NO_RANK, fresh(F.when(acc["alike"], every).otherwise(single))).otherwise(acc)
+            first = F.struct(F.shiftright(acc["m"], 31).alias("low"), acc["m"].bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("k"))
+            return F.when(acc["m"] < NO_RANK * PLACES, _let(first, lambda f: merge(acc["x"], acc["r"], f["low"], f["k"]))).otherwise(acc)
 
-        start = F.array_join(F.transform(chars, lambda b: sign(F.get(t["one"], b))), "")
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), fresh(start), step, lambda acc: codes(acc["s"]))
+        start = state(F.transform(part["c"], lambda b: F.get(self.one, b)), part["r"])
+        return F.aggregate(F.sequence(F.lit(1), F.size(part["c"])), start, step, lambda acc: acc["x"])
 
     def packed(self, ids: Column) -> Column:
         """Ids as little-endian 32-bit integers."""
