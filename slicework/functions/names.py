@@ -8,10 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of a slice name: plane, slice, tile and the two spacings, perhaps a further index.
-SLICE_NAME = r"__(axial|sagittal)__s(\d{4})(?:__t(\d{3}))?__sp(\d{4,5})x(\d{4,5})(?:_(\d+))?\.png$"
-#: Contrasts that names carry, in order of preference, and the names that merge (fixed values).
-CONTRASTS = "T1w|T2w|T2starw|T2star|MTon|MToff|MTS|PSIR|STIR|FLAIR|UNIT1"
+#: Patterns and lists that must read the names and logs of existing data (fixed values): the stem of a slice name with
+#: plane, slice, tile, two spacings and perhaps a further index; contrasts, which merge by the aliases; a patch name;
+#: key and number of a training log.
+SLICE_NAME = r"(?i)^.*__(sagittal|axial)__s(\d{3,6})__t(\d{3,6})__sp(\d{3,4})x(\d{3,4})(?:__(\d+))?$"
+SPACING = r"(?i)__sp(\d{3,4})x(\d{3,4})"
+TILE = r"(?i)__t\d{3,6}__"
+CONTRASTS = "T2starw|T2star|T1w|T2w|MTS|FLAIR|PSIR|MP2RAGE|STIR|PDw|T1rho|MTon|MToff|bold"
+PATCH_NAME = r"^(sub-\d+)_acq-(?:sag|ax)_rec-(\d+)_(T1w|T2w)_desc-"
+LOG_KEY_VALUE = r"([A-Za-z][A-Za-z0-9 _/\-]*?):\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
 ALIASES = {"T2starw": "T2star(w)", "T2star": "T2star(w)", "MTon": "MTS", "MToff": "MTS"}
 #: Keys of training logs that are no metrics (fixed values).
 NO_METRICS = ("Global Rank", "Memory")
@@ -52,26 +57,27 @@ def slice_name(src: Column, base: Column, plane: Column, idx: Column, tile: Colu
 
 
 def parse_slice_name(c: Column) -> Column:
-    """Struct of the parts; its fields are null where the name doesn't fit."""
+    """Struct of the parts of a slice's file name; its fields are null where the name doesn't fit."""
+    stem = F.regexp_replace(c, r"\.[^./]*$", "")
     kinds = (("plane", "string"), ("slice", "int"), ("tile", "int"), ("sp_h", "int"), ("sp_w", "int"), ("extra", "int"))
-    return F.struct(*[found(c, SLICE_NAME, i + 1).cast(k).alias(n) for i, (n, k) in enumerate(kinds)])
+    return F.struct(*[found(stem, SLICE_NAME, i + 1).cast(k).alias(n) for i, (n, k) in enumerate(kinds)])
 
 
 def parse_spacing(c: Column) -> Column:
     """Millimetres from a name; a spacing of 10 mm or more has five digits, of which only four can be read."""
-    of = lambda i: found(c, r"__sp(\d{3,4})x(\d{3,4})", i).cast("double") / 1000
+    of = lambda i: found(c, SPACING, i).cast("double") / 1000
     return F.struct(of(1).alias("h"), of(2).alias("w"))
 
 
 def replace_spacing(c: Column, mm: float) -> Column:
     um = round(mm * 1000)
-    return F.regexp_replace(c, r"__sp\d{3,4}x\d{3,4}", f"__sp{um:04d}x{um:04d}")
+    return F.regexp_replace(c, SPACING, f"__sp{um:04d}x{um:04d}")
 
 
 def tile_stem(c: Column, tile_id: Column) -> Column:
     tag = F.format_string("__t%03d", tile_id.cast("int"))
-    marked = F.concat(F.regexp_extract(c, r"^(.*?)__t\d{3,6}__", 1), tag, F.lit("__"), F.regexp_extract(c, r"__t\d{3,6}__(.*)$", 1))
-    return F.when(c.rlike(r"__t\d{3,6}__"), marked).otherwise(F.concat(c, tag))
+    marked = F.concat(F.regexp_extract(c, r"(?i)^(.*?)__t\d{3,6}__", 1), tag, F.lit("__"), F.regexp_extract(c, r"(?i)__t\d{3,6}__(.*)$", 1))
+    return F.when(c.rlike(TILE), marked).otherwise(F.concat(c, tag))
 
 
 def dataset_from_url(c: Column) -> Column:
@@ -80,7 +86,8 @@ def dataset_from_url(c: Column) -> Column:
 
 
 def parse_bids(c: Column) -> Column:
-    return F.struct(found(c, r"^(sub-[^_]+)").alias("subject"), found(c, r"_rec-([^_]+)").alias("recording"), found(c, r"_(T1w|T2w|T2star|PD)(?:_|\.)").alias("modality"))
+    """Subject, recording and modality of a patch name; null where it doesn't fit."""
+    return F.struct(*[found(c, PATCH_NAME, i + 1).alias(x) for i, x in enumerate(("subject", "recording", "modality"))])
 
 
 def subject_of(c: Column, sep: str = "_") -> Column:
@@ -102,7 +109,7 @@ def split_label_key(c: Column) -> Column:
 
 
 def contrast_of(c: Column) -> Column:
-    raw = found(c, f"_({CONTRASTS})(?:_|\\.|$)")
+    raw = found(c, f"_({CONTRASTS})__")
     out = F.when(raw.isNull(), F.lit("unknown"))
     for a, b in ALIASES.items():
         out = out.when(raw == a, F.lit(b))
@@ -111,7 +118,7 @@ def contrast_of(c: Column) -> Column:
 
 def dataset_of(path: Column, name: Column) -> Column:
     p = F.split(path, "/")
-    return F.when(F.size(p) >= 3, F.get(p, F.lit(1))).otherwise(F.coalesce(found(name, r"^(.*?)__sub"), F.lit("unknown")))
+    return F.when(F.size(p) >= 3, F.get(p, F.lit(1))).otherwise(F.coalesce(found(name, r"^([^_]+)(?=__sub)"), F.lit("unknown")))
 
 
 def orientation_of(c: Column) -> Column:
@@ -127,10 +134,15 @@ def strip_channel_suffix(c: Column) -> Column:
 
 
 def model_short_name(c: Column) -> Column:
-    """The last part of a model path that says something; a hub folder ``models--org--name`` gives ``name``."""
-    told = F.filter(F.split(c, "/"), lambda p: (p != "") & ~p.isin("snapshots", "blobs", "refs") & ~p.rlike("^[0-9a-f]{40}$"))
-    last = F.element_at(told, -1)
-    return F.when(last.startswith("models--"), F.element_at(F.split(last, "--"), -1)).otherwise(last)
+    """The last part of a model path that says something; a hub folder ``models--org--name`` gives ``name``.
+
+    Folders of a hub's cache and hashes, eight hexadecimal digits or more, say nothing. If no part does, the last one
+    is taken, and ``fm`` for a path without parts.
+    """
+    parts = F.filter(F.split(c, "/"), lambda p: ~p.isin("", "."))
+    told = F.filter(parts, lambda p: ~p.isin("snapshots", "blobs", "refs") & ~p.rlike("^[0-9a-fA-F]{8,}$"))
+    last = F.coalesce(F.get(told, F.size(told) - 1), F.when(c.startswith("/"), "/"), F.get(parts, F.size(parts) - 1), F.lit("fm"))
+    return F.when(last.rlike("^models--.*--"), F.element_at(F.split(last, "--"), -1)).otherwise(last)
 
 
 def feature_key(name: Column, suffix: str = "", prefix: str = "patch_tokens") -> Column:
@@ -138,7 +150,7 @@ def feature_key(name: Column, suffix: str = "", prefix: str = "patch_tokens") ->
 
 
 def parse_iteration(c: Column) -> Column:
-    return found(c, r"Iteration:\s*(\d+)\s*/").cast("long")
+    return found(c, r"(?i)Iteration:\s*(\d+)\s*/\s*\d+").cast("long")
 
 
 def parse_ts(c: Column) -> Column:
@@ -146,11 +158,12 @@ def parse_ts(c: Column) -> Column:
 
 
 def parse_log_kv(df: DataFrame, line: str = "line", keep: tuple[str, ...] = ("run", "line_no")) -> DataFrame:
-    """One row for each metric of a log line: run, line_no, iter, ts, key, value."""
-    body = F.regexp_replace(F.col(line), r"^.*? - INFO - ", "")
-    keys = F.regexp_extract_all(body, F.lit(r"([A-Za-z][A-Za-z0-9_ ]*?):\s*([-+]?\d+(?:\.\d+)?)"), F.lit(1))
-    values = F.regexp_extract_all(body, F.lit(r"([A-Za-z][A-Za-z0-9_ ]*?):\s*([-+]?\d+(?:\.\d+)?)"), F.lit(2))
-    out = df.select(*keep, parse_iteration(F.col(line)).alias("iter"), parse_ts(F.col(line)).alias("ts"), F.explode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("kv"))
+    """One row for each metric of a log line: run, line_no, iter, ts, key, value. Of a key that a line repeats the last counts."""
+    part = lambda i: F.regexp_extract_all(line, F.lit(LOG_KEY_VALUE), F.lit(i))
+    pairs = F.arrays_zip(F.transform(part(1), F.trim).alias("k"), part(2).alias("v"))
+    own = df.select(*keep, parse_iteration(F.col(line)).alias("iter"), parse_ts(F.col(line)).alias("ts"), pairs.alias("kv"))
+    last = F.filter("kv", lambda x, i: ~F.exists(F.slice("kv", i + 2, F.size("kv")), lambda y: y["k"] == x["k"]))
+    out = own.select(*keep, "iter", "ts", F.explode(last).alias("kv"))
     return out.select(*keep, "iter", "ts", F.col("kv.k").alias("key"), F.col("kv.v").cast("double").alias("value")).where(~F.col("key").isin(*NO_METRICS))
 
 

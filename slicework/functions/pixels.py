@@ -92,6 +92,11 @@ def overlap_px(tile: int, pct: float) -> int:
     return max(0, min(tile - 1, round(tile * pct / 100)))
 
 
+def overlap_of(tile: Column, pct: Column) -> Column:
+    """The same of columns; null where the percentage is out of range."""
+    return F.when((pct >= 0) & (pct < 100), F.greatest(F.lit(0), F.least(tile - 1, F.bround(tile * pct / 100, 0).cast("int"))))
+
+
 def sliding_positions(n: Column, tile: int, overlap: int) -> Column:
     """Starts of windows along an axis: strides, and a last one that reaches the end; one if the axis is short."""
     last = n - tile

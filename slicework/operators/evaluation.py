@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from slicework.functions.pixels import argmax, log_softmax, softmax
+from slicework.operators.splits import numbered
 
 
 def with_prediction(df: DataFrame) -> DataFrame:
@@ -105,10 +106,13 @@ def cross_entropy(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def weighted_cross_entropy(df: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 4.0), by: list[str] | None = None) -> DataFrame:
     """Clipped, renormalised probabilities; the mean is over samples, not over weights."""
+    return df.groupBy(*(by or [])).agg(F.avg(_weighted_loss(weights)).alias("wbce"))
+
+
+def _weighted_loss(weights: tuple[float, ...]) -> Column:
     p = F.transform(softmax(F.col("logits")), lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(1e-7)))
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    loss = -F.get(F.array(*map(F.lit, weights)), F.col("y")) * F.ln(F.get(p, F.col("y")) / total)
-    return df.groupBy(*(by or [])).agg(F.avg(loss).alias("wbce"))
+    return -F.get(F.array(*map(F.lit, weights)), F.col("y")) * F.ln(F.get(p, F.col("y")) / total)
 
 
 def auc_ovr(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -119,7 +123,11 @@ def auc_ovr(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     long = df.select(*by, "y", F.size("logits").alias("k"), F.posexplode(softmax(F.col("logits"))).alias("class", "s")).where("k <> 2 or class = 1")
-    tied = long.groupBy(*by, "class", "s").agg(F.sum((F.col("y") == F.col("class")).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return _auc_of_weighted(long.groupBy(*by, "class", "s").agg(F.sum((F.col("y") == F.col("class")).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), by)
+
+
+def _auc_of_weighted(tied: DataFrame, by: list[str]) -> DataFrame:
+    """From ``by``, ``class``, distinct score ``s``, and how many samples, ``n``, and of the class, ``pos``, have it."""
     w = W.partitionBy(*by, "class").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     tied = tied.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
     neg = F.col("n") - F.col("pos")
@@ -129,25 +137,70 @@ def auc_ovr(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return auc.groupBy(*by).agg(F.when(complete, F.avg("auc")).alias("auc_macro"), F.when(complete, F.sum(F.col("auc") * F.col("np")) / F.sum("np")).alias("auc_weighted"))
 
 
+def _losses() -> tuple[Column, Column]:
+    """Cross entropy and weighted cross entropy of a row; see ``cross_entropy`` and ``weighted_cross_entropy``."""
+    return -F.get(log_softmax(F.col("logits")), F.col("y")), _weighted_loss((1.0, 2.0, 4.0))
+
+
 def evaluate(df: DataFrame, by: list[str]) -> DataFrame:
-    """All metrics in one row for each group."""
-    parts = [accuracy(df, by), balanced_accuracy(df, by), f1(df, by), agreement(df, by), cross_entropy(df, by), weighted_cross_entropy(df, by=by), auc_ovr(df, by)]
-    return reduce(lambda a, b: a.join(b, by), parts)
+    """All metrics in one row for each group.
+
+    One confusion table, with the sums of the losses, gives all but the AUC: of each group its cells, as many as pairs
+    of classes, are gathered in an array. With t, q the sums of true and predicted class, i their place among the sorted
+    classes, s the number of samples: expected disagreement is (s s - sum t q) / s, squared
+    sum t i i + sum q i i - 2 (sum t i) (sum q i) / s.
+    """
+    plain, weighted = _losses()
+    cells = with_prediction(df).groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(plain).alias("plain"), F.sum(weighted).alias("weighted"))
+    own = cells.groupBy(*by).agg(F.collect_list(F.struct("y", "p", "n")).alias("cells"), (F.sum("plain") / F.sum("n")).alias("cross_entropy"), (F.sum("weighted") / F.sum("n")).alias("wbce"))
+    add = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    own = own.withColumn("classes", F.array_sort(F.array_distinct(F.flatten(F.transform("cells", lambda x: F.array(x["y"], x["p"]))))))
+    place = lambda c: F.array_position("classes", c).cast("double")
+    count = lambda c, f: add("cells", lambda x: F.when(f(x, c), x["n"].cast("double")).otherwise(0.0))
+    each = F.transform("classes", lambda c: F.struct(place(c).alias("i"), count(c, lambda x, c: (x["y"] == c) & (x["p"] == c)).alias("h"), count(c, lambda x, c: x["y"] == c).alias("t"), count(c, lambda x, c: x["p"] == c).alias("q")))
+    own = own.withColumn("each", each)
+    sums = {
+        "s": lambda x: x["t"], "c": lambda x: x["h"], "tq": lambda x: x["t"] * x["q"], "tt": lambda x: x["t"] ** 2, "qq": lambda x: x["q"] ** 2,
+        "ti": lambda x: x["t"] * x["i"], "qi": lambda x: x["q"] * x["i"], "ii": lambda x: (x["t"] + x["q"]) * x["i"] ** 2,
+        "recalls": lambda x: _ratio(x["h"], x["t"]), "f1s": lambda x: _ratio(2 * x["h"], x["t"] + x["q"]), "f1t": lambda x: _ratio(2 * x["h"], x["t"] + x["q"]) * x["t"],
+    }
+    own = own.select(*by, "cross_entropy", "wbce", "each", add("cells", lambda x: x["n"] * place(x["y"]) * place(x["p"])).alias("ij"), *[add("each", f).alias(k) for k, f in sums.items()])
+    s, tq = F.col("s"), F.col("tq")
+    under = F.sqrt((s * s - F.col("qq")) * (s * s - F.col("tt")))
+    out = own.select(
+        *by,
+        (F.col("c") / s).alias("accuracy"),
+        (F.col("recalls") / F.size(F.filter("each", lambda x: x["t"] > 0))).alias("balanced_accuracy"),
+        (F.col("f1s") / F.size("each")).alias("f1_macro"),
+        (F.col("f1t") / s).alias("f1_weighted"),
+        (1 - (s - F.col("c")) * s / F.nullif(s * s - tq, F.lit(0.0))).alias("kappa"),
+        (1 - (F.col("ii") - 2 * F.col("ij")) / F.nullif(F.col("ii") - 2 * F.col("ti") * F.col("qi") / s, F.lit(0.0))).alias("qwk"),
+        F.coalesce((F.col("c") * s - tq) / F.nullif(under, F.lit(0.0)), F.lit(0.0)).alias("mcc"),
+        "cross_entropy",
+        "wbce",
+    )
+    return out.join(auc_ovr(df, by), by)
 
 
 def bootstrap_ci(df: DataFrame, key: str = "sample_id", draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and 95 % interval of the accuracy over resamples with replacement.
+    """``metric``, ``mean``, ``ci_low``, ``ci_high``, ``n_draws``: accuracy and one-against-rest AUC, macro and weighted,
+    over resamples with replacement. Resamples that lack a class have no AUC and don't count for it.
 
-    Samples are numbered; draw i of resample b is the sample whose number the MD5 of seed, b and i gives. Hits are
-    looked up by number, so only the numbered hits are sent around and every resample is one partial sum.
+    Samples are numbered in the order of a digest of their key, by buckets; draw k of resample b is the sample whose
+    number the MD5 of seed, b and k gives. Draws are counted by resample and number before they meet the samples.
     """
     spark = df.sparkSession
-    hits = with_prediction(df).select(F.row_number().over(W.orderBy(key)).alias("i"), (F.col("y") == F.col("p")).cast("double").alias("hit"))
+    own = with_prediction(df).select(key, "y", softmax(F.col("logits")).alias("s"), (F.col("y") == F.col("p")).cast("double").alias("hit"))
+    samples = numbered(own, F.md5(F.concat_ws("/", F.lit(str(seed)), key)), key, out="i")
     n = df.count()
-    pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed).cast("string"), "b", "k")), 1, 13), 16, 10).cast("bigint")
-    grid = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("b", (pick % n + 1).alias("i"))
-    each = grid.groupBy("b", "i").agg(F.count(F.lit(1)).alias("m")).join(hits, "i").groupBy("b").agg((F.sum(F.col("m") * F.col("hit")) / F.sum("m")).alias("v"))
-    return each.agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "b", "k")), 1, 13), 16, 10).cast("bigint")
+    grid = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("b", (pick % n).alias("i"))
+    drawn = grid.groupBy("b", "i").agg(F.count(F.lit(1)).alias("m")).join(samples, "i")
+    hits = drawn.groupBy("b").agg((F.sum(F.col("m") * F.col("hit")) / F.sum("m")).alias("accuracy"))
+    long = drawn.select("b", "y", "m", F.size("s").alias("k"), F.posexplode("s").alias("class", "v")).where("k <> 2 or class = 1")
+    aucs = _auc_of_weighted(long.groupBy("b", "class", "v").agg(F.sum(F.when(F.col("y") == F.col("class"), F.col("m")).otherwise(0)).alias("pos"), F.sum("m").alias("n")).withColumnRenamed("v", "s"), ["b"])
+    each = hits.join(aucs, "b").select("b", F.expr("stack(3, 'accuracy', accuracy, 'auc_macro', auc_macro, 'auc_weighted', auc_weighted) as (metric, v)"))
+    return each.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"), F.count("v").alias("n_draws"))
 
 
 def balanced_class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -181,10 +234,14 @@ def weighted_mean(df: DataFrame, value: str, size: str, by: list[str]) -> DataFr
 
 
 def sinkhorn(scores: DataFrame, temperature: float, iterations: int = 3) -> DataFrame:
-    """Balanced soft assignment of ``sample`` to ``proto`` from ``score``: rows and columns normalised in turn."""
-    df = scores.withColumn("q", F.exp((F.col("score") - F.max("score").over(W.partitionBy())) / temperature))
-    k, b = (F.lit(float(scores.select(c).distinct().count())) for c in ("proto", "sample"))
+    """Balanced soft assignment of ``sample`` to ``proto`` from ``score``: rows and columns normalised in turn.
+
+    Sums of a prototype are partial sums of all tasks, one row a prototype; a sample's rows, one a prototype, stay together.
+    """
+    top = scores.agg(F.max("score").alias("top"), F.count_distinct("proto").alias("k"), F.count_distinct("sample").alias("b"))
+    df = scores.join(F.broadcast(top), F.lit(True)).withColumn("q", F.exp((F.col("score") - F.col("top")) / temperature))  # one row
     for _ in range(iterations):
-        df = df.withColumn("q", F.col("q") / F.sum("q").over(W.partitionBy("proto")) / k)
-        df = df.withColumn("q", F.col("q") / F.sum("q").over(W.partitionBy("sample")) / b)
-    return df.withColumn("q", F.col("q") * b)
+        sums = df.groupBy("proto").agg(F.sum("q").alias("sum"))
+        df = df.join(sums, "proto").withColumn("q", F.col("q") / F.col("sum") / F.col("k")).drop("sum")
+        df = df.withColumn("q", F.col("q") / F.sum("q").over(W.partitionBy("sample")) / F.col("b"))
+    return df.withColumn("q", F.col("q") * F.col("b")).select(*scores.columns, "q")

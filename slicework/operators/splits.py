@@ -13,6 +13,32 @@ def draw(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("/", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
+def numbered(df: DataFrame, digest: Column, tie: str, by: tuple[str, ...] = (), out: str = "__i", digits: int = 4) -> DataFrame:
+    """``df`` with positions from 0 in the order of a hexadecimal digest, then of ``tie``, in each group of ``by``.
+
+    The digest's first digits are buckets in that order; rows are ranked inside a bucket, and the counts of the
+    buckets before, 16 ** digits of them at most in a group, are added. So no task holds a whole group.
+    """
+    dealt = df.withColumn("__d", digest).withColumn("__b", F.substring("__d", 1, digits))
+    keys = [*by, "__b"]
+    sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = dealt.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy("__d", tie)))
+    on = [inside[k].eqNullSafe(offsets[k]) for k in keys]
+    kept = [inside[c] for c in df.columns]
+    return inside.join(offsets, on).select(*kept, (F.col("__before") + F.col("__r") - 1).alias(out))
+
+
+def numbered_by_key(df: DataFrame, key: str, out: str = "__i", cuts: int = 255) -> DataFrame:
+    """``df`` with positions from 0 in the order of its distinct keys, by buckets between cuts that a random choice of
+    so many keys gives; any cuts are right, and these are even."""
+    chosen = sorted(r[0] for r in df.where(F.col(key).isNotNull()).orderBy(draw("cut", F.col(key)), key).limit(cuts).select(key).collect())
+    kind = df.schema[key].dataType
+    bucket = F.size(F.filter(F.array(*[F.lit(x).cast(kind) for x in chosen]), lambda x: x <= F.col(key))) if chosen else F.lit(0)
+    return numbered(df, F.format_string("%04x", F.greatest(bucket, F.lit(0))), key, out=out)
+
+
 def label_encode(df: DataFrame, column: str, out: str = "target") -> DataFrame:
     """Position of each class among the sorted distinct ones."""
     classes = df.select(column).distinct().withColumn(out, F.dense_rank().over(W.orderBy(column)) - 1)
@@ -21,17 +47,17 @@ def label_encode(df: DataFrame, column: str, out: str = "target") -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, val: float = 0.15, seed: int = 42) -> DataFrame:
     """The exact share of each class, rounded half to even, goes to ``val``."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(draw(seed, F.col(key)), key))
-    quota = half_even(F.count(F.lit(1)).over(W.partitionBy(label)) * val)
-    return df.withColumn("side", F.when(rank <= quota, "val").otherwise("train"))
+    quota = df.groupBy(F.col(label).alias("__label")).agg(half_even(F.count(F.lit(1)) * val).alias("__quota"))
+    ranked = numbered(df, draw(seed, F.col(key)), key, by=(label,))
+    side = F.when(F.col("__i") < F.col("__quota"), "val").otherwise("train")
+    return ranked.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("__label"))).withColumn("side", side).drop("__i", "__label", "__quota")  # one row for each class
 
 
 def shuffled_split(ids: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Of distinct ids the share goes to ``val``, one at least."""
-    n = ids.select(key).distinct().withColumn("__d", draw(seed, F.col(key)))
+    n = ids.select(key).distinct()
     cut = n.groupBy().agg(F.greatest(F.lit(1), half_even(F.count(F.lit(1)) * share).cast("int")).alias("n_val"))
-    rank = F.row_number().over(W.orderBy("__d", key))
-    return n.withColumn("__r", rank).join(F.broadcast(cut), F.lit(True)).select(key, F.when(F.col("__r") <= F.col("n_val"), "val").otherwise("train").alias("side"))
+    return numbered(n, draw(seed, F.col(key)), key).join(F.broadcast(cut), F.lit(True)).select(key, F.when(F.col("__i") < F.col("n_val"), "val").otherwise("train").alias("side"))
 
 
 def centred_block(df: DataFrame, subject: str, order: str, size: int) -> DataFrame:
@@ -43,33 +69,34 @@ def centred_block(df: DataFrame, subject: str, order: str, size: int) -> DataFra
 
 def epoch_manifest(df: DataFrame, key: str, size: int, epoch: int, seed: int, world: int, shuffle: bool = True) -> DataFrame:
     """``position``, ``rank`` and sample of one epoch: ids tiled to the size, then dealt to ranks in strides."""
-    n = df.select(key).distinct().count()
-    copies = -(-size // max(n, 1))
-    tiled = df.select(key).distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    order = [draw(seed, epoch, F.col(key), F.col("copy"))] if shuffle else []
-    at = F.row_number().over(W.orderBy("copy", *order, key)) - 1
-    return tiled.select(key, at.alias("position")).where(F.col("position") < size).select(F.lit(epoch).alias("epoch"), "position", (F.col("position") % world).alias("rank"), key)
+    ids = df.select(key).distinct()
+    n = ids.count()
+    copies = F.explode(F.sequence(F.lit(0), F.lit(-(-size // max(n, 1)) - 1)))
+    if shuffle:
+        placed = numbered(ids.withColumn("copy", copies), draw(seed, epoch, F.col(key), F.col("copy")), key, by=("copy",))
+    else:
+        placed = numbered_by_key(ids, key).withColumn("copy", copies)
+    position = (F.col("copy").cast("long") * n + F.col("__i")).alias("position")
+    return placed.select(key, position).where(F.col("position") < size).select(F.lit(epoch).alias("epoch"), "position", (F.col("position") % world).alias("rank"), key)
 
 
 def endless_manifest(df: DataFrame, key: str, epochs: int, advance: int, seed: int, world: int) -> DataFrame:
     """Fresh permutations one after another, dealt in strides, the first ``advance`` items of each rank left out."""
     n = df.select(key).distinct()
     every = n.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    inside = F.row_number().over(W.partitionBy("epoch").orderBy(draw(seed, F.col("epoch"), F.col(key)), key)) - 1
+    inside = numbered(every, draw(seed, F.col("epoch"), F.col(key)), key, by=("epoch",))
     sizes = n.agg(F.count(F.lit(1)).alias("__n"))
-    out = every.withColumn("__i", inside).join(F.broadcast(sizes), F.lit(True)).select("epoch", (F.col("epoch") * F.col("__n") + F.col("__i")).alias("position"), key)
+    out = inside.join(F.broadcast(sizes), F.lit(True)).select("epoch", (F.col("epoch") * F.col("__n") + F.col("__i")).alias("position"), key)
     return out.withColumn("rank", F.col("position") % world).withColumn("turn", F.floor(F.col("position") / world)).where(F.col("turn") >= advance)
 
 
 def sharded_manifest(df: DataFrame, key: str, passes: int, seed: int, world: int) -> DataFrame:
     """One permutation dealt to ranks evenly (leftover rows go); each rank shuffles its own share anew in each pass."""
     n = df.select(key).distinct()
-    at = F.row_number().over(W.orderBy(draw(seed, F.col(key)), key)) - 1
     full = n.agg((F.floor(F.count(F.lit(1)) / world) * world).alias("__full"))
-    own = n.withColumn("__i", at).join(F.broadcast(full), F.lit(True)).where("__i < __full").withColumn("rank", F.col("__i") % world)
+    own = numbered(n, draw(seed, F.col(key)), key).join(F.broadcast(full), F.lit(True)).where("__i < __full").select(key, (F.col("__i") % world).alias("rank"))
     own = own.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    inside = F.row_number().over(W.partitionBy("pass", "rank").orderBy(draw(seed, F.col("pass"), F.col("rank"), F.col(key)), key)) - 1
-    return own.select("pass", "rank", inside.alias("turn"), key)
+    return numbered(own, draw(seed, F.col("pass"), F.col("rank"), F.col(key)), key, by=("pass", "rank"), out="turn").select("pass", "rank", "turn", key)
 
 
 def sample_cap(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -77,19 +104,35 @@ def sample_cap(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(draw(seed, F.col(key)), key).limit(n)
 
 
-def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0, buckets: int = 64) -> DataFrame:
+def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0, rows_per_bucket: int = 256) -> DataFrame:
     """``n`` draws with replacement in proportion to weight: ``draw_id`` and the key.
 
-    Sums run inside hash buckets; a bucket's offset comes from the small table of bucket sums, so no task sees all
-    rows. A draw finds its bucket first, then its row inside.
+    Rows stand in 4096 wide buckets, each of them in as many narrow ones as the number of rows asks for. A draw finds
+    its wide bucket by a table of 4096 rows, then its narrow one, then its row, so no task sees all rows and no draw
+    is held against more than some hundreds of them. Ends are those of the row or bucket before, so every draw has
+    exactly one.
     """
-    rows = df.select(key, F.col(weight).cast("double").alias("wt"), F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)).alias("b"))
-    upto = F.sum("wt").over(W.partitionBy("b").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("wt"))
-    sums = rows.groupBy("b").agg(F.sum("wt").alias("t"))
-    over = W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)  # one row for each bucket
-    sums = sums.withColumn("bhi", F.sum("t").over(over)).withColumn("blo", F.col("bhi") - F.col("t")).withColumn("all", F.sum("t").over(W.partitionBy()))
+    weighed = df.select(key, F.col(weight).cast("double").alias("wt")).where("wt > 0")
+    narrow = max(1, -(-weighed.count() // (4096 * rows_per_bucket)))
+    digest = F.md5(F.col(key).cast("string"))
+    number = lambda a, k: F.conv(F.substring(digest, a, k), 16, 10).cast("int")
+    rows = weighed.withColumn("wide", number(1, 3)).withColumn("narrow", number(4, 6) % narrow)
+
+    def ends(sums: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+        """Running sums ``hi`` in each group, the ``lo`` before, none above the last one."""
+        w = W.partitionBy(*by).orderBy(order)
+        hi = F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0))
+        out = sums.withColumn(f"{name}_hi", hi).withColumn(f"{name}_lo", F.coalesce(F.lag(f"{name}_hi").over(w), F.lit(0.0)))
+        last = F.lead(f"{name}_lo").over(w).isNull()
+        return out.withColumn(f"{name}_end", F.when(last, F.lit(float("inf"))).otherwise(F.col(f"{name}_hi")))
+
+    sums = rows.groupBy("wide", "narrow").agg(F.sum("wt").alias("t"))
+    inner = ends(sums, ["wide"], "narrow", "t", "n")
+    outer = ends(sums.groupBy("wide").agg(F.sum("t").alias("t")), [], "wide", "t", "w")  # 4096 rows at most
+    outer = outer.withColumn("all", F.max("w_hi").over(W.partitionBy()))
+    placed = ends(rows, ["wide", "narrow"], key, "wt", "r")
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw_id"), hash_uniform(F.concat_ws("/", F.lit(str(seed)), "id")).alias("u"))
-    placed = draws.join(F.broadcast(sums), (F.col("u") * F.col("all") >= F.col("blo")) & (F.col("u") * F.col("all") < F.col("bhi")))
-    placed = placed.select("draw_id", "b", (F.col("u") * F.col("all") - F.col("blo")).alias("at"))
-    return placed.join(rows, (placed["b"] == rows["b"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw_id", key)
+    inside = lambda at, name: (at >= F.col(f"{name}_lo")) & (at < F.col(f"{name}_end"))
+    one = draws.join(F.broadcast(outer), inside(F.col("u") * F.col("all"), "w")).select("draw_id", "wide", (F.col("u") * F.col("all") - F.col("w_lo")).alias("at"))
+    two = one.join(inner, "wide").where(inside(F.col("at"), "n")).select("draw_id", "wide", "narrow", (F.col("at") - F.col("n_lo")).alias("at"))
+    return two.join(placed, ["wide", "narrow"]).where(inside(F.col("at"), "r")).select("draw_id", key)

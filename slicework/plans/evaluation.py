@@ -86,19 +86,31 @@ def _(t):
     return rounded(ev.auc_ovr(t.predictions), "auc_macro", "auc_weighted")
 
 
-BUNDLE_P = P.replace("from fx_predictions", "from fx_predictions where task = 'scs'")
-BUNDLE = AUC.replace(P, BUNDLE_P) + AG[len(P):]
+def bundle(task: str) -> str:
+    """All metrics of one task, by the formulas above."""
+    own = AUC.replace("from fx_predictions", f"from fx_predictions where task = '{task}'") + AG[len(P):]
+    return f"select * from (with {own}, cl as (select y, list_transform(s, lambda v: greatest(least(v,1.0),1e-7)) c from sm) select '{task}' as task, (select {R('avg((y=p)::int)')} from pr) as accuracy, (select {R('avg(rec)')} from f where t>0) as balanced_accuracy, (select {R('avg(f1)')} from f) as f1_macro, (select {R('sum(f1*t)/sum(t)')} from f) as f1_weighted, (select {R('1-sum(case when i<>j then o else 0 end)/sum(case when i<>j then e else 0 end)')} from g) as kappa, (select {R('1-sum(o*(i-j)*(i-j))/sum(e*(i-j)*(i-j))')} from g) as qwk, (select round(coalesce((sum(tp)*max(s)-sum(t*q))/nullif(sqrt((max(s)*max(s)-sum(q*q))*(max(s)*max(s)-sum(t*t))),0),0),6) from pc cross join tot) as mcc, (select {R('avg(-(logits[y+1]-list_max(logits)-ln(list_sum(e))))')} from pr) as cross_entropy, (select {R(WB)} from cl) as wbce, (select {R('avg(auc)')} from au) as auc_macro, (select {R('sum(auc*np)/sum(np)')} from au) as auc_weighted)"
 
 
-@query("a16_metric_bundle", f"with {BUNDLE}, cl as (select y, list_transform(s, lambda v: greatest(least(v,1.0),1e-7)) c from sm) select 'scs' as task, (select {R('avg((y=p)::int)')} from pr) as accuracy, (select {R('avg(rec)')} from f where t>0) as balanced_accuracy, (select {R('avg(f1)')} from f) as f1_macro, (select {R('sum(f1*t)/sum(t)')} from f) as f1_weighted, (select {R('1-sum(case when i<>j then o else 0 end)/sum(case when i<>j then e else 0 end)')} from g) as kappa, (select {R('1-sum(o*(i-j)*(i-j))/sum(e*(i-j)*(i-j))')} from g) as qwk, (select round(coalesce((sum(tp)*max(s)-sum(t*q))/nullif(sqrt((max(s)*max(s)-sum(q*q))*(max(s)*max(s)-sum(t*t))),0),0),6) from pc cross join tot) as mcc, (select {R('avg(-(logits[y+1]-list_max(logits)-ln(list_sum(e))))')} from pr) as cross_entropy, (select {R(WB)} from cl) as wbce, (select {R('avg(auc)')} from au) as auc_macro, (select {R('sum(auc*np)/sum(np)')} from au) as auc_weighted")
+@query("a16_metric_bundle", " union all ".join(map(bundle, ("nfn", "scs", "ss"))))
 def _(t):
-    out = ev.evaluate(t.predictions, ["task"]).where("task = 'scs'")
+    out = ev.evaluate(t.predictions, ["task"])
     return rounded(out, *[c for c in out.columns if c != "task"])
 
 
-@query("a17_bootstrap_ci", f"with {P}, h as (select row_number() over (order by sample_id) i, (y=p)::int::double hit from pr), n as (select count(*) n from h), gr as (select b.b, ('0x'||substr(md5('42/'||b.b||'/'||k.k),1,13))::bigint % n.n + 1 i from range(200) b(b) cross join n cross join lateral (select unnest(range(n.n)) k) k), v as (select b, avg(hit) v from gr join h using (i) group by 1) select {R('avg(v)')} as mean, {R('quantile_cont(v,0.025)')} as ci_low, {R('quantile_cont(v,0.975)')} as ci_high from v")
+#: Every resample in full: its samples in ranks, with mid-ranks for ties.
+BOOT = P + """, h as (select row_number() over (order by md5('42/'||sample_id), sample_id) - 1 i, y, (y=p)::int::double hit, s from sm), n as (select count(*) n from h),
+gr as (select b.b, ('0x'||substr(md5('42/'||b.b||'/'||k.k),1,13))::bigint % n.n i from range(1000) b(b) cross join n cross join lateral (select unnest(range(n.n)) k) k),
+d as (select b, y, hit, s from gr join h using (i)), acc as (select b, avg(hit) v from d group by 1),
+lg as (select b, y, unnest(range(len(s))) k, unnest(s) v from d), rk as (select *, rank() over (partition by b, k order by v) + (count(*) over (partition by b, k, v) - 1)/2.0::double r from lg),
+au as (select b, k, sum((y=k)::int)::double np, (sum(case when y=k then r end)-sum((y=k)::int)*(sum((y=k)::int)+1)/2.0::double)/nullif(sum((y=k)::int)::double*sum((y<>k)::int),0) auc from rk group by 1,2),
+ab as (select b, case when count(auc) = count(*) then avg(auc) end m, case when count(auc) = count(*) then sum(auc*np)/sum(np) end w from au group by 1),
+v as (select 'accuracy' as metric, v from acc union all select 'auc_macro', m from ab union all select 'auc_weighted', w from ab)"""
+
+
+@query("a17_bootstrap_ci", f"with {BOOT} select metric, {R('avg(v)')} as mean, {R('quantile_cont(v,0.025)')} as ci_low, {R('quantile_cont(v,0.975)')} as ci_high, count(v) as n_draws from v group by 1")
 def _(t):
-    return rounded(ev.bootstrap_ci(t.predictions, draws=200), "mean", "ci_low", "ci_high")
+    return rounded(ev.bootstrap_ci(t.predictions), "mean", "ci_low", "ci_high")
 
 
 @query("a27_balanced_class_weights", "select class, round((sum(count(*)) over ())::double/((count(*) over ())*count(*)),6) as weight from fx_samples group by class")
@@ -116,15 +128,19 @@ def _(t):
     return rounded(ev.regime_table(t.predictions), "accuracy", "balanced_accuracy")
 
 
-@query("a33_all_tasks_present", "select run, task, count(*) as n from fx_predictions where run in (select run from fx_predictions where sample_id > 20 group by run having count(distinct task) >= 3) and sample_id > 20 group by 1,2")
+@query("a33_all_tasks_present", "with g as (select *, sample_id*sample_id % 97 as g from fx_predictions) select g, task, count(*) as n from g where g in (select g from g group by g having count(distinct task) >= 3) group by 1,2")
 def _(t):
-    return ev.complete_groups(t.predictions.where("sample_id > 20"), "run", "task", 3).groupBy("run", "task").agg(F.count(F.lit(1)).alias("n"))
+    own = t.predictions.withColumn("g", F.col("sample_id") * F.col("sample_id") % 97)
+    return ev.complete_groups(own, "g", "task", 3).groupBy("g", "task").agg(F.count(F.lit(1)).alias("n"))
+
+
+ROUNDS = "".join(f", a{i} as (select sample, proto, score, q/sum(q) over (partition by proto)/k as q, k, n from b{i}), b{i + 1} as (select sample, proto, score, q/sum(q) over (partition by sample)/n as q, k, n from a{i})" for i in range(3))
 
 
-@query("a34_balanced_assignment")
+@query("a34_balanced_assignment", f"with s as (select sample_id as sample, unnest(range(3)) as proto, unnest(logits) as score from fx_predictions), b0 as (select *, exp(score - max(score) over ()) as q, (select count(distinct proto) from s)::double k, (select count(distinct sample) from s)::double n from s){ROUNDS} select sample, proto::int as proto, round(score,6) as score, round(q*n,6) as q from b3")
 def _(t):
     scores = t.predictions.select(F.col("sample_id").alias("sample"), F.posexplode("logits").alias("proto", "score"))
-    return ev.sinkhorn(scores, 1.0)
+    return rounded(ev.sinkhorn(scores, 1.0), "score", "q")
 
 
 @query("a35_ensemble_logits", "with lg as (select sample_id//4 as g, unnest(range(3)) c, unnest(logits) v from fx_predictions), m as (select g, c, avg(v) v from lg group by 1,2), a as (select g, list(v order by c) l from m group by 1) select g, (list_position(l, list_max(l))-1)::int as p, round(1/list_sum(list_transform(l, lambda x: exp(x-list_max(l)))),6) as prob from a")

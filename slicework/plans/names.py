@@ -39,12 +39,17 @@ def _(t):
     return slices(t)
 
 
-NAME_RE = r"__(axial|sagittal)__s(\d{4})(?:__t(\d{3}))?__sp(\d{4,5})x(\d{4,5})(?:_(\d+))?\.png$"
+#: Variants of slice names that fit, or that don't: a digit too few, no tile, five digits of spacing.
+VARIANTS_SQL = "case volume_id % 7 when 1 then replace(replace(sname,'__s0','__s00'),'__t0','__t000') when 2 then replace(sname,'.png','__'||(volume_id % 90)||'.jpeg') when 3 then upper(sname) when 4 then replace(sname,'__t0','__t') when 5 then regexp_replace(sname,'__t\\d+','') when 6 then replace(sname,'__sp','__sp10') else sname end"
+VARIANTS = "case volume_id % 7 when 1 then replace(replace(sname,'__s0','__s00'),'__t0','__t000') when 2 then replace(sname,'.png',concat('__',volume_id % 90,'.jpeg')) when 3 then upper(sname) when 4 then replace(sname,'__t0','__t') when 5 then regexp_replace(sname,'__t[0-9]+','') when 6 then replace(sname,'__sp','__sp10') else sname end"
+#: The parts from the numbers that the names were made of.
+F05 = f"""with {SLICES}, p as (select s.volume_id, sname, volume_id % 7 as k, nz, nx, round_even(dy*1000,0)::int h, round_even(dx*1000,0)::int w from slices s join fx_volumes using (volume_id)), g as (select *, k in (0,1,2,3) ok from p)
+select volume_id, case when ok then case when k = 3 then 'AXIAL' else 'axial' end end as plane, case when ok then nz end as slice, case when ok then nx end as tile, case when ok then h end as sp_h, case when ok then w end as sp_w, case when ok and k = 2 then (volume_id % 90)::int end as extra from g"""
 
 
-@query("f05_parse_slice_name", f"with {SLICES} select volume_id, nullif(regexp_extract(sname,'{NAME_RE}',1),'') as plane, nullif(regexp_extract(sname,'{NAME_RE}',2),'')::int as slice, nullif(regexp_extract(sname,'{NAME_RE}',3),'')::int as tile, nullif(regexp_extract(sname,'{NAME_RE}',4),'')::int as sp_h, nullif(regexp_extract(sname,'{NAME_RE}',5),'')::int as sp_w, nullif(regexp_extract(sname,'{NAME_RE}',6),'')::int as extra from slices")
+@query("f05_parse_slice_name", F05)
 def _(t):
-    return slices(t).select("volume_id", n.parse_slice_name(col("sname")).alias("p")).select("volume_id", "p.*")
+    return slices(t).withColumn("name", F.expr(VARIANTS)).select("volume_id", n.parse_slice_name(col("name")).alias("p")).select("volume_id", "p.*")
 
 
 @query("f06_parse_spacing", f"with {SLICES} select volume_id, nullif(regexp_extract(sname,'__sp(\\d{{3,4}})x(\\d{{3,4}})',1),'')::double/1000 as h, nullif(regexp_extract(sname,'__sp(\\d{{3,4}})x(\\d{{3,4}})',2),'')::double/1000 as w from slices")
@@ -69,9 +74,10 @@ def _(t):
     return t.volumes.select("volume_id", n.dataset_from_url(u).alias("ds"))
 
 
-@query("f10_parse_bids", "select sample_id, nullif(regexp_extract(name,'^(sub-[^_]+)',1),'') as subject, nullif(regexp_extract(name,'_rec-([^_]+)',1),'') as recording, nullif(regexp_extract(name,'_(T1w|T2w|T2star|PD)(?:_|\\.)',1),'') as modality from fx_samples")
+@query("f10_parse_bids", "with p as (select sample_id, sample_id % 6 k, split_part(name,'_',1) s from fx_samples) select sample_id, case when k in (0,1,2) then s end as subject, case when k in (0,1,2) then sample_id::varchar end as recording, case k when 0 then 'T2w' when 1 then 'T1w' when 2 then 'T2w' end as modality from p")
 def _(t):
-    return t.samples.select("sample_id", n.parse_bids(col("name")).alias("p")).select("sample_id", "p.*")
+    name = F.expr("case sample_id % 6 when 1 then replace(name,'T2w','T1w') when 2 then replace(name,'acq-sag','acq-ax') when 3 then replace(name,'T2w','T2star') when 4 then replace(name,'rec-','rec-x') when 5 then replace(name,'acq-sag_','') else name end")
+    return t.samples.select("sample_id", n.parse_bids(name).alias("p")).select("sample_id", "p.*")
 
 
 @query("f11_subject_of", "select sample_id, split_part(name,'_',1) as subject from fx_samples")
@@ -90,16 +96,19 @@ def _(t):
     return t.samples.select("sample_id", n.split_label_key(key).alias("p")).select("sample_id", "p.*")
 
 
-C_RE = f"_({n.CONTRASTS})(?:_|\\.|$)"
-CONTRAST_SQL = f"case when c = '' then 'unknown' when c in ('T2starw','T2star') then 'T2star(w)' when c in ('MTon','MToff') then 'MTS' else c end"
+#: Contrasts of the fixture's names, some of which merge, and some that are none.
+KINDS = "T2starw T2star T1w T2w MTS FLAIR PSIR MP2RAGE STIR PDw T1rho MTon MToff bold UNIT1 PD t1w".split()
+SQL_KINDS = "[" + ",".join(f"'{k}'" for k in KINDS) + "]"
 
 
-@query("f14_contrast_of", f"select volume_id, {CONTRAST_SQL} as contrast from (select volume_id, regexp_extract(path,'{C_RE}',1) c from fx_volumes)")
+@query("f14_contrast_of", f"with k as (select volume_id, volume_id % 19 i, {SQL_KINDS}[(volume_id % 19) % 17 + 1] kind from fx_volumes) select volume_id, case when i >= 17 or kind in ('UNIT1','PD','t1w') then 'unknown' when kind in ('T2starw','T2star') then 'T2star(w)' when kind in ('MTon','MToff') then 'MTS' else kind end as contrast from k")
 def _(t):
-    return t.volumes.select("volume_id", n.contrast_of(col("path")).alias("contrast"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.expr("int(volume_id % 19 % 17)"))
+    name = F.when(F.expr("volume_id % 19 < 17"), F.concat(F.lit("ds__sub-1_"), kind, F.lit("__axial__s0001.png"))).otherwise(F.concat(F.lit("ds__sub-1_"), kind, F.lit("_axial.png")))
+    return t.volumes.select("volume_id", n.contrast_of(name).alias("contrast"))
 
 
-@query("f15_path_parts", f"with {SLICES}, f as (select volume_id, case when volume_id % 2 = 0 then 'train/ds'||(volume_id % 5)||'/'||sname else 'val/'||sname end p, sname from slices) select volume_id, case when len(string_split(p,'/')) >= 3 then string_split(p,'/')[2] else coalesce(nullif(regexp_extract(sname,'^(.*?)__sub',1),''),'unknown') end as dataset, coalesce(nullif(regexp_extract(sname,'__(axial|sagittal)__',1),''),'unknown') as orientation, split_part(p,'/',1) as split from f")
+@query("f15_path_parts", f"with {SLICES}, f as (select volume_id, case when volume_id % 2 = 0 then 'train/ds'||(volume_id % 5)||'/'||sname else 'val/'||sname end p, sname from slices) select volume_id, case when len(string_split(p,'/')) >= 3 then string_split(p,'/')[2] else coalesce(nullif(regexp_extract(sname,'^([^_]+)__sub',1),''),'unknown') end as dataset, coalesce(nullif(regexp_extract(sname,'__(axial|sagittal)__',1),''),'unknown') as orientation, split_part(p,'/',1) as split from f")
 def _(t):
     s = slices(t).withColumn("p", F.expr("if(volume_id % 2 = 0, concat('train/ds', volume_id % 5, '/', sname), concat('val/', sname))"))
     return s.select("volume_id", n.dataset_of(col("p"), col("sname")).alias("dataset"), n.orientation_of(col("sname")).alias("orientation"), n.split_of(col("p")).alias("split"))
@@ -110,21 +119,23 @@ def _(t):
     return t.samples.select("sample_id", n.strip_channel_suffix(F.expr("concat(substring_index(name,'_',1), if(sample_id % 2 = 0,'_0000','_0001'))")).alias("stem"))
 
 
-@query("f17_model_names", "select volume_id, m as model, 'patch_tokens_'||m||'_x' as key, 'cls_token_'||m||'_x' as cls_key from (select volume_id, case volume_id % 3 when 0 then 'name'||dataset when 1 then 'ckpt'||volume_id else 'net' end m from fx_volumes)")
+@query("f17_model_names", "select volume_id, m as model, 'patch_tokens_'||m||'_x' as key, 'cls_token_'||m||'_x' as cls_key from (select volume_id, case volume_id % 6 when 0 then 'name'||dataset when 1 then 'ckpt'||volume_id when 2 then 'net' when 3 then 'run' when 4 then 'DEADBEEF' else 'fm' end m from fx_volumes)")
 def _(t):
-    path = F.expr("case volume_id % 3 when 0 then concat('/hub/models--org--name', dataset, '/snapshots/', sha1(path)) when 1 then concat('/runs/ckpt', volume_id, '/') else '/a/net/refs' end")
+    path = F.expr("case volume_id % 6 when 0 then concat('/hub/models--org--name', dataset, '/snapshots/', sha1(path)) when 1 then concat('/runs/ckpt', volume_id, '/') when 2 then '/a/net/refs' when 3 then '/a/run/snapshots/0123ABCDef' when 4 then 'snapshots/DEADBEEF' else '' end")
     m = n.model_short_name(path)
     return t.volumes.select("volume_id", m.alias("model"), n.feature_key(m, "x").alias("key"), n.feature_key(m, "x", "cls_token").alias("cls_key"))
 
 
-@query("f18_parse_log_kv", "select run, line_no, line_no as iter, regexp_extract(line,'^(\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2})',1)::timestamp as ts, unnest(['Total Loss','Iteration']) as key, unnest([regexp_extract(line,'Total Loss: ([-+]?\\d+(?:\\.\\d+)?)',1)::double, line_no::double]) as value from fx_logs")
+@query("f18_parse_log_kv", f"select event_type as run, event_id as line_no, event_id as iter, date_trunc('second', ts)::timestamp as ts, unnest(['logger - INFO - Global Rank','Total Loss','LR','val/auc-macro','Iteration']) as key, unnest([0, printf('%.4f', value)::double, (event_id % 9||'.5e-0'||(1 + event_id % 5))::double, -((event_id % 7) + 0.25)::double, event_id::double]) as value from events")
 def _(t):
-    return n.parse_log_kv(t.logs)
+    more = F.expr("concat(substring_index(line,'\tIteration',1), '\tLR: 7\tval/auc-macro: -', line_no % 7, '.25\tLR: ', line_no % 9, '.5e-0', 1 + line_no % 5, '\tMemory: 3/8\titeration: none', '\tIteration', substring_index(line,'\tIteration',-1))")
+    return n.parse_log_kv(t.logs.withColumn("line", more))
 
 
-@query("f19_parse_iteration_ts", "select line_no, regexp_extract(line,'Iteration:\\s*(\\d+)\\s*/',1)::bigint as iter, regexp_extract(line,'(\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2})',1)::timestamp as ts from fx_logs")
+@query("f19_parse_iteration_ts", "select event_id as line_no, case when event_id % 3 < 2 then event_id end as iter, date_trunc('second', ts)::timestamp as ts from events")
 def _(t):
-    return t.logs.select("line_no", n.parse_iteration(col("line")).alias("iter"), n.parse_ts(col("line")).alias("ts"))
+    line = F.expr("case line_no % 3 when 1 then replace(replace(line,'Iteration:','ITERATION: '),'/',' / ') when 2 then substring_index(line,'/',1) else line end")
+    return t.logs.select("line_no", n.parse_iteration(line).alias("iter"), n.parse_ts(line).alias("ts"))
 
 
 @query("f20_safe_name", "select volume_id, regexp_replace(regexp_replace('/'||path||'?','[^A-Za-z0-9._-]+','_','g'),'^_+|_+$','','g') as safe from fx_volumes")

@@ -225,7 +225,7 @@ def _(t):
     return splits.shuffled_split(t.samples.select(F.substring_index("name", "_", 1).alias("s")), "s")
 
 
-@query("w10_epoch_manifest", "with x as (select c_custkey, k.copy from customer, lateral (select unnest(range((select ceil(250.0/count(*)) from customer)::bigint)) as copy) k), o as (select *, row_number() over (order by copy, md5('7/3/'||c_custkey||'/'||copy), c_custkey)-1 p from x) select 3 as epoch, p::int as position, (p % 4)::int as rank, c_custkey from o where p < 250")
+@query("w10_epoch_manifest", "with x as (select c_custkey, k.copy from customer, lateral (select unnest(range((select ceil(250.0/count(*)) from customer)::bigint)) as copy) k), o as (select *, row_number() over (order by copy, md5('7/3/'||c_custkey||'/'||copy), c_custkey)-1 p from x) select 3 as epoch, p::bigint as position, (p % 4)::bigint as rank, c_custkey from o where p < 250")
 def _(t):
     return splits.epoch_manifest(t.customer, "c_custkey", 250, 3, 7, 4)
 
@@ -235,7 +235,7 @@ def _(t):
     return splits.endless_manifest(t.customer, "c_custkey", 3, 10, 7, 4)
 
 
-@query("w12_sharded_manifest", "with o as (select s_suppkey, row_number() over (order by md5('7/'||s_suppkey), s_suppkey)-1 i, count(*) over () n from supplier), k as (select s_suppkey, (i % 3) as rank, e.pass from o, (values (0),(1)) e(pass) where i < n//3*3) select pass, rank::bigint as rank, (row_number() over (partition by pass, rank order by md5('7/'||pass||'/'||rank||'/'||s_suppkey), s_suppkey)-1)::int as turn, s_suppkey from k")
+@query("w12_sharded_manifest", "with o as (select s_suppkey, row_number() over (order by md5('7/'||s_suppkey), s_suppkey)-1 i, count(*) over () n from supplier), k as (select s_suppkey, (i % 3) as rank, e.pass from o, (values (0),(1)) e(pass) where i < n//3*3) select pass, rank::bigint as rank, (row_number() over (partition by pass, rank order by md5('7/'||pass||'/'||rank||'/'||s_suppkey), s_suppkey)-1)::bigint as turn, s_suppkey from k")
 def _(t):
     return splits.sharded_manifest(t.supplier, "s_suppkey", 2, 7, 3)
 
@@ -250,7 +250,14 @@ def _(t):
     return splits.sample_cap(t.orders.select("o_orderkey"), "o_orderkey", 2000)
 
 
-@query("o08_weighted_sample")
+#: Draws on the running sums of all rows, in the order of the buckets.
+O08 = """with r as (select o_orderkey, o_totalprice::double wt, md5(o_orderkey::varchar) h from orders where o_totalprice > 0), k as (select greatest(1, ceil(count(*)/(4096*256.0)))::bigint k from r),
+c as (select o_orderkey, sum(wt) over (order by substr(h,1,3), ('0x'||substr(h,4,6))::bigint % k, o_orderkey) hi, wt from r, k), e as (select o_orderkey, coalesce(lag(hi) over (order by hi),0) lo from c),
+d as (select i as draw_id, ('0x'||substr(md5('0/'||i),1,13))::bigint/power(16.0,13) * (select sum(wt) from r) x from range(5000) t(i))
+select draw_id, o_orderkey from d asof join e on d.x >= e.lo"""
+
+
+@query("o08_weighted_sample", O08)
 def _(t):
     return splits.weighted_sample(t.orders, "o_orderkey", "o_totalprice", 5000)
 

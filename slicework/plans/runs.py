@@ -8,11 +8,11 @@ from slicework.functions import names as n
 from slicework.operators import runs
 from slicework.plans.registry import query
 
-S = "s as (select event_type as run, event_id as step, round(value,4) as value, ts from events where user_id % 5 = 0)"
+S = "s as (select event_type as run, event_id as step, round(value,4) as value, ts from events)"
 
 
 def series(t):
-    return t.events.where("user_id % 5 = 0").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.round("value", 4).alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    return t.events.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.round("value", 4).alias("value"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 @query("s12_read_run_logs", "select run, count(*) as n from fx_logs where lower(line) like '%loss%' and regexp_matches(line,'Iteration:\\s*\\d+') group by 1")

@@ -111,12 +111,22 @@ def test_empty_masks(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("a__b__axial__s0003__t001__sp0500x12000.png",), ("é+x",)], "s string")
+    names = ["a__b__axial__s0003__t001__sp0500x1200.png", "é+x", "a__SAGITTAL__s00003__t0001__sp500x500__2.tif", "a__axial__s0003__sp0500x0500.png", "a__axial__s0003__t001__sp0500x12000.png"]
+    df = spark.createDataFrame([(x,) for x in names], "s string")
     rows = df.select(n.parse_slice_name(F.col("s")).alias("p"), n.parse_spacing(F.col("s")).alias("m"), n.sanitize_token(F.col("s")).alias("t")).collect()
-    assert (rows[0].p.slice, rows[0].p.sp_w, rows[0].m.w) == (3, 12000, 1.2) and rows[1].p.plane is None and rows[1].t == "é-x"
+    assert tuple(rows[0].p) == ("axial", 3, 1, 500, 1200, None) and rows[0].m.w == 1.2 and rows[1].t == "é-x"
+    assert tuple(rows[2].p) == ("SAGITTAL", 3, 1, 500, 500, 2) and [rows[i].p.plane for i in (1, 3, 4)] == [None] * 3
     assert df.select(n.hash_split(F.col("s"), 1, 0.5, "exact")).distinct().count() >= 1
 
 
+def test_logs(spark):
+    line = "2024-01-15 14:23:45 Total Loss: -2.5E+1\tLR: 1.5e-05\tval/top-1 acc: 3\tLR: 2e-6\tMemory: 1/2\tITERATION: 7 / 100"
+    df = spark.createDataFrame([("r", 1, line)], "run string, line_no int, line string")
+    rows = n.parse_log_kv(df).collect()
+    assert {r.key: r.value for r in rows} == {"Total Loss": -25.0, "LR": 2e-6, "val/top-1 acc": 3.0, "ITERATION": 7.0} and len(rows) == 4
+    assert {(r.iter, str(r.ts)) for r in rows} == {(7, "2024-01-15 14:23:45")}
+
+
 def test_splits_and_joins(spark):
     ids = spark.range(103).withColumn("k", F.col("id") % 3)
     assert splits.stratified_split(ids, "k", "id").where("side = 'val'").groupBy("k").count().collect()[0]["count"] == 5
