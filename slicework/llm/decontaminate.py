@@ -7,7 +7,8 @@ is a leak if the longest common subsequence of words covers most of the item, or
 item's answer, its last words.
 
 An item whose words are mostly common, as they become if many documents hold it, has no place of its own in the
-latent space. Every passage whose words could cover enough of such an item goes to the same check.
+latent space. Every passage whose words could cover enough of such an item goes to the same check: as a leak lacks
+two fifths of the item's words at most, it has some of any larger choice of them, and the rarest are chosen.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicework.llm.shared import materialize
 
@@ -28,10 +30,11 @@ PASSAGE, STRIDE = 64, 32
 COMMON = 0.002
 #: but not words of this many blocks or fewer, however small the corpus.
 NEVER_COMMON = 20
-#: Content words that a passage needs; where items have fewer than twice as many, half of what they have.
+#: Content words that a passage needs in the latent space.
 LEAST_CONTENT = 4
-#: Items with fewer rare words, or a smaller share of their distinct words, are also sought by their words alone.
-FEW_RARE, RARE_SHARE = 8, 0.25
+#: Items with fewer rare words, or a smaller share of their distinct words, are sought by their words alone, since a leak
+#: of them may have no rare word. And how many of the chosen words are asked for then.
+FEW_RARE, RARE_SHARE, NEEDED = 8, 0.4, 6
 #: Size of the latent space, and further directions that the random search takes along.
 RANK, EXTRA = 256, 16
 COSINE = 0.5
@@ -162,7 +165,7 @@ def _times(of: np.ndarray, numbers: np.ndarray, value: np.ndarray, basis: np.nda
     return np.add.reduceat(basis[numbers] * value[:, None].astype(np.float32), begin, axis=0)
 
 
-def _gram_product(words: DataFrame, weight: np.ndarray, least: int, basis: np.ndarray) -> tuple[np.ndarray, float]:
+def _gram_product(words: DataFrame, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, float]:
     """A'A times ``basis`` for the matrix A of all passages, and the number of A's rows.
 
     Each task sends its sum, one row for each word, and Spark adds them up: nothing depends on the corpus but time.
@@ -175,7 +178,7 @@ def _gram_product(words: DataFrame, weight: np.ndarray, least: int, basis: np.nd
         total, n = np.zeros((len(weight), k)), 0
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
-                _, _, of, numbers, value = _matrix(b.column(0).slice(lo, 1000), weight, least)
+                _, _, of, numbers, value = _matrix(b.column(0).slice(lo, 1000), weight, LEAST_CONTENT)
                 y = _times(of, numbers, value, basis)
                 n += len(y)
                 order = np.argsort(numbers, kind="stable")
@@ -199,7 +202,7 @@ def _gram_product(words: DataFrame, weight: np.ndarray, least: int, basis: np.nd
     return out, n
 
 
-def latent_space(words: DataFrame, items: Items, weight: np.ndarray, least: int, rank: int = RANK) -> np.ndarray:
+def latent_space(words: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Basis (vocabulary by rank) of the passages and items by randomised SVD; the items weigh as much as the passages.
 
     One pass: from the product of the Gram matrix and a random test matrix, the Nystroem form gives the leading
@@ -213,7 +216,7 @@ def latent_space(words: DataFrame, items: Items, weight: np.ndarray, least: int,
     rank = min(rank, max(1, n_rows))  # the items span no more
     k = min(rank + EXTRA, max(1, int((weight > 0).sum())))
     test = np.linalg.qr(np.random.default_rng(7).standard_normal((len(weight), k)))[0]
-    product, n = _gram_product(words, weight, least, test)
+    product, n = _gram_product(words, weight, test)
     product += max(n, 1.0) / max(n_rows, 1) * (dense.T @ (dense @ test))
     shift = 1e-7 * float(np.linalg.norm(product)) + 1e-12
     product += shift * test
@@ -258,30 +261,44 @@ def weak_items(words: list[list[int]], weight: np.ndarray) -> list[int]:
     return [i for i, x in enumerate(distinct) if sum(weight[w] > 0 for w in x) < max(FEW_RARE, RARE_SHARE * len(x))]
 
 
-def covering(column: pa.Array, items: list[tuple[int, np.ndarray]], reach: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Of a batch of documents: rows and first words of its passages, and pairs of a passage and an item (by its
-    number and how often it has each word) where the passage with its reach has enough of the item's words for a
-    leak. Order aside, that is what the common subsequence needs, so no leak is passed over."""
-    words, edge = _batch(column)
-    n, base, rows, firsts = _passages(np.diff(edge))
-    size = len(items[0][1])
-    at = np.flatnonzero(np.any([own > 0 for _, own in items], axis=0)[words])
-    doc = np.searchsorted(edge, at, "right") - 1
-    local = at - edge[doc]
-    of, numbers = [], []
-    for back in range(-(-(PASSAGE + 2 * reach) // STRIDE)):
-        p = (local + reach) // STRIDE - back
-        ok = (p >= 0) & (p < n[doc]) & (local < p * STRIDE + PASSAGE + reach)
-        of.append(base[doc[ok]] + p[ok])
-        numbers.append(words[at[ok]])
-    pair, tf = np.unique(np.concatenate(of) * size + np.concatenate(numbers), return_counts=True)
-    of, numbers = pair // size, pair % size
-    found = []
-    for item, own in items:
-        has = np.flatnonzero(own[numbers])
-        both = np.bincount(of[has], np.minimum(tf[has], own[numbers[has]]), minlength=len(rows))
-        found += [(int(p), item) for p in np.flatnonzero(both / own.sum() >= min(WITH_ANSWER, WITHOUT))]
-    return rows, firsts, found
+class Sought:
+    """Items that are sought by their words alone: of each its rarest words, and how many of these a leak must have."""
+
+    def __init__(self, items: list[int], words: list[list[int]], n: np.ndarray):
+        own, self.need = [], np.zeros(max(items, default=0) + 1, np.int64)
+        for i in items:
+            missing = int((1 - min(WITH_ANSWER, WITHOUT)) * len(words[i]) + 1e-9)
+            chosen = sorted(set(words[i]), key=lambda w: (n[w], w))[: missing + NEEDED]
+            self.need[i] = max(1, len(chosen) - missing)
+            own += [(w, i) for w in chosen]
+        own.sort()
+        self.item = np.array([i for _, i in own], np.int64)
+        self.cut = np.searchsorted(np.array([w for w, _ in own], np.int64), np.arange(len(n) + 1))
+        self.reach = max((_reach(words[i]) for i in items), default=0)
+
+    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a batch of documents: rows and first words of its passages, and as two arrays passage and item where the
+        passage with its reach has enough of the item's chosen words."""
+        words, edge = _batch(column)
+        n, base, rows, firsts = _passages(np.diff(edge))
+        size, items = len(self.cut) - 1, len(self.need)
+        many = np.diff(self.cut)
+        at = np.flatnonzero(many[words])
+        doc = np.searchsorted(edge, at, "right") - 1
+        local = at - edge[doc]
+        of, numbers = [], []
+        for back in range(-(-(PASSAGE + 2 * self.reach) // STRIDE)):
+            p = (local + self.reach) // STRIDE - back
+            ok = (p >= 0) & (p < n[doc]) & (local < p * STRIDE + PASSAGE + self.reach)
+            of.append(base[doc[ok]] + p[ok])
+            numbers.append(words[at[ok]])
+        pair = np.unique(np.concatenate(of) * size + np.concatenate(numbers))
+        of, numbers = pair // size, pair % size
+        k = many[numbers]
+        posting = np.repeat(self.cut[numbers] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        both, count = np.unique(np.repeat(of, k) * items + self.item[posting], return_counts=True)
+        both = both[count >= self.need[both % items]]
+        return rows, firsts, both // items, both % items
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -298,18 +315,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n, total = block_frequencies(words, size)
     weight = np.where(n <= max(COMMON * total, NEVER_COMMON), np.log((total + 1) / (n + 1.0)) + 1, 0.0)
     weight[0] = 0
-    content = [len({w for w in x if weight[w] > 0}) for x in items.words]
-    least = max(1, min([LEAST_CONTENT, *[c // 2 for c in content if c]]))
-    basis = latent_space(words, items, weight, least)
+    weak = weak_items(items.words, weight)
+    basis = latent_space(words, items, weight)
     packed = pa.array([np.array(x, "<i4").tobytes() for x in items.words], pa.binary())
     owner, _, of, numbers, value = _matrix(packed, weight, 1)
     latent = _times(of, numbers, value, basis.astype(np.float32))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = spark.sparkContext.broadcast((weight, basis.astype(np.float32), latent, owner, items.ids, items.words, weak_items(items.words, weight)))
+    strong = ~np.isin(owner, weak)
+    shared = spark.sparkContext.broadcast((weight, basis.astype(np.float32), latent[strong], owner[strong], items.words, Sought(weak, items.words, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, latent, owner, ids, item_words, weak = shared.value
-        counted = [(i, np.bincount(item_words[i], minlength=len(weight))) for i in weak]
+        weight, basis, latent, owner, item_words, sought = shared.value
         for b in batches:
             best: dict[tuple[int, int], tuple[float, float | None]] = {}
 
@@ -323,23 +339,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             for lo in range(0, b.num_rows, 1000):
                 part = b.column(2).slice(lo, 1000)
-                rows, firsts, of, numbers, value = _matrix(part, weight, least)
+                rows, firsts, of, numbers, value = _matrix(part, weight, LEAST_CONTENT)
                 y = _times(of, numbers, value, basis)
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
                 for block in range(0, len(latent), ITEM_BLOCK):
                     cosine = y @ latent[block : block + ITEM_BLOCK].T
                     for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
                         check(part, lo, int(rows[p]), int(firsts[p]), int(owner[block + q]), float(cosine[p, q]))
-                if counted:
-                    rows, firsts, pairs = covering(part, counted, max(_reach(item_words[i]) for i in weak))
-                    for p, item in pairs:
+                if len(sought.item):
+                    rows, firsts, passages, found = sought.pairs(part)
+                    for p, item in zip(passages.tolist(), found.tolist(), strict=True):
                         check(part, lo, int(rows[p]), int(firsts[p]), item, None)
             at = pa.array([r for r, _ in best], pa.int64())
-            found = [pa.array([ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([c for _, c in best.values()], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *found], ["doc_id", "digest", "item_id", "share", "cosine"])
+            found = [pa.array([i for _, i in best], pa.int32()), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([c for _, c in best.values()], pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *found], ["doc_id", "digest", "place", "share", "cosine"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = words.select("doc_id", "digest", "words").mapInArrow(run, f"doc_id {kind}, digest long, item_id long, share double, cosine double")
+    found = words.select("doc_id", "digest", "words").mapInArrow(run, f"doc_id {kind}, digest long, place int, share double, cosine double")
+    names = spark.createDataFrame(list(enumerate(items.ids)), T.StructType([T.StructField("place", T.IntegerType()), T.StructField("item_id", benchmark.schema["item_id"].dataType)]))
+    found = found.join(F.broadcast(names), "place")  # as many rows as items, which the tasks hold anyway
     return found.groupBy("doc_id", "digest", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
 

@@ -543,6 +543,39 @@ def test_leaks(spark, corpus, odd):
     assert decontaminate.op10_latent_leaks(corpus, benchmark.limit(0)).count() == 0
 
 
+def test_leak_recall_of_paraphrases(spark, corpus):
+    """Of items with words replaced, dropped, put in or moved, those that brute force over all windows finds are found."""
+    rng = np.random.default_rng(8)
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").withColumn("item_id", F.concat(F.lit("item-"), "item_id"))
+    items = {r.item_id: r.text for r in benchmark.collect()}
+    filler = [w for r in corpus.limit(60).collect() for w in (r.text or "").split()]
+
+    def loosened(text):
+        out = []
+        for w in text.split():
+            u = rng.random()
+            out += [filler[int(rng.integers(len(filler)))]] if u < 0.12 else [] if u < 0.2 else [w, filler[int(rng.integers(len(filler)))]] if u < 0.28 else [w]
+        if rng.random() < 0.4:
+            k = int(rng.integers(1, len(out)))
+            out[k - 1 : k + 1] = out[k - 1 : k + 1][::-1]
+        return out
+
+    texts, truth = [], set()
+    for n, (i, text) in enumerate(sorted(items.items()) * 6):
+        own = filler[(n * 37) % 3000 :][: int(rng.integers(5, 120))]
+        texts.append(" ".join([*own, *loosened(text), *filler[(n * 53) % 3000 :][: int(rng.integers(5, 120))]]))
+        words = decontaminate.word_list(texts[-1])
+        item = decontaminate.word_list(text)
+        number = {w: k for k, w in enumerate(sorted(set(words) | set(item)))}
+        a, b = [number[w] for w in item], [number[w] for w in words]
+        size = 64 + 2 * max(32, len(a) // 2)
+        if any(decontaminate.is_leak(a, b[k : k + size])[0] for k in range(0, max(1, len(b) - size + 33), 32)):
+            truth.add((n, i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(corpus.limit(150).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.op10_latent_leaks(docs, benchmark).collect()}
+    assert len(truth) > 200 and len(truth & found) / len(truth) >= 0.97, (len(truth), len(truth & found))
+
+
 def test_leaks_of_an_item_in_many_documents(spark):
     """Words that are common only because the item is leaked, and items of common words, are found all the same."""
     rng = np.random.default_rng(4)
