@@ -2,8 +2,8 @@
 
 Every word of a text is drawn from one of the learned languages; its likelihood in each comes from the letter
 trigrams of the word. Expectation-maximisation estimates the text's language proportions. Then the sets made
-of its one, two and three strongest languages are refitted, and the set of best likelihood less a penalty for
-each language is taken.
+of its strongest language, its two strongest and so on are refitted, as long as one more language raises the
+likelihood of some text by more than the penalty for it, and each text takes its best set.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from slicework.llm.shared import unsigned_crc32
 BUCKETS = 1 << 16
 #: Added to each count.
 ALPHA = 0.05
-EM_STEPS, REFIT_STEPS, MOST_LANGUAGES = 8, 4, 3
+EM_STEPS, REFIT_STEPS = 8, 4
 #: Loss of log-likelihood for each language more, times the logarithm of the number of words.
 PENALTY = 2.0
 #: Bytes handled together, over the number of languages.
@@ -50,13 +50,23 @@ def trigram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             by: dict[str, list[bytes]] = {}
+            size = 0
+
+            def settle(by=by) -> None:
+                for g, parts in by.items():
+                    stream = np.frombuffer(b"".join(parts), np.uint8)
+                    if len(stream) > 2:
+                        n = np.bincount(_trigrams(stream), minlength=BUCKETS)
+                        sums[g] = sums[g] + n if g in sums else n
+                by.clear()
+
             for t, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 by.setdefault(g, []).append(_letters(t.as_py()))
-            for g, parts in by.items():
-                stream = np.frombuffer(b"".join(parts), np.uint8)
-                if len(stream) > 2:
-                    n = np.bincount(_trigrams(stream), minlength=BUCKETS)
-                    sums[g] = sums[g] + n if g in sums else n
+                size += len(by[g][-1])
+                if size > CHUNK:
+                    settle()
+                    size = 0
+            settle()
         for g, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [g] * len(at), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
@@ -98,7 +108,7 @@ def infer(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray
     share = _em(p, cuts, sizes, np.full((len(texts), k), 1 / k), EM_STEPS)
     order = np.argsort(-share, axis=1, kind="stable")
     best, chosen, number = np.full(len(texts), -np.inf), np.zeros_like(share), np.ones(len(texts), np.int64)
-    for m in range(1, min(k, MOST_LANGUAGES) + 1):
+    for m in range(1, k + 1):
         some = np.zeros_like(share)
         np.put_along_axis(some, order[:, :m], np.maximum(np.take_along_axis(share, order[:, :m], 1), 1e-3), 1)
         some /= some.sum(axis=1, keepdims=True)
@@ -106,6 +116,8 @@ def infer(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray
         each = np.log(np.maximum((p * np.repeat(some, sizes, axis=0)).sum(axis=1), 1e-300))
         value = np.add.reduceat(each, cuts) - PENALTY * (m - 1) * np.log(sizes + 1)
         better = value > best
+        if m > 2 and not better.any():
+            break
         best[better], chosen[better], number[better] = value[better], some[better], m
     return chosen, number
 

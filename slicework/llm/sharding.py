@@ -105,12 +105,13 @@ def number_slots(rows: DataFrame, n_rows: int, shard: str = "shard", order: tupl
 def op3_hash_tree(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """One row per document: its shard now and with one more shard, and its slot in the shard (law ``key``).
 
-    Null text: size 1 and the CRC of no bytes. Copies of a row go to one shard and get slots of their own.
+    The tree is planned for 16 shards, or for ``n_shards`` if that is fewer; more shards are growth. Null text: size 1 and the CRC of no bytes. Copies of a row go to one shard and get slots of their own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = assign_shards(slim, default_tree(n_shards))
-    placed = assign_shards(placed, default_tree(n_shards + 1), out="grown_shard")
+    planned = min(16, n_shards)
+    placed = assign_shards(slim, default_tree(n_shards, planned))
+    placed = assign_shards(placed, default_tree(n_shards + 1, planned), out="grown_shard")
     placed = materialize(placed, "shards")
     out = number_slots(placed, placed.count(), order=("doc_id", "text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -128,7 +129,7 @@ def oracle(n_shards: int = 16) -> str:
 
     def levels(n: int, name: str) -> tuple[str, str, str]:
         tree: dict[str, dict[str, list[Leaf]]] = {}
-        for leaf in default_tree(n):
+        for leaf in default_tree(n, min(16, n_shards)):
             tree.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
         regions = winner([(f"region:{r}", sum(x.weight for ls in ks.values() for x in ls), r) for r, ks in tree.items()])
         racks = " ".join(f"when '{r}' then {winner([(f'rack:{k}', sum(x.weight for x in ls), k) for k, ls in ks.items()])}" for r, ks in tree.items())

@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the one the cluster names, or a default where none is set."""
+    """The folder that driver and executors share: the one the cluster names. Only on one machine is there a default."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (root or "/tmp/checkpoints").rstrip("/")
 
 

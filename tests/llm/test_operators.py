@@ -227,6 +227,9 @@ def test_shards_odd(spark, odd):
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = sharding.op3_hash_tree(many).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
     assert all(r.n == r.d == r.m + 1 for r in got) and len(got) == 16 and max(r.n for r in got) < 1500
+    for n in (1, 2, 7, 15, 20):
+        rows = sharding.op3_hash_tree(many.limit(3000), n).collect()
+        assert {r.shard for r in rows} <= set(range(n)) and all(r.grown_shard in (r.shard, n) for r in rows) and any(r.grown_shard == n for r in rows)
     heavy = [sharding.Leaf(0, "a", "r", 3.0), sharding.Leaf(1, "a", "r", 1.0)]
     share = sharding.assign_shards(many, heavy).where("shard = 0").count() / 20_000
     assert 0.73 < share < 0.77
@@ -350,8 +353,51 @@ def test_licenses(spark, odd):
     assert license.op6_canonical_digest(odd).count() == len(ODD) + 1 and license.op6_canonical_digest(empty(odd)).count() == 0
 
 
+def test_license_table(spark, odd):
+    bsd = next(t for n, t in license.KNOWN if n == "BSD-3-Clause")
+    padded = "*" * 9000 + " released under the MIT license " + "-" * 9000
+    df = docs_of(spark, ["(c) 2001 A\n" + bsd.replace(".", " ;"), f"x\n{padded}", "own licence licence licence text", "nothing"]).withColumns({"license": F.lit("mine"), "digest": F.lit(1), "line_licenses": F.lit(0)})
+    rows = {r.doc_id: r for r in license.scan_licenses(df).collect()}
+    assert rows[0].license == "BSD-3-Clause" and rows[1].line_licenses == "MIT" and rows[2].license is None
+    own = license.known_digests(spark, spark.createDataFrame([("Own", "Own license, license license: text.")], "license string, text string"))
+    assert [r.license for r in license.scan_licenses(df, digests=own).orderBy("doc_id").collect()] == [None, None, "Own", None]
+    assert license.scan_licenses(df, digests=own.limit(0)).where("license is not null").count() == 0
+    assert len({n for n, _ in license.KNOWN}) >= 20
+
+
 # languages
 
+def plain_mixture(text, model):
+    """Expectation-maximisation and the choice of the set, word by word."""
+    like = []
+    for m in re.finditer(rb"[^ ]+", text):
+        padded = b" " + m[0] + b" "
+        grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
+        last = text[m.end() : m.end() + 2]
+        grams.append((padded[-2:] + last[1:2]) if len(last) > 1 else None)
+        slots = [(int.from_bytes(g, "big") * 2654435761 % 2**32) >> 16 for g in grams if g]
+        like.append(np.sum([model[x] for x in slots], axis=0, dtype=np.float64))
+    p = np.exp(np.array(like) - np.max(like, axis=1, keepdims=True))
+
+    def em(share, steps):
+        for _ in range(steps):
+            r = p * share
+            share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share
+
+    k = p.shape[1]
+    order = np.argsort(-em(np.full(k, 1 / k), langid.EM_STEPS), kind="stable")
+    first, best = em(np.full(k, 1 / k), langid.EM_STEPS), None
+    for m in range(1, k + 1):
+        some = np.zeros(k)
+        some[order[:m]] = np.maximum(first[order[:m]], 1e-3)
+        some = em(some / some.sum(), langid.REFIT_STEPS) if m > 1 else some / some.sum()
+        value = np.log(p @ some).sum() - langid.PENALTY * (m - 1) * np.log(len(p) + 1)
+        if best is None or value > best[0]:
+            best = (value, m, some.tolist())
+    return best[1], best[2]
+
+
 def test_languages(spark, corpus, odd):
     rows = langid.op7_language_mixture(corpus).join(corpus.select("doc_id", "lang", "text"), "doc_id").collect()
     held = [r for r in rows if r.held_out and re.search(r"[^\W\d_]", r.text or "") and len(r.text) > 60]
@@ -360,6 +406,11 @@ def test_languages(spark, corpus, odd):
     text = {g: next(r.text for r in corpus.where(f"lang = '{g}' and n_chars > 1500").collect()) for g in ("en", "fr")}
     shares, number = langid.infer([langid._letters(text["en"][:1500] + " " + text["fr"][:1500])], model)
     assert number[0] == 2 and all(0.3 < shares[0][langs.index(g)] < 0.7 for g in ("en", "fr"))
+    every = [next(r.text for r in corpus.where(f"lang = '{g}' and n_chars > 1500").collect())[:1500] for g in langs]
+    shares, number = langid.infer([langid._letters(" ".join(every)), langid._letters(every[0])], model)
+    assert len(langs) == 4 and number.tolist() == [4, 1] and (shares[0] > 0.1).all()
+    for t, share, m in zip([every[0] + every[1], *every], *langid.infer([langid._letters(t) for t in [every[0] + every[1], *every]], model), strict=True):
+        assert plain_mixture(langid._letters(t), model) == (m, pytest.approx(share.tolist(), abs=1e-6))
     got = {r.doc_id: r for r in langid.op7_language_mixture(odd).collect()}
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (0, 1, 2, 6)) and len(got) == len(ODD)
     assert langid.op7_language_mixture(empty(odd)).count() == 0
