@@ -38,7 +38,7 @@ LONG_WORD = 96
 #: More than the bytes of any word.
 PLACES = 1 << 31
 #: Words that are looked up together.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +47,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Factors of bytes and of places in a word's hash.
+_BYTES, _POWERS = (np.random.default_rng(k).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k, n in ((3, 256), (4, 4096)))
+
+
 def _prime(n: int) -> int:
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
@@ -193,16 +197,87 @@ def frequent_words(counts: DataFrame, max_words: int) -> DataFrame:
     return counts.where(F.col("n") >= F.lit(1 << 62 if least is None else max(2, least))).select("word")
 
 
-def _looked_up(words: pa.ListArray, names: pa.Array, flat: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of some non-empty strings."""
+    words = words.cast(pa.string())
+    edge = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[edge[0] : edge[-1]]
+    begin = edge[:-1] - edge[0]
+    at = np.arange(len(data)) - np.repeat(begin, np.diff(edge))
+    h = np.add.reduceat(_BYTES[data] * _POWERS[at % len(_POWERS)], begin)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0x9E3779B97F4A7C15)
+
+
+class Known:
+    """Words and their ids, as the Arrow table that is broadcast; each Python worker makes its index once.
+
+    The index is an open-addressing table over hashes, of twice as many slots as words at least; what it finds is
+    compared with the word itself.
+    """
+
+    def __init__(self, table: pa.Table):
+        self.table, self.slots = table, None
+
+    def __reduce__(self):
+        return Known, (self.table,)
+
+    def _build(self) -> None:
+        lists = self.table["ids"].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        names = self.table["word"].combine_chunks()
+        self.names = names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks)
+        self.cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.table = None
+        self.hash = word_hashes(self.names)
+        self.bits = max(4, (2 * len(self.names)).bit_length())
+        slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(self.names), dtype=np.int32)
+        at = self._first(self.hash)
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = left[free]
+            lost = slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(slots) - 1)
+        self.slots = slots
+
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each word its place in the table, or -1."""
+        if self.slots is None:
+            self._build()
+        h, out = word_hashes(words), np.full(len(words), -1, np.int64)
+        left, at = np.arange(len(words)), self._first(h)
+        while len(left):
+            found = self.slots[at]
+            some = found >= 0
+            hit = some.copy()
+            hit[some] = self.hash[found[some]] == h[left[some]]
+            out[left[hit]] = found[hit]
+            on = some & ~hit
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+        hits = np.flatnonzero(out >= 0)
+        same = pc.equal(words.take(pa.array(hits)), self.names.take(pa.array(out[hits]))).to_numpy(zero_copy_only=False)
+        out[hits[~same.astype(bool)]] = -1
+        return out
+
+
+def _looked_up(words: pa.ListArray, known: Known) -> list[pa.Array]:
     """Of texts as lists of words: the ids of known words, in runs that other words part; the distinct other words of
     each text; and which of them follows each run but the last."""
     edge = np.asarray(words.offsets, np.int64)
     edge, values = edge - edge[0], words.flatten()
-    pos = pc.fill_null(pc.index_in(values, value_set=names), -1).to_numpy()
+    pos = known.places(values)
+    flat, cuts = known.flat, known.cuts
     rare = np.flatnonzero(pos < 0)
-    n = np.where(pos < 0, 0, np.diff(cuts)[pos] if len(names) else 0)
+    n = np.where(pos < 0, 0, np.diff(cuts)[pos] if len(cuts) > 1 else 0)
     upto = np.concatenate([[0], np.cumsum(n)])
-    begin = cuts[pos] if len(names) else np.zeros(len(pos), np.int64)
+    begin = cuts[pos]
     ids = flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
     doc = np.searchsorted(edge, rare, "right") - 1
     per_doc = np.bincount(doc, minlength=len(words))
@@ -232,22 +307,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     """
     rank_map = RankMap(load_ranks(vocabulary))
     counts = materialize(word_counts(docs, pattern, text), "bpe-words")
-    known = materialize(frequent_words(counts, max_words).repartition("word").select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids").toArrow().combine_chunks()
-    lists = known["ids"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    names = known["word"].combine_chunks()
-    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((names, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), cuts))
+    known = materialize(frequent_words(counts, max_words).repartition("word").select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
+    shared = docs.sparkSession.sparkContext.broadcast(Known(known.toArrow()))
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, flat, cuts = shared.value
+        known = shared.value
         for batch in batches:
             edge, lo = np.asarray(batch.column("__words").offsets), 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(part.column("__words"), names, flat, cuts)], [*keep, "__runs", "__rare", "__at"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(part.column("__words"), known)], [*keep, "__runs", "__rare", "__at"])
                 lo = hi
 
     kinds = {"__runs": T.ArrayType(T.ArrayType(T.IntegerType())), "__rare": T.ArrayType(T.StringType()), "__at": T.ArrayType(T.IntegerType())}
