@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from slicework.operators import evaluation as ev
 from slicework.plans.registry import query
+from slicework.sources import sinks
+from slicework.sources.tables import read_predictions
 
 #: The comparison's building blocks: predictions with arg-max, softmax, and the confusion table.
 P = "pr as (select *, list_position(logits, list_max(logits))-1 as p, list_transform(logits, lambda v: exp(v-list_max(logits))) as e from fx_predictions), sm as (select *, list_transform(e, lambda v: v/list_sum(e)) as s from pr)"
@@ -159,9 +161,8 @@ def _(t):
     return t.predictions.select("sample_id", "task", "y").orderBy("y", "sample_id")
 
 
-@query("s11_read_predictions", "select run, count(*) as n, sum(y) as ys from fx_predictions group by 1")
+@query("s11_read_predictions", "select run, task, count(*) as n, sum(y)::bigint as ys from fx_predictions group by 1,2")
 def _(t):
-    parts = [t.predictions.where(f"run = {r}") for r in range(4)]
-    from slicework.operators.sets import union_sources
-
-    return union_sources(*parts).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ys"))
+    path = sinks.scratch(t.spark, "predictions")
+    sinks.write_predictions(t.predictions, path)
+    return read_predictions(t.spark, path).groupBy("run", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("ys"))

@@ -8,6 +8,7 @@ from slicework.operators import pairs, sets, splits, volumes
 from slicework.plans.arrays import PLANE
 from slicework.plans.registry import query
 from slicework.sources import tables as src
+from slicework.sources.sinks import scratch
 
 c = F.col
 IGN = "(regexp_matches(lower(regexp_extract(path,'[^/]*$')),'preproc|cor|dwi|_ct|epi|fieldmap') or list_has_any(lower(path).string_split('/')[:-2], ['derivatives','.git','sourcedata']))"
@@ -85,13 +86,17 @@ def _(t):
 
 @query("s08_read_fold_table", "select regime_all_split_1_set as side, count(*) as n from fx_folds where is_test <> '1' group by 1")
 def _(t):
-    return src.folds(t.folds, "regime_all_split_1_set").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch(t.spark, "folds")
+    t.folds.write.csv(path, header=True)
+    return src.read_folds(t.spark, path, "regime_all_split_1_set").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s09_read_fold_list", "select 0 as fold, 'train' as split, 's'||n_nationkey as id from nation where n_nationkey < 10 union all select 0, 'val', 's'||n_nationkey from nation where n_nationkey >= 10")
 def _(t):
     js = t.nation.agg(F.to_json(F.array(F.struct(F.collect_list(F.when(c("n_nationkey") < 10, F.concat(F.lit("s"), "n_nationkey"))).alias("train"), F.collect_list(F.when(c("n_nationkey") >= 10, F.concat(F.lit("s"), "n_nationkey"))).alias("val")))).alias("js"))
-    return src.fold_list(js, "js")
+    path = scratch(t.spark, "fold-list")
+    js.coalesce(1).write.text(path)
+    return src.read_fold_list(t.spark, path)
 
 
 @query("p16_sanity_checks", "with a as (select p_partkey, case when p_partkey % 17 = 0 then 'bad' else 'img_'||p_partkey||'.png' end as name, p_size h from part), b as (select p_partkey, case when p_partkey % 19 = 0 then h+1 else h end lh, p_partkey % 23 = 0 as err from a where p_partkey % 13 <> 0) select a.name, unnest(list_filter([case when not regexp_matches(a.name,'^img_\\d+\\.png$') then 'bad_name' end, case when b.p_partkey is null then 'missing_label' end, case when b.lh <> a.h then 'size_mismatch' end, case when b.err then 'unreadable' end], lambda x: x is not null)) as issue from a left join b on a.name = (case when b.p_partkey % 17 = 0 then 'bad'||b.p_partkey else 'img_'||b.p_partkey||'.png' end)")
@@ -282,14 +287,14 @@ def _(t):
 
 @query("s13_read_result_history", "select event_id, value from events where event_type = 'click' and event_id % 5 <> 0")
 def _(t):
-    js = t.events.select("event_id", F.expr("if(event_id % 5 = 0, '{broken', to_json(struct(event_type as mode, value)))").alias("js"))
-    got = js.select("event_id", F.from_json("js", "mode string, value double").alias("j"))
-    return got.where("j.mode = 'click'").select("event_id", "j.value")
+    path = scratch(t.spark, "history")
+    t.events.select(F.expr("if(event_id % 5 = 0, '{broken', to_json(struct(event_type as mode, event_id, value)))").alias("js")).write.text(path)
+    return src.read_result_history(t.spark, path, "click", f"mode string, event_id {dict(t.events.dtypes)['event_id']}, value double").select("event_id", "value")
 
 
-@query("s14_read_split_tree", "select sample_id, case when sample_id % 4 = 0 then 'valid' else 'train' end as role, class as class_name from fx_samples")
+@query("s14_read_split_tree", "select sample_id, case sample_id % 4 when 0 then 'valid' when 1 then 'val' else 'train' end as role, class as class_name from fx_samples")
 def _(t):
-    files = t.samples.withColumn("path", F.expr("concat('root/', if(sample_id % 4 = 0, 'test', 'train'), '/', class, '/', name)"))
+    files = t.samples.withColumn("path", F.expr("concat('root/', case sample_id % 4 when 0 then 'test' when 1 then 'val' else 'train' end, '/', class, '/', name)"))
     return src.split_tree(files).select("sample_id", "role", "class_name")
 
 

@@ -8,6 +8,7 @@ from slicework.operators import summaries as sm
 from slicework.operators import volumes
 from slicework.plans.arrays import PLANE
 from slicework.plans.registry import query
+from slicework.sources import sinks
 
 c = F.col
 FILES = f"fl as (select dataset, case when plane in ('axial','sagittal') then plane else 'axial' end as orientation, case when volume_id % 5 = 0 then 'val' else 'train' end as split, volume_id from (select *, {PLANE} plane from fx_volumes))"
@@ -89,7 +90,10 @@ def _(t):
 def _(t):
     base = t.part.select("p_partkey", F.expr("if(p_partkey % 2 = 0, p_size, null)").alias("p_size"))
     extra = t.part.select("p_partkey", F.lit(99).alias("p_size")).join(t.part.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("x"), "p_partkey").alias("extra")), "p_partkey", "left")
-    return sm.add_columns(base, extra, "p_partkey")
+    path = sinks.scratch(t.spark, "columns")
+    sinks.swap_snapshot(base, path)
+    sinks.swap_snapshot(sm.add_columns(sinks.read_snapshot(t.spark, path), extra, "p_partkey"), path)
+    return sinks.read_snapshot(t.spark, path)
 
 
 @query("p05_select_keys", "select n_nationkey, n_name, true as changed from nation")

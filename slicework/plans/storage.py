@@ -74,13 +74,17 @@ def _(t):
     return t.spark.read.parquet(target)
 
 
-@query("m02_live_metrics")
+#: Hours whose end the watermark has passed: ten minutes behind the last event.
+M02 = "select date_trunc('hour', ts)::timestamp as start, event_type, round(avg(value),6) as mean, count(*) as n from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 10 minutes group by 1,2"
+
+
+@query("m02_live_metrics", M02)
 def _(t):
     target, mark = sinks.scratch(t.spark, "live"), sinks.scratch(t.spark, "live-progress")
     stream = _as_stream(t, t.events.schema)
     q = live_metrics(stream, keys=("event_type",)).writeStream.format("parquet").option("path", target).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.parquet(target)
+    return t.spark.read.parquet(target).withColumn("mean", F.round("mean", 6))
 
 
 def _as_stream(t, schema):
@@ -100,24 +104,30 @@ def _(t):
     return out.select("image_id", F.round(c("tokens")[0].cast("double"), 4).alias("m"), F.round(c("tokens")[1].cast("double"), 4).alias("top"))
 
 
+def held_out():
+    return c("image_id") % 5 == 0
+
+
 def metrics(t, model):
-    return learn.ev.evaluate(learn.predict(model, features(t)).withColumn("task", F.lit("head")), ["task"])
+    """On rows that no model here was fitted on."""
+    return learn.ev.evaluate(learn.predict(model, features(t).where(held_out())).withColumn("task", F.lit("head")), ["task"])
 
 
 @query("l01_fit_linear_head")
 def _(t):
-    return metrics(t, learn.fit_linear_head(features(t)))
+    return metrics(t, learn.fit_linear_head(features(t).where(~held_out())))
 
 
 @query("l02_class_weighted_fit")
 def _(t):
-    return metrics(t, learn.fit_linear_head(learn.class_weighted(features(t)), weight="weight"))
+    return metrics(t, learn.fit_linear_head(learn.class_weighted(features(t).where(~held_out())), weight="weight"))
 
 
 @query("l03_random_search")
 def _(t):
-    val = c("image_id") % 5 == 0
-    return metrics(t, learn.random_search(features(t).where(~val), features(t).where(val), trials=3)[0])
+    rest = features(t).where(~held_out())
+    val = c("image_id") % 5 == 1
+    return metrics(t, learn.random_search(rest.where(~val), rest.where(val), trials=3)[0])
 
 
 @query("l04_project_pca")
@@ -126,6 +136,71 @@ def _(t):
     return out.select("image_id", *[F.round(c("pca")[i], 6).alias(f"p{i}") for i in range(3)])
 
 
+def encoded(rows, kind: str):
+    """Files made of table rows by the tasks, as ``path``, ``content``: gzip volumes whose voxels count up, or array bundles."""
+
+    def run(frames):
+        import gzip
+        import io
+        import struct
+
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                if kind == "volume":
+                    shape = (r["nx"], r["ny"], r["nz"])
+                    head = bytearray(352)
+                    struct.pack_into("<i", head, 0, 348)
+                    struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
+                    struct.pack_into("<h", head, 70, 16)
+                    struct.pack_into("<8f", head, 76, 1, r["dx"], r["dy"], r["dz"], 1, 1, 1, 1)
+                    struct.pack_into("<f", head, 108, 352)
+                    data = np.arange(np.prod(shape), dtype="<f4").reshape(shape)
+                    content = gzip.compress(bytes(head) + data.tobytes(order="F"), 1)
+                else:
+                    b = io.BytesIO()
+                    np.savez(b, slice=np.array(r["px"], "f4").reshape(8, 8), **({"mask": np.array(r["gt_px"], "u1")} if r["key"] % 3 else {}))
+                    content = b.getvalue()
+                out.append(content if r["key"] % 50 else b"broken")
+            yield pd.DataFrame({"path": f["key"].astype(str), "content": out})
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+@query("s02_decode_volumes", "select volume_id::varchar as path, case when volume_id % 50 <> 0 then nx end as nx, case when volume_id % 50 <> 0 then ny end as ny, case when volume_id % 50 <> 0 then nz end as nz, case when volume_id % 50 <> 0 then round(dx::float::double,6) end as dx, case when volume_id % 50 <> 0 then (nx*ny*nz-1)*(nx*ny*nz)*(2*nx*ny*nz-1)/6.0::double end as s, volume_id % 50 = 0 as bad from fx_volumes")
+def _(t):
+    from slicework.sources.files import decode_volumes
+
+    out = decode_volumes(encoded(t.volumes.select(c("volume_id").alias("key"), "nx", "ny", "nz", "dx", "dy", "dz"), "volume"))
+    square = F.aggregate(F.transform("voxels", lambda v, i: v.cast("double") * i), F.lit(0.0), lambda a, v: a + v)
+    return out.select("path", "nx", "ny", "nz", F.round("dx", 6).alias("dx"), square.alias("s"), c("error").isNotNull().alias("bad"))
+
+
+@query("s05_read_array_bundles", "select image_id::varchar as path, case when image_id % 50 <> 0 then 8 end as h, case when image_id % 50 <> 0 then round(list_sum(list_transform(px, lambda v: v::float::double)),5) end as s, case when image_id % 50 <> 0 and image_id % 3 <> 0 then list_sum(gt_px)::double end as m, image_id % 50 = 0 as bad from fx_images join fx_masks using (image_id)")
+def _(t):
+    from slicework.sources.files import decode_array_bundles
+
+    rows = t.images.join(t.masks, "image_id").select(c("image_id").alias("key"), "px", "gt_px")
+    out = decode_array_bundles(encoded(rows, "bundle"), ["slice", "mask"])
+    total = lambda a: F.aggregate(F.transform(a, lambda v: v.cast("double")), F.lit(0.0), lambda x, v: x + v)
+    return out.select("path", F.get("slice_shape", F.lit(0)).alias("h"), F.round(total("slice"), 5).alias("s"), total("mask").alias("m"), c("error").isNotNull().alias("bad"))
+
+
+@query("s06_read_image_files", "select image_id::varchar as path, case when image_id % 50 <> 0 then 4 end as h, case when image_id % 50 <> 0 then 8 end as w, case when image_id % 50 <> 0 then (select list_sum([round_even((list_sum([case when px[2*i+k] > 0 then 200 else i end for k in [1,2]])/2.0)::double, 0) * i for i in range(32)]))::bigint end as s, image_id % 50 = 0 as bad from fx_images")
+def _(t):
+    from slicework.sources.files import one_channel
+
+    data = F.unhex(F.array_join(F.transform("px", lambda v, i: F.lpad(F.hex(F.when(v > 0, 200).otherwise(F.floor(i / 2).cast("int"))), 2, "0")), ""))
+    bad = c("image_id") % 50 == 0
+    rows = t.images.select(c("image_id").cast("string").alias("origin"), F.when(bad, -1).otherwise(4).alias("height"), F.when(bad, -1).otherwise(8).alias("width"), F.when(bad, -1).otherwise(2).alias("nChannels"), F.when(~bad, data).alias("data"))
+    out = one_channel(rows)
+    total = F.aggregate(F.transform("px", lambda v, i: (v * i).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return out.select("path", "h", "w", total.alias("s"), c("error").isNotNull().alias("bad"))
+
+
 @query("l05_score_linear_head", "select image_id, round(list_sum([px[i]*(i%3-1) for i in range(1,65)])+0.5,6) as z0, round(list_sum([px[i]*(i%2) for i in range(1,65)])-0.25,6) as z1 from fx_images")
 def _(t):
     w = [[float(i % 3 - 1) for i in range(1, 65)], [float(i % 2) for i in range(1, 65)]]

@@ -8,9 +8,8 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Data types of the volume format by code (fixed values).
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -56,25 +55,31 @@ def decode_volume(content: bytes, header_only: bool = False, label: bool = False
     while data.ndim > 3:
         data = data[..., 0] if label else data.mean(axis=-1)
     data, zooms = _canonical(data, zooms, affine)
-    return {"nx": data.shape[0], "ny": data.shape[1], "nz": data.shape[2], "dx": zooms[0], "dy": zooms[1], "dz": zooms[2], "voxels": data.ravel().tolist()}
+    return {"nx": data.shape[0], "ny": data.shape[1], "nz": data.shape[2], "dx": zooms[0], "dy": zooms[1], "dz": zooms[2], "voxels": data.ravel()}
+
+
+def _arrays(values: list[np.ndarray | None]) -> pa.Array:
+    """A column of float arrays, some of them null, without an object for each number."""
+    size = np.array([0 if v is None else v.size for v in values], np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+    flat = np.concatenate([np.zeros(0, "f4"), *(v.ravel().astype("f4") for v in values if v is not None)])
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()), mask=pa.array([v is None for v in values], pa.bool_()))
 
 
 def decode_volumes(files: DataFrame, header_only: bool = False, label: bool = False) -> DataFrame:
-    """Of ``path``, ``content``: dimensions, spacing and voxels in x, y, z order."""
+    """Of ``path``, ``content``: dimensions, spacing and voxels in x, y, z order; one row a file, with its error if it has one."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a volume at a time: some are large
                 try:
-                    rows.append({"path": path, "error": None} | decode_volume(content, header_only, label))
+                    row = {"error": None} | decode_volume(b.column(1)[i].as_py(), header_only, label)
                 except Exception as e:  # noqa: BLE001  the error is the row's result
-                    rows.append({"path": path, "error": str(e)[:200]})
-            columns = ["path", "nx", "ny", "nz", "dx", "dy", "dz", "voxels", "error"]
-            out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
-            yield out.astype({c: "Int32" for c in ("nx", "ny", "nz")})
+                    row = {"error": str(e)[:200] or type(e).__name__}
+                numbers = [pa.array([row.get(k)], pa.int32() if k[0] == "n" else pa.float64()) for k in ("nx", "ny", "nz", "dx", "dy", "dz")]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *numbers, _arrays([row.get("voxels")]), pa.array([row["error"]], pa.string())], ["path", "nx", "ny", "nz", "dx", "dy", "dz", "voxels", "error"])
 
-    return files.select("path", "content").mapInPandas(run, VOLUME)
+    return files.select("path", "content").mapInArrow(run, VOLUME)
 
 
 def read_volumes(spark: SparkSession, root: str, header_only: bool = False) -> DataFrame:
@@ -83,36 +88,45 @@ def read_volumes(spark: SparkSession, root: str, header_only: bool = False) -> D
 
 
 def decode_array_bundles(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Of ``path``, ``content``: each named array with its shape, null where the bundle lacks it."""
+    """Of ``path``, ``content``: each named array with its shape, null where the bundle lacks it; one row a file, with its error if it has one."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
-                row: dict = {"path": path, "error": None} | {k: None for k in keys} | {f"{k}_shape": None for k in keys}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found, error = {}, None
                 try:
-                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                        for k in keys:
-                            if k in z.files:
-                                row[k], row[f"{k}_shape"] = z[k].astype("f4").ravel().tolist(), list(z[k].shape)
+                    with np.load(io.BytesIO(b.column(1)[i].as_py()), allow_pickle=False) as z:
+                        found = {k: z[k] for k in keys if k in z.files}
                 except Exception as e:  # noqa: BLE001
-                    row["error"] = str(e)[:200]
-                rows.append(row)
-            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in (rows[0] if rows else [])})
+                    error = str(e)[:200] or type(e).__name__
+                shapes = [pa.array([list(found[k].shape) if k in found else None], pa.list_(pa.int32())) for k in keys]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([error], pa.string()), *(_arrays([found.get(k)]) for k in keys), *shapes], ["path", "error", *keys, *(f"{k}_shape" for k in keys)])
 
     schema = ", ".join(["path string", "error string", *(f"`{k}` array<float>" for k in keys), *(f"`{k}_shape` array<int>" for k in keys)])
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def read_array_bundles(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     return decode_array_bundles(spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(root), keys)
 
 
+def one_channel(images: DataFrame) -> DataFrame:
+    """Of Spark's image columns ``origin``, ``height``, ``width``, ``nChannels``, ``data``: ``path``, ``h``, ``w``, ``px``
+    (one channel, row-major; colour by its mean) and ``error``; one row an image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                h, w, k = (b.column(c)[i].as_py() for c in (1, 2, 3))
+                data = np.frombuffer(b.column(4)[i].as_py() or b"", np.uint8)
+                ok = bool(h and w and k) and min(h, w, k) > 0 and data.size == h * w * k
+                px = np.rint(data.reshape(-1, k).mean(axis=1)).astype(np.int32) if ok else None
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([h if ok else None], pa.int32()), pa.array([w if ok else None], pa.int32()), pa.array([px], pa.list_(pa.int32())), pa.array([None if ok else "not an image"], pa.string())], ["path", "h", "w", "px", "error"])
+
+    return images.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, h int, w int, px array<int>, error string")
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Images as ``h``, ``w`` and the bytes of one channel, row-major; colour by its mean."""
-    img = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
-    k = F.col("nChannels")
-    byte = F.ascii(F.decode(F.expr("substring(data, p + 1, 1)"), "ISO-8859-1"))
-    out = img.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), k.alias("channels"), F.posexplode(F.sequence(F.lit(0), F.col("height") * F.col("width") * k - 1)).alias("i", "p"), "data")
-    px = out.select("path", "h", "w", F.floor(F.col("i") / F.col("channels")).alias("i"), byte.alias("v")).groupBy("path", "h", "w", "i").agg(F.avg("v").alias("v"))
-    return px.groupBy("path", "h", "w").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: F.rint(x["v"]).cast("int")).alias("px"))
+    """Images below a folder; files that can't be decoded are rows with an error."""
+    found = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
+    return one_channel(found.select("image.*"))

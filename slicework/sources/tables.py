@@ -82,16 +82,19 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """The pooled predictions of a tree of runs; it is an error if there are none."""
+    df = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    if df.isEmpty():
+        raise FileNotFoundError(f"no predictions in {path}")
     return df.where(F.col("split") == split) if split else df
 
 
 def run_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    return lines.where(F.lower(column).contains("loss") & F.col(column).rlike(r"Iteration:\s*\d+"))
+    return lines.where(F.lower(column).contains("loss") & F.col(column).rlike(r"(?i)Iteration:\s*\d+\s*/\s*\d+"))
 
 
 def read_run_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return run_log_lines(spark.read.text(paths).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)))
+    return run_log_lines(spark.read.text(paths).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]*$", 1)))
 
 
 def read_result_history(spark: SparkSession, path: str, mode: str, schema: str) -> DataFrame:
@@ -101,12 +104,12 @@ def read_result_history(spark: SparkSession, path: str, mode: str, schema: str)
 
 
 def split_tree(files: DataFrame, path: str = "path") -> DataFrame:
-    """``split``, ``class_name`` of ``split/class/file``; ``test`` stands in for a missing ``val``."""
+    """``split``, ``class_name`` of ``split/class/file``, and the ``role``: ``valid`` is the split ``val``, or ``test`` if there is one and no split of that very name."""
     parts = F.split(path, "/")
     out = files.withColumns({"split": F.element_at(parts, -3), "class_name": F.element_at(parts, -2)})
-    has_val = out.agg(F.coalesce(F.bool_or(F.col("split") == "val"), F.lit(False)).alias("__has"))
-    role = F.when(F.col("split") == "val", "valid").when((F.col("split") == "test") & ~F.col("__has"), "valid").otherwise(F.col("split"))
-    return out.join(F.broadcast(has_val), F.lit(True)).withColumn("role", role).drop("__has")  # one row
+    any_of = lambda name: F.coalesce(F.bool_or(F.col("split") == name), F.lit(False))
+    side = out.agg(F.when(any_of("test") & ~any_of("valid"), "test").otherwise("val").alias("__side"))
+    return out.join(F.broadcast(side), F.lit(True)).withColumn("role", F.when(F.col("split") == F.col("__side"), "valid").otherwise(F.col("split"))).drop("__side")  # one row
 
 
 def read_split_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -62,8 +62,9 @@ def test_bundles_and_images(spark, tmp_path):
     image = np.arange(12, dtype="u1").reshape(3, 4) * 20
     (tmp_path / "i").mkdir()
     png(tmp_path / "i" / "p.png", image)
-    r = files.read_images(spark, str(tmp_path / "i")).first()
-    assert (r.h, r.w, r.px) == (3, 4, image.ravel().tolist())
+    (tmp_path / "i" / "q.png").write_bytes(b"broken")
+    r = files.read_images(spark, str(tmp_path / "i")).orderBy("path").collect()
+    assert (r[0].h, r[0].w, r[0].px, r[0].error) == (3, 4, image.ravel().tolist(), None) and r[1].error and r[1].px is None and len(r) == 2
 
 
 def one(spark, column, **values):
