@@ -190,6 +190,28 @@ def test_automaton_is_the_tree(spark, corpus):
             assert counts[r.context.to_bytes(3, "big"), r.symbol] == r.n
 
 
+def test_retained_contexts_are_those_of_a_plain_count(spark, corpus):
+    """All contexts of up to six bytes, counted one by one, and both tests on each."""
+    train = corpus.limit(40)
+    counts = collections.defaultdict(collections.Counter)
+    for r in train.collect():
+        s = b"\n" + b" ".join(pst.tokens(r.text)) + b"\n"
+        for i in range(1, len(s)):
+            for k in range(min(i, 6) + 1):
+                counts[s[i - k : i]][s[i]] += 1
+    total = sum(counts[b""].values())
+    for share, divergence in ((3e-4, 5.0), (1e-3, 20.0)):
+        want = {b"": dict(counts[b""])}
+        for c, n in counts.items():
+            own, below = sum(n.values()), sum(counts[c[1:]].values())
+            if c and own >= max(2.0, share * total) and sum(x * math.log(x / own / (counts[c[1:]][s] / below)) for s, x in n.items()) >= divergence:
+                want[c] = dict(n)
+        got = collections.defaultdict(dict)
+        for r in pst.retained(train, share=share, divergence=divergence).collect():
+            got[r.context.to_bytes(r.k, "big")][r.symbol] = r.n
+        assert got == want and max(map(len, want)) >= 5
+
+
 def test_scoring_odd(spark, odd):
     rows = pst.op2_suffix_tree(odd).collect()
     assert len(rows) == len(ODD) + 1 and all(math.isfinite(r.score) and r.score < 0 for r in rows)
@@ -269,6 +291,56 @@ def test_mcd_against_numpy(spark):
     assert 1.0 < est["l00"] < 3.5
 
 
+def plain_mcd(x):
+    """Location, scatter's Cholesky factor by two starts and concentration steps on distance bins."""
+    def estimate(part, factor, diagonal=False):
+        m = part.mean(axis=0)
+        c = (part.T @ part / len(part) - np.outer(m, m)) * factor
+        c = np.diag(np.diag(c)) if diagonal else c
+        return m, np.linalg.cholesky(c + np.diag(np.maximum(-np.diag(c), 0)) + np.diag(np.array(quality.FLOOR) ** 2))
+
+    def distance(m, low):
+        return (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+
+    best = None
+    for diagonal in (False, True):
+        m, low = estimate(x, 1.0, diagonal)
+        for _ in range(quality.STEPS):
+            bins = np.minimum(quality.BINS - 1, np.floor(np.log2(1 + distance(m, low)) * 16)).astype(int)
+            before = np.cumsum(np.bincount(bins, minlength=quality.BINS)) - np.bincount(bins, minlength=quality.BINS)
+            m, low = estimate(x[before[bins] < len(x) * quality.SHARE], quality.CONSISTENT)
+        det = np.log(np.diag(low)).sum()
+        if best is None or det < best[0] - 1e-9:
+            best = (det, m, low)
+    return best[1], best[2]
+
+
+def test_verdicts_against_numpy(spark):
+    """Groups, fall-backs, estimates and distances by hand on 1,000 documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in quality.op4_robust_outliers(docs).collect()}
+    table = []
+    for r in docs.collect():
+        n, chars, symbols, dup, repeat = plain_stats(r.text)
+        lines_ = sum(bool(WS.sub("", x)) for x in (r.text or "").split("\n"))
+        if n >= 10:
+            v = [math.log1p(n), (chars + 100) / (n + 20), math.sqrt(symbols / (n + 20)), dup / (lines_ + 5), repeat / (n + 20)]
+            table.append((r.doc_id, r.lang, r.source, v))
+    sizes, langs = collections.Counter((g, s) for _, g, s, _ in table), collections.Counter(g for _, g, _, _ in table)
+    group = lambda g, s: (g, s) if sizes[g, s] >= quality.MIN_GROUP else (g,) if langs[g] >= quality.MIN_GROUP else ()
+    used = {group(g, s) for _, g, s, _ in table}
+    fits = {k: plain_mcd(np.array([v for _, g, s, v in table if (g, s)[: len(k)] == k])) for k in used}
+    close = 0
+    for d, g, s, v in table:
+        m, low = fits[group(g, s)]
+        want = float((np.linalg.solve(low, np.array(v) - m) ** 2).sum())
+        assert math.isclose(rows[d].distance, want, rel_tol=1e-4, abs_tol=1e-4)
+        if abs(want - quality.CUTOFF) > 1e-2:
+            assert rows[d].kept == (not rows[d].base_failed and want <= quality.CUTOFF)
+            close += 1
+    assert close > 900 and len(used) > 3
+
+
 # near duplicates
 
 def plain_fp(text):

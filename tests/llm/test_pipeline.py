@@ -35,3 +35,21 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, blank, very long, tied and repeated rows and clashing names go through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"wort{i % 4999}" for i in range(60_000))
+    odd = [(None, None, None, None), (None, "some text without an id, of ten words or more, to be kept", "en", None), (-1, "", "en", "web"), (-2, " \t\n ", None, "web"), (-3, long, None, None), (-4, "a", "en", "web"), (-5, "x\n" * 3000, "en", "web")]
+    more = spark.createDataFrame([(*r, None) for r in [*odd, *odd, *[(-7, long, "en", "web")] * 2]], docs.schema)
+    both = docs.unionByName(more).withColumns({c: F.lit(1) for c in ("line", "key", "digest", "ids", "decoded", "n_lines", "keep", "words", "component_id")})
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, both = both, materialize(stage(spark, both, SF), name)
+        sizes.append(both.count())
+        if name != "tokens":
+            assert both.columns == before.columns
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 20
+    assert both.where("not round_trip or n_tokens <> octet_length(ids) / 4").count() == 0
+    assert both.where("doc_id in (-1, -2, -4, -5)").count() == 0 and both.where("doc_id is null").count() == 1
