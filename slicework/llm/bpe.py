@@ -198,11 +198,13 @@ def frequent_words(counts: DataFrame, max_words: int) -> DataFrame:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each of some non-empty strings."""
-    words = words.cast(pa.string())
+    """A 64-bit hash of each of some non-empty strings; so many at a time that the numbers for each byte stay few."""
+    parts = [_word_hashes(words.slice(lo, CHUNK // 10)) for lo in range(0, len(words), CHUNK // 10)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
     edge = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    if not len(words):
-        return np.zeros(0, np.uint64)
     data = np.frombuffer(words.buffers()[2], np.uint8)[edge[0] : edge[-1]]
     begin = edge[:-1] - edge[0]
     at = np.arange(len(data)) - np.repeat(begin, np.diff(edge))
