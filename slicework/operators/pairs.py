@@ -117,9 +117,28 @@ def sanity_check(images: DataFrame, labels: DataFrame, pattern: str) -> DataFram
     return a.select("name", F.explode(issues).alias("issue"))
 
 
+def empty_splits(images: DataFrame, labels: DataFrame, splits: tuple[str, ...] = ("train", "val")) -> DataFrame:
+    """``split`` and ``issue`` of the asked splits (of columns ``split``) whose images or labels are missing."""
+    asked = images.sparkSession.createDataFrame([(x,) for x in splits], "split string")
+    has = lambda df, name: df.select("split").distinct().withColumn(name, F.lit(True))
+    both = asked.join(has(images, "__i"), "split", "left").join(has(labels, "__l"), "split", "left")
+    issue = F.when(F.col("__i").isNull(), "missing_images").when(F.col("__l").isNull(), "missing_labels")
+    return both.select("split", issue.alias("issue")).where("issue is not null")
+
+
 def apply_exclusions(df: DataFrame, rules: DataFrame, dataset: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that no rule (``rule_id``, ``dataset`` or null for any, ``pattern`` for LIKE, ``reason``) takes out, and the others with the first rule."""
-    hit = df.join(rules.withColumnRenamed("dataset", "__ds"), (F.col("__ds").isNull() | (F.col("__ds") == F.col(dataset))) & F.expr(f"`{path}` like pattern"))
-    first = hit.groupBy(path).agg(F.min(F.struct("rule_id", "reason")).alias("__r"))
-    gone = df.join(first, path).withColumns({"rule_id": F.col("__r.rule_id"), "reason": F.col("__r.reason")}).drop("__r")
-    return df.join(first.select(path), path, "left_anti"), gone
+    """Rows that no rule (``rule_id``, ``dataset`` or null for any, ``pattern`` with ``*`` and ``?``, ``reason``) takes out,
+    and the others with the first rule.
+
+    The rules, a short list that people write, are gathered in one row; every row of the table is held against them
+    where it stands.
+    """
+    text = F.col("pattern")
+    for sign in ("\\", "%", "_"):
+        text = F.replace(text, F.lit(sign), F.lit("\\" + sign))
+    like = F.replace(F.replace(text, F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
+    one = rules.agg(F.sort_array(F.collect_list(F.struct("rule_id", F.col("dataset").alias("of"), like.alias("like"), "reason"))).alias("__rules"))
+    hit = lambda r: (r["of"].isNull() | (r["of"] == F.col(dataset))) & F.like(F.col(path), r["like"])
+    found = df.join(F.broadcast(one), F.lit(True)).withColumn("__rule", F.get(F.filter("__rules", hit), F.lit(0))).drop("__rules")  # one row
+    gone = found.where("__rule is not null").withColumns({"rule_id": F.col("__rule.rule_id"), "reason": F.col("__rule.reason")}).drop("__rule")
+    return found.where("__rule is null").drop("__rule"), gone

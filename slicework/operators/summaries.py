@@ -53,6 +53,15 @@ def report_lines(results: DataFrame) -> DataFrame:
     return results.where("status <> 'exists'").orderBy("path").select(line.alias("line"))
 
 
+def report_totals(results: DataFrame) -> DataFrame:
+    """The block below the lines: ``place`` and ``line`` of each total."""
+    rule = "=" * 50
+    sums = extraction_summary(results)
+    names = ("extracted", "skipped", "errors", "skipped_existing", "slices")
+    lines = [F.lit(rule), F.lit("SUMMARY"), *[F.format_string(f"  {x:<17}: %d", x) for x in names], F.lit(rule)]
+    return sums.select(F.posexplode(F.array(*lines)).alias("place", "line"))
+
+
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df``, or an error when it runs if a key occurs twice."""
     twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").agg(F.count(F.lit(1)).alias("__bad"))

@@ -39,10 +39,10 @@ def _(t):
 
 
 def rules(t):
-    return t.spark.createDataFrame([(1, None, "derivatives/%", "derived"), (2, "ds3", "%T2w%", "bad contrast"), (3, None, "%dwi%", "diffusion")], "rule_id int, dataset string, pattern string, reason string")
+    return t.spark.createDataFrame([(1, None, "derivatives/*", "derived"), (2, "ds3", "*T2?.nii*", "bad contrast"), (3, None, "*dwi_*", "diffusion")], "rule_id int, dataset string, pattern string, reason string")
 
 
-RULES = "r as (select * from (values (1,null,'derivatives/%','derived'),(2,'ds3','%T2w%','bad contrast'),(3,null,'%dwi%','diffusion')) v(rule_id,ds,pattern,reason)), g as (select volume_id, dataset, reason from (select v.*, r.*, row_number() over (partition by path order by rule_id) k from fx_volumes v join r on (r.ds is null or r.ds=v.dataset) and v.path like r.pattern) where k=1)"
+RULES = "r as (select * from (values (1,null,'derivatives/%','derived'),(2,'ds3','%T2_.nii%','bad contrast'),(3,null,'%dwi%','diffusion')) v(rule_id,ds,pattern,reason)), g as (select volume_id, dataset, reason from (select v.*, r.*, row_number() over (partition by path order by rule_id) k from fx_volumes v join r on (r.ds is null or r.ds=v.dataset) and v.path like r.pattern) where k=1)"
 
 
 @query("p03_apply_exclusion_rules", f"with {RULES} select volume_id, reason from g union all select volume_id, 'kept' from fx_volumes where volume_id not in (select volume_id from g)")
@@ -105,6 +105,12 @@ def _(t):
     return pairs.sanity_check(a, b, r"^img_\d+\.png$")
 
 
+@query("p16_empty_splits", "select * from (values ('test','missing_images'), ('val','missing_labels')) v(split, issue) where (select count(*) from part) > 0")
+def _(t):
+    side = lambda a, b: t.part.select(F.expr(f"if(p_partkey % 5 = 0, '{a}', '{b}')").alias("split"))
+    return pairs.empty_splits(side("val", "train"), side("train", "train"), ("train", "val", "test"))
+
+
 def sanity_tables(t):
     a = t.part.select("p_partkey", F.expr("if(p_partkey % 17 = 0, 'bad', concat('img_', p_partkey, '.png'))").alias("name"), c("p_size").alias("h"), F.lit(1).alias("w"), F.lit(None).cast("string").alias("error"))
     b = t.part.where("p_partkey % 13 <> 0").select(F.expr("if(p_partkey % 17 = 0, concat('bad', p_partkey), concat('img_', p_partkey, '.png'))").alias("name"), F.expr("if(p_partkey % 19 = 0, p_size + 1, p_size)").alias("h"), F.lit(1).alias("w"), F.expr("if(p_partkey % 23 = 0, 'broken', null)").alias("error"))

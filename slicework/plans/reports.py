@@ -46,6 +46,11 @@ def _(t):
     return sm.report_lines(results(t))
 
 
+@query("k12_report_totals", f"with {RES}, a as (select count(*) filter (status='ok') as e, count(*) filter (status='skipped') as s, count(*) filter (status='error') as r, count(*) filter (status='exists') as x, sum(slices) as n from rs), l as (select ['{'=' * 50}', 'SUMMARY', '  extracted        : '||e, '  skipped          : '||s, '  errors           : '||r, '  skipped_existing : '||x, '  slices           : '||n, '{'=' * 50}'] as l from a) select (unnest(range(8)))::int as place, unnest(l) as line from l")
+def _(t):
+    return sm.report_totals(results(t))
+
+
 @query("o02_top_datasets", "select dataset, count(*) as n from fx_volumes group by 1 order by n desc, dataset limit 3")
 def _(t):
     return sm.top_by(t.volumes.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), "n", 3, "dataset")
