@@ -157,6 +157,20 @@ def _(t):
     return px.resize_image(t.images, 5, 6).select("image_id", digest(P()).alias("d"))
 
 
+CUBIC = "case when abs(x) < 1 then 1.5*abs(x)**3-2.5*x*x+1 when abs(x) < 2 then -0.5*abs(x)**3+2.5*x*x-4*abs(x)+2 else 0 end"
+#: Weights of 8 source places for 5 and for 12 targets: the filter is as wide as the step, if that is more than 1.
+WEIGHTS = lambda n: f"(select t, u, {CUBIC} as w from (select t, u, (u+0.5-(t+0.5)*8.0/{n})/greatest(8.0/{n},1) as x from range({n}) a(t), range(8) b(u)) where u >= greatest(0,floor((t+0.5)*8.0/{n}-2*greatest(8.0/{n},1)+0.5)) and u < least(8,floor((t+0.5)*8.0/{n}+2*greatest(8.0/{n},1)+0.5)))"
+F43B = f"with wy as (select t, u, w/sum(w) over (partition by t) as w from {WEIGHTS(5)}), wx as (select t, u, w/sum(w) over (partition by t) as w from {WEIGHTS(12)}), v as (select image_id, (unnest(range(64)))::bigint i, unnest(px) p from fx_images) select image_id, round(sum(p*wy.w*wx.w*(wy.t*12+wx.t)),6) as d from v join wy on wy.u = v.i // 8 join wx on wx.u = v.i % 8 group by 1"
+
+
+@query("f43_resize_filtered", F43B.replace("**3", "^3"))
+def _(t):
+    from slicework.functions.kernels import resize_filtered
+
+    out = t.images.select("image_id", resize_filtered(5, 12, "bicubic")(c("px"), c("h"), c("w")).alias("px"))
+    return out.select("image_id", F.round(F.aggregate(F.transform("px", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v), 6).alias("d"))
+
+
 simple("f44_binarise", lambda: px.binarise(P(), 0.05), "list_transform(px, lambda x: (x > 0.05)::int)")
 EDGE = lambda m: f"[case when {m}[i+1] > 0 and least(case when i//8=0 then 0 else {m}[greatest(i-7,1)] end, case when i//8=7 then 0 else {m}[least(i+9,64)] end, case when i%8=0 then 0 else {m}[greatest(i,1)] end, case when i%8=7 then 0 else {m}[least(i+2,64)] end) <= 0 then 1 else 0 end for i in range(64)]"
 simple("f45_boundary", lambda: px.boundary(c("gt_px"), F.lit(8), F.lit(8)), EDGE("gt_px"), "masks", "fx_masks")
