@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,26 @@ def shared_root(spark: SparkSession) -> str:
     return (root or "/tmp/checkpoints").rstrip("/")
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``materialize`` writes meanwhile, in order."""
+    token = _written.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that no result reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -32,6 +55,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

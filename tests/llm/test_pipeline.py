@@ -1,10 +1,12 @@
 """The stages, each on what the one before kept."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slicework.llm import decontaminate, lines, quality, simhash
-from slicework.llm.shared import materialize
+from slicework.llm.shared import materialize, recorded, remove
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +55,14 @@ def test_odd_rows(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 20
     assert both.where("not round_trip or n_tokens <> octet_length(ids) / 4").count() == 0
     assert both.where("doc_id in (-1, -2, -4, -5)").count() == 0 and both.where("doc_id is null").count() == 1
+
+
+def test_run_leaves_one_table(spark):
+    with recorded() as paths:
+        materialize(spark.range(3), "nested")
+    remove(spark, paths)
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    docs = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("tokens-") and docs.count() > 20
