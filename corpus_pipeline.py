@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slicework.llm import bpe, decontaminate, lines, quality, simhash
 from slicework.llm.queries import vocabulary
-from slicework.llm.shared import materialize, table
+from slicework.llm.shared import materialize, recorded, remove, table
 
 
 def _aside(docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
@@ -66,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The tokens of the documents that all stages keep. Intermediate tables go when the stage after them is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with recorded() as paths:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        remove(spark, [*before, *paths[:-1]])
+        before = paths[-1:]
     return docs
