@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -197,6 +197,12 @@ def frequent_words(counts: DataFrame, max_words: int) -> DataFrame:
     return counts.where(F.col("n") >= F.lit(1 << 62 if least is None else max(2, least))).select("word")
 
 
+def short_plans(spark: SparkSession, characters: int = 100_000) -> None:
+    """Cut the plan descriptions of this session, which would hold the literal map again and again in the driver's memory."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", "0")) > characters:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(characters))
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each of some non-empty strings; so many at a time that the numbers for each byte stay few."""
     parts = [_word_hashes(words.slice(lo, CHUNK // 10)) for lo in range(0, len(words), CHUNK // 10)]
@@ -307,6 +313,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     are shuffled. Columns of the input named ``ids`` or ``decoded`` are replaced. A word of n letters takes some n
     steps at most, and long words fall into parts that no merge joins: a hundred thousand random letters take seconds.
     """
+    short_plans(docs.sparkSession)
     rank_map = RankMap(load_ranks(vocabulary))
     counts = materialize(word_counts(docs, pattern, text), "bpe-words")
     known = materialize(frequent_words(counts, max_words).repartition("word").select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
