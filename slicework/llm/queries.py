@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicework.llm import bpe, decontaminate, html, langid, license, lines, pst, quality, sharding, simhash
+from slicework.llm import bpe, decontaminate, html, langid, license, lines, pst, quality, repair, sharding, simhash
 from slicework.llm.shared import table
 
 
@@ -57,8 +57,12 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_latent_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op11_grammar_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe, op10_latent_leaks)}
+    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe, op10_latent_leaks, op11_grammar_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
