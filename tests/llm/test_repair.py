@@ -33,14 +33,14 @@ def damaged(rows):
 def plain_cost(rows, faults):
     """Uniform-cost search over (rows used, roles so far by their last state), ordered by cost and then by audit."""
     step = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
-    heap, best = [(0, "", 0, "", "")], {}
+    heap, best = [(0, "", 0, "", "")], set()
     while heap:
         cost, audit, i, last, lines = heapq.heappop(heap)
         if i == len(rows) and last in ("", "a"):
             return cost, audit, lines[1:]
-        if best.get((i, last), (cost, audit)) < (cost, audit) and cost > best[i, last][0]:
+        if (i, last) in best:
             continue
-        best.setdefault((i, last), (cost, audit))
+        best.add((i, last))
         for r in step[last]:
             if r != "s":
                 heapq.heappush(heap, (cost + 3, audit + "I", i, r, lines + "\n" + {"u": "user", "a": "assistant"}[r] + ":"))
