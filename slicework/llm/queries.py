@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicework.llm import align, bpe, decontaminate, html, langid, license, lines, pst, quality, repair, sharding, simhash
+from slicework.llm import align, bpe, decontaminate, html, langid, license, lines, pst, quality, repair, repeats, sharding, simhash
 from slicework.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op11_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op11_grammar_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op12_lyndon_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +72,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe, op10_latent_leaks, op11_grammar_repair, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_tag_path_ratios, op2_suffix_tree, op3_hash_tree, op4_robust_outliers, op5_golay_simhash, op6_canonical_digest, op7_language_mixture, op8_fuzzy_lines, op9_byte_bpe, op10_latent_leaks, op11_grammar_repair, op12_lyndon_repeats, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
