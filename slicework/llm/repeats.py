@@ -33,7 +33,7 @@ from slicework.llm.suffixes import suffix_array
 #: Bytes of a repeat, and of the gram whose hash is the key.
 LENGTH, GRAM = 50, 16
 #: Bytes of a block of texts, keys of a part, blocks that a key may be sent from as a whole.
-BLOCK, PART, HOT_BLOCKS = 4 << 20, 2_000_000, 64
+BLOCK, PART, HOT_BLOCKS = 4 << 20, 2_000_000, 4096
 #: Bytes that one suffix array takes; positions that are hashed at once.
 TOGETHER, CHUNK = 1 << 14, 1 << 16
 U, MIX = np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -167,43 +167,45 @@ def smallest_of_strings(contents: list[bytes], docs: np.ndarray) -> list[np.ndar
     return [out[b : b + len(c) - LENGTH + 1] for b, c in zip(begin.tolist(), contents)]
 
 
-def may_share(contents: list[bytes], key: int) -> list[int]:
-    """Contents of one key that hold, beside a gram with the key's hash, the same 17 bytes as another or hold the gram twice."""
+def may_share(contents: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """Which contents hold, beside a gram with their key's hash, the same 17 bytes as another content of the key."""
     side = math.ceil((LENGTH - GRAM) / 2)
-    sides: dict = {}
-    out = set()
-    for i, c in enumerate(contents):
-        buf = np.frombuffer(c, np.uint8)
-        for at in np.flatnonzero(gram_hashes(buf) == U(key)).tolist():
-            for part in ((0, c[at - side : at + GRAM]) if at >= side else None, (1, c[at : at + GRAM + side]) if at + GRAM + side <= len(c) else None):
-                if part is not None:
-                    other = sides.setdefault(part, i)
-                    if other != i:
-                        out |= {other, i}
-    return sorted(out)
+    size = np.array([len(c) for c in contents], np.int64)
+    buf, end = np.frombuffer(b"".join(contents), np.uint8), np.cumsum(size)
+    h = gram_hashes(buf)
+    at = np.flatnonzero(h == np.repeat(keys, size)[: len(h)])
+    of = np.searchsorted(end, at, "right")
+    inner = at + GRAM <= end[of]
+    at, of = at[inner], of[inner]
+    left, right = at - side >= end[of] - size[of], at + GRAM + side <= end[of]
+    start, of = np.concatenate([at[left] - side, at[right]]), np.concatenate([of[left], of[right]])
+    place = content_hashes(buf, start, np.full(len(start), GRAM + side)) ^ np.repeat(np.array([0, MIX[0]], U), [left.sum(), right.sum()])
+    order = np.lexsort((of, place, keys[of]))
+    of, place = of[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (keys[of[1:]] != keys[of[:-1]])])) if len(of) else np.zeros(0, np.int64)
+    out = np.zeros(len(contents), bool)
+    if len(of):
+        met = np.maximum.reduceat(of, first) > np.minimum.reduceat(of, first)
+        out[of[np.repeat(met, np.diff(np.append(first, len(of))))]] = True
+    return out
 
 
 def shared_strings(contents: list[bytes], keys: np.ndarray, docs: np.ndarray) -> dict[int, np.ndarray]:
     """Of distinct contents in order of their keys: for those that may share strings with others, each string's smallest document."""
     out: dict[int, np.ndarray] = {}
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else []
-    waiting: list[int] = []
-    size = 0
-
-    def solve() -> None:
-        if waiting:
-            out.update(zip(waiting, smallest_of_strings([contents[i] for i in waiting], docs[waiting])))
-
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        if hi - lo > 1:
-            some = [lo + i for i in may_share(contents[lo:hi], int(keys[lo]))]
-            more = sum(len(contents[i]) for i in some)
-            if size + more > TOGETHER:
-                solve()
-                waiting, size = [], 0
-            waiting += some
-            size += more
-    solve()
+    like = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+    several = np.flatnonzero(like[1:] | like[:-1])
+    if not len(several):
+        return out
+    some = several[may_share([contents[i] for i in several.tolist()], keys[several])]
+    upto = np.cumsum([0, *(len(contents[i]) for i in some.tolist())])
+    edges, lo = np.flatnonzero(np.concatenate([keys[some][1:] != keys[some][:-1], [True]])) + 1 if len(some) else [], 0
+    while lo < len(some):
+        # whole keys, as many as fit
+        k = max(np.searchsorted(edges, lo, "right"), np.searchsorted(upto[edges], upto[lo] + TOGETHER, "right") - 1)
+        own = some[lo : edges[k]]
+        out.update(zip(own.tolist(), smallest_of_strings([contents[i] for i in own.tolist()], docs[own])))
+        lo = edges[k]
     return out
 
 

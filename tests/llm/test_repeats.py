@@ -54,7 +54,7 @@ def made():
     return list(zip(ids, texts)) + [(ids[20], texts[20]), (ids[20], passages[0] + passages[1]), (None, passages[2] + "!"), (None, passages[3])]
 
 
-@pytest.mark.parametrize("hot", [64, 1, 0])
+@pytest.mark.parametrize("hot", [4096, 1, 0])
 def test_repeats_equal_plain(spark, hot):
     rows = made()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"first": F.lit(1), "digest": F.lit("x"), "block": F.lit(3)})
