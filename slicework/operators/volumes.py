@@ -24,7 +24,7 @@ def not_ignored(path: Column) -> Column:
     return ~bad
 
 
-def plane_filter(df: DataFrame, name: str, plane: str | None) -> DataFrame:
+def plane_filter(df: DataFrame, name: str | Column, plane: str | None) -> DataFrame:
     if plane is None:
         return df
     if plane not in ("sag", "ax"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slicework.plans import arrays, evaluation, names, pairing, reports, runs, storage  # noqa: F401  registers their queries
+from slicework.plans import arrays, evaluation, filesets, names, pairing, reports, runs, storage  # noqa: F401  registers their queries
 from slicework.plans.registry import ORACLES, QUERIES
 
 

@@ -18,11 +18,6 @@ def planed(t):
     return t.volumes.withColumn("plane", volumes.classify_plane(c("dx"), c("dy"), c("dz")))
 
 
-@query("s01_scan_volumes", f"select volume_id, path from fx_volumes where path like '%.nii.gz' and not {IGN}")
-def _(t):
-    return t.volumes.where(c("path").endswith(".nii.gz") & volumes.not_ignored(c("path"))).select("volume_id", "path")
-
-
 @query("p01_not_ignored", f"select volume_id, not {IGN} as ok from fx_volumes")
 def _(t):
     return t.volumes.select("volume_id", volumes.not_ignored(c("path")).alias("ok"))
@@ -33,11 +28,6 @@ def _(t):
     return volumes.plane_filter(t.samples, c("name"), "sag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s07_list_images_by_plane", "select count(*) as n from fx_samples where lower(name) like '%ax%'")
-def _(t):
-    return volumes.plane_filter(t.samples, c("name"), "ax").agg(F.count(F.lit(1)).alias("n"))
-
-
 def rules(t):
     return t.spark.createDataFrame([(1, None, "derivatives/*", "derived"), (2, "ds3", "*T2?.nii*", "bad contrast"), (3, None, "*dwi_*", "diffusion")], "rule_id int, dataset string, pattern string, reason string")
 
@@ -273,24 +263,6 @@ def _(t):
     return splits.weighted_sample(t.orders, "o_orderkey", "o_totalprice", 5000)
 
 
-@query("s03_read_class_folder", "select sample_id, class as class_name, (dense_rank() over (order by class)-1)::int as target from fx_samples where sample_id % 10 <> 3")
-def _(t):
-    files = t.samples.withColumn("path", F.expr("concat(class, '/', if(sample_id % 10 = 3, 'tmp', ''), name)"))
-    return src.class_folders(files).select("sample_id", "class_name", "target")
-
-
-@query("s04_drop_empty_classes", "with e as (select sample_id, (dense_rank() over (order by class)-1)::int as target, class from fx_samples) select sample_id, target from e where class <> '2' and sample_id % 3 > 0")
-def _(t):
-    e = splits.label_encode(t.samples, "class").withColumn("valid", F.expr("class <> '2' and sample_id % 3 > 0"))
-    return src.drop_empty_classes(e).select("sample_id", "target")
-
-
-@query("s10_read_sidecars", "select label_id, severity from fx_labels")
-def _(t):
-    js = t.labels_fx.select("label_id", F.to_json(F.struct(c("severity").alias("PathologySeverity"))).alias("js"))
-    return js.select("label_id", F.from_json("js", "PathologySeverity string")["PathologySeverity"].alias("severity"))
-
-
 @query("s13_read_result_history", "select event_id, value from events where event_type = 'click' and event_id % 5 <> 0")
 def _(t):
     path = scratch(t.spark, "history")
@@ -298,12 +270,6 @@ def _(t):
     return src.read_result_history(t.spark, path, "click", f"mode string, event_id {dict(t.events.dtypes)['event_id']}, value double").select("event_id", "value")
 
 
-@query("s14_read_split_tree", "select sample_id, case sample_id % 4 when 0 then 'valid' when 1 then 'val' else 'train' end as role, class as class_name from fx_samples")
-def _(t):
-    files = t.samples.withColumn("path", F.expr("concat('root/', case sample_id % 4 when 0 then 'test' when 1 then 'val' else 'train' end, '/', class, '/', name)"))
-    return src.split_tree(files).select("sample_id", "role", "class_name")
-
-
 @query("s15_ingest_many_sources", "select dataset, count(*) as n from (select 'a' as dataset from customer union all select 'b' from supplier) group by 1")
 def _(t):
     frames = {"a": t.customer.select(c("c_custkey").alias("k")), "b": t.supplier.select(c("s_suppkey").alias("k")), "old": t.nation.select(c("n_nationkey").alias("k"))}
@@ -311,9 +277,3 @@ def _(t):
     return src.ingest(frames, done).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s16_read_paired_layout", "select 'p'||p_partkey as stem, p_partkey % 6 = 0 as missing from part where p_partkey % 10 <> 0")
-def _(t):
-    images = t.part.select(F.expr("concat('p', p_partkey, '_0000')").alias("stem"))
-    masks = t.part.where("p_partkey % 6 <> 0").select(F.expr("concat('p', p_partkey)").alias("stem"))
-    cached = t.part.where("p_partkey % 10 = 0").select(F.expr("concat('p', p_partkey)").alias("stem"))
-    return src.paired_layout(images, masks, cached)

@@ -189,18 +189,6 @@ def _(t):
     return out.select("path", F.get("slice_shape", F.lit(0)).alias("h"), F.round(total("slice"), 5).alias("s"), total("mask").alias("m"), c("error").isNotNull().alias("bad"))
 
 
-@query("s06_read_image_files", "select image_id::varchar as path, case when image_id % 50 <> 0 then 4 end as h, case when image_id % 50 <> 0 then 8 end as w, case when image_id % 50 <> 0 then (select list_sum([round_even((list_sum([case when px[2*i+k] > 0 then 200 else i end for k in [1,2]])/2.0)::double, 0) * i for i in range(32)]))::bigint end as s, image_id % 50 = 0 as bad from fx_images")
-def _(t):
-    from slicework.sources.files import one_channel
-
-    data = F.unhex(F.array_join(F.transform("px", lambda v, i: F.lpad(F.hex(F.when(v > 0, 200).otherwise(F.floor(i / 2).cast("int"))), 2, "0")), ""))
-    bad = c("image_id") % 50 == 0
-    rows = t.images.select(c("image_id").cast("string").alias("origin"), F.when(bad, -1).otherwise(4).alias("height"), F.when(bad, -1).otherwise(8).alias("width"), F.when(bad, -1).otherwise(2).alias("nChannels"), F.when(~bad, data).alias("data"))
-    out = one_channel(rows)
-    total = F.aggregate(F.transform("px", lambda v, i: (v * i).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return out.select("path", "h", "w", total.alias("s"), c("error").isNotNull().alias("bad"))
-
-
 @query("l05_score_linear_head", "select image_id, round(list_sum([px[i]*(i%3-1) for i in range(1,65)])+0.5,6) as z0, round(list_sum([px[i]*(i%2) for i in range(1,65)])-0.25,6) as z1 from fx_images")
 def _(t):
     w = [[float(i % 3 - 1) for i in range(1, 65)], [float(i % 2) for i in range(1, 65)]]

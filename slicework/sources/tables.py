@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicework.operators.volumes import not_ignored
 
-IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "npz")
+#: Extensions of images (fixed values); class folders may hold array bundles as well.
+IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
+BUNDLE_EXTENSION = "npz"
+
+
+def extension(path: str) -> Column:
+    return F.lower(F.substring_index(path, ".", -1))
+
+
+def below(path: Column, root: str) -> Column:
+    """The part of a file's path below the root."""
+    bare = re.sub("^file:/+", "/", root.rstrip("/"))
+    return F.substring(F.regexp_replace(path, "^file:/+", "/"), len(bare) + 2, 1 << 30)
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``path`` below the root and ``size`` of all files, without their contents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    clean = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root.rstrip("/").replace("file://", "") + "/", "")
-    return files.select(clean.alias("path"), F.col("length").alias("size"))
+    return files.select(below(F.col("path"), root).alias("path"), F.col("length").alias("size"))
 
 
 def scan_volumes(spark: SparkSession, root: str, apply_filters: bool = True) -> DataFrame:
@@ -25,18 +37,26 @@ def scan_volumes(spark: SparkSession, root: str, apply_filters: bool = True) ->
 
 
 def class_folders(files: DataFrame, path: str = "path", skip_tmp: bool = True) -> DataFrame:
-    """``path``, ``class_name`` and ``target`` of files ``.../class/file`` with an image's extension."""
+    """``path``, ``class_name`` and ``target`` of files ``.../class/file`` with the extension of an image or a bundle.
+
+    All folders have numbers, those without such files as well.
+    """
     from slicework.operators.splits import label_encode
 
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
-    out = files.where((F.size(parts) > 1) & F.lower(F.substring_index(name, ".", -1)).isin(*IMAGE_EXTENSIONS))
-    out = out.where(~name.startswith("tmp")) if skip_tmp else out
-    return label_encode(out.withColumn("class_name", F.element_at(parts, -2)), "class_name")
+    out = label_encode(files.where(F.size(parts) > 1).withColumn("class_name", F.element_at(parts, -2)), "class_name")
+    out = out.where(extension(path).isin(*IMAGE_EXTENSIONS, BUNDLE_EXTENSION))
+    return out.where(~name.startswith("tmp")) if skip_tmp else out
 
 
 def read_class_folder(spark: SparkSession, root: str) -> DataFrame:
-    return class_folders(list_files(spark, root))
+    """Files of class folders; it is an error if there is no folder or no file."""
+    files = list_files(spark, root)
+    out = class_folders(files)
+    if out.isEmpty():
+        raise ValueError(f"no class folders in {root}" if files.where(F.instr("path", "/") > 0).isEmpty() else f"no images or bundles in {root}")
+    return out
 
 
 def drop_empty_classes(df: DataFrame, valid: str = "valid", label: str = "target") -> DataFrame:
@@ -46,11 +66,11 @@ def drop_empty_classes(df: DataFrame, valid: str = "valid", label: str = "target
 
 
 def list_images(spark: SparkSession, root: str, plane: str | None = None) -> DataFrame:
+    """Images below the root; with a plane (``sag``, ``ax``) those whose file's name, whatever its folders, holds it."""
     from slicework.operators.volumes import plane_filter
 
-    files = list_files(spark, root)
-    images = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGE_EXTENSIONS))
-    return plane_filter(images, F.col("path"), plane)
+    images = list_files(spark, root).where(extension("path").isin(*IMAGE_EXTENSIONS))
+    return plane_filter(images, F.substring_index("path", "/", -1), plane)
 
 
 def read_folds(spark: SparkSession, path: str, fold_column: str) -> DataFrame:
@@ -76,9 +96,11 @@ def read_fold_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` of the label and ``js``, the text of its JSON file."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_label.json").text(root, wholetext=True)
-    return files.select(F.regexp_replace(F.col("_metadata.file_path"), r"_label\.json$", "_label.nii.gz").alias("path"), F.col("value").alias("js"))
+    """``path`` of each label below the root, or of the label that a JSON file is for, ``js``, its text, and ``error`` where it has none."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_label.json").text(root, wholetext=True)
+    js = texts.select(F.regexp_replace(below(F.col("_metadata.file_path"), root), r"_label\.json$", "_label.nii.gz").alias("path"), F.col("value").alias("js"))
+    labels = list_files(spark, root, "*_label.nii.gz").select("path")
+    return labels.join(js, "path", "full").withColumn("error", F.when(F.col("js").isNull(), "no sidecar"))
 
 
 def read_predictions(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -97,10 +119,13 @@ def read_run_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return run_log_lines(spark.read.text(paths).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]*$", 1)))
 
 
-def read_result_history(spark: SparkSession, path: str, mode: str, schema: str) -> DataFrame:
-    """JSON results of one mode; lines that can't be read are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where((F.col("mode") == mode)).drop("_corrupt_record")
+def read_result_history(spark: SparkSession, path: str, mode: str, schema: str, form: str = "json") -> DataFrame:
+    """JSON lines or CSV (``form``) results of one mode; lines that can't be read are left out."""
+    if form not in ("json", "csv"):
+        raise ValueError("form is json or csv")
+    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE")
+    rows = reader.json(path) if form == "json" else reader.option("columnNameOfCorruptRecord", "_corrupt_record").csv(path, header=True)
+    return rows.where((F.col("mode") == mode) & (F.col("_corrupt_record").isNull() | F.lit(form == "json"))).drop("_corrupt_record")
 
 
 def split_tree(files: DataFrame, path: str = "path") -> DataFrame:
@@ -130,3 +155,17 @@ def paired_layout(images: DataFrame, masks: DataFrame, cached: DataFrame | None
     b = masks.select(F.col("stem"), F.lit(True).alias("__have")).distinct()
     out = a.join(b, "stem", "left").withColumn("missing", F.col("__have").isNull()).drop("__have")
     return out.join(cached.select("stem"), "stem", "left_anti") if cached is not None else out
+
+
+def read_paired_layout(spark: SparkSession, root: str, cached: DataFrame | None = None) -> DataFrame:
+    """Images of ``imagesTr`` and ``imagesTs`` with their masks in ``labelsTr`` and ``labelsTs``: ``part``, ``stem``, ``path``, and
+    whether the mask is ``missing``."""
+    files = list_files(spark, root, "*.nii.gz")
+    parts = F.split("path", "/")
+    named = files.select("path", F.element_at(parts, -2).alias("folder"), F.regexp_replace(F.element_at(parts, -1), r"\.nii\.gz$", "").alias("stem"))
+    out = None
+    for part in ("Tr", "Ts"):
+        own = paired_layout(named.where(F.col("folder") == f"images{part}").drop("folder"), named.where(F.col("folder") == f"labels{part}"), cached)
+        own = own.withColumn("part", F.lit(part))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -158,3 +158,43 @@ def test_file_tables(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "h.json").write_text('{"mode":"a","v":1}\n{bad\n{"mode":"b","v":2}')
     assert [r.v for r in tables.read_result_history(spark, str(tmp_path / "r"), "a", "mode string, v int").collect()] == [1]
+
+
+def test_named_files(spark, tmp_path):
+    from slicework.sources.named import write_files
+
+    root = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"d{i % 3}/n{i}.txt", f"text {i}".encode()) for i in range(40)], "path string, content binary").repartition(4)
+    write_files(rows, root)
+    assert (tmp_path / "out/_SUCCESS").read_text() == "40" and not list((tmp_path / "out/_temporary").glob("*"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").glob("d*/*")} == {f"n{i}.txt": f"text {i}".encode() for i in range(40)}
+    write_files(rows, root)  # the same bytes are no error, as when a task runs again
+    other = spark.createDataFrame([("d0/n0.txt", b"other"), ("new.txt", b"new")], "path string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="exists with other bytes"):
+        write_files(other, root)
+    assert (tmp_path / "out/d0/n0.txt").read_bytes() == b"text 0" and not (tmp_path / "out/new.txt").exists()
+    write_files(other, root, overwrite=True)
+    assert (tmp_path / "out/d0/n0.txt").read_bytes() == b"other" and (tmp_path / "out/new.txt").exists()
+    for bad in ("../x", "/x", "a//b", "_x", None, ".hidden/x"):
+        with pytest.raises(Exception, match="not a name"):
+            write_files(spark.createDataFrame([("fine", b"1"), (bad, b"2")], "path string, content binary").coalesce(1), root + "2")
+    assert not (tmp_path / "out2/fine").exists()
+
+
+def test_class_folder_errors(spark, tmp_path):
+    (tmp_path / "x.png").write_bytes(b"1")
+    with pytest.raises(ValueError, match="no class folders"):
+        tables.read_class_folder(spark, str(tmp_path))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.txt").write_bytes(b"1")
+    with pytest.raises(ValueError, match="no images"):
+        tables.read_class_folder(spark, str(tmp_path))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/x.WebP").write_bytes(b"1")
+    assert [(r.class_name, r.target) for r in tables.read_class_folder(spark, str(tmp_path)).collect()] == [("c", 1)]
+
+
+def test_history_csv(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("mode,step,value\nrun,1,0.5\nother,2,1\nrun,x,3\nrun,4,2\n")
+    rows = tables.read_result_history(spark, str(tmp_path), "run", "mode string, step int, value double", "csv").collect()
+    assert [(r.step, r.value) for r in rows] == [(1, 0.5), (4, 2.0)]
