@@ -95,8 +95,9 @@ def subject_of(c: Column, sep: str = "_") -> Column:
 
 
 def normalize_level(c: Column) -> Column:
-    """``desc-L2L3`` becomes ``l2_l3``; null where there is no level."""
-    part = lambda i: F.lower(found(c, r"desc-([A-Za-z]\d)([A-Za-z]\d)", i))
+    """``desc-T12L1`` becomes ``t12_l1``, by the first part that begins with ``desc-``; null where it is no level."""
+    first = F.get(F.filter(F.split(c, "_"), lambda x: x.startswith("desc-")), F.lit(0))
+    part = lambda i: F.lower(found(first, r"^desc-([A-Za-z]+\d+)([A-Za-z]+\d+)", i))
     return F.concat(part(1), F.lit("_"), part(2))
 
 

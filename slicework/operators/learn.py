@@ -12,6 +12,8 @@ from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import _parse_datatype_string
 
 from slicework.functions.names import hash_uniform
 from slicework.operators import evaluation as ev
@@ -74,20 +76,38 @@ def regime_study(samples: DataFrame, regimes: dict[str, float], test: DataFrame,
     return out
 
 
-def batch_infer(df: DataFrame, make_model, in_col: str, shape: list[int], out_type: str = "array<float>", batch_size: int = 64, out: str = "tokens", pending_only: bool = False) -> DataFrame:
-    """Output of a model made once in each worker, batch by batch; with ``pending_only`` only rows without output run."""
-    from pyspark.sql.types import _parse_datatype_string
+def batch_infer(df: DataFrame, make_model, in_col: str, shape: list[int], outputs: dict[str, str], batch_size: int = 64, pending_only: bool = True) -> DataFrame:
+    """Outputs (name: type) of a model made once in each worker, all from one pass, batch by batch.
 
-    udf = predict_batch_udf(make_model, return_type=_parse_datatype_string(out_type), batch_size=batch_size, input_tensor_shapes=[shape])
-    todo = F.col(out).isNull() if pending_only and out in df.columns else None
-    value = udf(F.col(in_col))
-    return df.withColumn(out, value if todo is None else F.when(todo, value).otherwise(F.col(out)))
+    With ``pending_only``, rows that have all outputs already do not meet the model: pending rows are set apart first, since a
+    Python function inside a condition runs on every row. The model returns a dictionary of arrays by output.
+    """
+    kind = T.StructType([T.StructField(k, _parse_datatype_string(v)) for k, v in outputs.items()])
+    udf = predict_batch_udf(make_model, return_type=kind, batch_size=batch_size, input_tensor_shapes=[shape])
+    have = [c for c in outputs if c in df.columns]
+    others = [c for c in df.columns if c not in outputs]
 
+    def inferred(rows: DataFrame) -> DataFrame:
+        return rows.select(*others, udf(F.col(in_col)).alias("__out")).select(*others, *[F.col("__out")[c].alias(c) for c in outputs])
 
-def mean_and_max():
-    """A stand-in model: mean and greatest of each input."""
+    if not pending_only or len(have) < len(outputs):
+        return inferred(df)
+    done = F.lit(True)
+    for c in outputs:
+        done = done & F.col(c).isNotNull()
+    return df.where(done).select(*others, *[F.col(c).cast(v) for c, v in outputs.items()]).unionByName(inferred(df.where(~done)))
 
-    def run(x: np.ndarray) -> np.ndarray:
-        return np.stack([x.mean(axis=1), x.max(axis=1)], axis=1)
 
-    return run
+def mean_and_max(seen=None):
+    """A small model for queries and tests: ``tokens``, the means of the halves of each input, and ``cls``, its greatest value.
+    ``seen``, an accumulator, counts the rows that it meets."""
+
+    def make():
+        def run(x: np.ndarray) -> dict[str, np.ndarray]:
+            if seen is not None:
+                seen.add(len(x))
+            return {"tokens": x.reshape(len(x), 2, -1).mean(axis=2), "cls": x.max(axis=1, keepdims=True)}
+
+        return run
+
+    return make

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slicework.functions import names
+
 #: Classes of the severities that sidecars name (fixed values).
 SEVERITY = {"Normal/Mild": 0, "Moderate": 1, "Severe": 2}
 
@@ -41,11 +43,15 @@ def pair(images: DataFrame, masks: DataFrame, key: str) -> tuple[DataFrame, Data
 
 
 def assign_folds(samples: DataFrame, folds: DataFrame, column: str) -> DataFrame:
-    """Samples of training subjects with their side; test subjects and unassigned ones go."""
+    """Samples of training subjects with their side; test subjects and unassigned ones go. An empty side is an error."""
     if column not in folds.columns:
         raise ValueError(f"no fold column {column}; there are {folds.columns[:10]}")
     sides = folds.where((F.trim("is_test") != "1") & F.col(column).isin("train", "val")).select("subject_id", F.col(column).alias("side"))
-    return samples.withColumn("subject_id", F.substring_index("name", "_", 1)).join(sides, "subject_id")
+    out = samples.withColumn("subject_id", F.substring_index("name", "_", 1)).join(sides, "subject_id")
+    for side in ("train", "val"):
+        if out.where(F.col("side") == side).isEmpty():
+            raise ValueError(f"no {side} samples in {column}")
+    return out
 
 
 def select_test(samples: DataFrame, folds: DataFrame) -> DataFrame:
@@ -70,12 +76,22 @@ def attach_severity(labels: DataFrame, sidecars: DataFrame, key: str, js: str) -
     return out.withColumn("status", F.when(F.col(js).isNull(), "missing").when(F.col("target").isNull(), "unknown").otherwise("ok"))
 
 
-def backfill_spacing(samples: DataFrame, headers: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
-    """Spacing from the header unless a sample has one; status SKIP, OK, or WARN for a missing header."""
-    own, new = F.col("spacing_mm"), F.col("__new")
-    out = samples.join(headers.select(key, F.col("spacing_mm").alias("__new")), key, "left")
-    skip = own.isNotNull() & F.lit(not overwrite)
-    return out.withColumn("status", F.when(skip, "SKIP").when(new.isNull(), "WARN").otherwise("OK")).withColumn("spacing_mm", F.when(skip, own).otherwise(F.coalesce(new, own))).drop("__new")
+def backfill_spacing(samples: DataFrame, headers: DataFrame, plane: str, overwrite: bool = False, name: str = "name") -> DataFrame:
+    """``spacing_mm``, the mean spacing in the plane (``sag``, ``ax``), from the volume that a sample's name tells.
+
+    ``headers``: ``path`` below the root, ``dx``, ``dy``, ``dz``, ``error``. ``status``: null where a sample has its spacing already, SKIP if its name tells
+    no volume, WARN if there is no such volume, ERROR if its header can't be read, and else OK.
+    """
+    if plane not in ("sag", "ax"):
+        raise ValueError("plane is sag or ax")
+    bids = names.parse_bids(F.col(name))
+    volume = F.format_string(f"%s/anat/%s_acq-{plane}_rec-%s_%s.nii.gz", bids["subject"], bids["subject"], bids["recording"], bids["modality"])
+    mean = (F.col("dy") + F.col("dz")) / 2 if plane == "sag" else (F.col("dx") + F.col("dy")) / 2
+    own = headers.groupBy("path").agg(F.first(mean).alias("__new"), F.first("error").alias("__error")).withColumnRenamed("path", "__volume")
+    known = F.col("spacing_mm").isNotNull() & F.lit(not overwrite)
+    out = samples.withColumn("__volume", F.when(bids["subject"].isNotNull(), volume)).join(own.withColumn("__found", F.lit(True)), "__volume", "left")
+    status = F.when(known, None).when(F.col("__volume").isNull(), "SKIP").when(F.col("__found").isNull(), "WARN").when(F.col("__error").isNotNull() | F.col("__new").isNull(), "ERROR").otherwise("OK")
+    return out.withColumn("status", status).withColumn("spacing_mm", F.when(F.col("status") == "OK", F.col("__new")).otherwise(F.col("spacing_mm"))).drop("__volume", "__new", "__error", "__found")
 
 
 def join_ground_truth(pred: DataFrame, truth: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 
 def filter_metrics(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, key: str = "key") -> DataFrame:
-    """Metrics whose name has any of ``include`` and none of ``exclude``, in any case."""
+    """Metrics whose name has any of ``include`` and none of ``exclude``, in any case; it is an error if none is left."""
     low = F.lower(key)
     keep = F.lit(True)
     if include:
@@ -17,7 +17,10 @@ def filter_metrics(df: DataFrame, include: list[str] | None = None, exclude: lis
             keep = keep | low.contains(s.lower())
     for s in exclude or []:
         keep = keep & ~low.contains(s.lower())
-    return df.where(keep)
+    out = df.where(keep)
+    if out.isEmpty():
+        raise ValueError(f"no metric with {include or 'any name'} and without {exclude or 'any'}")
+    return out
 
 
 def last_hours(df: DataFrame, ts: str, hours: float) -> DataFrame:

@@ -26,7 +26,7 @@ def facet_counts(files: DataFrame, facets: list[str]) -> DataFrame:
 
 def extraction_summary(results: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s)
-    return results.agg(count("ok").alias("extracted"), count("skipped").alias("skipped"), count("error").alias("errors"), count("exists").alias("skipped_existing"), F.sum("slices").alias("slices"))
+    return results.agg(count("ok").alias("extracted"), count("skipped").alias("skipped"), count("error").alias("errors"), count("exists").alias("skipped_existing"), F.sum("slices").alias("slices"), F.sum("outputs").alias("outputs"))
 
 
 def exclusion_totals(gone: DataFrame, dims: list[str]) -> DataFrame:
@@ -48,16 +48,23 @@ def head_errors(df: DataFrame, n: int, message: str = "error_msg") -> DataFrame:
 
 
 def report_lines(results: DataFrame) -> DataFrame:
-    """A line for each volume, by path; those done before are left out."""
-    line = F.when(F.col("status") == "ok", F.format_string("[OK] %s (%d slices)", "path", "slices")).when(F.col("status") == "skipped", F.format_string("[SKIP/%s] %s", "tag", "path")).when(F.col("status") == "error", F.format_string("[ERROR] %s", "path"))
+    """A line for each volume, by path, with the message of a skip or an error; those done before are left out."""
+    name, message = F.substring_index("path", "/", -1), F.col("message")
+    ok = F.format_string("[OK]    %s  slices=%d  outputs=%d", name, "slices", "outputs")
+    skip = F.concat(F.format_string("[SKIP/%s]  %s", F.coalesce("tag", F.lit("skip")), "path"), F.when(message != "", F.concat(F.lit("  | "), message)).otherwise(""))
+    error = F.format_string("[ERROR]  %s\n  %s", "path", F.coalesce(message, F.lit("")))
+    line = F.when(F.col("status") == "ok", ok).when(F.col("status") == "skipped", skip).when(F.col("status") == "error", error)
     return results.where("status <> 'exists'").orderBy("path").select(line.alias("line"))
 
 
-def report_totals(results: DataFrame) -> DataFrame:
-    """The block below the lines: ``place`` and ``line`` of each total."""
+def report_totals(results: DataFrame, unmatched_labels: DataFrame | None = None) -> DataFrame:
+    """The block below the lines: ``place`` and ``line`` of each total, with the number of labels without an image if they are given."""
     rule = "=" * 50
-    sums = extraction_summary(results)
-    names = ("extracted", "skipped", "errors", "skipped_existing", "slices")
+    sums = extraction_summary(results).withColumnsRenamed({"slices": "total_slices", "outputs": "total_outputs"})
+    names = ["extracted", "skipped", "errors", "skipped_existing", "total_slices", "total_outputs"]
+    if unmatched_labels is not None:
+        sums = sums.join(F.broadcast(unmatched_labels.agg(F.count(F.lit(1)).alias("unmatched_labels"))), F.lit(True))  # one row
+        names.append("unmatched_labels")
     lines = [F.lit(rule), F.lit("SUMMARY"), *[F.format_string(f"  {x:<17}: %d", x) for x in names], F.lit(rule)]
     return sums.select(F.posexplode(F.array(*lines)).alias("place", "line"))
 

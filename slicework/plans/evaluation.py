@@ -88,9 +88,9 @@ def _(t):
     return rounded(ev.auc_ovr(t.predictions), "auc_macro", "auc_weighted")
 
 
-def bundle(task: str) -> str:
+def bundle(task: str, more: str = "") -> str:
     """All metrics of one task, by the formulas above."""
-    own = AUC.replace("from fx_predictions", f"from fx_predictions where task = '{task}'") + AG[len(P):]
+    own = AUC.replace("from fx_predictions", f"from fx_predictions where task = '{task}'{more}") + AG[len(P):]
     return f"select * from (with {own}, cl as (select y, list_transform(s, lambda v: greatest(least(v,1.0),1e-7)) c from sm) select '{task}' as task, (select {R('avg((y=p)::int)')} from pr) as accuracy, (select {R('avg(rec)')} from f where t>0) as balanced_accuracy, (select {R('avg(f1)')} from f) as f1_macro, (select {R('sum(f1*t)/sum(t)')} from f) as f1_weighted, (select {R('1-sum(case when i<>j then o else 0 end)/sum(case when i<>j then e else 0 end)')} from g) as kappa, (select {R('1-sum(o*(i-j)*(i-j))/sum(e*(i-j)*(i-j))')} from g) as qwk, (select round(coalesce((sum(tp)*max(s)-sum(t*q))/nullif(sqrt((max(s)*max(s)-sum(q*q))*(max(s)*max(s)-sum(t*t))),0),0),6) from pc cross join tot) as mcc, (select {R('avg(-(logits[y+1]-list_max(logits)-ln(list_sum(e))))')} from pr) as cross_entropy, (select {R(WB)} from cl) as wbce, (select {R('avg(auc)')} from au) as auc_macro, (select {R('sum(auc*np)/sum(np)')} from au) as auc_weighted)"
 
 
@@ -125,9 +125,16 @@ def _(t):
     return rounded(ev.weighted_mean(t.events.withColumn("size", 1 + F.col("user_id") % 5), "value", "size", ["event_type"]), "mean")
 
 
-@query("a32_regime_table", f"with {P}, l as (select task, max(run) run from pr group by 1), o as (select pr.* from pr join l using (task, run)), rc as (select task, run, y, avg((y=p)::int) r from o group by 1,2,3) select o.task, o.run, count(*) as n, round(avg((o.y=o.p)::int),6) as accuracy, (select round(avg(r),6) from rc where rc.task=o.task) as balanced_accuracy from o group by 1,2")
+def last_run(task: str) -> str:
+    """All metrics of a task's last run, and its number and size."""
+    top = f"(select max(run) from fx_predictions where task = '{task}')"
+    return f"select b.*, {top} as run, (select count(*) from fx_predictions where task = '{task}' and run = {top}) as n from ({bundle(task, f' and run = {top}').replace(',6)', ',9)')}) b"
+
+
+@query("a32_regime_table", " union all ".join(map(last_run, ("nfn", "scs", "ss"))))
 def _(t):
-    return rounded(ev.regime_table(t.predictions), "accuracy", "balanced_accuracy")
+    out = ev.regime_table(t.predictions)
+    return out.withColumns({x: F.round(x, 9) for x in out.columns if x not in ("task", "run", "n")})
 
 
 @query("a33_all_tasks_present", "with g as (select *, sample_id*sample_id % 97 as g from fx_predictions) select g, task, count(*) as n from g where g in (select g from g group by g having count(distinct task) >= 3) group by 1,2")

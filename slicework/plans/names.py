@@ -85,9 +85,10 @@ def _(t):
     return t.samples.select("sample_id", n.subject_of(col("name")).alias("subject"))
 
 
-@query("f12_normalize_level", "select sample_id, lower(regexp_extract(name,'desc-([A-Za-z]\\d)([A-Za-z]\\d)',1))||'_'||lower(regexp_extract(name,'desc-([A-Za-z]\\d)([A-Za-z]\\d)',2)) as level from fx_samples")
+@query("f12_normalize_level", "select sample_id, case when sample_id % 7 = 0 then null when sample_id % 5 = 0 then 't1'||(1+sample_id % 4) else 'l'||(1+sample_id % 4) end||'_l'||(2+sample_id % 4) as level from fx_samples")
 def _(t):
-    return t.samples.select("sample_id", n.normalize_level(col("name")).alias("level"))
+    name = F.expr("case when sample_id % 7 = 0 then replace(name, 'desc-', 'desc-7_desc-') when sample_id % 5 = 0 then replace(name, 'desc-L', 'desc-T1') else name end")
+    return t.samples.select("sample_id", n.normalize_level(name).alias("level"))
 
 
 @query("f13_split_label_key", "select sample_id, p[1] as subject, array_to_string(p[2:len(p)-2],'_') as pathology, p[len(p)-1]||'_'||p[len(p)] as level from (select sample_id, string_split(split_part(name,'_',1)||case when sample_id % 2 = 0 then '_left_neural' else '_canal' end||'_l'||(sample_id % 4)||'_l'||(sample_id % 4 + 1),'_') p from fx_samples)")

@@ -167,11 +167,17 @@ def _(t):
     return pairs.attach_severity(t.labels_fx.drop("severity"), side, "label_id", "js").select("label_id", "target", "status")
 
 
-@query("j10_backfill_spacing", "select s.volume_id, case when s.volume_id % 3 = 0 then 1.5::double when s.volume_id % 4 = 0 then null else (dx+dy)/2 end as spacing_mm, case when s.volume_id % 3 = 0 then 'SKIP' when s.volume_id % 4 = 0 then 'WARN' else 'OK' end as status from fx_volumes s")
+#: Names of every seventh sample tell no volume; every fourth has no volume, every tenth a broken header, every third its spacing.
+J10 = "select sample_id, case when sample_id % 3 = 0 then 1.5::double when sample_id % 7 = 0 or sample_id % 4 = 0 or sample_id % 10 = 1 then null else (0.5+sample_id % 5+0.25)/2 end as spacing_mm, case when sample_id % 3 = 0 then null when sample_id % 7 = 0 then 'SKIP' when sample_id % 4 = 0 then 'WARN' when sample_id % 10 = 1 then 'ERROR' else 'OK' end as status from fx_samples"
+
+
+@query("j10_backfill_spacing", J10)
 def _(t):
-    s = t.volumes.select("volume_id", F.expr("if(volume_id % 3 = 0, 1.5D, null)").alias("spacing_mm"))
-    h = t.volumes.where("volume_id % 4 <> 0").select("volume_id", ((c("dx") + c("dy")) / 2).alias("spacing_mm"))
-    return pairs.backfill_spacing(s, h, "volume_id")
+    own = t.samples.select("sample_id", F.expr("if(sample_id % 7 = 0, concat('x-', name), name)").alias("name"), F.expr("if(sample_id % 3 = 0, 1.5D, null)").alias("spacing_mm"))
+    sub = "substring_index(name, '_', 1)"
+    path = F.expr(f"concat({sub}, '/anat/', {sub}, '_acq-sag_rec-', sample_id, '_T2w.nii.gz')")
+    headers = t.samples.where("sample_id % 4 <> 0").select(path.alias("path"), F.lit(9.0).alias("dx"), F.expr("0.5D + sample_id % 5").alias("dy"), F.lit(0.25).alias("dz"), F.expr("if(sample_id % 10 = 1, 'bad header', null)").alias("error"))
+    return pairs.backfill_spacing(own, headers, "sag").select("sample_id", "spacing_mm", "status")
 
 
 @query("j11_join_ground_truth", "with g as (select o_custkey, max(substr(o_orderpriority,1,1)) as label from orders group by 1) select c_custkey as k, label from customer join g on o_custkey = c_custkey")

@@ -29,26 +29,27 @@ def _(t):
     return sm.facet_counts(files(t), ["split", "orientation"])
 
 
-RES = "rs as (select volume_id, path, case when volume_id % 9 = 0 then 'error' when volume_id % 5 = 0 then 'skipped' when volume_id % 11 = 0 then 'exists' else 'ok' end as status, 'coronal' as tag, nz::bigint as slices from fx_volumes)"
+RES = "rs as (select volume_id, path, case when volume_id % 9 = 0 then 'error' when volume_id % 5 = 0 then 'skipped' when volume_id % 11 = 0 then 'exists' else 'ok' end as status, case when volume_id % 2 = 0 then 'coronal' end as tag, nz::bigint as slices, 2*nz::bigint as outputs, case when volume_id % 3 = 0 then 'cannot read '||volume_id end as message from fx_volumes)"
 
 
 def results(t):
-    return t.volumes.select("volume_id", "path", F.expr("case when volume_id % 9 = 0 then 'error' when volume_id % 5 = 0 then 'skipped' when volume_id % 11 = 0 then 'exists' else 'ok' end").alias("status"), F.lit("coronal").alias("tag"), c("nz").cast("bigint").alias("slices"))
+    status = F.expr("case when volume_id % 9 = 0 then 'error' when volume_id % 5 = 0 then 'skipped' when volume_id % 11 = 0 then 'exists' else 'ok' end")
+    return t.volumes.select("volume_id", "path", status.alias("status"), F.expr("if(volume_id % 2 = 0, 'coronal', null)").alias("tag"), c("nz").cast("bigint").alias("slices"), (2 * c("nz")).cast("bigint").alias("outputs"), F.expr("if(volume_id % 3 = 0, concat('cannot read ', volume_id), null)").alias("message"))
 
 
-@query("a03_extraction_summary", f"with {RES} select count(*) filter (status='ok') as extracted, count(*) filter (status='skipped') as skipped, count(*) filter (status='error') as errors, count(*) filter (status='exists') as skipped_existing, sum(slices)::bigint as slices from rs")
+@query("a03_extraction_summary", f"with {RES} select count(*) filter (status='ok') as extracted, count(*) filter (status='skipped') as skipped, count(*) filter (status='error') as errors, count(*) filter (status='exists') as skipped_existing, sum(slices)::bigint as slices, sum(outputs)::bigint as outputs from rs")
 def _(t):
     return sm.extraction_summary(results(t))
 
 
-@query("k12_run_report_lines", f"with {RES} select case status when 'ok' then '[OK] '||path||' ('||slices||' slices)' when 'skipped' then '[SKIP/coronal] '||path else '[ERROR] '||path end as line from rs where status <> 'exists'")
+@query("k12_run_report_lines", f"with {RES} select case status when 'ok' then '[OK]    '||regexp_extract(path,'[^/]*$')||'  slices='||slices||'  outputs='||outputs when 'skipped' then '[SKIP/'||coalesce(tag,'skip')||']  '||path||coalesce('  | '||message,'') else '[ERROR]  '||path||chr(10)||'  '||coalesce(message,'') end as line from rs where status <> 'exists'")
 def _(t):
     return sm.report_lines(results(t))
 
 
-@query("k12_report_totals", f"with {RES}, a as (select count(*) filter (status='ok') as e, count(*) filter (status='skipped') as s, count(*) filter (status='error') as r, count(*) filter (status='exists') as x, sum(slices) as n from rs), l as (select ['{'=' * 50}', 'SUMMARY', '  extracted        : '||e, '  skipped          : '||s, '  errors           : '||r, '  skipped_existing : '||x, '  slices           : '||n, '{'=' * 50}'] as l from a) select (unnest(range(8)))::int as place, unnest(l) as line from l")
+@query("k12_report_totals", f"with {RES}, a as (select count(*) filter (status='ok') as e, count(*) filter (status='skipped') as s, count(*) filter (status='error') as r, count(*) filter (status='exists') as x, sum(slices) as n, sum(outputs) as o, (select count(*) from fx_volumes where volume_id % 50 = 0) as u from rs), l as (select ['{'=' * 50}', 'SUMMARY', '  extracted        : '||e, '  skipped          : '||s, '  errors           : '||r, '  skipped_existing : '||x, '  total_slices     : '||n, '  total_outputs    : '||o, '  unmatched_labels : '||u, '{'=' * 50}'] as l from a) select (unnest(range(10)))::int as place, unnest(l) as line from l")
 def _(t):
-    return sm.report_totals(results(t))
+    return sm.report_totals(results(t), t.volumes.where("volume_id % 50 = 0"))
 
 
 @query("o02_top_datasets", "select dataset, count(*) as n from fx_volumes group by 1 order by n desc, dataset limit 3")

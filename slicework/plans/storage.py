@@ -98,10 +98,17 @@ def features(t):
     return t.images.select("image_id", "px", c("px").alias("features"), (c("label") % 3).cast("double").alias("target"))
 
 
-@query("x01_batch_infer", "select image_id, round(list_avg(px),4) as m, round(list_max(px),4) as top from fx_images")
+#: Every third image has its outputs stored, as whole numbers; some have only one of the two, and are pending.
+X01 = "select image_id, case when image_id % 3 = 0 and image_id % 2 = 0 then image_id::double else round(list_avg(px[1:32]),4) end as first, case when image_id % 3 = 0 and image_id % 2 = 0 then 1.0::double else round(list_avg(px[33:64]),4) end as second, case when image_id % 3 = 0 and image_id % 2 = 0 then 2.0::double else round(list_max(px),4) end as top from fx_images"
+
+
+@query("x01_batch_infer", X01)
 def _(t):
-    out = learn.batch_infer(t.images.select("image_id", F.transform("px", lambda v: v.cast("float")).alias("x")), learn.mean_and_max, "x", [64])
-    return out.select("image_id", F.round(c("tokens")[0].cast("double"), 4).alias("m"), F.round(c("tokens")[1].cast("double"), 4).alias("top"))
+    stored = F.expr("if(image_id % 3 = 0, array(cast(image_id as float), 1F), null)").alias("tokens"), F.expr("if(image_id % 6 = 0, array(2F), null)").alias("cls")
+    rows = t.images.select("image_id", F.transform("px", lambda v: v.cast("float")).alias("x"), *stored)
+    out = learn.batch_infer(rows, learn.mean_and_max(), "x", [64], {"tokens": "array<float>", "cls": "array<float>"})
+    value = lambda a, i: F.round(c(a)[i].cast("double"), 4)
+    return out.select("image_id", value("tokens", 0).alias("first"), value("tokens", 1).alias("second"), value("cls", 0).alias("top"))
 
 
 def held_out():

@@ -198,3 +198,16 @@ def test_history_csv(spark, tmp_path):
     (tmp_path / "h.csv").write_text("mode,step,value\nrun,1,0.5\nother,2,1\nrun,x,3\nrun,4,2\n")
     rows = tables.read_result_history(spark, str(tmp_path), "run", "mode string, step int, value double", "csv").collect()
     assert [(r.step, r.value) for r in rows] == [(1, 0.5), (4, 2.0)]
+
+
+def test_pending_rows_only(spark):
+    from slicework.operators.learn import batch_infer, mean_and_max
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(100).selectExpr("id", "array(cast(id as float), 2F, 3F, 4F) as x", "if(id % 10 = 0, null, array(9F, 9F)) as tokens", "if(id % 10 = 5, null, array(9F)) as cls")
+    outputs = {"tokens": "array<float>", "cls": "array<float>"}
+    got = {r.id: (r.tokens, r.cls) for r in batch_infer(rows, mean_and_max(seen), "x", [4], outputs).collect()}
+    assert seen.value == 20
+    assert got[1] == ([9.0, 9.0], [9.0]) and got[10] == ([6.0, 3.5], [10.0]) and got[5] == ([3.5, 3.5], [5.0]) and len(got) == 100
+    assert batch_infer(rows, mean_and_max(seen), "x", [4], outputs, pending_only=False).where("id = 1").first().cls == [4.0]
+    assert batch_infer(rows.drop("cls"), mean_and_max(), "x", [4], outputs).where("cls[0] >= 4").count() == 100
