@@ -13,6 +13,7 @@ characters, say), have no tokens. Rows are documents, so repeated rows count eac
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from slicework.llm.shared import materialize
 
+#: How byte-level vocabularies split texts (fixed value).
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bound of the broadcast table, 17 bytes a link; rarer links are joined, with equal results.
 MOST_SHARED = 1 << 20
 #: Characters that are tokenized together, and links that are expanded together.
@@ -38,6 +41,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ranked(path: str):
+    """A byte-level vocabulary file as an encoder by ranks, which gives the same ids some five times faster: where the
+    merges stand in the order of the ids that they make, the id is the rank. None for other files."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        js = json.load(f)
+    before, model, of = js.get("pre_tokenizer") or {}, js["model"], byte_alphabet()
+    if js.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model["type"] != "BPE":
+        return None
+    special = {x["content"] for x in js.get("added_tokens", ())}
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made) or any(c not in of for k in model["vocab"] if k not in special for c in k):
+        return None
+    ranks = {bytes(of[c] for c in k): i for k, i in model["vocab"].items() if k not in special}
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Both tokenizers, loaded where they are first used, and the bytes of their tokens."""
 
@@ -55,6 +76,7 @@ class Tokenizers:
 
             self.a, self.b = Tokenizer.from_file(self.paths[0]), sentencepiece.SentencePieceProcessor(model_file=self.paths[1])
             self.a.encode_special_tokens = True
+            self.ranked = ranked(self.paths[0])
             of = byte_alphabet()
             size = 1 + max(self.a.get_vocab().values())
             names = [self.a.id_to_token(i) or "" for i in range(size)]
@@ -68,12 +90,17 @@ class Tokenizers:
         self.load()
         return len(self.bytes_a), len(self.bytes_b)
 
+    def ids_a(self, text: str) -> list[int]:
+        if self.ranked is None or len(text) > CHARS:
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
+
     def align(self, texts: list[str | None]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
         """Of each text the ids of both tokenizers and the ends of the groups in either list."""
         self.load()
         some = [i for i, t in enumerate(texts) if t]
         spaced = [" " + texts[i] for i in some]
-        ids_a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_a = [self.ids_a(x) for x in spaced]
         ids_b = self.b.encode([texts[i] for i in some], num_threads=1)
         out: list = [([], [], [], [])] * len(texts)
         for i, text, a, b in zip(some, spaced, ids_a, ids_b):

@@ -102,3 +102,17 @@ def test_large_groups(monkeypatch):
 def test_given_table(spark, paths):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert found(align.op13_token_alignment(df, *paths)) == plain([tuple(r) for r in df.select("doc_id", "text").collect()], paths)
+
+
+def test_ranks_give_the_ids_of_the_file(paths):
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain_a = Tokenizer.from_file(paths[0])
+    plain_a.encode_special_tokens = True
+    both, draw = align.Tokenizers(*paths).load(), random.Random(1)
+    assert both.ranked is not None
+    kinds = ["aeiou", " \t\n\u3000", "0123", ".,!?'", "éßçñ", "日本語テ", "😀🏽\u200d", "'s 't 'll", "<|endoftext|>"]
+    texts = [t for t in ODD if t] + ["".join(draw.choice(draw.choice(kinds)) for _ in range(draw.randint(1, 80))) for _ in range(3000)] + [chr(draw.choice([draw.randrange(0xD800), draw.randrange(0xE000, 0x110000)])) * 2 + "a1 " for _ in range(3000)]
+    assert [both.ids_a(t) for t in texts] == [plain_a.encode(t, add_special_tokens=False).ids for t in texts]
