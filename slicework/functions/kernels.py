@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -71,21 +73,82 @@ def _edge(mask: np.ndarray) -> np.ndarray:
     return on[1:-1, 1:-1] & ~(on[:-2, 1:-1] & on[2:, 1:-1] & on[1:-1, :-2] & on[1:-1, 2:])
 
 
-def _to_nearest(edge: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Distance of each edge pixel to the nearest one of the other mask: first along the column, then over the columns of its row."""
-    h, w = other.shape
-    rows = np.arange(h, dtype=float)[:, None]
-    above = np.maximum.accumulate(np.where(other, rows, -np.inf), axis=0)
-    below = np.minimum.accumulate(np.where(other, rows, np.inf)[::-1], axis=0)[::-1]
-    column = np.minimum(rows - above, below - rows) ** 2
-    y, x = np.nonzero(edge)
-    out = np.empty(len(y))
-    for lo in range(0, len(y), 1024):
-        part = slice(lo, lo + 1024)
-        out[part] = np.sqrt((column[y[part]] + (x[part, None] - np.arange(w)[None, :]) ** 2).min(axis=1))
+def nearest_rows(other: np.ndarray) -> np.ndarray:
+    """Of each pixel the row of the nearest pixel of its column that is on, the upper one of two; -1 in empty columns."""
+    h = len(other)
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(other, rows, -4 * h), axis=0)
+    below = np.minimum.accumulate(np.where(other, rows, 4 * h)[::-1], axis=0)[::-1]
+    near = np.where(rows - above <= below - rows, above, below)
+    return np.where(other.any(axis=0)[None, :], near, -1)
+
+
+def lower_envelope(height: list[int | None], at: list[int]) -> list[int]:
+    """Of places ``at``, in order, the column whose parabola (x - column)^2 + height is lowest there; columns of no height have none."""
+    columns: list[int] = []
+    begins: list[float] = []
+    for q, f in enumerate(height):
+        if f is None:
+            continue
+        begin = -math.inf
+        while columns:
+            p = columns[-1]
+            begin = ((f + q * q) - (height[p] + p * p)) / (2 * (q - p))
+            if begin > begins[-1]:
+                break
+            columns.pop()
+            begins.pop()
+            begin = -math.inf
+        columns.append(q)
+        begins.append(begin)
+    out, k = [], 0
+    for x in at:
+        while k + 1 < len(columns) and begins[k + 1] < x:
+            k += 1
+        out.append(columns[k])
     return out
 
 
+def feature_transform(edge: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edge pixels (y, x) and the nearest pixel of the other mask of each: first along columns, then by each row's lower envelope.
+
+    Time of the image, whatever the numbers of pixels on either side; ``other`` has a pixel.
+    """
+    near = nearest_rows(other)
+    y, x = np.nonzero(edge)
+    column = np.empty(len(y), np.int64)
+    for row in np.unique(y):
+        own = y == row
+        height = [None if n < 0 else (n - int(row)) ** 2 for n in near[row].tolist()]
+        column[own] = lower_envelope(height, x[own].tolist())
+    return y, x, near[y, column], column
+
+
+def _to_nearest(edge: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Distance of each edge pixel to the nearest one of the other mask."""
+    y, x, ny, nx = feature_transform(edge, other)
+    return np.sqrt((y - ny) ** 2.0 + (x - nx) ** 2.0)
+
+
+def nearest_points():
+    """Of two masks: each edge pixel of the first with the nearest edge pixel of the second and its distance; none if either is empty."""
+
+    @F.pandas_udf("array<struct<y:int,x:int,near_y:int,near_x:int,d:double>>")
+    def run(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for m, o, r, c in zip(a, b, h, w, strict=True):
+            edge, other = (_edge(np.asarray(v).reshape(r, c)) for v in (m, o))
+            if not other.any():
+                out.append([])
+                continue
+            y, x, ny, nx = feature_transform(edge, other)
+            d = np.sqrt((y - ny) ** 2.0 + (x - nx) ** 2.0)
+            out.append([dict(zip(("y", "x", "near_y", "near_x", "d"), p)) for p in zip(y.tolist(), x.tolist(), ny.tolist(), nx.tolist(), d.tolist())])
+        return pd.Series(out)
+
+    return run
+
+
 def _hd95(gt: np.ndarray, pred: np.ndarray) -> float | None:
     a, b = _edge(gt), _edge(pred)
     if not a.any() and not b.any():

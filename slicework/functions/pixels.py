@@ -148,8 +148,12 @@ def tile_explode(df: DataFrame, tile: int = 224, overlap_pct: float = 25, thresh
 def resize_mask(mask: Column, h: Column, w: Column, size: int) -> Column:
     """Positive pixels moved to a square grid by truncation: row-major 0/1 array."""
     moved = F.transform(mask, lambda v, i: F.when(v > 0, F.least(F.floor(F.floor(i / w) * size / h), F.lit(size - 1)) * size + F.least(F.floor((i % w) * size / w), F.lit(size - 1))))
-    targets = F.array_distinct(F.array_compact(moved))
-    return let(targets, lambda on: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.array_contains(on, i.cast("bigint")).cast("int")))
+    targets = F.array_sort(F.array_distinct(F.array_compact(moved)))
+    # runs of zeros, each ended by a one: time of the targets and the cells, not of their product
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    run = lambda on: F.transform(on, lambda v, i: F.concat(zeros(v - F.coalesce(F.get(on, i - 1), F.lit(-1)) - 1), F.array(F.lit(1))))
+    rest = lambda on: zeros(size * size - 1 - F.coalesce(F.array_max(on), F.lit(-1)))
+    return let(targets, lambda on: F.when(on.isNotNull(), F.concat(F.flatten(run(on)), rest(on))))
 
 
 def crop_mm(px: Column, mask: Column, h: Column, w: Column, spacing: Column, cm: float) -> Column:

@@ -115,21 +115,38 @@ def _weighted_loss(weights: tuple[float, ...]) -> Column:
     return -F.get(F.array(*map(F.lit, weights)), F.col("y")) * F.ln(F.get(p, F.col("y")) / total)
 
 
+#: Ranges of scores of a class that are ranked apart.
+SCORE_RANGES = 64
+
+
 def auc_ovr(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rank AUC of each class against the rest on softmax probabilities, with mid-ranks; macro and weighted means.
 
-    Null where a class has no sample. Scores are collapsed before ranks are summed, so the window runs over
-    distinct scores of a group and class. With two classes only the second one's column counts.
+    Null where a class has no sample. Scores are collapsed before ranks are summed, and dealt into ranges of about equal
+    size, so a window runs over the scores of a range. With two classes only the second one's column counts.
     """
     by = by or []
     long = df.select(*by, "y", F.size("logits").alias("k"), F.posexplode(softmax(F.col("logits"))).alias("class", "s")).where("k <> 2 or class = 1")
-    return _auc_of_weighted(long.groupBy(*by, "class", "s").agg(F.sum((F.col("y") == F.col("class")).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), by)
+    return _auc_of_weighted(long.groupBy(*by, "class", "s").agg(F.sum((F.col("y") == F.col("class")).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), by, SCORE_RANGES)
+
+
+def _in_ranges(tied: DataFrame, by: list[str], ranges: int) -> DataFrame:
+    """``tied`` with ``range``, the place of each score among some quantiles of its group and class, and ``before``, the
+    other classes' samples in lower ranges. Whatever the quantiles, ranks are exact; these only share out the work."""
+    group = [*by, "class"]
+    quantiles = F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 1000)
+    cuts = tied.groupBy(*group).agg(quantiles.alias("__cuts"))  # one row for each group and class
+    ranged = tied.join(cuts, group).withColumn("range", F.size(F.filter("__cuts", lambda x: x < F.col("s")))).drop("__cuts")
+    sums = ranged.groupBy(*group, "range").agg(F.sum(F.col("n") - F.col("pos")).alias("__n"))
+    w = W.partitionBy(*group).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # as many rows as ranges
+    return ranged.join(sums.select(*group, "range", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("before")), [*group, "range"])
 
 
-def _auc_of_weighted(tied: DataFrame, by: list[str]) -> DataFrame:
+def _auc_of_weighted(tied: DataFrame, by: list[str], ranges: int = 1) -> DataFrame:
     """From ``by``, ``class``, distinct score ``s``, and how many samples, ``n``, and of the class, ``pos``, have it."""
-    w = W.partitionBy(*by, "class").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    tied = tied.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
+    tied = _in_ranges(tied, by, ranges) if ranges > 1 else tied.withColumns({"range": F.lit(0), "before": F.lit(0)})
+    w = W.partitionBy(*by, "class", "range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    tied = tied.withColumn("below", F.col("before") + F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
     neg = F.col("n") - F.col("pos")
     auc = tied.groupBy(*by, "class").agg(F.sum("pos").alias("np"), F.sum(neg).alias("nn"), F.sum(F.col("pos") * (F.col("below") + neg / 2.0)).alias("u"))
     auc = auc.withColumn("auc", F.col("u") / F.nullif(F.col("np").cast("double") * F.col("nn"), F.lit(0.0)))
@@ -194,7 +211,7 @@ def bootstrap_ci(df: DataFrame, key: str = "sample_id", draws: int = 1000, seed:
     samples = numbered(own, F.md5(F.concat_ws("/", F.lit(str(seed)), key)), key, out="i")
     n = df.count()
     pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "b", "k")), 1, 13), 16, 10).cast("bigint")
-    grid = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("b", (pick % n).alias("i"))
+    grid = spark.range(draws * n).select(F.expr(f"id div {n}").alias("b"), F.expr(f"id % {n}").alias("k")).select("b", (pick % n).alias("i"))
     drawn = grid.groupBy("b", "i").agg(F.count(F.lit(1)).alias("m")).join(samples, "i")
     hits = drawn.groupBy("b").agg((F.sum(F.col("m") * F.col("hit")) / F.sum("m")).alias("accuracy"))
     long = drawn.select("b", "y", "m", F.size("s").alias("k"), F.posexplode("s").alias("class", "v")).where("k <> 2 or class = 1")

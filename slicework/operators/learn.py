@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler
@@ -15,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import _parse_datatype_string
 
-from slicework.functions.names import hash_uniform
 from slicework.operators import evaluation as ev
+from slicework.operators import pairs
+from slicework.sources.sinks import scratch
 
 
 def vectors(df: DataFrame, features: str = "features") -> DataFrame:
@@ -38,18 +43,109 @@ def class_weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ev.balanced_class_weights(df, "target")), "target")  # one row for each class
 
 
-def random_search(train: DataFrame, val: DataFrame, trials: int = 4, seed: int = 0) -> tuple[LogisticRegressionModel, dict]:
-    """Log-uniform penalties with and without class weights; least validation cross-entropy wins."""
-    rng, best = random.Random(seed), None
-    weighted = class_weighted(train).cache()
-    for _ in range(trials):
-        p = {"reg": math.exp(rng.uniform(math.log(1e-4), math.log(1.0))), "weighted": rng.random() < 0.5}
-        model = fit_linear_head(weighted, p["reg"], "weight" if p["weighted"] else None)
-        loss = ev.cross_entropy(predict(model, val)).first()[0]
-        if best is None or loss < best[2]:
-            best = (model, p, loss)
-    weighted.unpersist()
-    return best[0], best[1] | {"loss": best[2]}
+class Head(NamedTuple):
+    """Weights and bias of a linear head, one row a class, and how it was chosen."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    params: dict
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return score_linear_head(df, self.weights.tolist(), self.bias.tolist()).withColumn("y", F.col("target").cast("int"))
+
+
+def _sums(data: DataFrame, heads: np.ndarray) -> np.ndarray:
+    """Over the rows of ``data`` (``x``, ``y``, ``weight``, ``val``): of all heads (k, classes, 1 + features) the gradients of the
+    training loss, then the training weight, each head's validation loss, and the validation weight. One scan, two
+    levels of sums; the driver gets at most 16 rows."""
+    k, classes, width = heads.shape
+    flat = heads.reshape(k * classes, width).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grad, tail = np.zeros((k * classes, width)), np.zeros(k + 2)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.concatenate([np.ones((batch.num_rows, 1)), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)], axis=1)
+            y, weight, val = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "weight", "val"))
+            z = (x @ flat).reshape(-1, k, classes)
+            z -= z.max(axis=2, keepdims=True)
+            log_p = z - np.log(np.exp(z).sum(axis=2, keepdims=True))
+            off = np.exp(log_p)
+            off[np.arange(len(y)), :, y] -= 1
+            grad += (off * (weight * ~val)[:, None, None]).reshape(len(y), -1).T @ x
+            tail[0] += weight[~val].sum()
+            tail[1:-1] -= (log_p[np.arange(len(y)), :, y] * (weight * val)[:, None]).sum(axis=0)
+            tail[-1] += weight[val].sum()
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 16], "sums": [np.concatenate([grad.ravel(), tail]).tobytes()]})
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"sums": [np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0).tobytes()]})
+
+    rows = data.mapInArrow(run, "part long, sums binary").groupBy("part").applyInArrow(add, "sums binary").collect()
+    return np.sum([np.frombuffer(r.sums) for r in rows], axis=0)
+
+
+def fit_heads(train: DataFrame, val: DataFrame | None, trials: list[dict], steps: int = 40, patience: int = 6, weight: str | None = None) -> list[Head]:
+    """Multinomial heads of all ``trials`` (``lr``, ``reg``) at once: every step is one scan, however many trials there are.
+
+    With ``val``, the weights of the least validation loss are kept, and fitting ends when no trial has improved for ``patience``
+    steps; ``params`` has that loss and its step. ``weight``: a column of both tables that weighs gradients and losses.
+    """
+    columns = lambda df, v: df.select(F.col("features").cast("array<double>").alias("x"), F.col("target").cast("int").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"), F.lit(v).alias("val"))
+    data = columns(train, False) if val is None else columns(train, False).unionByName(columns(val, True))
+    path = scratch(train.sparkSession, "heads")
+    data.write.parquet(path)
+    data = train.sparkSession.read.schema(data.schema).parquet(path)
+    size = data.agg(F.max("y").alias("y"), F.max(F.size("x")).alias("x")).first()
+    k, shape = len(trials), (len(trials), size.y + 1, size.x + 1)
+    heads, mean, square = (np.zeros(shape) for _ in range(3))
+    lr, reg = (np.array([t.get(c, d) for t in trials])[:, None, None] for c, d in (("lr", 0.1), ("reg", 0.0)))
+    best, best_loss, best_step = heads.copy(), np.full(k, np.inf), np.zeros(k, int)
+    for step in range(1, steps + 2):
+        got = _sums(data, heads)
+        if val is not None:
+            loss = got[-1 - k : -1] / got[-1]
+            better = loss < best_loss
+            best[better], best_loss[better], best_step[better] = heads[better], loss[better], step - 1
+        if step > steps or (val is not None and (step - 1 - best_step >= patience).all()):
+            break
+        grad = got[: -2 - k].reshape(shape) / got[-2 - k] + reg * heads * (np.arange(shape[2]) > 0)
+        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+        heads = heads - lr * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    if val is None:
+        best, best_step = heads, np.full(k, steps)
+    return [Head(best[i, :, 1:], best[i, :, 0], trials[i] | {"step": int(best_step[i])} | ({"loss": float(best_loss[i])} if val is not None else {})) for i in range(k)]
+
+
+def score_heads(df: DataFrame, heads: list[Head]) -> DataFrame:
+    """Each row once for each head: ``trial``, ``y`` and ``logits``."""
+    one = lambda i, h: F.struct(F.lit(i).alias("trial"), F.array(*[_dot("features", w) + F.lit(float(b)) for w, b in zip(h.weights.tolist(), h.bias.tolist())]).alias("logits"))
+    return df.select(F.col("target").cast("int").alias("y"), F.inline(F.array(*[one(i, h) for i, h in enumerate(heads)])))
+
+
+#: Metrics of which less is better.
+LESS_IS_BETTER = ("cross_entropy", "wbce")
+
+
+def random_search(train: DataFrame, val: DataFrame, trials: int = 4, seed: int = 0, metric: str = "cross_entropy", steps: int = 40, refit: bool = True) -> tuple[Head, list[dict]]:
+    """The best of random heads by a validation metric of ``evaluate``, and all trials with their metrics.
+
+    Trials draw penalty and rate log-uniformly and are fitted together; their metrics come from one more scan. With ``refit`` the
+    best one is fitted again on both tables, for as many steps as gave its least loss.
+    """
+    rng = random.Random(seed)
+    drawn = [{"reg": math.exp(rng.uniform(math.log(1e-4), 0.0)), "lr": math.exp(rng.uniform(math.log(0.01), math.log(0.3)))} for _ in range(trials)]
+    heads = fit_heads(train, val, drawn, steps)
+    found = {r["trial"]: r.asDict() for r in ev.evaluate(score_heads(val, heads), ["trial"]).collect()}
+    table = [h.params | found[i] for i, h in enumerate(heads)]
+    worth = [math.inf if row[metric] is None else row[metric] if metric in LESS_IS_BETTER else -row[metric] for row in table]
+    at = min(range(trials), key=worth.__getitem__)
+    best = heads[at]
+    if refit:
+        both = train.select("features", "target").unionByName(val.select("features", "target"))
+        best = fit_heads(both, None, [drawn[at]], best.params["step"])[0]._replace(params=best.params)
+    return best, table
 
 
 def project_pca(df: DataFrame, k: int = 3) -> DataFrame:
@@ -62,16 +158,22 @@ def project_pca(df: DataFrame, k: int = 3) -> DataFrame:
 
 def score_linear_head(df: DataFrame, weights: list[list[float]], bias: list[float], features: str = "features") -> DataFrame:
     """Logits of stored weights; one row of weights for each class."""
-    dot = lambda row: F.aggregate(F.zip_with(F.col(features), F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn("logits", F.array(*[dot(r) + F.lit(b) for r, b in zip(weights, bias, strict=True)]))
+    return df.withColumn("logits", F.array(*[_dot(features, r) + F.lit(b) for r, b in zip(weights, bias, strict=True)]))
+
+
+def _dot(features: str, row: list[float]):
+    return F.aggregate(F.zip_with(F.col(features), F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def regime_study(samples: DataFrame, regimes: dict[str, float], test: DataFrame, key: str) -> DataFrame:
-    """A head for each regime, a share of the training samples, and its metrics on the test samples."""
-    out = None
-    for name, share in regimes.items():
-        own = samples.where(hash_uniform(F.concat(F.lit(name), F.col(key).cast("string"))) < share)
-        row = ev.evaluate(predict(fit_linear_head(own), test).withColumn("regime", F.lit(name)), ["regime"])
+def regime_study(samples: DataFrame, folds: DataFrame, columns: list[str], trials: list[dict] | None = None, steps: int = 40) -> DataFrame:
+    """For each fold column a head, fitted on its training subjects and kept by its validation subjects, and its metrics
+    on the test subjects. ``samples``: ``name``, ``features``, ``target``; the subject is the name's first part."""
+    test, out = pairs.select_test(samples, folds), None
+    for column in columns:
+        own = pairs.assign_folds(samples, folds, column)
+        heads = fit_heads(own.where("side = 'train'"), own.where("side = 'val'"), trials or [{"lr": 0.1, "reg": 0.01}], steps)
+        head = min(heads, key=lambda h: h.params["loss"])
+        row = ev.evaluate(head.predict(test).withColumn("regime", F.lit(column)), ["regime"])
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -134,7 +134,16 @@ def _(t):
 def _(t):
     rest = features(t).where(~held_out())
     val = c("image_id") % 5 == 1
-    return metrics(t, learn.random_search(rest.where(~val), rest.where(val), trials=3)[0])
+    head, _ = learn.random_search(rest.where(~val), rest.where(val), trials=6, metric="qwk", steps=20)
+    return learn.ev.evaluate(head.predict(features(t).where(held_out())).withColumn("task", F.lit("head")), ["task"])
+
+
+@query("l01_head_by_validation")
+def _(t):
+    rest = features(t).where(~held_out())
+    val = c("image_id") % 5 == 1
+    head = learn.fit_heads(rest.where(~val), rest.where(val), [{"lr": 0.1, "reg": 0.01}], steps=25)[0]
+    return learn.ev.evaluate(head.predict(features(t).where(held_out())).withColumn("task", F.lit("head")), ["task"])
 
 
 @query("l04_project_pca")
@@ -205,5 +214,10 @@ def _(t):
 
 @query("l06_regime_study")
 def _(t):
-    test = c("image_id") % 5 == 0
-    return learn.regime_study(features(t).where(~test), {"all": 1.0, "half": 0.5}, features(t).where(test), "image_id")
+    """Every image is of a subject; the fold columns give all training subjects, and half of them."""
+    subject = F.format_string("sub-%d", c("image_id") % 97)
+    number = F.pmod(F.xxhash64(c("subject_id")), F.lit(100))
+    all_of, half_of = F.when(number < 80, "train").otherwise("val"), F.when(number < 40, "train").when(number >= 80, "val").otherwise("")
+    folds = t.images.select(subject.alias("subject_id")).distinct().select("subject_id", F.when(F.crc32(c("subject_id")) % 5 == 0, "1").otherwise("0").alias("is_test"), all_of.alias("all_split"), half_of.alias("half_split"))
+    samples = features(t).withColumn("name", F.concat(subject, F.lit("_img"), c("image_id")))
+    return learn.regime_study(samples, folds, ["all_split", "half_split"], steps=15)

@@ -211,3 +211,60 @@ def test_pending_rows_only(spark):
     assert got[1] == ([9.0, 9.0], [9.0]) and got[10] == ([6.0, 3.5], [10.0]) and got[5] == ([3.5, 3.5], [5.0]) and len(got) == 100
     assert batch_infer(rows, mean_and_max(seen), "x", [4], outputs, pending_only=False).where("id = 1").first().cls == [4.0]
     assert batch_infer(rows.drop("cls"), mean_and_max(), "x", [4], outputs).where("cls[0] >= 4").count() == 100
+
+
+def test_feature_transform():
+    from slicework.functions.kernels import _edge, feature_transform
+
+    draw = np.random.default_rng(3)
+    for h, w, share in [(1, 1, 1.0), (1, 9, 0.3), (9, 1, 0.4), (12, 17, 0.05), (30, 20, 0.3), (40, 40, 0.9), (25, 31, 0.01)]:
+        a, b = draw.random((h, w)) < max(share, 0.2), draw.random((h, w)) < share
+        b[draw.integers(h), draw.integers(w)] = True
+        y, x, ny, nx = feature_transform(_edge(a), b)
+        on = np.argwhere(b)
+        want = ((np.stack([y, x], 1)[:, None] - on[None]) ** 2).sum(-1).min(1)
+        assert b[ny, nx].all() and ((y - ny) ** 2 + (x - nx) ** 2 == want).all()
+
+
+def test_resize_mask_large(spark):
+    draw = np.random.default_rng(1)
+    masks = [draw.random((512, 512)) < 0.4, np.zeros((3, 5)), np.ones((2, 2))]
+    rows = spark.createDataFrame([(i, m.astype(int).ravel().tolist(), *m.shape) for i, m in enumerate(masks)] + [(3, None, 2, 2)], "i int, m array<int>, h int, w int")
+    got = {r.i: r.g for r in rows.select("i", px.resize_mask(F.col("m"), F.col("h"), F.col("w"), 224).alias("g")).collect()}
+    for i, m in enumerate(masks):
+        want = np.zeros((224, 224), int)
+        for y, x in np.argwhere(m):
+            want[min(int(y * 224 / m.shape[0]), 223), min(int(x * 224 / m.shape[1]), 223)] = 1
+        assert got[i] == want.ravel().tolist()
+    assert got[3] is None
+
+
+def test_auc_in_ranges(spark):
+    from slicework.operators import evaluation as ev
+
+    draw = np.random.default_rng(2)
+    z = np.round(draw.normal(size=(3000, 3)), 1) * np.array([1, 1e-6, 5])
+    rows = spark.createDataFrame([(int(i % 2), int(draw.integers(3)), v.tolist()) for i, v in enumerate(z)], "g int, y int, logits array<double>")
+    tied = rows.select("g", "y", F.posexplode("logits").alias("class", "s")).groupBy("g", "class", "s").agg(F.sum((F.col("y") == F.col("class")).cast("long")).alias("pos"), F.count("*").alias("n"))
+    one, many = ({r.g: (r.auc_macro, r.auc_weighted) for r in ev._auc_of_weighted(tied, ["g"], k).collect()} for k in (1, 16))
+    assert len(one) == 2 and all(one[g] == pytest.approx(many[g]) for g in one)
+
+
+def test_heads(spark):
+    from slicework.operators import learn
+
+    draw = np.random.default_rng(4)
+    centres = np.array([[2, 0, 0], [0, 2, 0], [0, 0, 2.0]])
+    rows = [(int(y), (centres[y] + draw.normal(size=3)).tolist()) for y in draw.integers(0, 3, 900)]
+    df = spark.createDataFrame(rows, "target int, features array<double>").repartition(3)
+    train, val = df.where("features[0] * 1000 % 1 < 0.7"), df.where("features[0] * 1000 % 1 >= 0.7")
+    trials = [{"lr": 0.2, "reg": 0.0}, {"lr": 0.2, "reg": 50.0}, {"lr": 1e-6, "reg": 0.0}]
+    heads = learn.fit_heads(train, val, trials, steps=40)
+    assert len(heads) == 3 and heads[0].params["loss"] < 0.65 < heads[1].params["loss"] and heads[2].params["loss"] == pytest.approx(np.log(3), abs=1e-3)
+    assert learn.fit_heads(train, val, trials[:1], steps=40)[0].params["loss"] == pytest.approx(heads[0].params["loss"])
+    best, table = learn.random_search(train, val, trials=3, metric="accuracy", steps=20)
+    assert max(r["accuracy"] for r in table) > 0.75
+    accuracy = learn.ev.evaluate(best.predict(val).withColumn("g", F.lit(1)), ["g"]).first().accuracy
+    assert accuracy > 0.75 and best.weights.shape == (3, 3)
+    reference = learn.ev.evaluate(learn.predict(learn.fit_linear_head(train, 0.0), val).withColumn("g", F.lit(1)), ["g"]).first()
+    assert abs(reference.cross_entropy - heads[0].params["loss"]) < 0.03
