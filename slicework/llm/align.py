@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -28,6 +29,9 @@ from slicework.llm.shared import materialize
 
 #: How byte-level vocabularies split texts (fixed value).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANKS_AND_WORD = re.compile(" +[^ ]*")
+#: Words whose pieces a worker keeps.
+MOST_WORDS = 1 << 18
 #: Bound of the broadcast table, 17 bytes a link; rarer links are joined, with equal results.
 MOST_SHARED = 1 << 20
 #: Characters that are tokenized together, and links that are expanded together.
@@ -78,6 +82,10 @@ class Tokenizers:
             self.a.encode_special_tokens = True
             self.ranked = ranked(self.paths[0])
             of = byte_alphabet()
+            pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+            # no piece goes over the start of a run of blanks, so such runs begin words that are encoded apart
+            self.by_words = not any(re.search("[^▁]▁", p) for p in pieces) and self.b.encode("a", out_type=str)[0].startswith("▁")
+            self.blank, self.known_b = [self.b.piece_to_id("▁")], {}
             size = 1 + max(self.a.get_vocab().values())
             names = [self.a.id_to_token(i) or "" for i in range(size)]
             self.bytes_a = [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
@@ -95,13 +103,28 @@ class Tokenizers:
             return self.a.encode(text, add_special_tokens=False).ids
         return self.ranked.encode_ordinary(text)
 
+    def ids_b(self, text: str) -> list[int]:
+        """Ids of the pieces; word by word where the text is its own normal form, and words that come again once."""
+        if not self.by_words or "▁" in text or self.b.normalize(text) != "▁" + text.replace(" ", "▁"):
+            return self.b.encode(text, num_threads=1)
+        out, known = [], self.known_b
+        for word in BLANKS_AND_WORD.findall(" " + text):
+            if (ids := known.get(word)) is None:
+                ids = self.b.encode(word[1:]) if len(word) > 1 else self.blank
+                if len(known) == MOST_WORDS:
+                    known.clear()
+                if len(word) <= 48:
+                    known[word] = ids
+            out += ids
+        return out
+
     def align(self, texts: list[str | None]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
         """Of each text the ids of both tokenizers and the ends of the groups in either list."""
         self.load()
         some = [i for i, t in enumerate(texts) if t]
         spaced = [" " + texts[i] for i in some]
         ids_a = [self.ids_a(x) for x in spaced]
-        ids_b = self.b.encode([texts[i] for i in some], num_threads=1)
+        ids_b = [self.ids_b(texts[i]) for i in some]
         out: list = [([], [], [], [])] * len(texts)
         for i, text, a, b in zip(some, spaced, ids_a, ids_b):
             want = text.encode()
@@ -154,10 +177,17 @@ def links_of(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, doc: np
     if not found:
         return np.zeros(docs + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     of, codes, times = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((codes, of))
-    of, codes, times = of[order], codes[order], times[order]
-    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])]))
-    return np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=docs))]), codes[first], np.add.reduceat(times, first)
+    span = int(codes.max()) + 1
+    keys = of * span + codes
+    if (times == 1).all():
+        keys.sort()
+        times = np.ones(len(keys), np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys = keys[first]
+    return np.concatenate([[0], np.cumsum(np.bincount(keys // span, minlength=docs))]), keys % span, np.add.reduceat(times, first)
 
 
 def align_documents(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -116,3 +116,7 @@ def test_ranks_give_the_ids_of_the_file(paths):
     kinds = ["aeiou", " \t\n\u3000", "0123", ".,!?'", "éßçñ", "日本語テ", "😀🏽\u200d", "'s 't 'll", "<|endoftext|>"]
     texts = [t for t in ODD if t] + ["".join(draw.choice(draw.choice(kinds)) for _ in range(draw.randint(1, 80))) for _ in range(3000)] + [chr(draw.choice([draw.randrange(0xD800), draw.randrange(0xE000, 0x110000)])) * 2 + "a1 " for _ in range(3000)]
     assert [both.ids_a(t) for t in texts] == [plain_a.encode(t, add_special_tokens=False).ids for t in texts]
+    assert both.by_words
+    texts += ["".join(draw.choice(["  ", " ", "the", "ing", "▁", "é", "日", "\n", "　", "ﬁ", "x"]) for _ in range(draw.randint(1, 40))) for _ in range(3000)] + [" ", "  ", "a ", "a  ", " a"]
+    normal = [t for t in texts if both.b.normalize(t) == "▁" + t.replace(" ", "▁")]
+    assert len(normal) > 3000 and [both.ids_b(t) for t in texts] == both.b.encode(texts, num_threads=1)
