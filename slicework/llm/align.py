@@ -85,7 +85,7 @@ class Tokenizers:
             pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
             # no piece goes over the start of a run of blanks, so such runs begin words that are encoded apart
             self.by_words = not any(re.search("[^▁]▁", p) for p in pieces) and self.b.encode("a", out_type=str)[0].startswith("▁")
-            self.blank, self.known_b = [self.b.piece_to_id("▁")], {}
+            self.blank, self.known_b = (self.b.piece_to_id("▁"),), {}
             size = 1 + max(self.a.get_vocab().values())
             names = [self.a.id_to_token(i) or "" for i in range(size)]
             self.bytes_a = [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
@@ -110,7 +110,7 @@ class Tokenizers:
         out, known = [], self.known_b
         for word in BLANKS_AND_WORD.findall(" " + text):
             if (ids := known.get(word)) is None:
-                ids = self.b.encode(word[1:]) if len(word) > 1 else self.blank
+                ids = tuple(self.b.encode(word[1:])) if len(word) > 1 else self.blank
                 if len(known) == MOST_WORDS:
                     known.clear()
                 if len(word) <= 48:
@@ -131,14 +131,14 @@ class Tokenizers:
             if b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)):
                 ends_a = dict(zip(accumulate(map(self.len_a.__getitem__, a)), range(1, len(a) + 1)))
                 ends_b = dict(zip(accumulate(map(self.len_b.__getitem__, b)), range(1, len(b) + 1)))
-                common = sorted(ends_a.keys() & ends_b.keys())
+                common = sorted(filter(ends_b.__contains__, ends_a))
                 out[i] = a, b, list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
         return out
 
     def written(self, a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int]) -> str:
         """Groups as decimal ids: ``a1,a2|b1;a3|b2,b3``."""
         a, b = list(map(self.str_a.__getitem__, a)), list(map(self.str_b.__getitem__, b))
-        return ";".join([f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(chain((0,), cuts_a), cuts_a, chain((0,), cuts_b), cuts_b)])
+        return ";".join([f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(chain((0,), cuts_a), cuts_a, chain((0,), cuts_b), cuts_b)])
 
 
 def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
