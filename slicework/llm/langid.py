@@ -3,7 +3,9 @@
 Every word of a text is drawn from one of the learned languages; its likelihood in each comes from the letter
 trigrams of the word. Expectation-maximisation estimates the text's language proportions. Then the sets made
 of its strongest language, its two strongest and so on are refitted, as long as one more language raises the
-likelihood of some text by more than the penalty for it, and each text takes its best set.
+text's likelihood by more than the penalty for it (two are always tried); other sets than these are not. Texts are
+handled together for speed alone: none is read into the next one, and each stops by itself, so a text's row is the
+same wherever it stands.
 """
 
 from __future__ import annotations
@@ -36,15 +38,18 @@ def _letters(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" "
 
 
-def _trigrams(stream: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram at each byte but the last two."""
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of folded texts, a blank put after each: the bytes, the bucket of the trigram at each byte but the last two, and
+    where the trigrams of each text end. A text's last one begins at its last letter."""
+    stream = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     s = stream.astype(np.uint32)
     code = (s[:-2] << np.uint32(16)) | (s[1:-1] << np.uint32(8)) | s[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 2
+    return stream, ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), ends
 
 
 def trigram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang``, ``bucket``, ``n`` over all rows with a language."""
+    """``lang``, ``bucket``, ``n`` over all rows with a language and a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -54,15 +59,17 @@ def trigram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
 
             def settle(by=by) -> None:
                 for g, parts in by.items():
-                    stream = np.frombuffer(b"".join(parts), np.uint8)
-                    if len(stream) > 2:
-                        n = np.bincount(_trigrams(stream), minlength=BUCKETS)
-                        sums[g] = sums[g] + n if g in sums else n
+                    _, buckets, ends = _trigrams(parts)
+                    across = np.concatenate([ends, ends + 1])  # begin at a text's last blank and at the one put after it
+                    n = np.bincount(np.delete(buckets, across[across < len(buckets)]), minlength=BUCKETS)
+                    sums[g] = sums[g] + n if g in sums else n
                 by.clear()
 
             for t, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                by.setdefault(g, []).append(_letters(t.as_py()))
-                size += len(by[g][-1])
+                own = _letters(t.as_py())
+                if len(own) > 2:
+                    by.setdefault(g, []).append(own)
+                    size += len(own)
                 if size > CHUNK:
                     settle()
                     size = 0
@@ -95,41 +102,49 @@ def _em(p: np.ndarray, cuts: np.ndarray, sizes: np.ndarray, share: np.ndarray, s
 
 def infer(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of non-empty folded texts, the shares of the chosen languages (0 for the others), and the number chosen."""
-    stream = np.frombuffer(b"".join(texts), np.uint8)
+    stream, buckets, ends = _trigrams(texts)
     space = stream == 0x20
     first = np.flatnonzero(space[:-1] & ~space[1:])  # a word's trigrams begin with the blank before it
-    words = np.add.reduceat(model[_trigrams(stream)], np.minimum(first, len(stream) - 3), axis=0).astype(np.float64)
-    begin = np.cumsum([0, *map(len, texts)])[:-1]
-    cuts = np.searchsorted(first, begin)
+    cuts = np.searchsorted(first, np.concatenate([[0], ends[:-1] + 2]))
     sizes = np.diff([*cuts, len(first)])
-    top = words.max(axis=1, keepdims=True)
-    p = np.exp(words - top)
+    until = np.append(first[1:], 0)
+    until[cuts + sizes - 1] = ends  # a text's last word has no next one to end at
+    log_p = model[np.append(buckets, 0)]  # one row more, for the last end
+    words = np.add.reduceat(log_p, np.stack([first, until], axis=1).ravel(), axis=0)[::2].astype(np.float64)
+    p = np.exp(words - words.max(axis=1, keepdims=True))
     k = p.shape[1]
     share = _em(p, cuts, sizes, np.full((len(texts), k), 1 / k), EM_STEPS)
     order = np.argsort(-share, axis=1, kind="stable")
     best, chosen, number = np.full(len(texts), -np.inf), np.zeros_like(share), np.ones(len(texts), np.int64)
+    going = np.arange(len(texts))  # texts whose last language was worth it
     for m in range(1, k + 1):
-        some = np.zeros_like(share)
-        np.put_along_axis(some, order[:, :m], np.maximum(np.take_along_axis(share, order[:, :m], 1), 1e-3), 1)
+        some = np.zeros((len(going), k))
+        np.put_along_axis(some, order[going, :m], np.maximum(np.take_along_axis(share[going], order[going, :m], 1), 1e-3), 1)
         some /= some.sum(axis=1, keepdims=True)
         some = _em(p, cuts, sizes, some, REFIT_STEPS) if m > 1 else some
         each = np.log(np.maximum((p * np.repeat(some, sizes, axis=0)).sum(axis=1), 1e-300))
         value = np.add.reduceat(each, cuts) - PENALTY * (m - 1) * np.log(sizes + 1)
-        better = value > best
-        if m > 2 and not better.any():
+        better = value > best[going]
+        at = going[better]
+        best[at], chosen[at], number[at] = value[better], some[better], m
+        stay = better if m > 1 else np.ones(len(going), bool)
+        if not stay.any():
             break
-        best[better], chosen[better], number[better] = value[better], some[better], m
+        if not stay.all():
+            p, sizes, going = p[np.repeat(stay, sizes)], sizes[stay], going[stay]
+            cuts = np.cumsum(sizes) - sizes
     return chosen, number
 
 
 def predict_languages(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``lang_pred``, ``score`` (its share of the words) and ``languages``.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Whole texts of any length
+    count; equal texts get equal values, and repeated rows stay. Columns of the input with these names are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, model))
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "languages")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value

@@ -445,9 +445,8 @@ def plain_mixture(text, model):
     for m in re.finditer(rb"[^ ]+", text):
         padded = b" " + m[0] + b" "
         grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
-        last = text[m.end() : m.end() + 2]
-        grams.append((padded[-2:] + last[1:2]) if len(last) > 1 else None)
-        slots = [(int.from_bytes(g, "big") * 2654435761 % 2**32) >> 16 for g in grams if g]
+        grams.append(padded[-2:] + (text[m.end() + 1 : m.end() + 2] or b" "))
+        slots = [(int.from_bytes(g, "big") * 2654435761 % 2**32) >> 16 for g in grams]
         like.append(np.sum([model[x] for x in slots], axis=0, dtype=np.float64))
     p = np.exp(np.array(like) - np.max(like, axis=1, keepdims=True))
 
@@ -467,9 +466,28 @@ def plain_mixture(text, model):
         value = np.log(p @ some).sum() - langid.PENALTY * (m - 1) * np.log(len(p) + 1)
         if best is None or value > best[0]:
             best = (value, m, some.tolist())
+        elif m > 1:
+            break
     return best[1], best[2]
 
 
+def test_languages_of_a_text_alone(spark, corpus):
+    """A row depends on its text and the learned counts, not on where it stands."""
+    docs = corpus.union(corpus.limit(200).withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.concat(F.substring("text", 1, 150), F.lit(" "), F.reverse("text"))}).select(corpus.columns))
+    rows = [sorted(langid.op7_language_mixture(d).select("doc_id", "lang_pred", "score", "languages").collect()) for d in (docs, docs.repartition(7, "doc_id"), docs.orderBy(F.desc("n_chars")).coalesce(1))]
+    assert rows[0] == rows[1] == rows[2]
+    langs, model = langid.log_likelihoods(langid.trigram_counts(corpus))
+    texts = [langid._letters(r.text) for r in docs.where("length(text) between 5 and 400").limit(150).collect()]
+    texts = [t for t in texts if len(t) > 2] + [b" a ", b" ab cd "]
+    shares, number = langid.infer(texts, model)
+    for t, share, m in zip(texts, shares, number, strict=True):
+        alone, own = langid.infer([t], model)
+        assert (alone[0] == share).all() and own[0] == m
+        assert plain_mixture(t, model) == (m, pytest.approx(share.tolist(), abs=1e-6))
+    again = langid.predict_languages(docs.withColumns({"score": F.lit(1), "languages": F.lit("x"), "lang_pred": F.lit(2)}), langs, model)
+    assert sorted(again.columns) == sorted([*(c for c in docs.columns if c != "text"), "lang_pred", "score", "languages"]) and again.where("score <= 1").count() == docs.count()
+
+
 def test_languages(spark, corpus, odd):
     rows = langid.op7_language_mixture(corpus).join(corpus.select("doc_id", "lang", "text"), "doc_id").collect()
     held = [r for r in rows if r.held_out and re.search(r"[^\W\d_]", r.text or "") and len(r.text) > 60]
