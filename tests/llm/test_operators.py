@@ -6,6 +6,7 @@ import math
 import re
 import struct
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -88,6 +89,29 @@ def test_html_scores_decide(monkeypatch):
     assert len(html.main_text(page).split("\n")) > 4
 
 
+def test_html_hidden_is_an_attribute():
+    for start in ('article title="The hidden valley"', "main class='x hidden y'", 'section data-t="a > hidden gem"', "div data-hidden=1", 'div title=" hidden "'):
+        page = f"<{start}>{BODY}</{start.split()[0]}><span>ok.</span>"
+        assert html.main_text(page).split("\n")[:2] == WANT, start
+    for start in ("p hidden", "p HIDDEN", "p hidden=until-found", 'p class="a"hidden', "p style='Display: None'"):
+        assert html.main_text(f"<{start}>{PROSE}</p>{BODY}").split("\n") == WANT, start
+
+
+def article_of(page):
+    body = page.split("<article>")[1].split("</article>")[0]
+    texts = [" ".join(unescape(re.sub(r"<[^>]*(>|$)", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n".join(b for b in texts if b)
+
+
+def test_html_ratios_alone(spark, monkeypatch):
+    """Without lists of elements and words, the ratios alone find the text of most of the given pages."""
+    factor = html._factor
+    monkeypatch.setattr(html, "_factor", lambda *a: 0.0 if factor(*a) == 0.0 else 1.0)
+    monkeypatch.setattr(html, "IN_ARTICLE", 1.0)
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert sum(html.main_text(p) == article_of(p) for p in pages) >= 0.8 * len(pages)
+
+
 def test_path_smoothing():
     rng = np.random.default_rng(4)
     parent = [-1, *(int(rng.integers(0, k)) for k in range(1, 60))]
@@ -121,11 +145,7 @@ def test_pages(spark):
     rows = {r.page_id: r for r in html.op1_tag_path_ratios(pages).collect()}
     assert len(rows) == pages.count() and all(r.n_chars == len(r.text) for r in rows.values())
     for p in pages.collect():
-        body = p.html.split("<article>")[1].split("</article>")[0]
-        from html import unescape
-
-        want = [" ".join(unescape(re.sub(r"<[^>]*(>|$)", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
-        assert rows[p.page_id].text == "\n".join(b for b in want if b)
+        assert rows[p.page_id].text == article_of(p.html)
     assert html.main_text("<article>" + BODY + "</article>") == "\n".join(WANT)
     odd_pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (2, "u", "<p>" + "a, b. " * 50_000, "y")], "page_id long, url string, html string, text string")
     assert [r.n_chars for r in html.op1_tag_path_ratios(odd_pages).orderBy("page_id").collect()] == [0, 0, 299_999]
