@@ -14,8 +14,13 @@ SPELLINGS = (
     ("organization", "organisation"), ("organizations", "organisations"), ("percent", "per cent"), ("program", "programme"), ("realize", "realise"), ("recognize", "recognise"),
     ("sublicense", "sub license"), ("sublicense", "sublicence"), ("sublicense", "sub licence"), ("utilization", "utilisation"), ("while", "whilst"), ("willful", "wilful"),
 )
-#: A line with a copyright mark and a year, and the line feed before it.
-COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+#: A line with a copyright mark and a year, one that begins with "©" or with "copyright" and a mark, a colon or "by", and
+#: "all rights reserved" at the beginning of a line; each with the line feed before it. Lines of licences that begin with
+#: "copyright notice" or "(c) you must" stay.
+COPYRIGHT_LINE = (
+    r"(^|\n)([^\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*|[^\p{L}\p{N}\n©]*(copyright[ \t]*(\(c\)|©|&copy;|:|by[ \t])|©|&copy;)[^\n]*"
+    r"|[^\p{L}\p{N}\n]*all[ \t]+rights[ \t]+reserved)"
+)
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -100,7 +105,7 @@ KNOWN = (
 
 
 def canonical(text: Column) -> Column:
-    """Lower case; lines with a copyright mark and a year go; all but letters and digits becomes one blank; spellings are levelled.
+    """Lower case; copyright lines go (``COPYRIGHT_LINE``); all but letters and digits becomes one blank; spellings are levelled.
 
     Each word has two blanks of its own while spellings are levelled, so neighbours are both found.
     """

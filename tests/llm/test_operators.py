@@ -445,6 +445,21 @@ def test_licenses(spark, odd):
     assert license.op6_canonical_digest(odd).count() == len(ODD) + 1 and license.op6_canonical_digest(empty(odd)).count() == 0
 
 
+def test_license_files(spark):
+    """Copyright lines without a year, and rights reserved on a line of its own; wrapped lines of the licence stay."""
+    bsd = next(t for n, t in license.KNOWN if n == "BSD-3-Clause")
+    files = [
+        "MIT License\n\nCopyright (c) Microsoft Corporation.\n\n" + license._MIT,
+        "Copyright (c) 2011, The Authors\nAll rights reserved.\n\n" + bsd.replace("the above copyright notice", "the above\ncopyright notice"),
+        "MIT License\r\n\r\nCopyright © the authors\r\nCopyright: others\r\n# Copyright by one more\r\n" + license._MIT,
+        "© the authors\n" + license._ISC,
+        "(c) you must keep this\n" + license._ISC,
+        "copyright notices count\n" + license._ISC,
+    ]
+    rows = {r.doc_id: r.license for r in license.op6_canonical_digest(docs_of(spark, files)).collect()}
+    assert [rows[i] for i in range(6)] == ["MIT", "BSD-3-Clause", "MIT", "ISC", None, None]
+
+
 def test_license_table(spark, odd):
     bsd = next(t for n, t in license.KNOWN if n == "BSD-3-Clause")
     padded = "*" * 9000 + " released under the MIT license " + "-" * 9000
