@@ -166,3 +166,65 @@ def hausdorff95():
         return pd.Series([_hd95(np.asarray(g).reshape(a, b), np.asarray(p).reshape(a, b)) for g, p, a, b in zip(gt, pred, h, w, strict=True)], dtype="float64")
 
     return run
+
+
+_SIGN = np.int64(2**63 - 1)
+
+
+def ordered_bits():
+    """A double as a whole number of the same order; both zeros are one, and NaN is above all."""
+
+    @F.pandas_udf("long")
+    def run(v: pd.Series) -> pd.Series:
+        bits = np.where(np.isnan(v), np.nan, v.to_numpy(float) + 0.0).view(np.int64)
+        return pd.Series(np.where(bits < 0, bits ^ _SIGN, bits))
+
+    return run
+
+
+def from_ordered_bits():
+    """The double of such a number; null for NaN."""
+
+    @F.pandas_udf("double")
+    def run(b: pd.Series) -> pd.Series:
+        bits = b.to_numpy(np.int64)
+        return pd.Series(np.where(bits < 0, bits ^ _SIGN, bits).view(np.float64))
+
+    return run
+
+
+def overlap_mean():
+    """The mean of pieces that lie over one another in a block, in rows; null where none lies."""
+
+    @F.pandas_udf("array<double>")
+    def run(pieces: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for of, high, wide in zip(pieces, h, w, strict=True):
+            total, n = np.zeros((high, wide)), np.zeros((high, wide))
+            for p in sorted(of, key=lambda p: (p["y"], p["x"])):  # one order, so that sums are the same in each run
+                px = np.asarray(p["px"], float).reshape(-1, p["w"])
+                at = np.s_[p["y"] : p["y"] + len(px), p["x"] : p["x"] + p["w"]]
+                total[at] += px
+                n[at] += 1
+            out.append(np.where(n > 0, total / np.maximum(n, 1), np.nan).ravel())
+        return pd.Series(out)
+
+    return run
+
+
+def join_blocks(side: int):
+    """The image, in rows, of blocks ``by``, ``bx``, ``px`` of a grid; null where there is none."""
+
+    @F.pandas_udf("array<double>")
+    def run(blocks: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for of, high, wide in zip(blocks, h, w, strict=True):
+            whole = np.full((high, wide), np.nan)
+            for b in of:
+                y, x = b["by"] * side, b["bx"] * side
+                part = whole[y : y + side, x : x + side]
+                part[:] = np.asarray(b["px"], float).reshape(part.shape)
+            out.append([None if v != v else v for v in whole.ravel().tolist()])
+        return pd.Series(out)
+
+    return run

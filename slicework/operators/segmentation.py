@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slicework.functions import kernels
 from slicework.functions.pixels import boundary, has_foreground, total
+from slicework.operators.quantiles import quantiles
 
 EPS = 1e-7
 SUMMARY = ("mean", "std", "median", "p25", "p75", "min", "max")
@@ -49,9 +50,13 @@ def hausdorff95(df: DataFrame, key: str = "image_id", gt: str = "gt_px", pred: s
     return df.select(key, F.nullif(value, F.lit(float("nan"))).alias("hd95"))
 
 
-def _seven(v: str) -> list[Column]:
-    p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    return [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p[0].alias("median"), p[1].alias("p25"), p[2].alias("p75"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
+def _seven(long: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the summary of ``v`` and its count ``n``; null keys are a group."""
+    plain = long.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
+    q = quantiles(long, by, "v", [0.5, 0.25, 0.75]).select(*[F.col(c).alias(f"__{c}") for c in by], "q")
+    both = plain.join(q, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
+    named = {"median": F.col("q")[0], "p25": F.col("q")[1], "p75": F.col("q")[2]}
+    return both.select(*by, *[named.get(c, F.col(c)).alias(c) for c in SUMMARY], "n")
 
 
 def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -63,14 +68,18 @@ def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 def summarise(df: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean, population deviation, median, quartiles, least and greatest of each metric; none for a metric without values."""
     by = by or []
-    return long_metrics(df, by, metrics).where("v is not null").groupBy(*by, "metric").agg(*_seven("v"))
+    long = long_metrics(df, by, metrics).where("v is not null")
+    return _seven(long, [*by, "metric"])
 
 
 def summary_by(df: DataFrame, subject: str, metrics: list[str], has_fg: str = "has_fg") -> DataFrame:
     """The summary over all images and over those with foreground, in total (null subject) and by subject."""
     tagged = df.withColumn("subset", F.explode(F.when(F.col(has_fg), F.array(F.lit("all"), F.lit("foreground"))).otherwise(F.array(F.lit("all")))))
     long = long_metrics(tagged, ["subset", subject], metrics).where("v is not null")
-    return long.groupingSets([["subset", "metric"], ["subset", "metric", subject]], "subset", "metric", subject).agg(*_seven("v"))
+    own = F.struct(F.lit(False).alias("total"), F.col(subject).alias("of"))
+    total = F.struct(F.lit(True).alias("total"), F.lit(None).cast(df.schema[subject].dataType).alias("of"))  # apart from rows of no subject
+    both = long.select("subset", "metric", "v", F.inline(F.array(own, total)))
+    return _seven(both, ["subset", "metric", "total", "of"]).drop("total").withColumnRenamed("of", subject)
 
 
 def dice_loss(df: DataFrame, p: str, t: str, eps: float = 1e-6) -> DataFrame:
@@ -95,12 +104,32 @@ def pixel_stats(df: DataFrame, px: str = "px") -> DataFrame:
     return df.select(F.explode(px).alias("v")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
 
-def stitch(tiles: DataFrame, key: str, size: DataFrame) -> DataFrame:
-    """Overlapping tiles averaged back to images of the size in ``size`` (``key``, ``height``, ``width``)."""
-    px = tiles.select(key, "y0", "x0", "w", F.posexplode("px").alias("i", "v"))
-    px = px.select(key, (F.col("y0") + F.floor(F.col("i") / F.col("w"))).alias("y"), (F.col("x0") + F.col("i") % F.col("w")).alias("x"), "v")
-    mean = px.join(size, key).where("y < height and x < width").groupBy(key, "y", "x").agg(F.avg("v").alias("v"))
-    return mean.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("px"))
+#: Side of the blocks in which overlapping tiles are added.
+BLOCK = 256
+
+
+def stitch(tiles: DataFrame, key: str, size: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Overlapping tiles averaged back to images of the size in ``size`` (``key``, ``height``, ``width``).
+
+    Tiles (``y0``, ``x0``, ``w``, ``px`` in rows) are cut at the borders of a grid of blocks, and what is shuffled are these pieces, as arrays.
+    The pieces of a block are added in one task, and an image is put together from its blocks. Parts of tiles outside
+    the image go; pixels without a tile are null.
+    """
+    h = F.floor(F.size("px") / F.col("w"))
+    rows = tiles.join(size, key).withColumns({"bottom": F.least(F.col("y0") + h, F.col("height")), "right": F.least(F.col("x0") + F.col("w"), F.col("width"))})
+    first, last = (lambda c: F.floor(F.greatest(F.col(c), F.lit(0)) / block)), (lambda c: F.floor((F.col(c) - 1) / block))
+    rows = rows.where("bottom > 0 and right > 0 and y0 < bottom and x0 < right and y0 < height and x0 < width")
+    cut = rows.withColumn("by", F.explode(F.sequence(first("y0"), last("bottom")))).withColumn("bx", F.explode(F.sequence(first("x0"), last("right"))))
+    cut = cut.withColumns({"y1": F.greatest(F.col("by") * block, F.col("y0"), F.lit(0)), "x1": F.greatest(F.col("bx") * block, F.col("x0"), F.lit(0)), "x2": F.least((F.col("bx") + 1) * block, F.col("right"))})
+    lines = F.sequence(F.col("y1"), F.least((F.col("by") + 1) * block, F.col("bottom")) - 1)
+    piece = F.flatten(F.transform(lines, lambda y: F.slice("px", ((y - F.col("y0")) * F.col("w") + F.col("x1") - F.col("x0") + 1).cast("int"), (F.col("x2") - F.col("x1")).cast("int"))))
+    place = lambda c, b: (F.col(c) - F.col(b) * block).cast("int")
+    high, wide = (F.least(F.lit(block), F.col(n) - F.col(b) * block).cast("int") for n, b in (("height", "by"), ("width", "bx")))
+    pieces = cut.select(key, "height", "width", "by", "bx", F.struct(place("y1", "by").alias("y"), place("x1", "bx").alias("x"), (F.col("x2") - F.col("x1")).cast("int").alias("w"), piece.alias("px")).alias("piece"))
+    blocks = pieces.groupBy(key, "height", "width", "by", "bx").agg(F.collect_list("piece").alias("pieces"))  # as many as tiles overlap a block
+    blocks = blocks.select(key, "height", "width", F.struct("by", "bx", kernels.overlap_mean()(F.col("pieces"), high, wide).alias("px")).alias("block"))
+    whole = blocks.groupBy(key, "height", "width").agg(F.collect_list("block").alias("blocks"))
+    return whole.select(key, kernels.join_blocks(block)(F.col("blocks"), F.col("height"), F.col("width")).alias("px"))
 
 
 def batch_pad_size(df: DataFrame, batch: str, k: int = 8) -> DataFrame:
@@ -120,7 +149,3 @@ def overlay_examples(df: DataFrame, k: int, key: str, gt: str = "gt_px", pred: s
     """First k images with any truth or prediction, topped up with empty ones."""
     empty = ~(has_foreground(F.col(gt)) | has_foreground(F.col(pred)))
     return df.withColumn("is_empty", empty).orderBy("is_empty", key).limit(k)
-
-
-def combine(*parts: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, F.lit(True)), parts)

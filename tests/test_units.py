@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import math
 import struct
 import zlib
 
@@ -13,6 +14,7 @@ from slicework.functions import names as n
 from slicework.functions import pixels as px
 from slicework.functions.kernels import _linear
 from slicework.operators import pairs, segmentation, splits, summaries
+from slicework.operators.quantiles import quantiles
 from slicework.sources import files, tables
 
 
@@ -268,3 +270,49 @@ def test_heads(spark):
     assert accuracy > 0.75 and best.weights.shape == (3, 3)
     reference = learn.ev.evaluate(learn.predict(learn.fit_linear_head(train, 0.0), val).withColumn("g", F.lit(1)), ["g"]).first()
     assert abs(reference.cross_entropy - heads[0].params["loss"]) < 0.03
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(3)
+    groups = {
+        "a": rng.normal(size=3001), "b": np.array([5.0]), "c": np.repeat([1.5, -2.5, 7.0], [700, 300, 2]), None: np.array([-1e300, 1e-300, -0.0, 0.0, 3.0, -1e-9]),
+        "d": 1.0 + np.arange(1000) * 2.0**-52, "e": np.array([-np.inf, 1.0, 2.0, np.inf]),
+    }
+    rows = [(g, 1, float(v)) for g, vs in groups.items() for v in vs] + [("a", 1, None), ("none", 1, None), ("nan", 1, math.nan), ("nan", 1, 1.0)]
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame(rows, "g string, n int, v double")
+    got = {r.g: r for r in quantiles(df.withColumn("size", F.lit("x")).repartition(5), ["g", "n"], "v", probs).collect()}
+    assert set(got) == {*groups, "nan"} and got["nan"].q[0] == 1.0 and got["nan"].q[-1] is None
+    for g, vs in groups.items():
+        if g != "e":
+            assert np.allclose(got[g].q, np.quantile(vs, probs), rtol=1e-15, atol=0) and got[g].q[0] == min(vs) and got[g].q[-1] == max(vs)
+    assert got["e"].q[0] == -math.inf and got["e"].q[2] == 1.5
+    assert quantiles(df, [], "v", [0.5]).count() == 1 and quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    plan = segmentation.summarise(df, ["v"], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_summary_keeps_rows_without_subject(spark):
+    df = spark.createDataFrame([(None, 1.0, True), (1, 3.0, False), (1, 5.0, True)], "subject long, dice double, has_fg boolean")
+    rows = [(r.subset, r.subject, r.n, r.median) for r in segmentation.summary_by(df, "subject", ["dice"]).collect()]
+    assert sorted(rows, key=str) == sorted([("all", None, 3, 3.0), ("all", None, 1, 1.0), ("all", 1, 2, 4.0), ("foreground", None, 2, 3.0), ("foreground", None, 1, 1.0), ("foreground", 1, 1, 5.0)], key=str)
+
+
+def test_stitch_large(spark):
+    rng = np.random.default_rng(5)
+    total, count = np.zeros((512, 500)), np.zeros((512, 500))
+    tiles = []
+    for y in range(-16, 512, 96):
+        for x in range(0, 500, 120):
+            px = rng.integers(0, 9, (128, 160)).astype(float)
+            tiles.append((1, y, x, 160, px.ravel().tolist()))
+            inside = px[max(0, -y) : 512 - y, : 500 - x]
+            total[max(0, y) : y + 128, x : x + 160] += inside
+            count[max(0, y) : y + 128, x : x + 160] += 1
+    tiles.append((2, 1, 1, 2, [4.0, 6.0]))
+    df = spark.createDataFrame(tiles, "id int, y0 int, x0 int, w int, px array<double>").repartition(6)
+    size = spark.createDataFrame([(1, 512, 500), (2, 2, 3)], "id int, height int, width int")
+    for block in (64, 200):
+        got = {r.id: r.px for r in segmentation.stitch(df, "id", size, block).collect()}
+        assert count.min() > 0 and np.allclose(np.array(got[1]).reshape(512, 500), total / count)
+        assert got[2] == [None, None, None, None, 4.0, 6.0]
