@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slicework.operators import learn
 from slicework.plans.registry import query
 from slicework.sources import sinks
-from slicework.streaming.ingest import incremental_ingest, live_metrics
+from slicework.streaming.ingest import incremental_ingest, keep_recent, live_metrics
 
 c = F.col
 
@@ -87,6 +87,13 @@ def _(t):
     return t.spark.read.parquet(target).withColumn("mean", F.round("mean", 6))
 
 
+@query("m02_recent_hours", f"with m as ({M02}) select * from m where start >= (select max(start) from m) - interval 6 hour")
+def _(t):
+    target, mark = sinks.scratch(t.spark, "recent"), sinks.scratch(t.spark, "recent-progress")
+    keep_recent(live_metrics(_as_stream(t, t.events.schema), keys=("event_type",)), target, mark, 6.0, ("event_type",)).awaitTermination()
+    return sinks.read_snapshot(t.spark, target).withColumn("mean", F.round("mean", 6))
+
+
 def _as_stream(t, schema):
     """The events table as a stream of files in order of time, so that the watermark moves."""
     root = sinks.scratch(t.spark, "events")

@@ -38,7 +38,8 @@ def write_features(df: DataFrame, path: str, key: str = "path") -> None:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("task", "run").parquet(path)
+    """By task, run and split, as far as the table has them."""
+    df.write.mode("append").partitionBy(*[c for c in ("task", "run", "split") if c in df.columns]).parquet(path)
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -62,6 +63,10 @@ def swap_snapshot(df: DataFrame, path: str) -> None:
     df.write.parquet(f"{path}/v{version:08d}")
 
 
+def has_snapshot(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     found = _versions(spark, path)
     if not found:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,8 +105,32 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """The pooled predictions of a tree of runs; it is an error if there are none."""
-    df = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    """The pooled predictions of one file or of a tree of runs, of whatever depth; it is an error if there are none.
+
+    ``run_dir`` is the folder of a row's file below the root (empty for the root itself). Folders ``name=value`` on the
+    way give columns, whole numbers if all values are, unless the files hold such a column. Columns that some runs lack are null there.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").option("pathGlobFilter", "*.parquet")
+    try:
+        df = reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise FileNotFoundError(f"no predictions in {path}") from e
+        raise
+    decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    file_path = decoded(F.col("_metadata.file_path"))
+    folders = F.regexp_replace(below(file_path, path), "/?[^/]*$", "")
+    given: dict[str, set[str]] = {}
+    for file in df.inputFiles():  # the list that the reader itself holds
+        for name, value in re.findall(r"/([^/=]+)=([^/]*)(?=/)", file):
+            given.setdefault(name, set()).add(value)
+    found = {}
+    for name in sorted(given.keys() - set(df.columns)):
+        value = F.nullif(F.regexp_extract(file_path, f"/{re.escape(name)}=([^/]*)/", 1), F.lit(""))
+        value = decoded(F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__")))
+        whole = all(re.fullmatch(r"-?[0-9]{1,9}", v) for v in given[name] - {"__HIVE_DEFAULT_PARTITION__"})
+        found[name] = value.cast("int") if whole else value
+    df = df.withColumns({**found, "run_dir": folders})
     if df.isEmpty():
         raise FileNotFoundError(f"no predictions in {path}")
     return df.where(F.col("split") == split) if split else df

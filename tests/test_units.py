@@ -15,7 +15,8 @@ from slicework.functions import pixels as px
 from slicework.functions.kernels import _linear
 from slicework.operators import pairs, segmentation, splits, summaries
 from slicework.operators.quantiles import quantiles
-from slicework.sources import files, tables
+from slicework.sources import files, sinks, tables
+from slicework.streaming.ingest import keep_recent, live_metrics
 
 
 def png(path, a):
@@ -316,3 +317,41 @@ def test_stitch_large(spark):
         got = {r.id: r.px for r in segmentation.stitch(df, "id", size, block).collect()}
         assert count.min() > 0 and np.allclose(np.array(got[1]).reshape(512, 500), total / count)
         assert got[2] == [None, None, None, None, 4.0, 6.0]
+
+
+def test_predictions_of_a_tree(spark, tmp_path):
+    one = spark.createDataFrame([("a", 1, [0.5]), ("b", 0, [0.1])], "sample string, y int, logits array<double>")
+    for folder, rows in (("a/b/x", one), ("c/x", one.withColumn("split", F.lit("val"))), ("d/run=3/task=s%20s", one.limit(1))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/tree/{folder}")
+    got = tables.read_predictions(spark, f"{tmp_path}/tree")
+    assert sorted((r.run_dir, r.run, r.task, r.split, r.sample) for r in got.collect() if r.sample == "a") == [("a/b/x", None, None, None, "a"), ("c/x", None, None, "val", "a"), ("d/run=3/task=s%20s", 3, "s s", None, "a")]
+    assert got.count() == 5 and tables.read_predictions(spark, f"{tmp_path}/tree/", "val").count() == 2
+    sinks.write_predictions(one.withColumns({"task": F.lit("t+ :%/u"), "run": F.lit(7), "split": F.lit("test")}), f"{tmp_path}/out")
+    assert {(r.task, r.run, r.split) for r in tables.read_predictions(spark, f"{tmp_path}/out", "test").collect()} == {("t+ :%/u", 7, "test")}
+    (tmp_path / "none").mkdir()
+    for path in ("none", "missing"):
+        with pytest.raises(FileNotFoundError):
+            tables.read_predictions(spark, f"{tmp_path}/{path}")
+
+
+def test_recent_hours(spark, tmp_path):
+    """Old hours leave the snapshot as new ones close, over two runs of the stream; a run without news changes nothing."""
+    import datetime
+
+    at = lambda h: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(hours=h)
+    schema = "ts timestamp, run string, value double"
+
+    def run(hours):
+        if hours:
+            spark.createDataFrame([(at(h), r, float(h)) for h in hours for r in ("x", "y")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = live_metrics(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        keep_recent(stream, f"{tmp_path}/out", f"{tmp_path}/mark", 3).awaitTermination()
+        rows = sinks.read_snapshot(spark, f"{tmp_path}/out").collect()
+        assert len({(r.start, r.run) for r in rows}) == len(rows)
+        return sorted({r["mean"] for r in rows}), len(rows)
+
+    # an hour is closed ten minutes after its end: with rows of 6:00 the newest one is that of 4:00
+    assert run([0, 1, 2, 3, 4, 5, 6]) == ([1.0, 2.0, 3.0, 4.0], 8)
+    assert run([7, 9]) == ([4.0, 5.0, 6.0, 7.0], 8)
+    assert run([]) == ([4.0, 5.0, 6.0, 7.0], 8)
+    assert run([14]) == ([6.0, 7.0, 9.0], 6)
