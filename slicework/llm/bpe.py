@@ -57,14 +57,28 @@ def _prime(n: int) -> int:
     return n
 
 
+def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """The two ids that the last merge of a piece joins, or none where its merges stop before.
+
+    Two ids that stand side by side in any word came about by merges inside each of them, and these are, in order, the
+    merges of their joined bytes alone. So of all ways to cut a piece in two this is the only one that a fold can meet.
+    """
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while len(parts) > 2:
+        low, k = min((ranks.get(parts[k] + parts[k + 1], NO_RANK), k) for k in range(len(parts) - 1))
+        if low == NO_RANK:
+            return None
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
+
+
 def perfect_hash(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots ``key << 16 | value`` and displacements, with slot(key) = (key mod P + shift[key mod Q]) mod P.
 
     P and Q are primes whose product exceeds all keys, so the keys that share a displacement differ mod P.
     """
-    p, q = _prime(int(len(keys) * 1.2) + 11), _prime(int(len(keys) * 0.4) + 70_000)
-    if len(keys) and int(keys.max()) >= p * q:
-        raise ValueError("keys are too large for this hash")
+    p = _prime(int(len(keys) * 1.2) + 11)
+    q = _prime(max(int(len(keys) * 0.4), int(keys.max(initial=0)) // p) + 11)
     slots, shift = np.full(p, -1, np.int64), np.zeros(q, np.int64)
     order = np.argsort(keys % q, kind="stable")
     cuts = np.flatnonzero(np.diff(keys[order] % q, prepend=-1))
@@ -87,8 +101,8 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= MOST_RANKS:
             raise ValueError(f"ranks must be below {MOST_RANKS}")
-        pairs = [((ranks[t[:k]] << 16) | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        keys, values = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        pairs = [((cut[0] << 16) | cut[1], r) for t, r in ranks.items() if (cut := last_merge(t, ranks))]
+        keys, values = np.array(pairs, np.int64).reshape(-1, 2).T
         slots, shift = perfect_hash(keys, values)
         self.p, self.q = len(slots), len(shift)
         literal = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  Spark folds it to one literal
@@ -100,8 +114,9 @@ class RankMap:
         pieces = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             pieces[r] = t
-        self.pieces = literal([t.hex() for t in pieces], "string")
-        self.numbers = literal([r.to_bytes(4, "little").hex() for r in range(len(pieces))], "string")
+        #: As strings of a character for each byte, parted by one that is no byte; and of each id the character of that code.
+        self.pieces = F.split(F.lit("\u0100".join(t.decode("latin-1") for t in pieces)), "\u0100")
+        self.chars = F.split(F.lit("".join(chr(r) for r in range(len(pieces)))), "")
 
     def rank(self, key: Column) -> Column:
         """The rank of the piece that two pieces make, or NO_RANK; the key is the first times NO_RANK plus the second."""
@@ -166,11 +181,13 @@ class RankMap:
 
     def packed(self, ids: Column) -> Column:
         """Ids as little-endian 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.numbers, i)), ""))
+        zero = F.lit("\0")
+        joined = F.array_join(F.transform(ids, lambda i: F.get(self.chars, i)), "\0")
+        return F.encode(F.when(F.size(ids) > 0, F.concat(joined, zero)).otherwise(F.lit("")), "UTF-16LE")
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of the ids' pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
 
 
 def _let(value: Column, body) -> Column:

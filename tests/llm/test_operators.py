@@ -1,5 +1,6 @@
 """The operators against plain versions on small data, and on rows that are odd."""
 
+import random
 import collections
 import hashlib
 import math
@@ -775,3 +776,22 @@ def test_lcs():
             for j, y in enumerate(b):
                 t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
         assert decontaminate.lcs(a, b) == t[-1, -1]
+
+
+def test_last_merges_are_the_only_ones_met():
+    """In any fold, ids that stand side by side and make a piece are the two that the piece's own last merge joins."""
+    rng = random.Random(5)
+    for _ in range(30):
+        ranks = {bytes([b]): b for b in b"abcd"}
+        for r in range(40):
+            ranks.setdefault(rng.choice(list(ranks)) + rng.choice(list(ranks)), 300 + r)
+        for _ in range(20):
+            parts = [bytes([rng.choice(b"abcd")]) for _ in range(30)]
+            while True:
+                made = [(ranks.get(a + b, bpe.NO_RANK), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+                for r, k in made:
+                    assert r == bpe.NO_RANK or bpe.last_merge(parts[k] + parts[k + 1], ranks) == (ranks[parts[k]], ranks[parts[k + 1]])
+                r, k = min(made, default=(bpe.NO_RANK, 0))
+                if r == bpe.NO_RANK:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
