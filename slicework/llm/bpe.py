@@ -326,7 +326,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     """
     rank_map = RankMap(load_ranks(vocabulary))
     counts = materialize(word_counts(docs, pattern, text), "bpe-words")
-    known = materialize(frequent_words(counts, max_words).repartition("word").select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    frequent = materialize(frequent_words(counts, max_words).repartition(tasks, "word"), "bpe-frequent")  # so the plan with the literals has no shuffle, and is described once
+    known = materialize(frequent.select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
     shared = docs.sparkSession.sparkContext.broadcast(Known(known.toArrow()))
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
 
