@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicework.operators.volumes import not_ignored
+from slicework.sources.listing import below, list_files
 
 #: Extensions of images (fixed values); class folders may hold array bundles as well.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
@@ -20,18 +21,6 @@ def extension(path: str) -> Column:
     return F.lower(F.substring_index(path, ".", -1))
 
 
-def below(path: Column, root: str) -> Column:
-    """The part of a file's path below the root."""
-    bare = re.sub("^file:/+", "/", root.rstrip("/"))
-    return F.substring(F.regexp_replace(path, "^file:/+", "/"), len(bare) + 2, 1 << 30)
-
-
-def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path`` below the root and ``size`` of all files, without their contents."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select(below(F.col("path"), root).alias("path"), F.col("length").alias("size"))
-
-
 def scan_volumes(spark: SparkSession, root: str, apply_filters: bool = True) -> DataFrame:
     files = list_files(spark, root, "*.nii.gz")
     return files.where(not_ignored(F.col("path"))) if apply_filters else files

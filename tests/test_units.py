@@ -355,3 +355,21 @@ def test_recent_hours(spark, tmp_path):
     assert run([7, 9]) == ([4.0, 5.0, 6.0, 7.0], 8)
     assert run([]) == ([4.0, 5.0, 6.0, 7.0], 8)
     assert run([14]) == ([6.0, 7.0, 9.0], 6)
+
+
+def test_list_files_by_tasks(spark, tmp_path):
+    """Every depth, empty files, hidden names, odd characters and globs; and no list of files in the plan of the driver."""
+    names = ["a.png", "b/c.png", "b/d e%.txt", "b/c/d/e.png", "b/x=1/y.png", "_x=1/z.png", "b/empty.png"]
+    for f in [*names, "_hidden/a.png", ".b/a.png", "b/_no.png", "b/.no.png"]:
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_bytes(b"" if "empty" in f else b"xy")
+    (tmp_path / "b/folder").mkdir()
+    (tmp_path / "b/nothing").symlink_to("gone")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        listed = tables.list_files(spark, root)
+        assert {(r.path, r.size) for r in listed.collect()} == {(n, 0 if "empty" in n else 2) for n in names} and listed.count() == len(names)
+        assert not listed.inputFiles()
+    assert {r.path for r in tables.list_files(spark, str(tmp_path), "{a,c}.p?g").collect()} == {"a.png", "b/c.png"}
+    assert [r.path for r in tables.list_files(spark, str(tmp_path / "a.png")).collect()] == [""]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.list_files(spark, str(tmp_path / "none"))
