@@ -161,13 +161,13 @@ def ingest(sources: dict[str, DataFrame], done: DataFrame | None = None) -> Data
     return every.join(done.select("dataset").distinct(), "dataset", "left_anti") if done is not None else every
 
 
-def paired_layout(images: DataFrame, masks: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """Images ``<stem>_0000`` with their mask ``<stem>``: ``stem`` and ``missing``; cached stems are left out."""
+def paired_layout(images: DataFrame, masks: DataFrame, cached: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Images ``<stem>_0000`` with their mask ``<stem>`` of the same ``by``: ``stem`` and ``missing``; cached stems are left out."""
     from slicework.functions.names import strip_channel_suffix
 
     a = images.withColumn("stem", strip_channel_suffix(F.col("stem")))
-    b = masks.select(F.col("stem"), F.lit(True).alias("__have")).distinct()
-    out = a.join(b, "stem", "left").withColumn("missing", F.col("__have").isNull()).drop("__have")
+    b = masks.select(*by, F.col("stem"), F.lit(True).alias("__have")).distinct()
+    out = a.join(b, [*by, "stem"], "left").withColumn("missing", F.col("__have").isNull()).drop("__have")
     return out.join(cached.select("stem"), "stem", "left_anti") if cached is not None else out
 
 
@@ -177,9 +177,5 @@ def read_paired_layout(spark: SparkSession, root: str, cached: DataFrame | None
     files = list_files(spark, root, "*.nii.gz")
     parts = F.split("path", "/")
     named = files.select("path", F.element_at(parts, -2).alias("folder"), F.regexp_replace(F.element_at(parts, -1), r"\.nii\.gz$", "").alias("stem"))
-    out = None
-    for part in ("Tr", "Ts"):
-        own = paired_layout(named.where(F.col("folder") == f"images{part}").drop("folder"), named.where(F.col("folder") == f"labels{part}"), cached)
-        own = own.withColumn("part", F.lit(part))
-        out = own if out is None else out.unionByName(own)
-    return out
+    side = lambda kind: named.where(F.col("folder").isin(f"{kind}Tr", f"{kind}Ts")).withColumn("part", F.right("folder", F.lit(2))).drop("folder")
+    return paired_layout(side("images"), side("labels"), cached, ("part",)).select("stem", "path", "missing", "part")
