@@ -109,3 +109,29 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         return files
     pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
     return files.where(F.substring_index("path", "/", -1).rlike(rf"^(?s:{pattern})\z"))
+
+
+def read_contents(files: DataFrame, root: str, held: int = 4 << 20) -> DataFrame:
+    """``path`` and ``content`` of files by their ``path`` below the root; a task holds ``held`` bytes and a file."""
+    spark = files.sparkSession
+    uri = _uri(spark, root)
+    if uri is None:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        return found.select(below(F.col("path"), root).alias("path"), "content").join(files.select("path"), "path", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        paths, contents, size = [], [], 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with fs.open_input_file(f"{base.rstrip('/')}/{path}") as file:
+                    paths.append(path)
+                    contents.append(file.read())
+                size += len(contents[-1])
+                if size >= held or len(paths) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return _dealt(files.select("path")).mapInArrow(run, "path string, content binary")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicework.operators.volumes import not_ignored
-from slicework.sources.listing import below, list_files
+from slicework.sources.listing import below, list_files, read_contents
 
 #: Extensions of images (fixed values); class folders may hold array bundles as well.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
@@ -87,8 +87,8 @@ def read_fold_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of each label below the root, or of the label that a JSON file is for, ``js``, its text, and ``error`` where it has none."""
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_label.json").text(root, wholetext=True)
-    js = texts.select(F.regexp_replace(below(F.col("_metadata.file_path"), root), r"_label\.json$", "_label.nii.gz").alias("path"), F.col("value").alias("js"))
+    texts = read_contents(list_files(spark, root, "*_label.json"), root)
+    js = texts.select(F.regexp_replace("path", r"_label\.json$", "_label.nii.gz").alias("path"), F.nullif(F.col("content").cast("string"), F.lit("")).alias("js"))
     labels = list_files(spark, root, "*_label.nii.gz").select("path")
     return labels.join(js, "path", "full").withColumn("error", F.when(F.col("js").isNull(), "no sidecar"))
 
