@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from slicework.operators import learn
 from slicework.plans.registry import query
@@ -95,9 +96,16 @@ def _(t):
 
 
 def _as_stream(t, schema):
-    """The events table as a stream of files in order of time, so that the watermark moves."""
-    root = sinks.scratch(t.spark, "events")
-    t.events.repartitionByRange(8, "ts").write.parquet(root)
+    """The events table as a stream of files in order of time, so that the watermark moves.
+
+    A stream takes files by the times when they were written, and tasks of one job end in any order: so each range of
+    time is written after the one before it.
+    """
+    ranges, root = sinks.scratch(t.spark, "ranges"), sinks.scratch(t.spark, "events")
+    t.events.repartitionByRange(8, "ts").withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(ranges)
+    dealt = t.spark.read.schema(StructType([*schema, StructField("__range", IntegerType())])).parquet(ranges)
+    for i in range(8):
+        dealt.where(c("__range") == i).drop("__range").coalesce(1).write.mode("append").parquet(root)
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(root)
 
 

@@ -373,3 +373,30 @@ def test_list_files_by_tasks(spark, tmp_path):
     assert [r.path for r in tables.list_files(spark, str(tmp_path / "a.png")).collect()] == [""]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.list_files(spark, str(tmp_path / "none"))
+
+
+def test_stream_files_in_order_of_time(spark, tmp_path):
+    """Files of earlier hours are older, whatever the order in which tasks end; few times and no rows are no error."""
+    import os
+    import time
+
+    from slicework.plans import storage
+
+    class T:
+        pass
+
+    t = T()
+    t.spark = spark
+    slow = F.udf(lambda day: time.sleep(3 if day == 0 else 0) or day, "int")  # the task of the first range ends last
+    times = spark.range(0, 800, 1, 1).select(F.timestamp_seconds(F.col("id") * 900).alias("ts"), F.col("id").cast("int").alias("day"))
+    for rows, n in ((times, 800), (times.where("day < 2"), 2), (times.where("day < 0"), 0)):
+        t.events = rows
+        write = storage._as_stream(t, rows.schema) if n < 800 else None
+        if write is None:
+            ranged = rows.repartitionByRange
+            rows.repartitionByRange = lambda *a: ranged(*a).withColumn("day", slow(F.when(F.col("day") == 0, 0).otherwise(1)))
+            write = storage._as_stream(t, rows.schema)
+        files = spark.read.schema(rows.schema).parquet(write._jdf.queryExecution().analyzed().collectLeaves().head().dataSource().options().apply("path"))
+        assert files.count() == n
+        spans = sorted((os.stat(r.f.removeprefix("file://")).st_mtime_ns, r.a, r.b) for r in files.groupBy(F.input_file_name().alias("f")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect())
+        assert all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
