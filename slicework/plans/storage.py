@@ -178,7 +178,7 @@ def encoded(rows, kind: str):
         import numpy as np
         import pandas as pd
 
-        for f in frames:
+        for f in (frame[i : i + 512] for frame in frames for i in range(0, len(frame), 512)):
             out = []
             for r in f.to_dict("records"):
                 if kind == "volume":
@@ -198,7 +198,7 @@ def encoded(rows, kind: str):
                 out.append(content if r["key"] % 50 else b"broken")
             yield pd.DataFrame({"path": f["key"].astype(str), "content": out})
 
-    return rows.mapInPandas(run, "path string, content binary")
+    return rows.repartition("key").mapInPandas(run, "path string, content binary")  # a table of one file would be encoded by one task
 
 
 @query("s02_decode_volumes", "select volume_id::varchar as path, case when volume_id % 50 <> 0 then nx end as nx, case when volume_id % 50 <> 0 then ny end as ny, case when volume_id % 50 <> 0 then nz end as nz, case when volume_id % 50 <> 0 then round(dx::float::double,6) end as dx, case when volume_id % 50 <> 0 then (nx*ny*nz-1)*(nx*ny*nz)*(2*nx*ny*nz-1)/6.0::double end as s, volume_id % 50 = 0 as bad from fx_volumes")

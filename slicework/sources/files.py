@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,26 +58,53 @@ def decode_volume(content: bytes, header_only: bool = False, label: bool = False
     return {"nx": data.shape[0], "ny": data.shape[1], "nz": data.shape[2], "dx": zooms[0], "dy": zooms[1], "dz": zooms[2], "voxels": data.ravel()}
 
 
-def _arrays(values: list[np.ndarray | None]) -> pa.Array:
-    """A column of float arrays, some of them null, without an object for each number."""
+#: Numbers that a batch of decoded files gathers: a batch for each small file would cost more than its decoding, and one
+#: for many large files might not fit.
+GATHERED = 1 << 18
+
+
+def _arrays(values: list[np.ndarray | None], kind: str = "f4") -> pa.Array:
+    """A column of arrays of numbers, some of them null, without an object for each number."""
     size = np.array([0 if v is None else v.size for v in values], np.int64)
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-    flat = np.concatenate([np.zeros(0, "f4"), *(v.ravel().astype("f4") for v in values if v is not None)])
-    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()), mask=pa.array([v is None for v in values], pa.bool_()))
+    flat = np.concatenate([np.zeros(0, kind), *(v.ravel().astype(kind) for v in values if v is not None)])
+    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+def _gathered(rows: Iterator[dict], weight: Callable[[dict], int]) -> Iterator[list[dict]]:
+    """Rows in lists of some ``GATHERED`` numbers, or of one row if it has more."""
+    own, held = [], 0
+    for row in rows:
+        own.append(row)
+        held += 16 + weight(row)
+        if held >= GATHERED:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
+
+
+def _size(v: np.ndarray | None) -> int:
+    return 0 if v is None else v.size
 
 
 def decode_volumes(files: DataFrame, header_only: bool = False, label: bool = False) -> DataFrame:
     """Of ``path``, ``content``: dimensions, spacing and voxels in x, y, z order; one row a file, with its error if it has one."""
 
+    def decoded(b: pa.RecordBatch) -> Iterator[dict]:
+        for i in range(b.num_rows):
+            try:
+                row = {"error": None} | decode_volume(b.column(1)[i].as_py(), header_only, label)
+            except Exception as e:  # noqa: BLE001  the error is the row's result
+                row = {"error": str(e)[:200] or type(e).__name__}
+            yield row | {"path": b.column(0)[i].as_py()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):  # a volume at a time: some are large
-                try:
-                    row = {"error": None} | decode_volume(b.column(1)[i].as_py(), header_only, label)
-                except Exception as e:  # noqa: BLE001  the error is the row's result
-                    row = {"error": str(e)[:200] or type(e).__name__}
-                numbers = [pa.array([row.get(k)], pa.int32() if k[0] == "n" else pa.float64()) for k in ("nx", "ny", "nz", "dx", "dy", "dz")]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *numbers, _arrays([row.get("voxels")]), pa.array([row["error"]], pa.string())], ["path", "nx", "ny", "nz", "dx", "dy", "dz", "voxels", "error"])
+            for own in _gathered(decoded(b), lambda r: _size(r.get("voxels"))):
+                numbers = [pa.array([r.get(k) for r in own], pa.int32() if k[0] == "n" else pa.float64()) for k in ("nx", "ny", "nz", "dx", "dy", "dz")]
+                text = [pa.array([r[k] for r in own], pa.string()) for k in ("path", "error")]
+                yield pa.RecordBatch.from_arrays([text[0], *numbers, _arrays([r.get("voxels") for r in own]), text[1]], ["path", "nx", "ny", "nz", "dx", "dy", "dz", "voxels", "error"])
 
     return files.select("path", "content").mapInArrow(run, VOLUME)
 

@@ -400,3 +400,27 @@ def test_stream_files_in_order_of_time(spark, tmp_path):
         assert files.count() == n
         spans = sorted((os.stat(r.f.removeprefix("file://")).st_mtime_ns, r.a, r.b) for r in files.groupBy(F.input_file_name().alias("f")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect())
         assert all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
+
+
+def test_small_files_share_batches(spark):
+    """Decoded files come in few batches, in their order, with errors between them; a large one comes alone."""
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<h", head, 70, 16)
+    struct.pack_into("<8f", head, 76, 1, 1, 1, 1, 1, 1, 1, 1)
+    struct.pack_into("<f", head, 108, 352)
+
+    def volume(*shape):
+        own = bytearray(head)
+        struct.pack_into("<8h", own, 40, 3, *shape, 1, 1, 1, 1)
+        return bytes(own) + np.arange(np.prod(shape), dtype="<f4").tobytes()
+
+    made = [(f"v{i:03}", b"broken" if i % 50 == 7 else volume(1 + i % 3, 2, 2)) for i in range(300)] + [("w0", volume(80, 80, 80)), ("w1", volume(1, 1, 2))]
+    src = spark.createDataFrame(made, "path string, content binary").coalesce(1)
+    out = files.decode_volumes(src)
+    count = lambda df: df.mapInArrow(lambda bs: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").count()
+    rows = out.collect()
+    assert [r.path for r in rows] == [p for p, _ in made] and [bool(r.error) for r in rows] == [c == b"broken" for _, c in made]
+    assert all(r.voxels == np.arange(r.nx * r.ny * r.nz).reshape((r.nx, r.ny, r.nz), order="F").ravel().tolist() for r in rows if not r.error) and rows[-2].nx == 80
+    assert len(list(files._gathered(({"n": x} for x in [1] * 300 + [1 << 20, 1]), lambda r: r["n"]))) == 2
+    assert count(out) < 20
