@@ -117,17 +117,22 @@ def read_volumes(spark: SparkSession, root: str, header_only: bool = False) -> D
 def decode_array_bundles(files: DataFrame, keys: list[str]) -> DataFrame:
     """Of ``path``, ``content``: each named array with its shape, null where the bundle lacks it; one row a file, with its error if it has one."""
 
+    def decoded(b: pa.RecordBatch) -> Iterator[dict]:
+        for i in range(b.num_rows):
+            found, error = {}, None
+            try:
+                with np.load(io.BytesIO(b.column(1)[i].as_py()), allow_pickle=False) as z:
+                    found = {k: z[k] for k in keys if k in z.files}
+            except Exception as e:  # noqa: BLE001
+                error = str(e)[:200] or type(e).__name__
+            yield {"path": b.column(0)[i].as_py(), "error": error, "found": found}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                found, error = {}, None
-                try:
-                    with np.load(io.BytesIO(b.column(1)[i].as_py()), allow_pickle=False) as z:
-                        found = {k: z[k] for k in keys if k in z.files}
-                except Exception as e:  # noqa: BLE001
-                    error = str(e)[:200] or type(e).__name__
-                shapes = [pa.array([list(found[k].shape) if k in found else None], pa.list_(pa.int32())) for k in keys]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([error], pa.string()), *(_arrays([found.get(k)]) for k in keys), *shapes], ["path", "error", *keys, *(f"{k}_shape" for k in keys)])
+            for own in _gathered(decoded(b), lambda r: sum(map(_size, r["found"].values()))):
+                text = [pa.array([r[k] for r in own], pa.string()) for k in ("path", "error")]
+                shapes = [pa.array([list(r["found"][k].shape) if k in r["found"] else None for r in own], pa.list_(pa.int32())) for k in keys]
+                yield pa.RecordBatch.from_arrays([*text, *(_arrays([r["found"].get(k) for r in own]) for k in keys), *shapes], ["path", "error", *keys, *(f"{k}_shape" for k in keys)])
 
     schema = ", ".join(["path string", "error string", *(f"`{k}` array<float>" for k in keys), *(f"`{k}_shape` array<int>" for k in keys)])
     return files.select("path", "content").mapInArrow(run, schema)
