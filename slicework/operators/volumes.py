@@ -46,11 +46,14 @@ def with_shape_status(df: DataFrame, a: tuple[str, ...], b: tuple[str, ...]) ->
 
 
 def predict_manifest(headers: DataFrame) -> DataFrame:
-    """All output names of each volume from its header alone (``path, nx, ny, nz, dx, dy, dz, plane``)."""
+    """All output names of each volume from its header alone (``path, nx, ny, nz, dx, dy, dz, plane``).
+
+    Headers are dealt by path before they become many rows: a file of them is small, so one task would have all names.
+    """
     from slicework.functions import names as n
     from slicework.functions.pixels import plane_slice
 
-    s = plane_slice(headers)
+    s = plane_slice(headers.repartition("path"))
     name = n.slice_name(F.col("path"), n.base_name(F.col("path")), F.col("slice_plane"), F.col("slice_idx"), F.lit(0), n.fmt_spacing(F.col("sp_h"), F.col("sp_w")))
     return s.withColumn("name", name)
 

@@ -424,3 +424,12 @@ def test_small_files_share_batches(spark):
     assert all(r.voxels == np.arange(r.nx * r.ny * r.nz).reshape((r.nx, r.ny, r.nz), order="F").ravel().tolist() for r in rows if not r.error) and rows[-2].nx == 80
     assert len(list(files._gathered(({"n": x} for x in [1] * 300 + [1 << 20, 1]), lambda r: r["n"]))) == 2
     assert count(out) < 20
+
+
+def test_names_are_dealt_before_they_are_made(spark):
+    from slicework.operators.volumes import predict_manifest
+
+    v = spark.range(0, 100, 1, 1).selectExpr("concat('d/v', id, '.nii.gz') path", "2 nx", "2 ny", "3 nz", "1D dx", "1D dy", "1D dz", "'axial' plane")
+    plan = predict_manifest(v)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    assert predict_manifest(v).count() == 300
