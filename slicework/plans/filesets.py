@@ -41,7 +41,7 @@ def pictures(t, path: str, broken: str = "false"):
                 out.append(b"broken" if broken else png)
             yield f.assign(content=out)[["path", "content"]]
 
-    return rows.mapInPandas(run, "path string, content binary")
+    return rows.repartition("path").mapInPandas(run, "path string, content binary")  # a table of one file would be drawn by one task
 
 
 def image_id(path: str = "path"):
@@ -49,7 +49,7 @@ def image_id(path: str = "path"):
 
 
 def texts(rows, path: str, content: str = "'x'"):
-    return rows.select(F.expr(path).alias("path"), F.expr(content).cast("binary").alias("content"))
+    return rows.select(F.expr(path).alias("path"), F.expr(content).cast("binary").alias("content")).repartition("path")  # as in pictures
 
 
 @query("s01_scan_volumes", f"select volume_id, path from fx_volumes where path like '%.nii.gz' and not {IGN}")

@@ -146,14 +146,19 @@ def one_channel(images: DataFrame) -> DataFrame:
     """Of Spark's image columns ``origin``, ``height``, ``width``, ``nChannels``, ``data``: ``path``, ``h``, ``w``, ``px``
     (one channel, row-major; colour by its mean) and ``error``; one row an image."""
 
+    def decoded(b: pa.RecordBatch) -> Iterator[dict]:
+        for i in range(b.num_rows):
+            h, w, k = (b.column(c)[i].as_py() for c in (1, 2, 3))
+            data = np.frombuffer(b.column(4)[i].as_py() or b"", np.uint8)
+            ok = bool(h and w and k) and min(h, w, k) > 0 and data.size == h * w * k
+            px = np.rint(data.reshape(-1, k).mean(axis=1)).astype(np.int32) if ok else None
+            yield {"path": b.column(0)[i].as_py(), "h": h if ok else None, "w": w if ok else None, "px": px, "error": None if ok else "not an image"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                h, w, k = (b.column(c)[i].as_py() for c in (1, 2, 3))
-                data = np.frombuffer(b.column(4)[i].as_py() or b"", np.uint8)
-                ok = bool(h and w and k) and min(h, w, k) > 0 and data.size == h * w * k
-                px = np.rint(data.reshape(-1, k).mean(axis=1)).astype(np.int32) if ok else None
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([h if ok else None], pa.int32()), pa.array([w if ok else None], pa.int32()), pa.array([px], pa.list_(pa.int32())), pa.array([None if ok else "not an image"], pa.string())], ["path", "h", "w", "px", "error"])
+            for own in _gathered(decoded(b), lambda r: _size(r["px"])):
+                column = lambda k, kind: pa.array([r[k] for r in own], kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([column("path", pa.string()), column("h", pa.int32()), column("w", pa.int32()), _arrays([r["px"] for r in own], "i4"), column("error", pa.string())], ["path", "h", "w", "px", "error"])
 
     return images.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, h int, w int, px array<int>, error string")
 
