@@ -89,8 +89,8 @@ def _listed(found: list[tuple[str, int | None]]) -> pa.RecordBatch:
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    """A file costs far more than the bytes of its name, so the number of tasks is given."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    """A file costs far more than the bytes of its name, so the number of tasks is given, and follows the cores."""
+    return df.repartition(max(32, 2 * df.sparkSession.sparkContext.defaultParallelism), "path")
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slicework.operators.volumes import not_ignored
 from slicework.sources.listing import below, list_files, read_contents
+from slicework.sources.sinks import scratch
 
 #: Extensions of images (fixed values); class folders may hold array bundles as well.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
@@ -41,8 +42,11 @@ def class_folders(files: DataFrame, path: str = "path", skip_tmp: bool = True) -
 
 
 def read_class_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Files of class folders; it is an error if there is no folder or no file."""
-    files = list_files(spark, root)
+    """Files of class folders; it is an error if there is no folder or no file. The tree is listed once, to a table that
+    the numbers of the folders, the checks and the result are read from."""
+    listed = scratch(spark, "listed")
+    list_files(spark, root).write.parquet(listed)
+    files = spark.read.schema("path string, size long").parquet(listed)
     out = class_folders(files)
     if out.isEmpty():
         raise ValueError(f"no class folders in {root}" if files.where(F.instr("path", "/") > 0).isEmpty() else f"no images or bundles in {root}")

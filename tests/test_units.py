@@ -433,3 +433,14 @@ def test_names_are_dealt_before_they_are_made(spark):
     plan = predict_manifest(v)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("RepartitionByExpression")
     assert predict_manifest(v).count() == 300
+
+
+def test_class_folder_lists_once(spark, tmp_path):
+    for f in ("b/1.png", "a/2.png", "c/3.txt"):
+        (tmp_path / f).parent.mkdir(exist_ok=True)
+        (tmp_path / f).write_bytes(b"x")
+    found = tables.read_class_folder(spark, str(tmp_path))
+    (tmp_path / "a0").mkdir()
+    (tmp_path / "a0/4.png").write_bytes(b"x")  # too late to be seen, in part or whole
+    assert {r.path: r.target for r in found.collect()} == {"a/2.png": 0, "b/1.png": 1}
+    assert not [f for f in found.inputFiles() if str(tmp_path / "a") in f]
