@@ -1,8 +1,8 @@
 """Alignment of two tokenizers: groups of tokens that cover the same bytes, and corpus-wide links between their ids.
 
 Both id lists of a text become dictionaries from cumulative byte ends to indices; the sorted intersection of their keys
-cuts both lists into groups. Links of a group are all pairs of its ids. A link's count is the number of
-documents that hold it, over all documents.
+cuts both lists into groups. The dictionaries of some megabytes of texts are arrays addressed by the byte end. Links of a
+group are all pairs of its ids. A link's count is the number of documents that hold it, over all documents.
 
 Texts never leave their task: a text's distinct links are kept as arrays of codes, counts are aggregated before
 they are shuffled, and come back to the texts as a broadcast table of the ``MOST_SHARED`` most frequent links at most; rarer
@@ -16,8 +16,10 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from slicework.llm.shared import materialize
 
 #: How byte-level vocabularies split texts (fixed value).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLANKS_AND_WORD = re.compile(" +[^ ]*")
 #: Words whose pieces a worker keeps.
 MOST_WORDS = 1 << 18
 #: Bound of the broadcast table, 17 bytes a link; rarer links are joined, with equal results.
@@ -63,6 +64,44 @@ def ranked(path: str):
     return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
+class Aligned(NamedTuple):
+    """Ids of some texts one after the other; of each text the numbers of ids and groups; of each group those of its ids."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    m: np.ndarray
+    n: np.ndarray
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where a run of blanks follows a character that is surely no white space, as a mask over the bytes of UTF-8.
+
+    Neither tokenizer joins anything over such a place. After the lead bytes C2 and E1 to E3, which begin the white space
+    beyond ASCII, no place is marked.
+    """
+    before = (data > 0x20) & (data != 0x7F)
+    for lead, back in ((0xC2, 1), (0xE1, 2), (0xE2, 2), (0xE3, 2)):
+        before[back:] &= (data[:-back] != lead) | (data[back:] < 0x80)
+    starts = data == 0x20
+    starts[1:] &= before[:-1]
+    return starts
+
+
+def binary_parts(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of an array of binaries without nulls, one after the other, and where each begins and the last ends."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(values) else np.zeros(1, np.int64)
+    return memoryview(values.buffers()[2] or b"").cast("B"), offsets
+
+
+def cut_bytes(ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+    """The bytes of 32-bit integers, cut at some places."""
+    joined, cuts = ids.tobytes(), (4 * np.append(0, ends)).astype(np.int64).tolist()
+    return (joined[lo:hi] for lo, hi in zip(cuts, cuts[1:]))
+
+
 class Tokenizers:
     """Both tokenizers, loaded where they are first used, and the bytes of their tokens."""
 
@@ -84,14 +123,14 @@ class Tokenizers:
             of = byte_alphabet()
             pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
             # no piece goes over the start of a run of blanks, so such runs begin words that are encoded apart
-            self.by_words = not any(re.search("[^▁]▁", p) for p in pieces) and self.b.encode("a", out_type=str)[0].startswith("▁")
-            self.blank, self.known_b = (self.b.piece_to_id("▁"),), {}
+            self.by_words = self.ranked is not None and not any(re.search("[^▁]▁", p) for p in pieces) and self.b.encode("a", out_type=str)[0].startswith("▁")
+            self.blank, self.known = [self.b.piece_to_id("▁")], ({}, {})
             size = 1 + max(self.a.get_vocab().values())
             names = [self.a.id_to_token(i) or "" for i in range(size)]
-            self.bytes_a = [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
-            self.bytes_b = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for name in [self.b.id_to_piece(i)]]
-            self.len_a, self.len_b = [list(map(len, x)) for x in (self.bytes_a, self.bytes_b)]
-            self.str_a, self.str_b = [list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b)]
+            self.bytes_a = pa.array([bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names], pa.binary())
+            self.bytes_b = pa.array([bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(pieces)], pa.binary())
+            #: Decimal ids, each with the three signs that can follow it.
+            self.decimal = pa.array([f"{i}{sign}".encode() for i in range(max(size, len(pieces))) for sign in ",|;"], pa.binary())
         return self
 
     def sizes(self) -> tuple[int, int]:
@@ -103,42 +142,107 @@ class Tokenizers:
             return self.a.encode(text, add_special_tokens=False).ids
         return self.ranked.encode_ordinary(text)
 
-    def ids_b(self, text: str) -> list[int]:
-        """Ids of the pieces; word by word where the text is its own normal form, and words that come again once."""
-        if not self.by_words or "▁" in text or self.b.normalize(text) != "▁" + text.replace(" ", "▁"):
-            return self.b.encode(text, num_threads=1)
-        out, known = [], self.known_b
-        for word in BLANKS_AND_WORD.findall(" " + text):
-            if (ids := known.get(word)) is None:
-                ids = tuple(self.b.encode(word[1:])) if len(word) > 1 else self.blank
-                if len(known) == MOST_WORDS:
-                    known.clear()
-                if len(word) <= 48:
-                    known[word] = ids
-            out += ids
-        return out
+    def ids_b(self, spaced: list[str]) -> list[list[int]]:
+        return [ids if len(x) > 1 else self.blank for x, ids in zip(spaced, self.b.encode([x[1:] for x in spaced], num_threads=1))] if spaced else []
+
+    def _all_a(self, words: list[str]) -> list[bytes]:
+        """``ids_a`` of each word as 32-bit integers: of words that end in no white space in one call, cut by their bytes."""
+        apart = {w: array("i", self.ids_a(w)).tobytes() for w in words if self.ranked is None or len(w) > CHARS or w[-1].isspace()}
+        together = [w for w in words if w not in apart] if apart else words
+        ids = np.array(self.ranked.encode_ordinary("".join(together)) if together else [], np.int32)
+        ends = np.searchsorted(np.cumsum(np.diff(binary_parts(self.bytes_a)[1])[ids]), np.cumsum([len(w.encode()) for w in together])) + 1
+        cut = cut_bytes(ids, ends)
+        return [apart[w] if w in apart else next(cut) for w in words] if apart else list(cut)
+
+    def _all_b(self, words: list[str]) -> list[bytes]:
+        ids = self.ids_b(words)
+        return list(cut_bytes(np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum(list(map(len, ids)))))
+
+    def _ids(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of both tokenizers for words, which begin with a blank, as 32-bit integers; words that come again once."""
+        found, new = [list(map(x.get, words)) for x in self.known], []
+        for i, ids in enumerate(found[0]):
+            if ids is None:
+                new.append(i)
+        fresh = [words[i] for i in new]
+        if len(self.known[0]) + len(new) > MOST_WORDS:
+            for known in self.known:
+                known.clear()
+        for known, out, every in zip(self.known, found, (self._all_a, self._all_b)):
+            for i, w, ids in zip(new, fresh, every(fresh)):
+                out[i] = ids
+                if len(w) <= 48 and len(known) < MOST_WORDS:
+                    known[w] = ids
+        return found[0], found[1]
+
+    def encoded(self, texts: list[str]) -> tuple[bytes, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The bytes of texts, a blank before each, one after the other; where each begins and the last ends; and of both
+        tokenizers the ids, and how many each text has. No text is empty.
+
+        A text that is its own normal form is encoded word by word, distinct words once; any other one as a whole.
+        """
+        parts = [b" " + x.encode() for x in texts]
+        data, edge = b"".join(parts), np.cumsum([0, *map(len, parts)])
+        starts = word_starts(np.frombuffer(data, np.uint8))
+        for i, x in enumerate(texts):
+            if not self.by_words or "▁" in x or self.b.normalize(x) != "▁" + x.replace(" ", "▁"):
+                starts[edge[i] : edge[i + 1]] = False
+        starts[edge[:-1]] = True
+        at = np.flatnonzero(starts)
+        offsets = np.append(at, len(data)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        of, first, out = words.indices.to_numpy(), np.searchsorted(at, edge[:-1]), []
+        for ids in self._ids(words.dictionary.to_pylist()):
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            n, flat = size[of], np.frombuffer(b"".join(ids), np.int32)
+            upto = np.cumsum(n)
+            out.append((flat[np.repeat((np.cumsum(size) - size)[of] - upto + n, n) + np.arange(upto[-1])], np.add.reduceat(n, first)))
+        return data, edge, out
+
+    def aligned(self, texts: list[str | None]) -> Aligned:
+        self.load()
+        some = [i for i, t in enumerate(texts) if t]
+        numbers = np.zeros((3, len(texts)), np.int64)
+        none = np.zeros(0, np.int64)
+        if not some:
+            return Aligned(none, none, *numbers, none, none)
+        data, edge, both = self.encoded([texts[i] for i in some])
+        kept = np.ones(len(some), bool)
+        for (ids, n), pieces in zip(both, (self.bytes_a, self.bytes_b)):
+            joined, ends = binary_parts(pieces.take(pa.array(ids)))
+            own = ends[np.cumsum(np.append(0, n))]
+            kept &= [joined[own[i] : own[i + 1]] == data[edge[i] : edge[i + 1]] for i in range(len(some))]
+        (a, n_a), (b, n_b) = ((ids[np.repeat(kept, n)], n * kept) for ids, n in both)
+        size = int((np.diff(edge) * kept).sum())
+        index = []
+        for ids, pieces in ((a, self.bytes_a), (b, self.bytes_b)):
+            ends = np.cumsum(np.diff(binary_parts(pieces)[1])[ids])
+            index.append(np.zeros(size + 1, np.int32))
+            index[-1][ends] = np.arange(1, len(ids) + 1)
+        common = np.flatnonzero((index[0] > 0) & (index[1] > 0))
+        m, n = (np.diff(x[common], prepend=0).astype(np.int64) for x in index)
+        groups = np.diff(np.searchsorted(common, np.cumsum(np.diff(edge) * kept), "right"), prepend=0)
+        numbers[:, some] = n_a, n_b, groups
+        return Aligned(a.astype(np.int64), b.astype(np.int64), *numbers, m, n)
 
     def align(self, texts: list[str | None]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
         """Of each text the ids of both tokenizers and the ends of the groups in either list."""
-        self.load()
-        some = [i for i, t in enumerate(texts) if t]
-        spaced = [" " + texts[i] for i in some]
-        ids_a = [self.ids_a(x) for x in spaced]
-        ids_b = [self.ids_b(texts[i]) for i in some]
-        out: list = [([], [], [], [])] * len(texts)
-        for i, text, a, b in zip(some, spaced, ids_a, ids_b):
-            want = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)):
-                ends_a = dict(zip(accumulate(map(self.len_a.__getitem__, a)), range(1, len(a) + 1)))
-                ends_b = dict(zip(accumulate(map(self.len_b.__getitem__, b)), range(1, len(b) + 1)))
-                common = sorted(filter(ends_b.__contains__, ends_a))
-                out[i] = a, b, list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
-        return out
-
-    def written(self, a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int]) -> str:
-        """Groups as decimal ids: ``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(self.str_a.__getitem__, a)), list(map(self.str_b.__getitem__, b))
-        return ";".join([f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(chain((0,), cuts_a), cuts_a, chain((0,), cuts_b), cuts_b)])
+        x = self.aligned(texts)
+        cut = lambda values, n: np.split(values, np.cumsum(n)[:-1])
+        ids, groups = [cut(x.a, x.n_a), cut(x.b, x.n_b)], [cut(x.m, x.n_groups), cut(x.n, x.n_groups)]
+        return [(a.tolist(), b.tolist(), np.cumsum(m).tolist(), np.cumsum(n).tolist()) for a, b, m, n in zip(*ids, *groups)] if texts else []
+
+    def digests(self, x: Aligned) -> list[str]:
+        """Of each text the SHA-256 of its groups as decimal ids, ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
+        codes = np.empty(len(x.a) + len(x.b), np.int64)
+        last_a, last_b = np.cumsum(x.m), np.cumsum(x.n)
+        for ids, at, last, sign in ((x.a, np.repeat(last_b - x.n, x.m), last_a - 1, 1), (x.b, np.repeat(last_a, x.n), last_b - 1, 2)):
+            own = ids * 3
+            own[last] += sign
+            codes[np.arange(len(ids)) + at] = own
+        written, ends = binary_parts(self.decimal.take(pa.array(codes)))
+        cuts = ends[np.cumsum(np.append(0, x.n_a + x.n_b))].tolist()
+        return [hashlib.sha256(written[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(cuts, cuts[1:])]
 
 
 def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -159,7 +263,11 @@ def links_of(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, doc: np
     ``a``, ``b``: ids of all texts one after the other; ``m``, ``n``: ids of each group; ``doc``: its text.
     """
     at_a, at_b = np.cumsum(m) - m, np.cumsum(n) - n
-    found, lo, upto = [], 0, np.cumsum(m * n)
+    one = (m == 1) & (n == 1)
+    codes = a[at_a[one]] * size_b + b[at_b[one]]
+    found = [(doc[one], codes, np.ones(len(codes), np.int64))] if len(codes) else []
+    at_a, at_b, m, n, doc = (x[~one] for x in (at_a, at_b, m, n, doc))
+    lo, upto = 0, np.cumsum(m * n)
     while lo < len(m):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LINKS, "right")))
         if hi == lo + 1 and m[lo] * n[lo] > LINKS:
@@ -216,14 +324,11 @@ def linked_documents(docs: DataFrame, both: Tokenizers) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in parts(texts):
-                got, k = both.align(texts[lo:hi]), hi - lo
-                digests = [hashlib.sha256(both.written(*x).encode()).hexdigest() if x[0] else "" for x in got]
-                a, b = (np.fromiter(chain.from_iterable(x[i] for x in got), np.int64) for i in (0, 1))
-                m, n = (np.concatenate([np.diff(x[i], prepend=0) for x in got]).astype(np.int64) for i in (2, 3))
-                doc = np.repeat(np.arange(k), [len(x[2]) for x in got])
-                cuts, codes, times = links_of(a, b, m, n, doc, k, size_b)
+                x, k = both.aligned(texts[lo:hi]), hi - lo
+                digests = both.digests(x)
+                cuts, codes, times = links_of(x.a, x.b, x.m, x.n, np.repeat(np.arange(k), x.n_groups), k, size_b)
                 upto = np.concatenate([[0], np.cumsum(times)])
-                numbers = [np.arange(row, row + k), [len(x[0]) for x in got], [len(x[1]) for x in got], [len(x[2]) for x in got], upto[cuts[1:]] - upto[cuts[:-1]]]
+                numbers = [np.arange(row, row + k), x.n_a, x.n_b, x.n_groups, upto[cuts[1:]] - upto[cuts[:-1]]]
                 ints = [pa.array(np.asarray(x, np.int64)) for x in numbers]
                 offsets = pa.array(cuts, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(codes)), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
