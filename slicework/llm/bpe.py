@@ -7,7 +7,7 @@ merges all pairs like the lowest one at once.
 
 Words that occur more than once are folded once and their ids broadcast as Arrow buffers, the most frequent
 MAX_WORDS of them at most; of the other words each text's distinct ones are folded where the text stands, so texts
-never leave their task. Decoding concatenates the pieces of the ids, in Spark as well.
+never leave their task. Runs of known words' ids and folded words are put together, and pieces of ids joined, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ MAX_WORDS = 1 << 20
 NO_RANK = 1 << 16
 #: Stands for two bytes that no piece has side by side.
 NEVER = NO_RANK + 1
-#: Ranks are below this, so that 256 more is a character of one UTF-16 unit.
+#: Ranks are below this, so that 256 more is a character of one UTF-16 unit (merges of like pairs in long words).
 MOST_RANKS = 0xD800 - 256
 #: Words of more bytes than this are folded by merging all like pairs in a step.
 LONG_WORD = 96
-#: More than the bytes of any word.
-PLACES = 1 << 31
 #: Words that are looked up together.
 CHUNK = 250_000
 
@@ -96,7 +94,7 @@ def perfect_hash(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class RankMap:
-    """The literal tables of one vocabulary, the fold over them, and the way back."""
+    """The literal tables of one vocabulary, and the fold over them."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= MOST_RANKS:
@@ -111,12 +109,6 @@ class RankMap:
         self.two = two
         self.one = literal([ranks[bytes([b])] for b in range(256)], "bigint")
         self.slots, self.shift = literal(slots.tolist(), "bigint"), literal(shift.tolist(), "bigint")
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            pieces[r] = t
-        #: As strings of a character for each byte, parted by one that is no byte; and of each id the character of that code.
-        self.pieces = F.split(F.lit("\u0100".join(t.decode("latin-1") for t in pieces)), "\u0100")
-        self.chars = F.split(F.lit("".join(chr(r) for r in range(len(pieces)))), "")
 
     def rank(self, key: Column) -> Column:
         """The rank of the piece that two pieces make, or NO_RANK; the key is the first times NO_RANK plus the second."""
@@ -141,7 +133,7 @@ class RankMap:
         return F.when(F.octet_length(word) > 0, _let(chars, ids).cast("array<int>")).otherwise(F.array().cast("array<int>"))
 
     def _fold(self, part: Column) -> Column:
-        """The state holds the ids ``x``, the ranks ``r`` of the adjacent pairs, and ``m``: the lowest rank and its first place.
+        """The state holds the ids ``x``, the ranks ``r`` of the adjacent pairs, and ``m``, the lowest rank.
 
         A merge looks up only the two pairs that it makes. In a long part all pairs like the one at the first place
         are merged at once, from left to right as single merges would; where unlike pairs have that rank, as two cuts
@@ -149,11 +141,11 @@ class RankMap:
         """
         long = F.size(part["c"]) > LONG_WORD
         gone = F.lit(-1).cast("bigint")
-        state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(F.transform(r, lambda v, i: v * PLACES + i)).alias("m"))
+        state = lambda x, r: F.struct(x.alias("x"), r.alias("r"), F.array_min(r).alias("m"))
         kept = lambda x: F.filter(x, lambda v: v != -1)
 
         def single(x: Column, low: Column, k: Column) -> Column:
-            return kept(F.transform(x, lambda v, i: F.when(i == k, low).when(i == k + 1, gone).otherwise(v)))
+            return F.transform(F.filter(x, lambda v, i: i != k + 1), lambda v, i: F.when(i == k, low).otherwise(v))
 
         def every(x: Column, r: Column, low: Column, k: Column) -> Column:
             sign = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 256), 4, "0")), "UTF-16BE")  # noqa: E731  runs of one id are merged in twos by a replacement in a string
@@ -164,30 +156,34 @@ class RankMap:
             return F.when(F.size(unlike) > 0, single(x, low, k)).when(F.get(x, k) == F.get(x, k + 1), run).otherwise(apart)
 
         def merge(x: Column, r: Column, low: Column, k: Column) -> Column:
-            """Ranks that stay are passed on below -1, so that the look-up, and its literals, stand in one place."""
+            """The look-up, and its literals, stand in one place: for all pairs of a long part, else for the two around the merge."""
             left, right = F.get(x, k - 1) * NO_RANK + low, low * NO_RANK + F.get(x, k + 2)
-            near = F.transform(r, lambda v, i: F.when((i < k - 1) | (i > k + 1), -2 - v).when(i == k - 1, left).when((i == k) & (k < F.size(r) - 1), right).otherwise(gone))
             pairs = lambda y: F.transform(F.slice(y, 1, F.size(y) - 1), lambda a, i: a * NO_RANK + F.get(y, i + 1))
-            looked_up = lambda keys: F.transform(kept(keys), lambda z: F.when(z < -1, -2 - z).otherwise(self.rank(z)))
-            fresh = lambda y: _let(looked_up(F.when(long, pairs(y)).otherwise(near)), lambda new: state(y, new))
+            keys = lambda y: F.when(long, pairs(y)).otherwise(F.filter(r, lambda v, i: i != k))
+            ranks = lambda y: F.transform(keys(y), lambda v, i: F.when(((i < k - 1) | (i > k)) & ~long, v).otherwise(self.rank(F.when(long, v).when(i < k, left).otherwise(right))))
+            fresh = lambda y: _let(ranks(y), lambda new: state(y, new))
             return _let(F.when(long, every(x, r, low, k)).otherwise(single(x, low, k)), fresh)
 
         def step(acc: Column, _: Column) -> Column:
-            first = F.struct(F.shiftright(acc["m"], 31).alias("low"), acc["m"].bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("k"))
-            return F.when(acc["m"] < NO_RANK * PLACES, _let(first, lambda f: merge(acc["x"], acc["r"], f["low"], f["k"]))).otherwise(acc)
+            first = F.struct(acc["m"].alias("low"), (F.array_position(acc["r"], acc["m"]) - 1).cast("int").alias("k"))
+            return F.when(acc["m"] < NO_RANK, _let(first, lambda f: merge(acc["x"], acc["r"], f["low"], f["k"]))).otherwise(acc)
 
         start = state(F.transform(part["c"], lambda b: F.get(self.one, b)), part["r"])
         return F.aggregate(F.sequence(F.lit(1), F.size(part["c"])), start, step, lambda acc: acc["x"])
 
-    def packed(self, ids: Column) -> Column:
-        """Ids as little-endian 32-bit integers."""
-        zero = F.lit("\0")
-        joined = F.array_join(F.transform(ids, lambda i: F.get(self.chars, i)), "\0")
-        return F.encode(F.when(F.size(ids) > 0, F.concat(joined, zero)).otherwise(F.lit("")), "UTF-16LE")
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of the ids' pieces, one after the other."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
+class Pieces:
+    """The bytes of each id's piece, for the way back."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        own = {r: t for t, r in ranks.items()}
+        self.pieces = pa.array([own.get(r, b"") for r in range(max(own, default=-1) + 1)], pa.binary())
+
+    def decoded(self, ids: np.ndarray, edge: np.ndarray) -> pa.Array:
+        """Of each text, whose ids lie between two edges, the bytes of its ids' pieces, one after the other."""
+        found = self.pieces.take(pa.array(ids))
+        ends = np.asarray(pa.Array.from_buffers(pa.int32(), len(ids) + 1, [None, found.buffers()[1]])) if len(ids) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(ends[edge].astype(np.int32)), found.buffers()[2]])
 
 
 def _let(value: Column, body) -> Column:
@@ -287,36 +283,54 @@ class Known:
 
 
 def _looked_up(words: pa.ListArray, known: Known) -> list[pa.Array]:
-    """Of texts as lists of words: the ids of known words, in runs that other words part; the distinct other words of
-    each text; and which of them follows each run but the last."""
-    edge = np.asarray(words.offsets, np.int64)
-    edge, values = edge - edge[0], words.flatten()
+    """Of texts as lists of words: the ids of known words, and how many stand in each of the runs that other words part; the
+    distinct other words of each text; and which of them follows each run but the last."""
+    edge, values = np.asarray(words.offsets, np.int64), words.flatten()
+    edge = edge - edge[0]
     pos = known.places(values)
     flat, cuts = known.flat, known.cuts
     rare = np.flatnonzero(pos < 0)
     n = np.where(pos < 0, 0, np.diff(cuts)[pos] if len(cuts) > 1 else 0)
     upto = np.concatenate([[0], np.cumsum(n)])
-    begin = cuts[pos]
-    ids = flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
+    ids = flat[np.repeat(cuts[pos] - upto[:-1], n) + np.arange(upto[-1])]
     doc = np.searchsorted(edge, rare, "right") - 1
     per_doc = np.bincount(doc, minlength=len(words))
     outer = np.concatenate([[0], np.cumsum(per_doc + 1)])
     starts = np.full(outer[-1], -1, np.int64)
     starts[outer[:-1]] = upto[edge[:-1]]
     starts[starts < 0] = upto[rare]
-    runs = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, upto[-1:]]), pa.int32()), pa.array(ids, pa.int32()))
     coded = values.take(pa.array(rare)).dictionary_encode()
     each, at = np.unique(doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)
     own = np.concatenate([[0], np.cumsum(np.bincount(each // max(1, len(coded.dictionary)), minlength=len(words)))])
     others = coded.dictionary.take(pa.array(each % max(1, len(coded.dictionary))))
-    offsets = lambda x: pa.array(x, pa.int32())
+    of = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x)
     return [
-        pa.ListArray.from_arrays(offsets(outer), runs),
-        pa.ListArray.from_arrays(offsets(own), others),
-        pa.ListArray.from_arrays(offsets(np.concatenate([[0], np.cumsum(per_doc)])), pa.array(at - own[doc], pa.int32())),
+        of(upto[edge], pa.array(ids, pa.int32())),
+        of(outer, pa.array(np.diff(np.append(starts, upto[-1])), pa.int32())),
+        of(own, others),
+        of(np.concatenate([[0], np.cumsum(per_doc)]), pa.array(at - own[doc], pa.int32())),
     ]
 
 
+def _put_together(ids: pa.ListArray, runs: pa.ListArray, folded: pa.ListArray, at: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in their order, and where each text begins and the last one ends; see ``_looked_up``."""
+    flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+    edges = lambda x: np.asarray(x.offsets, np.int64) - x.offsets[0].as_py()
+    words, docs = folded.flatten(), np.arange(len(ids))
+    known, size = flat(ids), flat(runs).astype(np.int64)
+    doc = np.repeat(docs, np.diff(edges(at)))
+    word = edges(folded)[doc] + flat(at)
+    begin, n = np.empty(len(size) + len(word), np.int64), np.empty(len(size) + len(word), np.int64)
+    of_run = 2 * np.arange(len(size)) - np.repeat(docs, np.diff(edges(runs)))
+    of_word = 2 * np.arange(len(word)) + doc + 1
+    cuts = edges(words) if len(words) else np.zeros(1, np.int64)
+    begin[of_run], n[of_run] = np.cumsum(size) - size, size
+    begin[of_word], n[of_word] = len(known) + cuts[word], np.diff(cuts)[word]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    out = np.concatenate([known, flat(words)]).astype(np.int32)[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
+    return out, upto[2 * edges(runs) - np.arange(len(ids) + 1)]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (binary: the token ids as little-endian 32-bit integers) and ``decoded`` (binary).
 
@@ -324,7 +338,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     are shuffled. Columns of the input named ``ids`` or ``decoded`` are replaced. A word of n letters takes some n
     steps at most, and long words fall into parts that no merge joins: a hundred thousand random letters take seconds.
     """
-    rank_map = RankMap(load_ranks(vocabulary))
+    ranks = load_ranks(vocabulary)
+    rank_map, pieces = RankMap(ranks), Pieces(ranks)
     counts = materialize(word_counts(docs, pattern, text), "bpe-words")
     tasks = docs.sparkSession.sparkContext.defaultParallelism
     frequent = materialize(frequent_words(counts, max_words).repartition(tasks, "word"), "bpe-frequent")  # so the plan with the literals has no shuffle, and is described once
@@ -332,23 +347,33 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     shared = docs.sparkSession.sparkContext.broadcast(Known(known.toArrow()))
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
 
+    def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+        """Rows that have some CHUNK values in a column of lists."""
+        edge, lo = np.asarray(batch.column(column).offsets), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            edge, lo = np.asarray(batch.column("__words").offsets), 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(part.column("__words"), known)], [*keep, "__runs", "__rare", "__at"])
-                lo = hi
-
-    kinds = {"__runs": T.ArrayType(T.ArrayType(T.IntegerType())), "__rare": T.ArrayType(T.StringType()), "__at": T.ArrayType(T.IntegerType())}
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(k, v) for k, v in kinds.items())])
-    split = docs.select(*keep, split_words(F.col(text), pattern).alias("__words")).mapInArrow(look_up, schema)
-    joined = lambda more: F.flatten(F.transform("__runs", lambda run, i: F.when(i < F.size("__at"), F.concat(run, F.get(more, F.get("__at", i)))).otherwise(run)))
-    ids = F.when(F.size("__rare") > 0, _let(F.transform("__rare", rank_map.fold), joined)).otherwise(F.flatten("__runs"))
-    out = _let(ids, lambda x: F.struct(rank_map.packed(x).alias("ids"), rank_map.decoded(x).alias("decoded")))
-    return split.select(*keep, out.alias("__out")).select(*keep, "__out.ids", "__out.decoded")
+            for part in parts(batch, "__words"):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(part.column("__words"), known)], [*keep, "__ids", "__runs", "__rare", "__at"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "__ids"):
+                ids, edge = _put_together(*(part.column(c) for c in ("__ids", "__runs", "__rare", "__at")))
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * edge).astype(np.int32)), pa.py_buffer(ids.astype("<i4"))])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), packed, pieces.decoded(ids, edge)], [*keep, "ids", "decoded"])
+
+    own = [docs.schema[c] for c in keep]
+    ints = T.ArrayType(T.IntegerType())
+    looked_up = T.StructType([*own, T.StructField("__ids", ints), T.StructField("__runs", ints), T.StructField("__rare", T.ArrayType(T.StringType())), T.StructField("__at", ints)])
+    split = docs.select(*keep, split_words(F.col(text), pattern).alias("__words")).mapInArrow(look_up, looked_up)
+    folded = split.withColumn("__rare", F.transform("__rare", rank_map.fold))
+    return folded.mapInArrow(put_together, T.StructType([*own, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
 
 
 def op9_byte_bpe(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -700,6 +700,20 @@ def test_bpe(spark, corpus, odd):
     assert bpe.op9_byte_bpe(empty(odd), path, pattern).count() == 0
 
 
+def test_bpe_parts_of_texts_are_put_together():
+    """Known and folded words, slices of batches, texts without words, and pieces of no bytes."""
+    import pyarrow as pa
+
+    folded = [[[9]], [], [[7, 8], [], [5]], [[1], [2]]]
+    lists = [pa.array(x, k) for x, k in (([[0], [1, 2, 3], [4], []], pa.list_(pa.int32())), ([[1, 0], [3], [0, 1, 0, 0, 0], [0, 0, 0]], pa.list_(pa.int32())), (folded, pa.list_(pa.list_(pa.int32()))), ([[0], [], [0, 1, 2, 0], [1, 0]], pa.list_(pa.int32())))]
+    want = [[0, 9], [1, 2, 3], [7, 8, 4, 5, 7, 8], [2, 1]]
+    pieces = bpe.Pieces({b"ab": 0, b"\xff": 1, b"c": 2, b"": 3, b"d": 4, b"e": 5, b"f": 7, b"g": 8, b"h": 9})
+    for lo, n in ((0, 4), (1, 3), (2, 2), (1, 1), (0, 0)):
+        ids, edge = bpe._put_together(*(x.slice(lo, n) for x in lists))
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == want[lo : lo + n]
+        assert pieces.decoded(ids, edge).to_pylist() == [b"abh", b"\xffc", b"fgdefg", b"c\xff"][lo : lo + n]
+
+
 # leaks
 
 def test_leaks(spark, corpus, odd):
