@@ -142,7 +142,11 @@ class Tokenizers:
             return self.a.encode(text, add_special_tokens=False).ids
         return self.ranked.encode_ordinary(text)
 
-    def ids_b(self, spaced: list[str]) -> list[list[int]]:
+    def ids_b(self, text: str) -> list[int]:
+        """Ids of the pieces of one text."""
+        return self.load().encoded([text])[2][1][0].tolist() if text else []
+
+    def _pieces(self, spaced: list[str]) -> list[list[int]]:
         return [ids if len(x) > 1 else self.blank for x, ids in zip(spaced, self.b.encode([x[1:] for x in spaced], num_threads=1))] if spaced else []
 
     def _all_a(self, words: list[str]) -> list[bytes]:
@@ -155,7 +159,7 @@ class Tokenizers:
         return [apart[w] if w in apart else next(cut) for w in words] if apart else list(cut)
 
     def _all_b(self, words: list[str]) -> list[bytes]:
-        ids = self.ids_b(words)
+        ids = self._pieces(words)
         return list(cut_bytes(np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum(list(map(len, ids)))))
 
     def _ids(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
