@@ -7,7 +7,8 @@ merges all pairs like the lowest one at once.
 
 Words that occur more than once are folded once and their ids broadcast as Arrow buffers, the most frequent
 MAX_WORDS of them at most; of the other words each text's distinct ones are folded where the text stands, so texts
-never leave their task. Runs of known words' ids and folded words are put together, and pieces of ids joined, in Arrow batches.
+are never shuffled. Runs of known words' ids and folded words are put together, and pieces of ids joined, in Arrow batches.
+What is looked up is written before that, so that no task has two Python workers at once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from slicework.llm.shared import materialize
+from slicework.llm.shared import materialize, recorded, remove
 
 #: Bound of the table of frequent words, about 25 bytes each; what it doesn't hold is folded in place, with equal results.
 MAX_WORDS = 1 << 20
@@ -282,8 +283,21 @@ class Known:
         return out
 
 
+def _packed(ids: np.ndarray, edge: np.ndarray, kind: str = "<i4") -> pa.Array:
+    """Of each text, whose ids lie between two edges, these as little-endian integers of a kind."""
+    ids = ids.astype(kind)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((ids.itemsize * edge).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def _unpacked(packed: pa.Array) -> pa.ListArray:
+    """Packed ids of two bytes as lists, over the same memory."""
+    edge = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 2
+    values = pa.Array.from_buffers(pa.uint16(), int(edge[-1]), [None, packed.buffers()[2] or pa.py_buffer(b"")])
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), values)
+
+
 def _looked_up(words: pa.ListArray, known: Known) -> list[pa.Array]:
-    """Of texts as lists of words: the ids of known words, and how many stand in each of the runs that other words part; the
+    """Of texts as lists of words: the ids of known words, packed in two bytes each, and how many stand in each of the runs that other words part; the
     distinct other words of each text; and which of them follows each run but the last."""
     edge, values = np.asarray(words.offsets, np.int64), words.flatten()
     edge = edge - edge[0]
@@ -305,7 +319,7 @@ def _looked_up(words: pa.ListArray, known: Known) -> list[pa.Array]:
     others = coded.dictionary.take(pa.array(each % max(1, len(coded.dictionary))))
     of = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x)
     return [
-        of(upto[edge], pa.array(ids, pa.int32())),
+        _packed(ids, upto[edge], "<u2"),
         of(outer, pa.array(np.diff(np.append(starts, upto[-1])), pa.int32())),
         of(own, others),
         of(np.concatenate([[0], np.cumsum(per_doc)]), pa.array(at - own[doc], pa.int32())),
@@ -331,54 +345,57 @@ def _put_together(ids: pa.ListArray, runs: pa.ListArray, folded: pa.ListArray, a
     return out, upto[2 * edges(runs) - np.arange(len(ids) + 1)]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with ``ids`` (binary: the token ids as little-endian 32-bit integers) and ``decoded`` (binary).
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", max_words: int = MAX_WORDS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``ids`` (binary: the token ids as little-endian 32-bit integers) and ``decoded`` (binary).
 
-    Null and empty texts have no ids; there are no special tokens. Rows stay in their tasks: only word counts
-    are shuffled. Columns of the input named ``ids`` or ``decoded`` are replaced. A word of n letters takes some n
+    Null and empty texts have no ids; there are no special tokens. Rows are written once on their way and
+    not shuffled, as word counts are. Columns of the input named ``ids`` or ``decoded`` are replaced. A word of n letters takes some n
     steps at most, and long words fall into parts that no merge joins: a hundred thousand random letters take seconds.
     """
     ranks = load_ranks(vocabulary)
     rank_map, pieces = RankMap(ranks), Pieces(ranks)
-    counts = materialize(word_counts(docs, pattern, text), "bpe-words")
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    frequent = materialize(frequent_words(counts, max_words).repartition(tasks, "word"), "bpe-frequent")  # so the plan with the literals has no shuffle, and is described once
-    known = materialize(frequent.select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
-    shared = docs.sparkSession.sparkContext.broadcast(Known(known.toArrow()))
-    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-
-    def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-        """Rows that have some CHUNK values in a column of lists."""
-        edge, lo = np.asarray(batch.column(column).offsets), 0
+    spark = docs.sparkSession
+    with recorded() as paths:
+        counts = materialize(word_counts(docs, pattern, text), "bpe-words")
+        frequent = materialize(frequent_words(counts, max_words).repartition(spark.sparkContext.defaultParallelism, "word"), "bpe-frequent")  # so the plan with the literals has no shuffle, and is described once
+        known = materialize(frequent.select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
+        shared = spark.sparkContext.broadcast(Known(known.toArrow()))
+    remove(spark, paths)
+    keep = [c for c in keep or docs.columns if c not in ("ids", "decoded")]
+
+    def parts(batch: pa.RecordBatch, lists: pa.ListArray) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+        """Rows that have some CHUNK values in their lists, and these."""
+        edge, lo = np.asarray(lists.offsets), 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
-            yield batch.slice(lo, hi - lo)
+            yield batch.slice(lo, hi - lo), lists.slice(lo, hi - lo)
             lo = hi
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in parts(batch, "__words"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(part.column("__words"), known)], [*keep, "__ids", "__runs", "__rare", "__at"])
+            for part, words in parts(batch, batch.column("__words")):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_looked_up(words, known)], [*keep, "__ids", "__runs", "__rare", "__at"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "__ids"):
-                ids, edge = _put_together(*(part.column(c) for c in ("__ids", "__runs", "__rare", "__at")))
-                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * edge).astype(np.int32)), pa.py_buffer(ids.astype("<i4"))])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), packed, pieces.decoded(ids, edge)], [*keep, "ids", "decoded"])
+            for part, known_ids in parts(batch, _unpacked(batch.column("__ids"))) if batch.num_rows else ():
+                ids, edge = _put_together(known_ids, *(part.column(c) for c in ("__runs", "__rare", "__at")))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _packed(ids, edge), pieces.decoded(ids, edge)], [*keep, "ids", "decoded"])
 
     own = [docs.schema[c] for c in keep]
     ints = T.ArrayType(T.IntegerType())
-    looked_up = T.StructType([*own, T.StructField("__ids", ints), T.StructField("__runs", ints), T.StructField("__rare", T.ArrayType(T.StringType())), T.StructField("__at", ints)])
+    looked_up = T.StructType([*own, T.StructField("__ids", T.BinaryType()), T.StructField("__runs", ints), T.StructField("__rare", T.ArrayType(T.StringType())), T.StructField("__at", ints)])
     split = docs.select(*keep, split_words(F.col(text), pattern).alias("__words")).mapInArrow(look_up, looked_up)
+    split = materialize(split, "bpe-known", compression="zstd")
+    shared.destroy()  # nothing looks up any more
     folded = split.withColumn("__rare", F.transform("__rare", rank_map.fold))
     return folded.mapInArrow(put_together, T.StructType([*own, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
 
 
 def op9_byte_bpe(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Per document the number of ids and the digests of its ids and of the bytes that they decode to."""
-    out = encode_documents(docs.select("doc_id", "text"), vocabulary, pattern)
+    out = encode_documents(docs.select("doc_id", "text"), vocabulary, pattern, keep=("doc_id",))
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -47,14 +47,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    This cuts the lineage, and a lost executor costs no recomputation of what came before.
+    This cuts the lineage, and a lost executor costs no recomputation of what came before. The options are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if (paths := _written.get()) is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -700,6 +700,18 @@ def test_bpe(spark, corpus, odd):
     assert bpe.op9_byte_bpe(empty(odd), path, pattern).count() == 0
 
 
+def test_bpe_has_one_worker_a_task(spark, odd):
+    """What is looked up is written, without the text, before a second pass in Python; packed ids are lists over the same memory."""
+    plan = bpe.op9_byte_bpe(odd, *vocabulary())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "text#" not in plan
+    ids, edge = np.arange(6, dtype=np.int32), np.array([0, 2, 2, 5, 6])
+    packed = bpe._packed(ids, edge, "<u2")
+    assert packed.to_pylist()[0] == struct.pack("<2H", 0, 1) and bpe._packed(ids, edge).to_pylist()[0] == struct.pack("<2I", 0, 1)
+    for lo, n in ((0, 4), (1, 3), (1, 1), (2, 0)):
+        assert bpe._unpacked(packed.slice(lo, n)).to_pylist() == [[0, 1], [], [2, 3, 4], [5]][lo : lo + n]
+    assert bpe._unpacked(bpe._packed(ids[:0], np.zeros(3, np.int64), "<u2")).to_pylist() == [[], []]
+
+
 def test_bpe_parts_of_texts_are_put_together():
     """Known and folded words, slices of batches, texts without words, and pieces of no bytes."""
     import pyarrow as pa
