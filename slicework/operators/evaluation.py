@@ -149,9 +149,14 @@ def _auc_of_weighted(tied: DataFrame, by: list[str], ranges: int = 1) -> DataFra
     tied = tied.withColumn("below", F.col("before") + F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
     neg = F.col("n") - F.col("pos")
     auc = tied.groupBy(*by, "class").agg(F.sum("pos").alias("np"), F.sum(neg).alias("nn"), F.sum(F.col("pos") * (F.col("below") + neg / 2.0)).alias("u"))
-    auc = auc.withColumn("auc", F.col("u") / F.nullif(F.col("np").cast("double") * F.col("nn"), F.lit(0.0)))
-    complete = F.count("auc") == F.count(F.lit(1))
-    return auc.groupBy(*by).agg(F.when(complete, F.avg("auc")).alias("auc_macro"), F.when(complete, F.sum(F.col("auc") * F.col("np")) / F.sum("np")).alias("auc_weighted"))
+    return auc.groupBy(*by).agg(*_means_of_aucs())
+
+
+def _means_of_aucs() -> tuple[Column, Column]:
+    """Macro and weighted AUC from the rank sums ``u`` of classes of ``np`` samples against ``nn`` others."""
+    auc = F.col("u") / F.nullif(F.col("np").cast("double") * F.col("nn"), F.lit(0.0))
+    complete = F.count(auc) == F.count(F.lit(1))
+    return F.when(complete, F.avg(auc)).alias("auc_macro"), F.when(complete, F.sum(auc * F.col("np")) / F.sum("np")).alias("auc_weighted")
 
 
 def _losses() -> tuple[Column, Column]:
@@ -204,7 +209,8 @@ def bootstrap_ci(df: DataFrame, key: str = "sample_id", draws: int = 1000, seed:
     over resamples with replacement. Resamples that lack a class have no AUC and don't count for it.
 
     Samples are numbered in the order of a digest of their key, by buckets; draw k of resample b is the sample whose
-    number the MD5 of seed, b and k gives. Draws are counted by resample and number before they meet the samples.
+    number the MD5 of seed, b and k gives. Draws are dealt by number once, where they are counted and meet the samples, and
+    by resample once, where hits and ranks are summed in one pass.
     """
     spark = df.sparkSession
     own = with_prediction(df).select(key, "y", softmax(F.col("logits")).alias("s"), (F.col("y") == F.col("p")).cast("double").alias("hit"))
@@ -212,11 +218,22 @@ def bootstrap_ci(df: DataFrame, key: str = "sample_id", draws: int = 1000, seed:
     n = df.count()
     pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "b", "k")), 1, 13), 16, 10).cast("bigint")
     grid = spark.range(draws * n).select(F.expr(f"id div {n}").alias("b"), F.expr(f"id % {n}").alias("k")).select("b", (pick % n).alias("i"))
-    drawn = grid.groupBy("b", "i").agg(F.count(F.lit(1)).alias("m")).join(samples, "i")
-    hits = drawn.groupBy("b").agg((F.sum(F.col("m") * F.col("hit")) / F.sum("m")).alias("accuracy"))
-    long = drawn.select("b", "y", "m", F.size("s").alias("k"), F.posexplode("s").alias("class", "v")).where("k <> 2 or class = 1")
-    aucs = _auc_of_weighted(long.groupBy("b", "class", "v").agg(F.sum(F.when(F.col("y") == F.col("class"), F.col("m")).otherwise(0)).alias("pos"), F.sum("m").alias("n")).withColumnRenamed("v", "s"), ["b"])
-    each = hits.join(aucs, "b").select("b", F.expr("stack(3, 'accuracy', accuracy, 'auc_macro', auc_macro, 'auc_weighted', auc_weighted) as (metric, v)"))
+    drawn = grid.repartition("i").groupBy("b", "i").agg(F.count(F.lit(1)).alias("m")).join(samples, "i").select("b", "y", "m", "hit", "s")
+    long = drawn.repartition("b").select("b", "y", "m", "hit", F.size("s").alias("k"), F.posexplode("s").alias("class", "v")).where("k <> 2 or class = 1")
+    once = F.col("class") == F.when(F.col("k") == 2, 1).otherwise(0)
+    pos = F.when(F.col("y") == F.col("class"), F.col("m")).otherwise(0)
+    upto = W.partitionBy("b", "class").orderBy("v")  # ties included
+    ranked = long.withColumn("pos", pos).withColumn("neg", F.col("m") - F.col("pos")).withColumns({"poss": F.sum("pos").over(upto), "negs": F.sum("neg").over(upto)})
+    pairs = F.sum("pos") * F.sum("neg") + F.sum(F.col("pos") * F.col("negs") - F.col("neg") * F.col("poss"))  # twice those won, where a tie is half won
+    classes = ranked.groupBy("b", "class").agg(
+        F.sum("pos").alias("np"),
+        F.sum("neg").alias("nn"),
+        (pairs / 2.0).alias("u"),
+        F.sum(F.when(once, F.col("m") * F.col("hit"))).alias("hits"),
+        F.sum(F.when(once, F.col("m"))).alias("n"),
+    )
+    both = classes.groupBy("b").agg((F.sum("hits") / F.sum("n")).alias("accuracy"), *_means_of_aucs())
+    each = both.select("b", F.expr("stack(3, 'accuracy', accuracy, 'auc_macro', auc_macro, 'auc_weighted', auc_weighted) as (metric, v)"))
     return each.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"), F.count("v").alias("n_draws"))
 
 
