@@ -14,7 +14,8 @@ What is looked up is written before that, so that no task has two Python workers
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,24 @@ class RankMap:
         self.one = literal([ranks[bytes([b])] for b in range(256)], "bigint")
         self.slots, self.shift = literal(slots.tolist(), "bigint"), literal(shift.tolist(), "bigint")
 
+    def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body(fold)``, with the literals bound once outside of it.
+
+        Spark describes a plan by strings, each expression's holding those of all below it. So literals of a megabyte
+        deep in the fold would be copied at each level, some hundred megabytes of garbage in the driver a description.
+        """
+        names = ("two", "one", "slots", "shift")
+
+        def bind(tables: Column, own: RankMap, left: tuple[str, ...]) -> Column:
+            def inside(x: Column) -> Column:
+                more = copy(own)
+                setattr(more, left[0], x)
+                return bind(tables, more, left[1:])
+
+            return _let(tables[left[0]], inside) if left else body(own.fold)
+
+        return _let(F.struct(*[getattr(self, x).alias(x) for x in names]), lambda tables: bind(tables, self, names))
+
     def rank(self, key: Column) -> Column:
         """The rank of the piece that two pieces make, or NO_RANK; the key is the first times NO_RANK plus the second."""
         slot = F.get(self.slots, (key % self.p + F.get(self.shift, key % self.q)) % self.p)
@@ -358,7 +377,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     with recorded() as paths:
         counts = materialize(word_counts(docs, pattern, text), "bpe-words")
         frequent = materialize(frequent_words(counts, max_words).repartition(spark.sparkContext.defaultParallelism, "word"), "bpe-frequent")  # so the plan with the literals has no shuffle, and is described once
-        known = materialize(frequent.select("word", rank_map.fold(F.col("word")).alias("ids")), "bpe-ids")
+        known = materialize(frequent.select("word", rank_map.bound(lambda fold: fold(F.col("word"))).alias("ids")), "bpe-ids")
         shared = spark.sparkContext.broadcast(Known(known.toArrow()))
     remove(spark, paths)
     keep = [c for c in keep or docs.columns if c not in ("ids", "decoded")]
@@ -389,7 +408,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     split = docs.select(*keep, split_words(F.col(text), pattern).alias("__words")).mapInArrow(look_up, looked_up)
     split = materialize(split, "bpe-known", compression="zstd")
     shared.destroy()  # nothing looks up any more
-    folded = split.withColumn("__rare", F.transform("__rare", rank_map.fold))
+    folded = split.withColumn("__rare", rank_map.bound(lambda fold: F.transform("__rare", fold)))
     return folded.mapInArrow(put_together, T.StructType([*own, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
 
 

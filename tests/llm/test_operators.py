@@ -712,6 +712,16 @@ def test_bpe_has_one_worker_a_task(spark, odd):
     assert bpe._unpacked(bpe._packed(ids[:0], np.zeros(3, np.int64), "<u2")).to_pylist() == [[], []]
 
 
+def test_bpe_literals_stand_outside_the_fold(spark, odd):
+    """Each level above a literal copies its string when Spark describes the plan, which fills the driver's memory."""
+    plan, levels = bpe.op9_byte_bpe(odd, *vocabulary())._jdf.queryExecution().optimizedPlan(), 0
+    while plan.children().size():
+        for k in range(plan.expressions().size()):
+            levels += sum(len(line) > 100_000 for line in plan.expressions().apply(k).treeString().split("\n"))
+        plan = plan.children().apply(0)
+    assert 1 <= levels <= 6
+
+
 def test_bpe_parts_of_texts_are_put_together():
     """Known and folded words, slices of batches, texts without words, and pieces of no bytes."""
     import pyarrow as pa
