@@ -1,16 +1,19 @@
 """Removal of byte strings that repeat across documents, by suffix arrays.
 
-Each string of ``length`` bytes has a key that only its bytes decide: the least hash of the 16-byte grams in it. So equal
-strings meet under one key, and a document is a row of segments: runs of strings of one key. Keys that one document
-alone holds go first. Segments of the others are brought together by key; equal segments are one, with the smallest
-document that holds it. Of different segments under one key, those that share 17 bytes more beside the gram, as any two with
-a common string do, are put in one suffix array, where equal strings are neighbours. Each string's
+Each string of ``length`` bytes has a key that only its bytes decide: the least hash of the 16-byte grams in it (of equal
+grams the first counts). It also has an anchor, that gram and the 16 bytes beside it, on the side where the string has more. So equal
+strings meet under one key, and a document is a row of segments: runs of strings of one key. Strings whose anchor one document
+alone holds go first: in a large corpus most grams are in several documents by chance, 32 bytes hardly are. Segments
+of the others are brought together by key; equal segments are one, with the smallest
+document that holds it. Of different segments under one key, what lies between the first and the last string that another
+has too, by hashes of the strings, is put in one suffix array, where equal strings are neighbours. Each string's
 smallest document then goes back to all documents that hold it.
 
 Distinct texts are kept in a bucketed table of blocks of some megabytes, so texts are shuffled once, and only what a block
-holds once, whatever its number of copies, is sent out. Keys that many blocks hold (``HOT_BLOCKS``) are replaced by
-keys of the single strings, so no key gathers more than a string a block. Segments are equal when their key and a second
-64-bit hash are.
+holds once, whatever its number of copies, is sent out. Anchors go out as 32 bits within their part, and a bit for each
+comes back, as a block's order of anchors is its own: a chance hit only sends more. Strings whose anchor many blocks hold (``HOT_BLOCKS``)
+have keys of their own, so no anchor gathers more than a string a block under one key. Segments are equal when their key and a second
+64-bit hash are. The shuffles behind a written table are removed with its writing, not when the driver happens to collect its garbage.
 
 Texts are UTF-8; null is empty. A null doc_id counts as larger than all others. Rows of one doc_id are never repeats of each other.
 """
@@ -18,7 +21,6 @@ Texts are UTF-8; null is empty. A null doc_id counts as larger than all others.
 from __future__ import annotations
 
 import hashlib
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -27,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicework.llm.shared import materialize, shared_root
+from slicework.llm.shared import materialize, shared_root, shuffles_removed
 from slicework.llm.suffixes import suffix_array
 
 #: Bytes of a repeat, and of the gram whose hash is the key.
 LENGTH, GRAM = 50, 16
-#: Bytes of a block of texts, keys of a part, blocks that a key may be sent from as a whole.
+#: Bytes of a block of texts, keys of a part, blocks that an anchor's strings may be sent from as a whole.
 BLOCK, PART, HOT_BLOCKS = 4 << 20, 2_000_000, 4096
-#: Bytes that one suffix array takes; positions that are hashed at once.
-TOGETHER, CHUNK = 1 << 14, 1 << 16
+#: Bytes that one suffix array takes, bytes of contents that are compared at once; strings that are hashed at once, so that
+#: a place among their grams has 16 bits.
+TOGETHER, SEARCHED, CHUNK = 1 << 14, 1 << 22, (1 << 16) - LENGTH
 U, MIX = np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 NO_ID = (1 << 63) - 1
 
@@ -65,44 +68,46 @@ def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[offsets[0] : offsets[-1]]), offsets - offsets[0]
 
 
-def segments(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings of one key: key, first position, number of strings, text."""
-    keys, starts, last = [], [], None
+def runs(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of one key and anchor: key, hash of the anchor, first position, number of strings, text."""
+    found, places = [], np.arange(CHUNK + LENGTH - GRAM, dtype=U)
     for lo in range(0, len(buf) - LENGTH + 1, CHUNK):
-        h = gram_hashes(buf[lo : lo + CHUNK + LENGTH - 1])
+        grams = gram_hashes(buf[lo : lo + CHUNK + LENGTH - 1])
+        # the place decides between equal grams, and tells where the least one is
+        h = grams & ~U(0xFFFF)
+        h |= places[: len(h)]
         width, span = LENGTH - GRAM + 1, 1
         while 2 * span <= width:
             h, span = np.minimum(h[:-span], h[span:]), 2 * span
         if width > span:
             h = np.minimum(h[: len(h) - (width - span)], h[width - span :])
-        new = np.empty(len(h), bool)
-        new[0] = h[0] != last if last is not None else True
+        new = np.ones(len(h), bool)
         np.not_equal(h[1:], h[:-1], out=new[1:])
         # a text begins a run of its own
-        edges = cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, lo + len(h))] - lo
-        new[edges] = True
+        new[cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, lo + len(h))] - lo] = True
         at = np.flatnonzero(new)
-        keys.append(h[at])
-        starts.append(at + lo)
-        last = h[-1]
-    if not keys:
-        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
-    key, start = np.concatenate(keys), np.concatenate(starts)
-    text = np.searchsorted(cuts, start, "right") - 1
-    n = np.minimum(np.append(start[1:], len(buf)), cuts[text + 1] - LENGTH + 1) - start
-    some = n > 0
-    return key[some], start[some], n[some], text[some]
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """The upper 48 bits of keys, six bytes each."""
-    return np.ascontiguousarray((keys >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(U)[:, 0]
+        end, gram = np.append(at[1:], len(h)), (h[at] & U(0xFFFF)).astype(np.int64)
+        # first the strings with half or more of the other bytes before the gram, then the rest
+        turn = np.clip(gram - (LENGTH - GRAM) // 2, at, end)
+        start, stop = np.stack([at, turn], 1).ravel(), np.stack([turn, end], 1).ravel()
+        anchor, gram = np.stack([gram - GRAM, gram], 1).ravel(), np.repeat(gram, 2)
+        text = np.searchsorted(cuts, start + lo, "right") - 1
+        n = np.minimum(stop, cuts[text + 1] - LENGTH + 1 - lo) - start
+        some = n > 0
+        anchor, gram, start, n, text = anchor[some], gram[some], start[some], n[some], text[some]
+        if not len(n):
+            continue
+        key, anchor = grams[gram], mixed(grams[anchor] * U(MIX[0]) + grams[anchor + GRAM])
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+        found.append((key[first], anchor[first], start[first] + lo, np.add.reduceat(n, first), text[first]))
+    if not found:
+        return np.zeros(0, U), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def codes(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each anchor, and 32 other bits of it."""
+    return ((anchor & U(0xFFFFFFFF)) % U(parts)) << U(32) | anchor >> U(32)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -121,20 +126,28 @@ def content_hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
 
 class Entries:
-    """The distinct segments of a block under keys that other documents hold too, in an order that only the block decides."""
-
-    def __init__(self, buf: np.ndarray, cuts: np.ndarray, ids: np.ndarray, repeated: np.ndarray, hot: np.ndarray):
-        key, start, n, text = segments(buf, cuts)
-        order = np.argsort(repeated)
-        repeated, hot = repeated[order], hot[order]
-        at = np.minimum(np.searchsorted(repeated, key >> U(16)), max(0, len(repeated) - 1))
-        known = repeated[at] == key >> U(16) if len(repeated) else np.zeros(len(key), bool)
-        key, start, n, text, burst = key[known], start[known], n[known], text[known], hot[at[known]] if len(repeated) else np.zeros(0, bool)
-        # strings of hot keys stand alone
+    """The distinct segments of a block under anchors that other documents hold too, in an order that only the block decides."""
+
+    def __init__(self, buf: np.ndarray, cuts: np.ndarray, ids: np.ndarray, parts: int, masks: list[tuple[int, bytes, bytes]]):
+        key, anchor, start, n, text = runs(buf, cuts)
+        code, of = np.unique(codes(anchor, parts), return_inverse=True)
+        edges = np.searchsorted(code >> U(32), np.array([p for p, _, _ in masks], U)[:, None] + np.array([0, 1], U))
+        keep, hot = np.zeros(len(code), bool), np.zeros(len(code), bool)
+        for (a, b), (_, k, h) in zip(edges.tolist(), masks):
+            keep[a:b] = np.unpackbits(np.frombuffer(k, np.uint8), count=b - a)
+            if h:
+                hot[a:b] = np.unpackbits(np.frombuffer(h, np.uint8), count=b - a)
+        known = keep[of]
+        key, start, n, text, burst = key[known], start[known], n[known], text[known], hot[of[known]]
+        # strings of hot anchors stand alone
         single = ranges(start[burst], n[burst])
         of = np.repeat(text[burst], n[burst])
-        key = np.concatenate([key[~burst], content_hashes(buf, single, np.full(len(single), LENGTH))])
-        start, n, text = (np.concatenate(x) for x in ((start[~burst], single), (n[~burst], np.ones(len(single), np.int64)), (text[~burst], of)))
+        key, start, n, text, burst = key[~burst], start[~burst], n[~burst], text[~burst], content_hashes(buf, single, np.full(len(single), LENGTH))
+        # runs of one key that follow each other are one segment
+        if len(n):
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + n[:-1])]))
+            key, start, n, text = key[first], start[first], np.add.reduceat(n, first), text[first]
+        key, start, n, text = (np.concatenate(x) for x in ((key, burst), (start, single), (n, np.ones(len(single), np.int64)), (text, of)))
         size = n + LENGTH - 1
         content = content_hashes(buf, start, size)
         order = np.lexsort((ids[text], content, key))
@@ -167,45 +180,53 @@ def smallest_of_strings(contents: list[bytes], docs: np.ndarray) -> list[np.ndar
     return [out[b : b + len(c) - LENGTH + 1] for b, c in zip(begin.tolist(), contents)]
 
 
-def may_share(contents: list[bytes], keys: np.ndarray) -> np.ndarray:
-    """Which contents hold, beside a gram with their key's hash, the same 17 bytes as another content of the key."""
-    side = math.ceil((LENGTH - GRAM) / 2)
+def whole_keys(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole keys, as many as have ``most`` bytes together, one at least."""
+    edges = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1 if len(keys) else np.zeros(0, np.int64)
+    upto, lo = np.concatenate([[0], np.cumsum(sizes)[edges - 1]]) if len(keys) else None, 0
+    while lo < len(edges):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+        yield (int(edges[lo - 1]) if lo else 0), int(edges[hi - 1])
+        lo = hi
+
+
+def shared_range(contents: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each content the first string that another content of its key may have too, by a hash, and the last; none: -1."""
     size = np.array([len(c) for c in contents], np.int64)
-    buf, end = np.frombuffer(b"".join(contents), np.uint8), np.cumsum(size)
-    h = gram_hashes(buf)
-    at = np.flatnonzero(h == np.repeat(keys, size)[: len(h)])
-    of = np.searchsorted(end, at, "right")
-    inner = at + GRAM <= end[of]
-    at, of = at[inner], of[inner]
-    left, right = at - side >= end[of] - size[of], at + GRAM + side <= end[of]
-    start, of = np.concatenate([at[left] - side, at[right]]), np.concatenate([of[left], of[right]])
-    place = content_hashes(buf, start, np.full(len(start), GRAM + side)) ^ np.repeat(np.array([0, MIX[0]], U), [left.sum(), right.sum()])
-    order = np.lexsort((of, place, keys[of]))
-    of, place = of[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (keys[of[1:]] != keys[of[:-1]])])) if len(of) else np.zeros(0, np.int64)
-    out = np.zeros(len(contents), bool)
-    if len(of):
-        met = np.maximum.reduceat(of, first) > np.minimum.reduceat(of, first)
-        out[of[np.repeat(met, np.diff(np.append(first, len(of))))]] = True
-    return out
+    h, begin, n = gram_hashes(np.frombuffer(b"".join(contents), np.uint8)), np.cumsum(size) - size, size - LENGTH + 1
+    at, of = ranges(begin, n), np.repeat(np.arange(len(contents)), n)
+    string = keys[of]
+    for step in (0, GRAM, 2 * GRAM, LENGTH - GRAM):
+        string = mixed(string * U(MIX[0]) + h[at + step])
+    order = np.argsort(string, kind="stable")
+    string, by = string[order], of[order]
+    new = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
+    met = np.maximum.reduceat(by, new) > np.minimum.reduceat(by, new)
+    both = np.zeros(len(at), bool)
+    both[order] = np.repeat(met, np.diff(np.append(new, len(at))))
+    place = at - begin[of]
+    first = np.minimum.reduceat(np.where(both, place, len(h)), np.cumsum(n) - n)
+    last = np.maximum.reduceat(np.where(both, place, -1), np.cumsum(n) - n)
+    return np.where(last < 0, -1, first), last
 
 
 def shared_strings(contents: list[bytes], keys: np.ndarray, docs: np.ndarray) -> dict[int, np.ndarray]:
-    """Of distinct contents in order of their keys: for those that may share strings with others, each string's smallest document."""
+    """Of distinct contents in order of their keys: for those that share strings with others, each string's smallest document."""
     out: dict[int, np.ndarray] = {}
     like = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
     several = np.flatnonzero(like[1:] | like[:-1])
-    if not len(several):
-        return out
-    some = several[may_share([contents[i] for i in several.tolist()], keys[several])]
-    upto = np.cumsum([0, *(len(contents[i]) for i in some.tolist())])
-    edges, lo = np.flatnonzero(np.concatenate([keys[some][1:] != keys[some][:-1], [True]])) + 1 if len(some) else [], 0
-    while lo < len(some):
-        # whole keys, as many as fit
-        k = max(np.searchsorted(edges, lo, "right"), np.searchsorted(upto[edges], upto[lo] + TOGETHER, "right") - 1)
-        own = some[lo : edges[k]]
-        out.update(zip(own.tolist(), smallest_of_strings([contents[i] for i in own.tolist()], docs[own])))
-        lo = edges[k]
+    size = np.array([len(contents[i]) for i in several.tolist()], np.int64)
+    first, last = np.full(len(several), -1), np.full(len(several), -1)
+    for a, b in whole_keys(keys[several], size, SEARCHED):
+        first[a:b], last[a:b] = shared_range([contents[i] for i in several[a:b].tolist()], keys[several[a:b]])
+    some = last >= 0
+    several, first, last = several[some], first[some], last[some]
+    for a, b in whole_keys(keys[several], last - first + LENGTH, TOGETHER):
+        own = list(zip(several[a:b].tolist(), first[a:b].tolist(), last[a:b].tolist()))
+        least = smallest_of_strings([contents[i][x : y + LENGTH] for i, x, y in own], docs[several[a:b]])
+        for (i, x, y), found in zip(own, least):
+            out[i] = np.full(len(contents[i]) - LENGTH + 1, docs[i])
+            out[i][x : y + 1] = found
     return out
 
 
@@ -216,52 +237,45 @@ def _bytes(table: pa.Table, column: str) -> list[bytes]:
 def _keys_of_block(parts: int):
     def run(table: pa.Table) -> pa.Table:
         buf, cuts = joined(table)
-        key, _, _, text = segments(buf, cuts)
-        key = (key >> U(16)) << U(16)
-        order = np.lexsort((text, key))
-        key, text = key[order], text[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        _, anchor, _, _, text = runs(buf, cuts)
+        code = codes(anchor, parts)
+        order = np.lexsort((text, code))
+        code, text = code[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
         many = np.maximum.reduceat(text, first) > text[first] if len(first) else np.zeros(0, bool)
-        key = key[first]
-        part = ((key >> U(16)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        key, many, part = key[order], many[order], part[order]
+        code = code[first]
+        part, key = (code >> U(32)).astype(np.int64), (code & U(0xFFFFFFFF)).astype("<u4")
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
         block = table.column("block")[0].as_py() if table.num_rows else 0
         rows = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        return pa.table({"part": pa.array([int(part[a]) for a, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "keys": pa.array([packed(key[a:b]) for a, b in rows], pa.binary()), "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in rows], pa.binary())})
+        return pa.table({"part": pa.array([int(part[a]) for a, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in rows], pa.binary()), "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in rows], pa.binary())})
 
     return run
 
 
 def _repeated_keys(table: pa.Table, hot_blocks: int) -> pa.Table:
-    """Of the keys of a part, those that two documents hold, back to their blocks; and whether many blocks hold them."""
-    keys = [unpacked(x) for x in _bytes(table, "keys")]
+    """Which anchors of a part two documents hold, back to their blocks as bits in their order; and which of them many blocks hold."""
+    keys = [np.frombuffer(x, "<u4") for x in _bytes(table, "keys")]
     many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(_bytes(table, "many"), keys)]
-    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    cut = np.cumsum([0, *(len(k) for k in keys)])
     key, many = np.concatenate(keys), np.concatenate(many)
     _, of, n = np.unique(key, return_inverse=True, return_counts=True)
     keep = (n[of] > 1) | (np.bincount(of, many)[of] > 0)
-    hot = n[of] > hot_blocks
-    cut = np.searchsorted(row[keep], np.arange(len(keys) + 1))
-    key, hot = key[keep] << U(16), hot[keep]
-    rows = [i for i in range(len(keys)) if cut[i + 1] > cut[i]]
-    blocks = table.column("block").to_pylist()
-    return pa.table({"block": pa.array([blocks[i] for i in rows], pa.int64()), "keys": pa.array([packed(key[cut[i] : cut[i + 1]]) for i in rows], pa.binary()), "hot": pa.array([np.packbits(hot[cut[i] : cut[i + 1]]).tobytes() for i in rows], pa.binary())})
+    hot = keep & (n[of] > hot_blocks)
+    rows = [i for i in range(len(keys)) if keep[cut[i] : cut[i + 1]].any()]
+    bits = lambda x, i: np.packbits(x[cut[i] : cut[i + 1]]).tobytes()
+    return pa.table({"part": table.column("part").take(pa.array(rows, pa.int64())), "block": table.column("block").take(pa.array(rows, pa.int64())), "keys": pa.array([bits(keep, i) for i in rows], pa.binary()), "hot": pa.array([bits(hot, i) if hot[cut[i] : cut[i + 1]].any() else b"" for i in rows], pa.binary())})
 
 
-def _entries(left: pa.Table, rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Entries]:
+def _entries(left: pa.Table, parts: int, masks: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Entries]:
     buf, cuts = joined(left)
     ids = left.column("first").to_numpy()
-    keys = [unpacked(k) for k, _ in rows]
-    hot = [np.unpackbits(np.frombuffer(h, np.uint8), count=len(k)).astype(bool) for (_, h), k in zip(rows, keys)]
-    none = [np.zeros(0, U)], [np.zeros(0, bool)]
-    return buf, cuts, ids, Entries(buf, cuts, ids, np.concatenate(keys or none[0]), np.concatenate(hot or none[1]))
+    return buf, cuts, ids, Entries(buf, cuts, ids, parts, masks)
 
 
 def _segments_of_block(parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        buf, _, ids, e = _entries(left, list(zip(_bytes(right, "keys"), _bytes(right, "hot"))))
+        buf, _, ids, e = _entries(left, parts, list(zip(right.column("part").to_pylist(), _bytes(right, "keys"), _bytes(right, "hot"))))
         part = (mixed(e.key[e.first]) % U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         at, part = e.first[order], part[order]
@@ -317,8 +331,9 @@ def _cut_block(parts: int, spans: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         part = right.column("part").to_pylist()
         data = list(zip(part, _bytes(right, "keys"), _bytes(right, "hot")))
-        buf, cuts, ids, e = _entries(left, [(k, h) for p, k, h in data if p is None])
-        results = sorted((p, k, h) for p, k, h in data if p is not None)
+        # parts below zero are those of anchors
+        buf, cuts, ids, e = _entries(left, parts, [(-1 - p, k, h) for p, k, h in data if p < 0])
+        results = sorted((p, k, h) for p, k, h in data if p >= 0)
         n = e.n[e.first]
         order = np.argsort((mixed(e.key[e.first]) % U(parts)).astype(np.int64), kind="stable")
         lens = np.concatenate([np.frombuffer(k, np.int32) for _, k, _ in results] or [np.zeros(0, np.int32)])
@@ -378,20 +393,23 @@ def repeated_spans(docs: DataFrame, spans: bool = True, hot_blocks: int = HOT_BL
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("first"), text.alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    with shuffles_removed(spark):
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(-(-size // (4 * BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks, parts = max(-(-size // BLOCK), 4 * buckets), max(-(-size // (18 * PART)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(buckets, 50_000)
     once = rows.mapInArrow(_first_in_task, "digest binary, first long, text string").withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)))
     texts = once.repartition(buckets, "block").groupBy("block", "digest").agg(F.min("first").alias("first"), F.first("text", ignorenulls=True).alias("text"))
     name = f"texts_{uuid.uuid4().hex}"
-    texts.write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    with shuffles_removed(spark):
+        texts.write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
     texts = spark.table(name)
     keys = texts.select("block", "text").groupBy("block").applyInArrow(_keys_of_block(parts), "part long, block long, keys binary, many binary")
-    repeated = materialize(keys.groupBy("part").applyInArrow(lambda table: _repeated_keys(table, hot_blocks), "block long, keys binary, hot binary"), "repeated-keys")
+    with shuffles_removed(spark):
+        repeated = materialize(keys.groupBy("part").applyInArrow(lambda table: _repeated_keys(table, hot_blocks), "part long, block long, keys binary, hot binary"), "repeated-keys")
     sent = texts.select("block", "first", "text").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_segments_of_block(parts), "part long, block long, keys binary, docs binary, sizes binary, bytes binary")
     least = sent.groupBy("part").applyInArrow(_smallest_documents, "part long, block long, keys binary, hot binary")
-    back = repeated.select(F.lit(None).cast("long").alias("part"), "block", "keys", "hot").unionByName(least)
+    back = repeated.withColumn("part", F.lit(-1) - F.col("part")).unionByName(least)
     lists = "begins array<long>, ends array<long>, " if spans else ""
     return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut_block(parts, spans), f"digest binary, first long, n_removed long, n_spans long, {lists}kept binary")
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +85,49 @@ def test_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = found(repeats.op12_lyndon_repeats(df))
     assert got == plain([tuple(r) for r in df.select("doc_id", "text").collect()]) and any(r[2] for r in got)
+
+
+def test_only_anchors_that_others_hold_are_sent():
+    # the grams around the passages are in several texts, 32 bytes of them in one only
+    draw = random.Random(7)
+    letters = lambda n: "".join(draw.choice("bcdfghjklm") for _ in range(n))
+    grams, passage = [letters(16) for _ in range(20)], letters(200)
+    texts = [("".join(letters(17) + draw.choice(grams) for _ in range(60)) + (passage if k in (3, 8) else "")) for k in range(12)]
+    lefts = [pa.table({"block": pa.array([b] * 3, pa.int64()), "first": pa.array([3 * b + i for i in range(3)], pa.int64()), "text": texts[3 * b : 3 * b + 3]}) for b in range(4)]
+    parts = 3
+
+    def grouped(tables, column, value):
+        table = pa.concat_tables(tables)
+        return table.filter(pc.equal(table.column(column), value))
+
+    keys = [repeats._keys_of_block(parts)(left.select(["block", "text"])) for left in lefts]
+    found = [repeats._repeated_keys(grouped(keys, "part", part), 4096) for part in range(parts)]
+    sent = pa.concat_tables([repeats._segments_of_block(parts)(left, grouped(found, "block", b)) for b, left in enumerate(lefts)])
+    assert set(sent.column("block").to_pylist()) == {1, 2}
+    assert sum(len(x) // 4 for x in sent.column("sizes").to_pylist()) < 60
+
+
+def test_strings_of_contents_under_one_key():
+    draw = random.Random(8)
+    for _ in range(40):
+        base = bytes(draw.choice(b"ab") for _ in range(90))
+        contents = list({base[i:j] for i, j in ((draw.randrange(0, 30), draw.randrange(81, 91)) for _ in range(5))} | {bytes(draw.choice(b"ab") for _ in range(70)) for _ in range(3)})
+        docs = np.array([draw.randrange(9) for _ in contents])
+        got = repeats.shared_strings(contents, np.full(len(contents), 5, np.uint64), docs)
+        for i, c in enumerate(contents):
+            least = [min(d for x, d in zip(contents, docs) if c[p : p + 50] in x) for p in range(len(c) - 49)]
+            assert got.get(i, np.full(len(least), docs[i])).tolist() == least
+
+
+def test_shuffles_of_written_tables_go(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in map(str, (lambda f: [f.apply(i) for i in range(f.size())])(files.getAllFiles())) if "/shuffle_" in x}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = shuffled(), spark.conf.get(key)
+    df = repeats.op12_lyndon_repeats(spark.createDataFrame(made(), "doc_id long, text string"))
+    for _ in range(20):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get(key) == conf
+    assert df.count() == len(made())
